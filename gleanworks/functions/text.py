@@ -24,15 +24,15 @@ def strip_empty_elements(html: Column) -> Column:
 
 
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(f"([^{fixed.SPACE_CLASS}]+)"), 1)
+    return F.array_remove(F.split(text, f"[{fixed.SPACE_CLASS}]+"), "")
 
 
 def sentences(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(r"([^.!?]+)"), 1)
+    return F.array_remove(F.split(text, "[.!?]+"), "")
 
 
 def lines(text: Column) -> Column:
-    return F.filter(F.split(text, "\n"), lambda line: line != "")
+    return F.array_remove(F.split(text, "\n"), "")
 
 
 def word_count(text: Column) -> Column:

@@ -91,34 +91,42 @@ def last_value(df: DataFrame, labels: list[str], value: str, order: list[str]) -
     )
 
 
-def align(df: DataFrame, series: list[str], ts: str, value: Column, seconds: int, how: str) -> DataFrame:
-    """One value per series and window: mean, max, min, sum, count or rate (sum per second)."""
+def align(df: DataFrame, series: list[str], ts: str, value: Column, seconds: int,
+          how: str | list[str]) -> DataFrame:
+    """Values per series and window: mean, max, min, sum, count or rate (sum per second).
+
+    One aligner gives a column ``value``; a list gives one column per aligner.
+    """
     choices = {
         "mean": F.avg(value), "max": F.max(value), "min": F.min(value), "sum": F.sum(value),
         "count": F.count(value).cast("double"), "rate": F.sum(value) / seconds,
     }
-    if how not in choices:
-        raise ValueError(f"unknown aligner {how!r}")
+    columns = _chosen(choices, how)
+    names = ["value"] if isinstance(how, str) else how
     return (
-        df.groupBy(F.window(ts, f"{seconds} seconds").alias("_w"), *series)
-        .agg(choices[how].alias("value"))
-        .select(F.col("_w.start").alias("window_start"), *series, "value")
+        df.groupBy(F.window(ts, f"{seconds} seconds").alias("_w"), *series).agg(*columns)
+        .select(F.col("_w.start").alias("window_start"), *series, *names)
     )
 
 
+def _chosen(choices: dict[str, Column], how: str | list[str]) -> list[Column]:
+    unknown = [name for name in ([how] if isinstance(how, str) else how) if name not in choices]
+    if unknown:
+        raise ValueError(f"unknown function {unknown[0]!r}")
+    return [choices[how].alias("value")] if isinstance(how, str) else [choices[name].alias(name) for name in how]
+
+
 def align_percentile(df: DataFrame, series: list[str], ts: str, value: Column, seconds: int,
                      fraction: float) -> DataFrame:
     windowed = df.withColumn("window_start", F.window(ts, f"{seconds} seconds").getField("start"))
     return percentiles.percentiles(windowed, ["window_start", *series], value, {"value": fraction})
 
 
-def reduce_series(aligned: DataFrame, group: list[str], how: str) -> DataFrame:
-    """Combine aligned series per window and group."""
+def reduce_series(aligned: DataFrame, group: list[str], how: str | list[str]) -> DataFrame:
+    """Combine aligned series per window and group; several reducers give several columns."""
     value = F.col("value")
     choices = {"mean": F.avg(value), "max": F.max(value), "sum": F.sum(value), "count": F.count(value)}
-    if how not in choices:
-        raise ValueError(f"unknown reducer {how!r}")
-    return aligned.groupBy("window_start", *group).agg(choices[how].alias("value"))
+    return aligned.groupBy("window_start", *group).agg(*_chosen(choices, how))
 
 
 def error_rate(df: DataFrame, group: list[str], failed: Column) -> DataFrame:

@@ -92,8 +92,9 @@ RESULTS_SQL = f"""SELECT doc_id, lang, text, n_chars, {uuid_sql('doc_id::VARCHAR
 
 def full_results(t: Tables) -> DataFrame:
     """Results with metadata and storage structs; short texts have no processed file."""
-    r, text = results(t), F.col("text")
-    complete, consistent = scores.text_completeness(text), scores.text_consistency(text)
+    text, complete, consistent = F.col("text"), F.col("_complete"), F.col("_consistent")
+    r = results(t).withColumn("_complete", scores.text_completeness(text)).withColumn(
+        "_consistent", scores.text_consistency(text))
     average = scores.quality_average(complete, F.lit(1.0), consistent, F.lit(1.0))
     size = F.octet_length("text").cast("bigint")
     file = lambda name, bytes_: F.struct(
@@ -110,7 +111,7 @@ def full_results(t: Tables) -> DataFrame:
         file("processed", F.when(F.col("n_chars") < 100, 0).otherwise(size)).alias("processedFile"),
         F.lit("results").alias("bigQueryTable"), F.lit("1.0.0").alias("version"), F.lit("GZIP").alias("compressionType"),
         F.when(F.col("lang") == "fr", "").otherwise("key-1").alias("encryptionKey"),
-    ))
+    )).drop("_complete", "_consistent")
 
 
 FULL_RESULTS_SQL = f"""SELECT *, octet_length(encode(text)) AS size, len(regexp_split_to_array(text, '{GAP_SQL}')) AS item_count,
