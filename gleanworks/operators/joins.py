@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from gleanworks import fixed
 
@@ -14,7 +16,9 @@ def rule_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame
     """A small configuration table, marked for broadcast after its size is checked."""
     if len(rows) > RULE_ROWS_LIMIT:
         raise ValueError(f"a rule table holds at most {RULE_ROWS_LIMIT} rows")
-    return F.broadcast(spark.createDataFrame(rows, schema))
+    names = StructType.fromDDL(schema).names
+    columns = {name: [row[i] for row in rows] for i, name in enumerate(names)}
+    return F.broadcast(spark.createDataFrame(pa.table(columns), StructType.fromDDL(schema)))
 
 
 def salted_join(facts: DataFrame, lookup: DataFrame, keys: list[str], spread: Column,

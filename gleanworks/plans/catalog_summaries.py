@@ -52,7 +52,7 @@ def a04(spark, sf):
 @query("a05_confidence", """SELECT p_partkey, round((coalesce(list_avg(list_transform(string_split(p_name, ' '), lambda x: 0.8::DOUBLE * least(length(x) / 20.0::DOUBLE, 1.0))), 0)
   + CASE WHEN p_type IN ('ECONOMY', 'SMALL') THEN 0.95 ELSE 0 END) / 2, 6) AS confidence FROM part""")
 def a05(spark, sf):
-    entities = F.transform(F.split("p_name", " "), scores.entity_confidence)
+    entities = F.transform(F.split("p_name", " "), lambda word: scores.entity_confidence(word))
     none = F.array().cast("array<double>")
     categories = F.when(F.col("p_type").isin("ECONOMY", "SMALL"), F.array(F.lit(0.95))).otherwise(none)
     return Tables(spark, sf).part.select("p_partkey", F.round(scores.combined_confidence(entities, categories), 6).alias("confidence"))
