@@ -186,11 +186,10 @@ def t03(spark, sf):
     return ingest.drain(state.alert_transitions_stream(second, "event_type", above(), **POLICY), "t03")
 
 
-@query("t04_notifications", f"""SELECT event_type AS series, epoch(w)::BIGINT AS at FROM ({FIRED_SQL}) WHERE event_type = 'none'
-UNION ALL SELECT * FROM (WITH RECURSIVE f AS (SELECT * FROM ({FIRED_SQL})), n AS (
+@query("t04_notifications", f"""WITH RECURSIVE f AS ({FIRED_SQL}), n AS (
   SELECT event_type, min(w) AS w FROM f GROUP BY 1
   UNION ALL SELECT n.event_type, (SELECT min(f.w) FROM f WHERE f.event_type = n.event_type AND f.w >= n.w + INTERVAL 6 HOUR) FROM n WHERE n.w IS NOT NULL)
-SELECT event_type, epoch(w)::BIGINT FROM n WHERE w IS NOT NULL)""")
+SELECT event_type AS series, epoch(w)::BIGINT AS at FROM n WHERE w IS NOT NULL""")
 def t04(spark, sf):
     events = state.alert_transitions(hourly(Tables(spark, sf)), "event_type", above(), **POLICY)
     return events.where("event = 'NOTIFY'").select("series", "at")

@@ -40,7 +40,7 @@ def canonical(results: DataFrame) -> DataFrame:
         "id", F.col("jobId").alias("job_id"), F.col("sourceType").alias("source_type"),
         F.col("sourceUrl").alias("source_url"), "timestamp",
         F.struct("completeness", "accuracy", "consistency", "freshness").alias("quality"),
-        F.col("status").alias("validation"),
+        F.col("status").alias("validation"), *[F.col(c) for c in results.columns if c == "history"],
     )
 
 
@@ -58,8 +58,8 @@ def with_history(results: DataFrame, operation: str, at: Column, failed: Column,
     """Append a SUCCESS or FAILURE step to ``history``."""
     outcome = F.when(failed, "FAILURE").otherwise("SUCCESS")
     new = step(operation, outcome, at, times.duration_ms(F.col("timestamp"), at), F.when(failed, F.lit(code)))
-    past = F.col("history") if "history" in results.columns else F.lit(None)
-    return results.withColumn("history", shapes.append_step(past, new))
+    steps = shapes.append_step(F.col("history"), new) if "history" in results.columns else F.array(new)
+    return results.withColumn("history", steps)
 
 
 def process_results(results: DataFrame, content: str, at: Column, label: str = "results") -> Outcome:
@@ -74,7 +74,7 @@ def process_results(results: DataFrame, content: str, at: Column, label: str = "
     ready = with_history(scored(good, content), "TRANSFORM", at, F.lit(False))
     row = canonical(ready)
     return Outcome(
-        stored=tables.publish(row.withColumn("history", F.lit(None).cast("string")).drop("history"), f"{label}-rows"),
+        stored=tables.publish(row, f"{label}-rows"),
         raw=files.land_json(good, f"{label}-raw", "id", "timestamp"),
         processed=files.land_processed(row, f"{label}-processed", "id"),
         quarantine=bad,

@@ -68,7 +68,7 @@ def _alert_rows(windows: DataFrame, series: str, breach: Column) -> DataFrame:
 
 def alert_transitions(windows: DataFrame, series: str, breach: Column, **policy) -> DataFrame:
     """OPEN, CLOSE and NOTIFY events of every series, from a batch of aligned windows."""
-    def run(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         _, events = _walk(FRESH, frame, **policy)
         return pd.DataFrame([(key[0], at, event) for at, event in events], columns=["series", "at", "event"])
 
