@@ -38,7 +38,7 @@ def unescape_sql(value: str) -> str:
 
 @query("x01_selectors", f"""SELECT page_id, 'heading' AS name, trim({unescape_sql("regexp_extract(html, '(?s)<article><h1>(.*?)</h1>', 1)")}) AS content, 1 AS matches, NULL AS error FROM pages
 UNION ALL SELECT page_id, 'title', trim({unescape_sql("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")}), 1, NULL FROM pages
-UNION ALL SELECT page_id, 'menu', trim({unescape_sql("list_aggregate(regexp_extract_all(html, '<a href=[^>]*>([^<]*)</a>', 1), 'string_agg', '')")}), len(regexp_extract_all(html, '<a href=[^>]*>([^<]*)</a>', 1)), NULL FROM pages
+UNION ALL SELECT page_id, 'menu', trim({unescape_sql("list_aggregate(regexp_extract_all(html, '<a href=[^>]*>([^<]*)</a>', 1), 'string_agg', '')")}), len(regexp_extract_all(html, '<a href=[^>]*>([^<]*)</a>', 1))::INTEGER, NULL FROM pages
 UNION ALL SELECT page_id, 'advert', trim({unescape_sql("regexp_extract(html, '(?s)<div class=.ad.>(.*?)</div>', 1)")}), 1, NULL FROM pages
 UNION ALL SELECT page_id, 'price', '', 0, 'REQUIRED_MISSING' FROM pages""")
 def x01(spark, sf):
@@ -116,7 +116,7 @@ CLASSIFIED_TEXT = f"""SELECT conv_id AS key, turn, text || {st.one_of_sql('role'
 UNION ALL SELECT doc_id, -1, text FROM documents"""
 
 
-@query("x07_classify", f"""SELECT key, turn, c AS category, p AS confidence, s AS subcategories FROM ({CLASSIFIED_TEXT}), (VALUES ('DRUG_INFORMATION', 0.95, 'DOSAGE,INTERACTIONS', 'mg', 'dosage'),
+@query("x07_classify", f"""SELECT key, turn, c AS category, p::DOUBLE AS confidence, s AS subcategories FROM ({CLASSIFIED_TEXT}), (VALUES ('DRUG_INFORMATION', 0.95, 'DOSAGE,INTERACTIONS', 'mg', 'dosage'),
   ('CLINICAL_TRIALS', 0.9, 'METHODOLOGY,RESULTS', 'trial', 'study')) r(c, p, s, a, b) WHERE contains(lower(text), a) OR contains(lower(text), b)""")
 def x07(spark, sf):
     t = Tables(spark, sf)
@@ -218,7 +218,8 @@ tf AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY 1, 2), df AS (SELECT
 SELECT * FROM (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, term) AS rank, term, score FROM (
   SELECT doc_id, term, round(tf * ln((SELECT count(*) FROM documents)::DOUBLE / df), 6) AS score FROM tf JOIN df USING (term))) WHERE rank <= 5""")
 def x16(spark, sf):
-    return language.key_phrases(Tables(spark, sf).documents, "doc_id", "text")
+    rows = language.key_phrases(Tables(spark, sf).documents, "doc_id", "text")
+    return rows.withColumn("rank", F.col("rank").cast("bigint"))
 
 
 POLARITY = {"the": 0.5, "and": 0.25, "not": -1.0, "que": -0.25, "die": 0.125, "los": -0.5}

@@ -58,7 +58,7 @@ def a05(spark, sf):
     return Tables(spark, sf).part.select("p_partkey", F.round(scores.combined_confidence(entities, categories), 6).alias("confidence"))
 
 
-@query("a06_page_rollup", """SELECT conv_id, 0 AS part, trim(string_agg(text, ' ' ORDER BY turn)) AS text, round(avg(least(length(text) / 1000.0::DOUBLE, 1.0)), 6) AS confidence,
+@query("a06_page_rollup", """SELECT conv_id, 0::BIGINT AS part, trim(string_agg(text, ' ' ORDER BY turn)) AS text, round(avg(least(length(text) / 1000.0::DOUBLE, 1.0)), 6) AS confidence,
   count(*) AS pages FROM conversations GROUP BY 1""")
 def a06(spark, sf):
     pages = Tables(spark, sf).conversations.withColumn("confidence", F.least(F.length("text") / F.lit(1000.0), F.lit(1.0)))
