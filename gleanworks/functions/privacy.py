@@ -7,12 +7,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
 
 from gleanworks import fixed
+from gleanworks.functions.text import ascii_edges
+
+
+def _occurs(text: Column, kind: str, pattern: str) -> Column:
+    """Whether the pattern occurs. A cheap necessary test comes first and usually decides."""
+    found = text.rlike(ascii_edges(pattern))
+    return F.contains(text, F.lit("@")) & found if kind == "email" else text.rlike("[0-9]") & found
 
 
 def has_pii(text: Column) -> Column:
     found = F.lit(False)
-    for pattern in fixed.PII_DETECT.values():
-        found = found | text.rlike(pattern)
+    for kind, pattern in fixed.PII_DETECT.items():
+        found = found | _occurs(text, kind, pattern)
     return found
 
 
@@ -20,14 +27,15 @@ def mask_value(value: Column) -> Column:
     """The whole value becomes ``[REDACTED kind]`` for the first kind that occurs in it."""
     masked = value
     for kind, pattern in reversed(fixed.PII_MASK.items()):
-        masked = F.when(value.rlike(pattern), F.lit(f"[REDACTED {kind}]")).otherwise(masked)
+        masked = F.when(_occurs(value, kind, pattern), F.lit(f"[REDACTED {kind}]")).otherwise(masked)
     return masked
 
 
 def redact_spans(text: Column) -> Column:
     """Only the matching spans are replaced; the rest of the text stays."""
     for kind, pattern in fixed.PII_MASK.items():
-        text = F.regexp_replace(text, pattern, f"[REDACTED {kind}]")
+        mark = "@" if kind == "email" else "[0-9]"
+        text = F.when(text.rlike(mark), F.regexp_replace(text, pattern, f"[REDACTED {kind}]")).otherwise(text)
     return text
 
 

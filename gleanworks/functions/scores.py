@@ -11,10 +11,10 @@ from gleanworks.functions import text as tx
 
 def text_completeness(text: Column) -> Column:
     """Words per sentence against twenty, capped at one; empty or null text scores zero."""
-    words = F.size(tx.words(text)).cast("double")
+    words = F.coalesce(F.size(tx.words(text)).cast("double"), F.lit(0.0))
     full = F.size(tx.sentences(text)) * float(fixed.WORDS_PER_SENTENCE)
     # Without any sentence the ratio of a text with words is unbounded, that is, one.
-    return F.coalesce(F.least(words / F.greatest(full, F.lit(0.5)), F.lit(1.0)), F.lit(0.0))
+    return F.least(words / F.greatest(full, F.lit(0.5)), F.lit(1.0))
 
 
 def text_consistency(text: Column) -> Column:

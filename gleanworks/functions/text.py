@@ -71,6 +71,15 @@ def blank_if_null(value: Column) -> Column:
     return F.coalesce(value.cast("string"), F.lit(""))
 
 
+def ascii_edges(pattern: str) -> str:
+    r"""The pattern with ``\b`` spelled out for ASCII words, as ECMAScript and RE2 read it.
+
+    Java's own ``\b`` also counts accented letters as word characters in some releases.
+    """
+    edge = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
+    return pattern.replace(r"\b", edge)
+
+
 def chunks(text: Column, size: int = fixed.CHUNK_SIZE) -> Column:
     """The text cut into consecutive pieces of ``size`` characters."""
     starts = F.sequence(F.lit(0), F.greatest(F.length(text) - 1, F.lit(0)), F.lit(size))

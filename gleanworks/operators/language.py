@@ -18,37 +18,67 @@ MODEL_VERSION = "3.4.0"
 
 @dataclass(frozen=True)
 class EntityRule:
-    """A pattern that marks an entity, with its own base confidence if it has one."""
+    """A pattern that marks an entity, with its own base confidence if it has one.
+
+    ``literal`` (lower case) and ``digits`` state what every match contains; texts
+    without it are skipped before the pattern is tried.
+    """
 
     kind: str
     pattern: str
     score: float | None = None
+    literal: str = ""
+    digits: bool = False
+
+
+def _possible(text: Column, rules: list[EntityRule]) -> Column:
+    """A JVM-side test that every text with a match passes.
+
+    Plain words are sought together; other patterns are tried only on texts that hold
+    the mark or the digits they need.
+    """
+    words = [r.literal for r in rules if r.literal.isalpha()]
+    found = text.rlike("(?i)(?:" + "|".join(words) + ")") if words else F.lit(False)
+    numeric = F.lit(False)
+    for rule in rules:
+        pattern = text.rlike(tx.ascii_edges(rule.pattern))
+        if rule.literal.isalpha():
+            continue
+        if rule.digits:
+            numeric = numeric | pattern
+        else:
+            found = found | (F.contains(text, F.lit(rule.literal)) & pattern)
+    return found | (text.rlike("[0-9]") & numeric)
 
 
 ENTITY_RULES = [
-    EntityRule("DRUG", r"(?i)\baspirin\b", 0.95),
-    EntityRule("CONDITION", r"(?i)\bheadache\b", 0.90),
-    EntityRule("DOSAGE", r"(?i)\b\d+(?:\.\d+)?\s?(?:mg|mcg|g|ml)\b"),
-    EntityRule("CLINICAL_TRIAL", r"\bNCT\d{8}\b"),
-    EntityRule("INTERACTION", r"(?i)\binteract(?:s|ed|ions?)\b"),
-    EntityRule("EMAIL", fixed.PII_DETECT["email"]),
-    EntityRule("PHONE", fixed.PII_DETECT["phone"]),
-    EntityRule("SSN", fixed.PII_DETECT["ssn"]),
+    EntityRule("DRUG", r"(?i)\baspirin\b", 0.95, literal="aspirin"),
+    EntityRule("CONDITION", r"(?i)\bheadache\b", 0.90, literal="headache"),
+    EntityRule("DOSAGE", r"(?i)\b\d+(?:\.\d+)?\s?(?:mg|mcg|g|ml)\b", digits=True),
+    EntityRule("CLINICAL_TRIAL", r"\bNCT\d{8}\b", digits=True),
+    EntityRule("INTERACTION", r"(?i)\binteract(?:s|ed|ions?)\b", literal="interact"),
+    EntityRule("EMAIL", fixed.PII_DETECT["email"], literal="@"),
+    EntityRule("PHONE", fixed.PII_DETECT["phone"], digits=True),
+    EntityRule("SSN", fixed.PII_DETECT["ssn"], digits=True),
 ]
 
 _SPANS = "array<struct<start:bigint,end:bigint,type:string,score:double>>"
 
 
 def _spans(rules: list[EntityRule]):
-    compiled = [(rule, re.compile(rule.pattern)) for rule in rules]
+    compiled = [(rule, re.compile(rule.pattern, re.ASCII)) for rule in rules]
+    digit = re.compile("[0-9]")
 
     def find(source: str | None):
         if not source:
             return []
+        lowered, numeric = source.lower(), digit.search(source) is not None
         return [
             {"start": m.start(), "end": m.end(), "type": rule.kind,
              "score": fixed.DEFAULT_ENTITY_CONFIDENCE if rule.score is None else rule.score}
-            for rule, pattern in compiled for m in pattern.finditer(source)
+            for rule, pattern in compiled
+            if (numeric or not rule.digits) and rule.literal in lowered
+            for m in pattern.finditer(source)
         ]
 
     @F.pandas_udf(_SPANS)
@@ -79,10 +109,7 @@ def entities(text: Column, rules: list[EntityRule] | None = None,
 def extract_entities(df: DataFrame, key: str, text: str, rules: list[EntityRule] | None = None) -> DataFrame:
     """One row per entity. Texts that cannot hold a match are dropped before Python sees them."""
     chosen = rules or ENTITY_RULES
-    possible = F.lit(False)
-    for rule in chosen:
-        possible = possible | F.col(text).rlike(rule.pattern)
-    held = df.select(key, text).where(possible)
+    held = df.select(key, text).where(_possible(F.col(text), chosen))
     return held.select(key, F.explode(entities(F.col(text), chosen)).alias("e")).select(
         key, "e.text", "e.type", "e.confidence",
         F.col("e.position.start").alias("start"), F.col("e.position.end").alias("end"),

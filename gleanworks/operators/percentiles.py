@@ -55,24 +55,18 @@ def percentiles(df: DataFrame, group: list[str], value: Column, fractions: dict[
         low, high, weight = _ranks(F.col("_n"), fraction, method)
         wanted.append(F.struct(F.lit(name).alias("p"), low.alias("rank"), (1 - weight).alias("w")))
         wanted.append(F.struct(F.lit(name).alias("p"), high.alias("rank"), weight.alias("w")))
-    targets = (
-        bands.withColumn("_t", F.explode(F.array(*wanted)))
-        .where((F.col("_t.rank") > F.col("_before")) & (F.col("_t.rank") <= F.col("_before") + F.col("_in_band")))
-        .where(F.col("_t.w") > 0)
-    )
-    hit_bands = targets.select(*group, "_band", "_before").distinct()
+    here = F.filter(F.array(*wanted), lambda t: (t["w"] > 0) & (t["rank"] > F.col("_before"))
+                    & (t["rank"] <= F.col("_before") + F.col("_in_band")))
+    needed = bands.withColumn("_wanted", here).where(F.size("_wanted") > 0).drop("_in_band", "_n")
     inside = Window.partitionBy(*group, "_band").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     ranked = (
-        counts.join(hit_bands, [*group, "_band"])
+        counts.join(needed, [*group, "_band"])
         .withColumn("_to", F.col("_before") + F.sum("_c").over(inside))
-        .withColumn("_from", F.col("_to") - F.col("_c"))
-    )
-    found = targets.select(*group, "_band", F.col("_t.p").alias("_p"), F.col("_t.rank").alias("_rank"), F.col("_t.w").alias("_w"))
-    picked = ranked.drop("_before").join(found, [*group, "_band"]).where(
-        (F.col("_rank") > F.col("_from")) & (F.col("_rank") <= F.col("_to"))
+        .withColumn("_hits", F.filter("_wanted", lambda t: (t["rank"] > F.col("_to") - F.col("_c")) & (t["rank"] <= F.col("_to"))))
     )
+    picked = ranked.select(*group, "_v", F.explode("_hits").alias("_t"))
     columns = [
-        F.sum(F.when(F.col("_p") == name, F.col("_v") * F.col("_w"))).alias(name) for name in fractions
+        F.sum(F.when(F.col("_t.p") == name, F.col("_v") * F.col("_t.w"))).alias(name) for name in fractions
     ]
     return picked.groupBy(*group).agg(*columns)
 

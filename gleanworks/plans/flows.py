@@ -65,18 +65,18 @@ def with_history(results: DataFrame, operation: str, at: Column, failed: Column,
 def process_results(results: DataFrame, content: str, at: Column, label: str = "results") -> Outcome:
     """Validate, score, transform, land raw and processed payloads, store.
 
-    Rows that fail the required-field rules go to quarantine with the rule ids; the rest
-    is written once and read back, so the flow is one scan of the input per output.
+    Rows that fail the required-field rules go to quarantine with the rule ids. The scored
+    rows are written once; the processed payload derives from that table, not from the texts.
     """
     checked = validation.check(results, validation.required_result_fields())
     good = checked.where("is_valid").drop("violations", "is_valid")
     bad = with_history(checked.where("not is_valid").drop("is_valid"), "TRANSFORM", at, F.lit(True))
     ready = with_history(scored(good, content), "TRANSFORM", at, F.lit(False))
-    row = canonical(ready)
+    stored = tables.publish(canonical(ready), f"{label}-rows")
     return Outcome(
-        stored=tables.publish(row, f"{label}-rows"),
+        stored=stored,
         raw=files.land_json(good, f"{label}-raw", "id", "timestamp"),
-        processed=files.land_processed(row, f"{label}-processed", "id"),
+        processed=files.land_processed(stored, f"{label}-processed", "id"),
         quarantine=bad,
     )
 

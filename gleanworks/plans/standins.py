@@ -93,15 +93,17 @@ RESULTS_SQL = f"""SELECT doc_id, lang, text, n_chars, {uuid_sql('doc_id::VARCHAR
 def full_results(t: Tables) -> DataFrame:
     """Results with metadata and storage structs; short texts have no processed file."""
     text, complete, consistent = F.col("text"), F.col("_complete"), F.col("_consistent")
-    r = results(t).withColumn("_complete", scores.text_completeness(text)).withColumn(
-        "_consistent", scores.text_consistency(text))
+    # One projection, so that the split of the text is shared by both counts.
+    r = results(t).select(
+        "*", scores.text_completeness(text).alias("_complete"), scores.text_consistency(text).alias("_consistent"),
+        tx.item_count(text).cast("bigint").alias("_items"))
     average = scores.quality_average(complete, F.lit(1.0), consistent, F.lit(1.0))
     size = F.octet_length("text").cast("bigint")
     file = lambda name, bytes_: F.struct(
         F.concat("id", F.lit(f"/{name}.json")).alias("name"), F.lit(f"{name}-bucket").alias("bucket"), bytes_.alias("size")
     )
     return r.withColumn("metadata", F.struct(
-        size.alias("size"), tx.item_count(text).cast("bigint").alias("itemCount"),
+        size.alias("size"), F.col("_items").alias("itemCount"),
         F.lit("text/plain").alias("format"), F.lit("text/plain").alias("contentType"),
         F.sha2("text", 256).alias("checksum"), scores.quality_status(average).alias("validationStatus"),
         F.struct(complete.alias("completeness"), F.lit(1.0).alias("accuracy"), consistent.alias("consistency"),
@@ -111,7 +113,7 @@ def full_results(t: Tables) -> DataFrame:
         file("processed", F.when(F.col("n_chars") < 100, 0).otherwise(size)).alias("processedFile"),
         F.lit("results").alias("bigQueryTable"), F.lit("1.0.0").alias("version"), F.lit("GZIP").alias("compressionType"),
         F.when(F.col("lang") == "fr", "").otherwise("key-1").alias("encryptionKey"),
-    )).drop("_complete", "_consistent")
+    )).drop("_complete", "_consistent", "_items")
 
 
 FULL_RESULTS_SQL = f"""SELECT *, octet_length(encode(text)) AS size, len(regexp_split_to_array(text, '{GAP_SQL}')) AS item_count,
