@@ -138,7 +138,7 @@ def extract_selectors(pages: DataFrame, key: str, html: str, selectors: dict[str
                       max_html: int = fixed.MAX_HTML_SIZE, max_text: int = fixed.MAX_TEXT_LENGTH) -> DataFrame:
     """One row per page and selector: joined trimmed text, match count, required-but-missing flag.
 
-    A page above the size limit gets an error instead of text.
+    A page above the size limit gets an error instead of text and never reaches Python.
     """
     options = {n: s if isinstance(s, dict) else {"selector": s} for n, s in selectors.items()}
     compiled = {name: compile_selector(option["selector"]) for name, option in options.items()}
@@ -147,10 +147,9 @@ def extract_selectors(pages: DataFrame, key: str, html: str, selectors: dict[str
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for ident, source in zip(batch[key], batch[html]):
-                too_large = source is not None and len(source) > max_html
+            for ident, source, too_large in zip(batch[key], batch[html], batch["_large"]):
                 finder = _Selection(compiled)
-                if source and not too_large:
+                if source:
                     finder.read(source)
                 for name, option in options.items():
                     hits = ["".join(pieces) for pieces in finder.found[name]]
@@ -160,7 +159,9 @@ def extract_selectors(pages: DataFrame, key: str, html: str, selectors: dict[str
                     rows.append((ident, name, content, len(hits), error))
             yield pd.DataFrame(rows, columns=[key, "name", "content", "matches", "error"])
 
-    return pages.select(key, html).mapInPandas(
+    large = F.coalesce(F.length(html) > max_html, F.lit(False))
+    sent = pages.select(key, F.when(~large, F.col(html)).alias(html), large.alias("_large"))
+    return sent.mapInPandas(
         run, f"{key} {kind}, name string, content string, matches int, error string"
     )
 

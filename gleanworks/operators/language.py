@@ -90,7 +90,10 @@ def _spans(rules: list[EntityRule]):
 
 def entities(text: Column, rules: list[EntityRule] | None = None,
              minimum: float = fixed.MIN_ENTITY_CONFIDENCE) -> Column:
-    """Array of entities at or above the confidence floor. Python only locates the spans."""
+    """Array of entities at or above the confidence floor.
+
+    Python only locates the spans, and sees only texts that can hold one.
+    """
     def build(span: Column) -> Column:
         start, end = span["start"].cast("int"), span["end"].cast("int")
         found = F.substring(text, start + 1, end - start)
@@ -102,15 +105,14 @@ def entities(text: Column, rules: list[EntityRule] | None = None,
             privacy.has_pii(found).alias("isPII"),
         )
 
-    located = _spans(rules or ENTITY_RULES)(text)
+    chosen = rules or ENTITY_RULES
+    located = _spans(chosen)(F.when(_possible(text, chosen), text))
     return F.filter(F.transform(located, build), lambda e: e["confidence"] >= minimum)
 
 
 def extract_entities(df: DataFrame, key: str, text: str, rules: list[EntityRule] | None = None) -> DataFrame:
-    """One row per entity. Texts that cannot hold a match are dropped before Python sees them."""
-    chosen = rules or ENTITY_RULES
-    held = df.select(key, text).where(_possible(F.col(text), chosen))
-    return held.select(key, F.explode(entities(F.col(text), chosen)).alias("e")).select(
+    """One row per entity."""
+    return df.select(key, F.explode(entities(F.col(text), rules)).alias("e")).select(
         key, "e.text", "e.type", "e.confidence",
         F.col("e.position.start").alias("start"), F.col("e.position.end").alias("end"),
         "e.context", F.col("e.isPII").alias("is_pii"),

@@ -6,7 +6,11 @@ ranges (an hour, a day); one summary row per (key, slice) then carries the state
 across slices. A task never holds more than one slice of one key, and the window
 over summaries is bounded by the number of slices.
 
-Keys must not be null, and ``slice_by`` must not decrease along ``order``.
+Keys must not be null, and ``slice_by`` must not decrease along ``order``. It may be a
+struct, for orderings whose leading column has many equal values.
+
+The input is read twice (rows and summaries). Write it to a table first if it is itself
+the result of costly work.
 """
 
 from __future__ import annotations
@@ -14,9 +18,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gleanworks.functions.times import epoch_seconds
+
 _SLICE, _CARRY, _INNER = "_slice", "_carry", "_inner"
 
 
+def minute_of(ts: str) -> Column:
+    """Slices of one minute: the hot third of a month of events falls into 43,200 tasks."""
+    return F.floor(epoch_seconds(F.col(ts)) / 60)
+
+
 def _across(keys: list[str], descending: bool):
     at = F.col(_SLICE).desc() if descending else F.col(_SLICE).asc()
     return Window.partitionBy(*keys).orderBy(at)
@@ -82,6 +93,31 @@ def with_running_max(df: DataFrame, keys: list[str], order: list[str], slice_by:
     )
 
 
+def with_streak(df: DataFrame, keys: list[str], order: list[str], slice_by: Column, hit: Column,
+                reset: Column, name: str) -> DataFrame:
+    """Add the number of hits since the last reset row of the key, this row included.
+
+    ``<name>_closed`` tells whether the key has had a reset up to this row.
+    """
+    sliced = df.withColumn(_SLICE, slice_by)
+    inside = Window.partitionBy(*keys, _SLICE).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = sliced.withColumn("_hits", F.sum(hit.cast("bigint")).over(inside)).withColumn(
+        "_at_reset", F.max(F.when(reset, F.col("_hits"))).over(inside)
+    )
+    earlier = _across(keys, False).rowsBetween(Window.unboundedPreceding, -1)
+    carried = (
+        rows.groupBy(*keys, _SLICE).agg(F.sum(hit.cast("bigint")).alias("_sum"), F.max("_at_reset").alias("_last"))
+        .withColumn("_before", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)))
+        .withColumn("_base", F.max(F.col("_before") + F.col("_last")).over(earlier))
+        .select(*keys, _SLICE, "_before", "_base")
+    )
+    joined = rows.join(carried, [*keys, _SLICE], "left")
+    open_streak = F.col("_hits") + F.col("_before") - F.coalesce(F.col("_base"), F.lit(0))
+    streak = F.when(F.col("_at_reset").isNotNull(), F.col("_hits") - F.col("_at_reset")).otherwise(open_streak)
+    closed = F.col("_at_reset").isNotNull() | F.col("_base").isNotNull()
+    return joined.withColumn(name, streak).withColumn(f"{name}_closed", closed).select(*df.columns, name, f"{name}_closed")
+
+
 def with_position(df: DataFrame, keys: list[str], order: list[str], slice_by: Column,
                   name: str, descending: bool = False) -> DataFrame:
     """Add the 1-based position of each row within its key."""

@@ -223,7 +223,7 @@ FROM (SELECT o_orderkey, date_diff('day', o_orderdate, TIMESTAMP '2001-08-01') A
 def s20(spark, sf):
     acted = tables.lifecycle_actions(
         Tables(spark, sf).orders, ["o_custkey"], ["o_orderdate", "o_orderkey"],
-        F.year("o_orderdate") * 100 + F.month("o_orderdate"), st.naive("2001-08-01 00:00:00"))
+        F.struct("o_orderdate", F.floor(F.col("o_orderkey") / 1_000_000).alias("block")), st.naive("2001-08-01 00:00:00"))
     return acted.select("o_orderkey", "newer_versions", "action")
 
 

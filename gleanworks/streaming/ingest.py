@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
@@ -48,5 +51,14 @@ def drain_to(stream: DataFrame, label: str) -> str:
 
 
 def without_repeats(stream: DataFrame, keys: list[str], ts: str, delay: str = fixed.WATERMARK) -> DataFrame:
-    """Drop repeated keys that arrive within the watermark delay of the first."""
-    return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark(keys)
+    """Drop repeated keys that arrive within the watermark delay of the first.
+
+    Copies are thinned inside each Arrow batch before the shuffle, so a key with very
+    many copies reaches its state partition as a few rows per input batch.
+    """
+    def thin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.drop_duplicates(keys)
+
+    thinned = stream.mapInPandas(thin, stream.schema)
+    return thinned.withWatermark(ts, delay).dropDuplicatesWithinWatermark(keys)

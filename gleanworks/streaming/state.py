@@ -92,17 +92,9 @@ def alert_transitions_stream(windows: DataFrame, series: str, breach: Column, **
 
 def lockouts(events: DataFrame, user: str, order: list[str], slice_by: Column, failed: Column,
              succeeded: Column, limit: int = fixed.LOCKOUT_FAILURES) -> DataFrame:
-    """Rows at which a user reaches ``limit`` failures since the last success.
-
-    Failures are counted as a running total minus the total at the last success; both
-    running values are computed per time slice, so one busy user spreads over tasks.
-    """
-    total = ordered.with_running_total(events, [user], order, slice_by, failed.cast("int"), "_failures")
-    based = ordered.with_running_max(
-        total, [user], order, slice_by, F.when(succeeded, F.col("_failures")), "_at_success"
-    )
-    streak = F.col("_failures") - F.coalesce("_at_success", F.lit(0))
-    return based.where(failed & (streak == limit)).drop("_failures", "_at_success")
+    """Rows at which a user reaches ``limit`` failures since the last success."""
+    counted = ordered.with_streak(events.where(failed | succeeded), [user], order, slice_by, failed, succeeded, "streak")
+    return counted.where(failed & (F.col("streak") == limit)).select(*events.columns)
 
 
 def lockouts_stream(stream: DataFrame, user: str, order: list[str], slice_by: Column, failed: Column,
@@ -123,13 +115,11 @@ def lockouts_stream(stream: DataFrame, user: str, order: list[str], slice_by: Co
             else spark.createDataFrame([], streaks)
         )
         rows = batch.where(failed | succeeded)
-        total = ordered.with_running_total(rows, [user], order, slice_by, failed.cast("int"), "_failures")
-        based = ordered.with_running_max(
-            total, [user], order, slice_by, F.when(succeeded, F.col("_failures")), "_at_success"
-        )
+        here = ordered.with_streak(rows, [user], order, slice_by, failed, succeeded, "here")
         open_streaks = before.select(user, F.col("streak").alias("_carried"))
-        counted = joins.salted_join(based, open_streaks, [user], F.struct(*order), how="left").withColumn(
-            "streak", F.col("_failures") - F.coalesce(F.col("_at_success"), -F.col("_carried"), F.lit(0))
+        carried = F.when(~F.col("here_closed"), F.col("_carried"))
+        counted = joins.salted_join(here, open_streaks, [user], F.struct(*order), how="left").withColumn(
+            "streak", F.col("here") + F.coalesce(carried, F.lit(0))
         ).persist()
         counted.where(failed & (F.col("streak") == limit)).select(*batch.columns).write.mode("overwrite").parquet(
             f"{root}/lockouts/batch={number}"

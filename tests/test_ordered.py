@@ -70,6 +70,27 @@ def test_running_max(skewed):
     assert got == want
 
 
+def test_streak(skewed):
+    rows, df = skewed
+    hit, reset = F.col("v") > 0, F.col("v") < -6
+    got = {r.i: (r.n, r.n_closed) for r in ordered.with_streak(df, ["k"], ["t", "i"], slices(), hit, reset, "n").collect()}
+    want = {}
+    for group in by_key(rows).values():
+        n, closed = 0, False
+        for row in group:
+            n = n + 1 if row[3] > 0 else 0 if row[3] < -6 else n
+            closed = closed or row[3] < -6
+            want[row[2]] = (n, closed)
+    assert got == want
+
+
+def test_struct_slices(skewed):
+    rows, df = skewed
+    by = F.struct("t", F.floor(F.col("i") / 100).alias("block"))
+    got = {r.i: r.n for r in ordered.with_position(df, ["k"], ["t", "i"], by, "n", descending=True).collect()}
+    assert got == {row[2]: n for g in by_key(rows).values() for n, row in enumerate(g[::-1], 1)}
+
+
 def test_latest(skewed):
     rows, df = skewed
     got = {r.k: (r.t, r.i, r.v) for r in ordered.latest_per_key(df, ["k"], ["t", "i"]).collect()}
