@@ -173,6 +173,22 @@ def requests_over_limit(df: DataFrame, key: list[str], ts: str, seconds: int, ma
     )
 
 
+def requests_over_rules(df: DataFrame, rule: str, key: list[str], ts: str,
+                        rules: list[tuple[str, int, int]] = fixed.RATE_LIMITS) -> DataFrame:
+    """As above for many rules at once: each row's rule gives its window length and maximum.
+
+    Rows are counted per (rule, key, window) before the rule's maximum is compared, so a
+    busy key is combined on the map side.
+    """
+    limits = rule_table(df.sparkSession, list(rules), f"{rule} string, seconds bigint, maximum bigint")
+    at = times.epoch_seconds(F.col(ts))
+    return (
+        df.join(limits, rule).withColumn("window_second", at - F.pmod(at, F.col("seconds")))
+        .groupBy(rule, "maximum", *key, "window_second").agg(F.count("*").alias("n"))
+        .where(F.col("n") > F.col("maximum"))
+    )
+
+
 def error_alerts(df: DataFrame, ts: str, kind: str, spark) -> DataFrame:
     """Minutes in which an error type reached its alert threshold."""
     limits = rule_table(spark, fixed.ERROR_ALERTS, f"{kind} string, threshold int")

@@ -72,9 +72,9 @@ def run(df: DataFrame, query: DataQuery, key: str, allowed: list[str] | None = N
 
 
 def after_cursor(df: DataFrame, sort: str, key: str, cursor: tuple | None, size: int) -> DataFrame:
-    """Keyset page: the next ``size`` rows after the (sort, key) cursor, and the next cursor.
+    """Keyset page: the next ``size`` rows after the (sort, key) cursor.
 
-    One extra row is read to know whether a further page exists.
+    One extra row is read, from which ``next_cursor`` knows whether a further page exists.
     """
     chosen = df
     if cursor is not None:
@@ -83,6 +83,11 @@ def after_cursor(df: DataFrame, sort: str, key: str, cursor: tuple | None, size:
     return chosen.orderBy(F.col(sort).asc(), F.col(key).asc()).limit(size + 1)
 
 
+def next_cursor(rows: list, sort: str, key: str, size: int) -> tuple | None:
+    """Cursor of the page after the fetched ``size + 1`` rows, or None on the last page."""
+    return (rows[size - 1][sort], rows[size - 1][key]) if len(rows) > size else None
+
+
 def export_rows(df: DataFrame, created: str, key: str, cap: int = fixed.EXPORT_CAP) -> DataFrame:
     """The newest ``cap`` rows, the size limit of one export."""
     return df.orderBy(F.col(created).desc(), F.col(key).asc()).limit(cap)

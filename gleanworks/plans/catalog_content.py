@@ -210,6 +210,19 @@ def x15(spark, sf):
     return rows.select("c_custkey", protection.decrypted("c_name", keys, bind).alias("opened"), "key_version", "rotated")
 
 
+@query("s27_store_records", f"""SELECT c_custkey, CASE WHEN secure THEN 'secure/' ELSE 'standard/' END || lower(classification) AS location, secure AS encrypted, c_name AS opened, '' AS refused
+FROM (SELECT *, classification IN ('CONFIDENTIAL', 'RESTRICTED') AS secure FROM ({st.CLASSIFIED_SQL})) WHERE c_nationkey <> 3 AND c_acctbal > 0
+UNION ALL SELECT c_custkey, NULL, NULL, NULL, concat_ws(',', CASE WHEN c_acctbal <= 0 THEN 'balance' END, CASE WHEN c_nationkey = 3 THEN 'checksum' END) FROM customer WHERE NOT (c_nationkey <> 3 AND c_acctbal > 0)""")
+def s27_store(spark, sf):
+    named = F.when(F.col("c_nationkey") == 3, F.concat("c_name", F.lit("?"))).otherwise(F.col("c_name"))
+    rows = st.classified(Tables(spark, sf)).select("c_custkey", "c_name", "c_acctbal", "classification", F.sha2(named, 256).alias("checksum"))
+    keys = demonstration_keys()
+    stored, refused = flows.store_records(rows, "c_custkey", "c_name", "classification", {"balance": F.col("c_acctbal") > 0}, keys, 2, "s27")
+    text, flag = F.lit(None).cast("string"), F.lit(None).cast("boolean")
+    return stored.select("c_custkey", "location", "encrypted", flows.opened_content("c_name", keys, F.col("c_custkey")).alias("opened"), F.lit("").alias("refused")).unionByName(
+        refused.select("c_custkey", text.alias("location"), flag.alias("encrypted"), text.alias("opened"), F.array_join("violations", ",").alias("refused")))
+
+
 # --- terms -------------------------------------------------------------------------------------
 
 

@@ -206,6 +206,19 @@ def t05(spark, sf):
     return stamped(ingest.drain(windows.over_limit(event_stream(spark, sf), ["event_type"], "ts", 900, 2), "t05"))
 
 
+RULE = {"click": "query", "view": "query", "purchase": "write", "signup": "write", "error": "delete"}
+RULES = [("query", 7200, 6), ("write", 3600, 4), ("delete", 1800, 2)]
+
+
+@query("t05_rate_rules", f"""SELECT rule, maximum, s - s % seconds AS window_second, count(*) AS n FROM (
+  SELECT {st.one_of_sql('event_type', RULE, None)} AS r, epoch(date_trunc('second', ts))::BIGINT AS s FROM events)
+JOIN (VALUES ('query', 7200::BIGINT, 6::BIGINT), ('write', 3600, 4), ('delete', 1800, 2)) p(rule, seconds, maximum) ON rule = r
+GROUP BY 1, 2, 3 HAVING count(*) > maximum""")
+def t05_rules(spark, sf):
+    typed = Tables(spark, sf).events.withColumn("rule", st.one_of(F.col("event_type"), RULE, None))
+    return ag.requests_over_rules(typed, "rule", [], "ts", RULES)
+
+
 @query("t06_sliding_errors", f"""SELECT strftime(w, '%Y-%m-%d') AS day, count(*) AS windows, count(*) FILTER (e * 100.0 / n >= 50) AS tripped FROM (
   SELECT w, count(*) AS n, count(*) FILTER (event_type = 'error') AS e FROM (
     SELECT event_type, time_bucket(INTERVAL 1 SECOND, ts) - to_seconds(k) AS w FROM events, (SELECT unnest(range(10)) AS k)) GROUP BY 1)

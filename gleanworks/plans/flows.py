@@ -7,8 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleanworks import fixed
 from gleanworks.functions import scores, shapes, times
-from gleanworks.operators import language, validation
+from gleanworks.operators import language, protection, validation
 from gleanworks.sources import files, tables
 
 
@@ -81,6 +82,31 @@ def process_results(results: DataFrame, content: str, at: Column, label: str = "
     )
 
 
+def store_records(records: DataFrame, key: str, content: str, classification: str, rules: validation.Rules,
+                  keys: dict[int, bytes], version: int, label: str) -> tuple[DataFrame, DataFrame]:
+    """Validate, check integrity, encrypt what is confidential, store by classification.
+
+    Returns the stored table and the refused rows with the failed rule ids. ``content``
+    is stored as bytes: ciphertext where ``encrypted`` is true, UTF-8 text elsewhere.
+    """
+    checks = {**rules, "classification": F.col(classification).isin(*fixed.CLASSIFICATIONS),
+              "checksum": validation.checksum_matches(F.col(content), F.col("checksum"))}
+    checked = validation.check(records, checks)
+    good = tables.route(checked.where("is_valid").drop("violations", "is_valid"), classification)
+    sealed = protection.encrypt(good, content, keys, version, F.col(key), "_sealed")
+    rows = sealed.select(
+        *[F.when(F.col("encrypt"), F.col("_sealed")).otherwise(F.encode(c, "UTF-8")).alias(c) if c == content else F.col(c)
+          for c in records.columns],
+        "location", F.col("encrypt").alias("encrypted"), "key_version",
+    )
+    return tables.publish(rows, label, [classification]), checked.where("not is_valid").drop("is_valid")
+
+
+def opened_content(content: str, keys: dict[int, bytes], bind: Column) -> Column:
+    """Text of a stored record, decrypted where it was encrypted."""
+    return F.when(F.col("encrypted"), protection.decrypted(content, keys, bind)).otherwise(F.decode(content, "UTF-8"))
+
+
 def process_documents(documents: DataFrame, key: str, text: str, started: Column, finished: Column,
                       label: str = "documents") -> DataFrame:
     """Analyse texts and store outcome, duration and trace id of each."""

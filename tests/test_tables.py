@@ -106,9 +106,9 @@ def test_query_and_keyset_pages(spark):
     while True:
         rows = paging.after_cursor(df, "status", "id", cursor, 10).collect()
         seen += [r.id for r in rows[:10]]
-        if len(rows) <= 10:
+        cursor = paging.next_cursor(rows, "status", "id", 10)
+        if cursor is None:
             break
-        cursor = (rows[9].status, rows[9].id)
     assert seen == [r.id for r in df.orderBy("status", "id").collect()]
 
 
@@ -134,6 +134,18 @@ def test_encryption_round_trip_and_guards(spark):
         protection.encrypt(df, "v", {1: b"short"}, 1, F.col("id"))
 
 
+def test_stored_records(spark):
+    rows = [(i, level, "x" * i, "US") for i, level in enumerate(["PUBLIC", "INTERNAL", "CONFIDENTIAL", "RESTRICTED", "RESTRICTED"], 1)]
+    df = spark.createDataFrame(rows, "id int, classification string, content string, place string").withColumn("checksum", F.sha2("content", 256))
+    df = df.withColumn("checksum", F.when(F.col("id") == 5, "0" * 64).otherwise(F.col("checksum")))
+    stored, refused = flows.store_records(df, "id", "content", "classification", {"place": F.col("place") == "US"}, KEYS, 1, "records")
+    got = {r.id: (r.location, r.encrypted, r.opened) for r in stored.select(
+        "id", "location", "encrypted", flows.opened_content("content", KEYS, F.col("id")).alias("opened")).collect()}
+    assert got == {
+        1: ("standard/public", False, "x"), 2: ("standard/internal", False, "xx"), 3: ("secure/confidential", True, "xxx"), 4: ("secure/restricted", True, "xxxx")}
+    assert [(r.id, r.violations) for r in refused.collect()] == [(5, ["checksum"])]
+
+
 def test_random_vectors(spark):
     df = spark.createDataFrame([(1, "same"), (1, "same")], "id int, v string")
     assert protection.encrypt(df, "v", KEYS, 1, F.col("id")).select("v").distinct().count() == 2
