@@ -26,13 +26,14 @@ def salted_join(facts: DataFrame, lookup: DataFrame, keys: list[str], spread: Co
     """Equi join that splits every key of ``facts`` over ``salts`` tasks.
 
     ``lookup`` holds few rows per key and is repeated once per salt; ``spread`` is a
-    well-distributed column of ``facts``.
+    well-distributed column of ``facts``. The join always shuffles: size estimates behind
+    an explode are far too low, and a side broadcast on their word may not fit.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError("only joins that keep the fact side can be salted")
     salted = facts.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
     repeated = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")
+    return salted.join(repeated.hint("merge"), [*keys, "_salt"], how).drop("_salt")
 
 
 def merge_by_id(raw: DataFrame, processed: DataFrame, rows: DataFrame, key: str) -> DataFrame:

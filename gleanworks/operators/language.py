@@ -168,15 +168,17 @@ def key_phrases(df: DataFrame, key: str, text: str, top: int = 5) -> DataFrame:
     """The ``top`` terms of each text by term frequency times inverse document frequency.
 
     A term that occurs in every third text would overload one join task, so the join
-    with the document frequencies is salted by document.
+    with the document frequencies is salted by document. Document frequencies need no
+    (document, term) shuffle: repeats fall away within the row.
     """
     frequency = (
         df.select(key, F.explode(terms(F.col(text))).alias("term"))
         .groupBy(key, "term").agg(F.count("*").alias("tf"))
     )
-    spread = frequency.groupBy("term").agg(F.count("*").alias("df"))
+    distinct = F.array_distinct(terms(F.col(text)))
+    spread = df.select(F.explode(distinct).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     documents = df.agg(F.count("*")).scalar()
-    scored = joins.salted_join(frequency, spread, ["term"], F.col(key)).withColumn(
+    scored = joins.salted_join(frequency, spread, ["term"], F.col(key), salts=8).withColumn(
         "score", F.round(F.col("tf") * F.log(documents / F.col("df")), 6)
     )
     best = Window.partitionBy(key).orderBy(F.col("score").desc(), F.col("term").asc())
