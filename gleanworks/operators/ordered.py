@@ -1,16 +1,16 @@
 """Order-dependent results per key that stay parallel when one key is hot.
 
-A plain ``Window.partitionBy(key)`` puts every row of a key in one task. Here rows
-are windowed per (key, slice), where ``slice_by`` cuts the ordering column into
-ranges (an hour, a day); one summary row per (key, slice) then carries the state
-across slices. A task never holds more than one slice of one key, and the window
-over summaries is bounded by the number of slices.
-
-Keys must not be null, and ``slice_by`` must not decrease along ``order``. It may be a
-struct, for orderings whose leading column has many equal values.
-
-The input is read twice (rows and summaries). Write it to a table first if it is itself
-the result of costly work.
+A plain ``Window.partitionBy(key)`` puts every row of a key in one task. Here hot keys
+are found first (a count per key), and only they are cut: ``slice_by`` splits their
+ordering column into ranges, rows are windowed per (key, slice), and one summary row per
+slice carries the state across slices. Other keys stay one window each, so they pay
+nothing but the count.
+
+A key is hot above ``hot_rows`` rows, or above one ``HOT_KEYS``-th of all rows if that is
+more. So there are never more than ``HOT_KEYS`` hot keys, which bounds what is broadcast.
+``slice_by`` must not decrease along ``order``; it may be a struct, for orderings whose
+leading column has many equal values. The input is read several times: write it to a
+table first if it is itself the result of costly work.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 from gleanworks.functions.times import epoch_seconds
 
+HOT_ROWS = 1_000_000
+HOT_KEYS = 1_000_000
 _SLICE, _CARRY, _INNER = "_slice", "_carry", "_inner"
 
 
@@ -33,10 +35,18 @@ def _across(keys: list[str], descending: bool):
     return Window.partitionBy(*keys).orderBy(at)
 
 
-def _combine(df, keys, slice_by, inner, summary, carried, result, name) -> DataFrame:
-    sliced = df.withColumn(_SLICE, slice_by)
+def _sliced(df: DataFrame, keys: list[str], slice_by: Column, hot_rows: int) -> DataFrame:
+    """Add the slice of every row of a hot key; null marks rows of other keys."""
+    counts = df.groupBy(*keys).agg(F.count("*").alias("_n"))
+    total = df.agg(F.count("*")).scalar()
+    hot = counts.where(F.col("_n") > F.greatest(F.lit(hot_rows), total / HOT_KEYS)).select(*keys, F.lit(True).alias("_hot"))
+    return df.join(F.broadcast(hot), keys, "left").withColumn(_SLICE, F.when(F.col("_hot"), slice_by)).drop("_hot")
+
+
+def _combine(df, keys, slice_by, hot_rows, inner, summary, carried, result, name) -> DataFrame:
+    sliced = _sliced(df, keys, slice_by, hot_rows)
     ends = (
-        sliced.groupBy(*keys, _SLICE).agg(summary.alias(_CARRY))
+        sliced.where(F.col(_SLICE).isNotNull()).groupBy(*keys, _SLICE).agg(summary.alias(_CARRY))
         .select(*keys, _SLICE, carried.alias(_CARRY))
     )
     rows = sliced.withColumn(_INNER, inner)
@@ -48,12 +58,12 @@ def _combine(df, keys, slice_by, inner, summary, carried, result, name) -> DataF
 
 
 def with_previous(df: DataFrame, keys: list[str], order: list[str], slice_by: Column,
-                  value: Column, name: str) -> DataFrame:
+                  value: Column, name: str, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Add the previous row's ``value`` within each key; null on the first row."""
     inside = Window.partitionBy(*keys, _SLICE).orderBy(*order)
     box = F.struct(value.alias("v"))
     return _combine(
-        df, keys, slice_by,
+        df, keys, slice_by, hot_rows,
         inner=F.lag(box).over(inside),
         summary=F.max_by(box, F.struct(*order)),
         carried=F.lag(_CARRY).over(_across(keys, False)),
@@ -63,13 +73,14 @@ def with_previous(df: DataFrame, keys: list[str], order: list[str], slice_by: Co
 
 
 def with_running_total(df: DataFrame, keys: list[str], order: list[str], slice_by: Column,
-                       amount: Column, name: str, descending: bool = False) -> DataFrame:
+                       amount: Column, name: str, descending: bool = False,
+                       hot_rows: int = HOT_ROWS) -> DataFrame:
     """Add the sum of ``amount`` from the first row of the key up to and including this one."""
     by = [F.col(c).desc() if descending else F.col(c).asc() for c in order]
     inside = Window.partitionBy(*keys, _SLICE).orderBy(*by).rowsBetween(Window.unboundedPreceding, 0)
     earlier = _across(keys, descending).rowsBetween(Window.unboundedPreceding, -1)
     return _combine(
-        df, keys, slice_by,
+        df, keys, slice_by, hot_rows,
         inner=F.sum(amount).over(inside),
         summary=F.sum(amount),
         carried=F.sum(_CARRY).over(earlier),
@@ -79,49 +90,49 @@ def with_running_total(df: DataFrame, keys: list[str], order: list[str], slice_b
 
 
 def with_running_max(df: DataFrame, keys: list[str], order: list[str], slice_by: Column,
-                     value: Column, name: str) -> DataFrame:
+                     value: Column, name: str, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Add the largest ``value`` from the first row of the key up to and including this one."""
     inside = Window.partitionBy(*keys, _SLICE).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     earlier = _across(keys, False).rowsBetween(Window.unboundedPreceding, -1)
     return _combine(
-        df, keys, slice_by,
+        df, keys, slice_by, hot_rows,
         inner=F.max(value).over(inside),
         summary=F.max(value),
         carried=F.max(_CARRY).over(earlier),
-        result=F.greatest(F.col(_INNER), F.col(_CARRY)),
+        result=F.greatest(F.col(_INNER), F.col(_CARRY)),  # null-tolerant: takes the one that is set
         name=name,
     )
 
 
 def with_streak(df: DataFrame, keys: list[str], order: list[str], slice_by: Column, hit: Column,
-                reset: Column, name: str) -> DataFrame:
+                reset: Column, name: str, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Add the number of hits since the last reset row of the key, this row included.
 
     ``<name>_closed`` tells whether the key has had a reset up to this row.
     """
-    sliced = df.withColumn(_SLICE, slice_by)
+    sliced = _sliced(df, keys, slice_by, hot_rows)
     inside = Window.partitionBy(*keys, _SLICE).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     rows = sliced.withColumn("_hits", F.sum(hit.cast("bigint")).over(inside)).withColumn(
         "_at_reset", F.max(F.when(reset, F.col("_hits"))).over(inside)
     )
     earlier = _across(keys, False).rowsBetween(Window.unboundedPreceding, -1)
     carried = (
-        rows.groupBy(*keys, _SLICE).agg(F.sum(hit.cast("bigint")).alias("_sum"), F.max("_at_reset").alias("_last"))
+        rows.where(F.col(_SLICE).isNotNull()).groupBy(*keys, _SLICE).agg(F.sum(hit.cast("bigint")).alias("_sum"), F.max("_at_reset").alias("_last"))
         .withColumn("_before", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)))
         .withColumn("_base", F.max(F.col("_before") + F.col("_last")).over(earlier))
         .select(*keys, _SLICE, "_before", "_base")
     )
     joined = rows.join(carried, [*keys, _SLICE], "left")
-    open_streak = F.col("_hits") + F.col("_before") - F.coalesce(F.col("_base"), F.lit(0))
+    open_streak = F.col("_hits") + F.coalesce(F.col("_before"), F.lit(0)) - F.coalesce(F.col("_base"), F.lit(0))
     streak = F.when(F.col("_at_reset").isNotNull(), F.col("_hits") - F.col("_at_reset")).otherwise(open_streak)
     closed = F.col("_at_reset").isNotNull() | F.col("_base").isNotNull()
     return joined.withColumn(name, streak).withColumn(f"{name}_closed", closed).select(*df.columns, name, f"{name}_closed")
 
 
 def with_position(df: DataFrame, keys: list[str], order: list[str], slice_by: Column,
-                  name: str, descending: bool = False) -> DataFrame:
+                  name: str, descending: bool = False, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Add the 1-based position of each row within its key."""
-    return with_running_total(df, keys, order, slice_by, F.lit(1).cast("bigint"), name, descending)
+    return with_running_total(df, keys, order, slice_by, F.lit(1).cast("bigint"), name, descending, hot_rows)
 
 
 def latest_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

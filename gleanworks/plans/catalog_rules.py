@@ -289,7 +289,9 @@ PREVIOUS_SQL = f"SELECT *, lag(status) OVER (PARTITION BY job_id ORDER BY ts, ev
 
 
 def status_changes(t: Tables):
-    return ordered.with_previous(st.history(t), ["job_id"], ["ts", "event_id"], ordered.minute_of("ts"), F.col("status"), "previous")
+    # A low floor, so that the cut of hot keys is also at work on small tables.
+    return ordered.with_previous(
+        st.history(t), ["job_id"], ["ts", "event_id"], ordered.minute_of("ts"), F.col("status"), "previous", hot_rows=70)
 
 
 @query("v21_transitions", f"SELECT event_id, previous, status FROM ({PREVIOUS_SQL}) WHERE previous IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {PAIRS} WHERE a = previous AND b = status)")

@@ -51,7 +51,7 @@ def w03(spark, sf):
 @query("w04_newer_versions", "SELECT o_orderkey, count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC ROWS UNBOUNDED PRECEDING) - 1 AS newer FROM orders")
 def w04(spark, sf):
     numbered = ordered.with_position(
-        Tables(spark, sf).orders, ["o_custkey"], ["o_orderdate", "o_orderkey"], order_slice(), "n", descending=True)
+        Tables(spark, sf).orders, ["o_custkey"], ["o_orderdate", "o_orderkey"], order_slice(), "n", descending=True, hot_rows=10)
     return numbered.select("o_orderkey", (F.col("n") - 1).alias("newer"))
 
 
@@ -110,7 +110,7 @@ def w08(spark, sf):
   SELECT event_id, row_number() OVER (PARTITION BY job_id ORDER BY ts, event_id) AS attempt FROM ({st.HISTORY_SQL}) WHERE status = 'FAILED')""")
 def w09(spark, sf):
     failures = st.history(Tables(spark, sf)).where("status = 'FAILED'")
-    numbered = ordered.with_position(failures, ["job_id"], BY_TIME, minute(), "attempt")
+    numbered = ordered.with_position(failures, ["job_id"], BY_TIME, minute(), "attempt", hot_rows=15)
     return numbered.select("event_id", "attempt", times.backoff_ms(F.col("attempt"), 1000, 2, 30000).alias("delay_ms"))
 
 
@@ -282,13 +282,13 @@ def succeeded():
 
 @query("t12_lockout", LOCKOUT_SQL)
 def t12(spark, sf):
-    locked = state.lockouts_stream(event_stream(spark, sf), "user_id", BY_TIME, minute(), failed(), succeeded(), "t12")
+    locked = state.lockouts_stream(event_stream(spark, sf), "user_id", BY_TIME, minute(), failed(), succeeded(), "t12", hot_rows=25)
     return locked.select("event_id", "user_id")
 
 
 @query("t12_lockout_batch", LOCKOUT_SQL)
 def t12_batch(spark, sf):
-    rows = state.lockouts(Tables(spark, sf).events, "user_id", BY_TIME, minute(), failed(), succeeded())
+    rows = state.lockouts(Tables(spark, sf).events, "user_id", BY_TIME, minute(), failed(), succeeded(), hot_rows=25)
     return rows.select("event_id", "user_id")
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gleanworks.operators import ordered, percentiles
 
 ROWS = 600
+CUTS = pytest.mark.parametrize("hot_rows", [50, 3, 10**9], ids=["hot key cut", "most keys cut", "no key cut"])
 
 
 @pytest.fixture(scope="module")
@@ -30,9 +31,10 @@ def slices():
     return F.floor(F.col("t") / 250)
 
 
-def test_previous(skewed):
+@CUTS
+def test_previous(skewed, hot_rows):
     rows, df = skewed
-    got = {r.i: r.before for r in ordered.with_previous(df, ["k"], ["t", "i"], slices(), F.col("v"), "before").collect()}
+    got = {r.i: r.before for r in ordered.with_previous(df, ["k"], ["t", "i"], slices(), F.col("v"), "before", hot_rows).collect()}
     want = {}
     for group in by_key(rows).values():
         for before, row in zip([None] + group[:-1], group):
@@ -42,15 +44,16 @@ def test_previous(skewed):
 
 def test_previous_keeps_null_values(spark):
     df = spark.createDataFrame([("a", 1, 1, None), ("a", 300, 2, 5)], "k string, t bigint, i bigint, v bigint")
-    rows = ordered.with_previous(df, ["k"], ["t", "i"], slices(), F.col("v"), "before").orderBy("t").collect()
+    rows = ordered.with_previous(df, ["k"], ["t", "i"], slices(), F.col("v"), "before", 0).orderBy("t").collect()
     assert [r.before for r in rows] == [None, None]
 
 
+@CUTS
 @pytest.mark.parametrize("descending", [False, True])
-def test_position_and_total(skewed, descending):
+def test_position_and_total(skewed, descending, hot_rows):
     rows, df = skewed
-    total = ordered.with_running_total(df, ["k"], ["t", "i"], slices(), F.col("v"), "total", descending)
-    placed = ordered.with_position(total, ["k"], ["t", "i"], slices(), "n", descending)
+    total = ordered.with_running_total(df, ["k"], ["t", "i"], slices(), F.col("v"), "total", descending, hot_rows)
+    placed = ordered.with_position(total, ["k"], ["t", "i"], slices(), "n", descending, hot_rows)
     got = {r.i: (r.total, r.n) for r in placed.collect()}
     want = {}
     for group in by_key(rows).values():
@@ -60,9 +63,10 @@ def test_position_and_total(skewed, descending):
     assert got == want
 
 
-def test_running_max(skewed):
+@CUTS
+def test_running_max(skewed, hot_rows):
     rows, df = skewed
-    got = {r.i: r.top for r in ordered.with_running_max(df, ["k"], ["t", "i"], slices(), F.when(F.col("v") > 0, F.col("v")), "top").collect()}
+    got = {r.i: r.top for r in ordered.with_running_max(df, ["k"], ["t", "i"], slices(), F.when(F.col("v") > 0, F.col("v")), "top", hot_rows).collect()}
     want = {}
     for group in by_key(rows).values():
         for n, row in enumerate(group, 1):
@@ -70,10 +74,11 @@ def test_running_max(skewed):
     assert got == want
 
 
-def test_streak(skewed):
+@CUTS
+def test_streak(skewed, hot_rows):
     rows, df = skewed
     hit, reset = F.col("v") > 0, F.col("v") < -6
-    got = {r.i: (r.n, r.n_closed) for r in ordered.with_streak(df, ["k"], ["t", "i"], slices(), hit, reset, "n").collect()}
+    got = {r.i: (r.n, r.n_closed) for r in ordered.with_streak(df, ["k"], ["t", "i"], slices(), hit, reset, "n", hot_rows).collect()}
     want = {}
     for group in by_key(rows).values():
         n, closed = 0, False
@@ -84,10 +89,11 @@ def test_streak(skewed):
     assert got == want
 
 
-def test_struct_slices(skewed):
+@CUTS
+def test_struct_slices(skewed, hot_rows):
     rows, df = skewed
     by = F.struct("t", F.floor(F.col("i") / 100).alias("block"))
-    got = {r.i: r.n for r in ordered.with_position(df, ["k"], ["t", "i"], by, "n", descending=True).collect()}
+    got = {r.i: r.n for r in ordered.with_position(df, ["k"], ["t", "i"], by, "n", True, hot_rows).collect()}
     assert got == {row[2]: n for g in by_key(rows).values() for n, row in enumerate(g[::-1], 1)}
 
 

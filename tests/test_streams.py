@@ -3,7 +3,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from gleanworks.operators import aggregates, alerts
+from gleanworks.operators import aggregates, alerts, ordered
 from gleanworks.session import new_location
 from gleanworks.sources import tables
 from gleanworks.streaming import ingest, state, windows
@@ -84,8 +84,8 @@ def test_rate_limits_equal_batch(spark, feed):
 def test_lockouts_carry_over_batches(spark, feed, files):
     bad, good = F.col("kind") == "bad", (F.col("kind") == "good") & (F.col("value") > 8)
     order = ["ts", "event_id"]
-    streamed = state.lockouts_stream(stream(spark, feed, files), "user_id", order, F.to_date("ts"), bad, good, "l", limit=6)
-    batch = state.lockouts(feed[0], "user_id", order, F.to_date("ts"), bad, good, limit=6)
+    streamed = state.lockouts_stream(stream(spark, feed, files), "user_id", order, ordered.minute_of("ts"), bad, good, "l", limit=6, hot_rows=10)
+    batch = state.lockouts(feed[0], "user_id", order, ordered.minute_of("ts"), bad, good, limit=6, hot_rows=50)
     streak, want = {}, set()
     for r in sorted(feed[0].collect(), key=lambda r: (r.ts, r.event_id)):
         if r.kind == "good" and r.value > 8:
