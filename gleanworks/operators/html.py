@@ -289,9 +289,13 @@ def extract_tables(pages: DataFrame, key: str, html: str, max_rows: int = fixed.
 ANCHOR_HREF = r"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)"""
 
 
+HIDDEN = r"(?is)<(script|style)\b.*?</\1\s*>"
+
+
 def links(html: Column, base: Column, max_links: int = fixed.MAX_LINKS) -> Column:
     """Distinct absolute http(s) links in first-seen order."""
-    raw = F.regexp_extract_all(html, F.lit(ANCHOR_HREF), 1)
+    visible = F.regexp_replace(tx.strip_comments(html), HIDDEN, "")
+    raw = F.regexp_extract_all(visible, F.lit(ANCHOR_HREF), 1)
     bare = F.transform(raw, lambda h: F.trim(F.regexp_replace(h, r"""^["']|["']$""", "")))
     bare = F.transform(bare, lambda h: F.replace(h, F.lit("&amp;"), F.lit("&")))
     short = F.filter(bare, lambda h: (h != "") & (F.length(h) <= fixed.MAX_URL_LENGTH))

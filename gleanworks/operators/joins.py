@@ -41,15 +41,37 @@ def merge_by_id(raw: DataFrame, processed: DataFrame, rows: DataFrame, key: str)
     return raw.join(processed, key).join(rows, key)
 
 
+def with_children(parents: DataFrame, children: DataFrame, key: str) -> DataFrame:
+    """Every child with its parent, and parents without children once, with nulls.
+
+    The same rows as a left join from ``parents``. A left join cannot split a parent with
+    very many children over tasks; an inner join can, and the childless parents are found
+    against the distinct child keys.
+    """
+    matched = parents.join(children, key)
+    childless = parents.join(children.select(key).distinct(), key, "left_anti")
+    return matched.unionByName(childless, allowMissingColumns=True)
+
+
 def lineage(jobs: DataFrame, raw: DataFrame, processed: DataFrame, job_key: str, raw_key: str,
             how: str = "inner") -> DataFrame:
-    """Follow job to raw record to processed record along shared key columns."""
-    return jobs.join(raw, job_key, how).join(processed, raw_key, how)
+    """Follow job to raw record to processed record along shared key columns.
+
+    ``left`` keeps jobs without raw records and raw records without processed ones.
+    """
+    if how == "left":
+        return with_children(with_children(jobs, raw, job_key), processed, raw_key)
+    return jobs.join(raw, job_key).join(processed, raw_key)
 
 
 def orphans(children: DataFrame, parents: DataFrame, key: str) -> DataFrame:
-    """Children whose key no parent has."""
-    return children.join(parents.select(key), key, "left_anti")
+    """Children whose key no parent has. Repeated parent keys fall away before the join."""
+    return children.join(parents.select(key).distinct(), key, "left_anti")
+
+
+def having(rows: DataFrame, others: DataFrame, key: str) -> DataFrame:
+    """Rows whose key occurs among the others, however often."""
+    return rows.join(others.select(key).distinct(), key, "left_semi")
 
 
 def permissions_table(spark: SparkSession, roles: dict[str, list[str]] | None = None) -> DataFrame:

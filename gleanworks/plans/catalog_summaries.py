@@ -256,7 +256,7 @@ def j04(spark, sf):
 def j05(spark, sf):
     t = Tables(spark, sf)
     active = t.orders.where("o_orderstatus = 'O'").select(F.col("o_custkey").alias("c_custkey"))
-    return t.customer.select("c_custkey").join(active, "c_custkey", "left_semi")
+    return joins.having(t.customer.select("c_custkey"), active, "c_custkey")
 
 
 @query("j06_effective_permissions", f"""SELECT c_custkey, resource, action FROM (SELECT c_custkey, {st.one_of_sql('c_mktsegment', ROLE, 'GUEST')} AS r FROM customer) JOIN {GRANTS_SQL} ON role = r""")
@@ -302,7 +302,8 @@ def j10(spark, sf):
 def j11(spark, sf):
     t = Tables(spark, sf)
     gone = t.orders.where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("l_orderkey"))
-    return t.lineitem.select("l_orderkey", "l_returnflag").join(gone, "l_orderkey", "left_anti").groupBy("l_returnflag").agg(F.count("*").alias("n"))
+    kept = joins.orphans(t.lineitem.select("l_orderkey", "l_returnflag"), gone, "l_orderkey")
+    return kept.groupBy("l_returnflag").agg(F.count("*").alias("n"))
 
 
 @query("j12_config_defaults", """SELECT c_custkey, CASE WHEN c_nationkey > 12 THEN c_nationkey ELSE 3 END AS retries, CASE WHEN c_acctbal > 0 THEN c_mktsegment ELSE 'WEBSITE' END AS type, 30000 AS timeout FROM customer""")

@@ -88,7 +88,8 @@ def upsert(base: DataFrame, changes: DataFrame, key: str, order: list[str]) -> D
 
 def delete_keys(tables: dict[str, DataFrame], keys: DataFrame, key: str) -> dict[str, DataFrame]:
     """Each table without the rows of the given keys."""
-    return {name: table.join(keys.select(key), key, "left_anti").select(*table.columns) for name, table in tables.items()}
+    gone = keys.select(key).distinct()
+    return {name: table.join(gone, key, "left_anti").select(*table.columns) for name, table in tables.items()}
 
 
 def flag_archived(df: DataFrame, keys: DataFrame, key: str, at: Column) -> DataFrame:

@@ -52,6 +52,7 @@ def test_sanitise(spark, raw, clean):
 def test_links(spark):
     hrefs = ["/x", "y", "//k.org/z", "#f", "mailto:q@h.org", "/x"]
     body = "".join(f'<a class="c" href="{h}">t</a>' for h in hrefs) + "<a href='s'>q</a><A HREF=u>v</A><link href='no'>"
+    body += "<!-- <a href='/hidden'>h</a> --><script>w('<a href=\"/code\">')</script>"
     rows = html.extract_links(page(spark, body), "page_id", "html", "url").orderBy("position").collect()
     assert [r.link for r in rows] == [
         "https://h.org/x", "https://h.org/a/y", "https://k.org/z", "https://h.org/a/b#f", "https://h.org/a/s", "https://h.org/a/u"]

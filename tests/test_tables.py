@@ -80,6 +80,15 @@ def test_salted_join_equals_plain_join(spark):
         assert sorted(map(str, salted.select(*plain.columns).collect())) == sorted(map(str, plain.collect()))
 
 
+def test_children_equal_a_left_join(spark):
+    parents = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "k int, p string")
+    children = spark.createDataFrame([(1, 10), (1, 11), (1, 12), (3, 30), (9, 90)], "k int, c int")
+    got, want = joins.with_children(parents, children, "k"), parents.join(children, "k", "left")
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert [r.k for r in joins.having(parents, children, "k").orderBy("k").collect()] == [1, 3]
+    assert [r.k for r in joins.orphans(parents, children, "k").collect()] == [2]
+
+
 def test_rule_tables_are_bounded(spark):
     with pytest.raises(ValueError):
         joins.rule_table(spark, [("x",)] * 10_001, "a string")
