@@ -108,7 +108,7 @@ FILE_NAME = r"^[\w\-. ]+$"
 HTTP_URL = r"(?i)^https?://[^\s/$.?#].[^\s]*$"
 CRON = r"^(\*|[0-9,\-*/]+)\s+(\*|[0-9,\-*/]+)\s+(\*|[0-9,\-*/]+)\s+(\*|[0-9,\-*/]+)\s+(\*|[0-9,\-*/]+)$"
 BLOCKED_HOST = r"^localhost$|^127\.|^192\.168\.|^10\.|^172\.(1[6-9]|2[0-9]|3[0-1])\."
-SEARCH_TEXT = r"^[a-zA-Z0-9\s\-_.]+$"
+SEARCH_TEXT = r"^[a-zA-Z0-9_. -]+$"
 PII_DETECT = {
     "email": r"(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b",
     "phone": r"\b\d{3}[-.]?\d{3}[-.]?\d{4}\b",

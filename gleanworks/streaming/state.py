@@ -100,15 +100,16 @@ def lockouts(events: DataFrame, user: str, order: list[str], slice_by: Column, f
 
 def lockouts_stream(stream: DataFrame, user: str, order: list[str], slice_by: Column, failed: Column,
                     succeeded: Column, label: str, limit: int = fixed.LOCKOUT_FAILURES,
-                    hot_rows: int = ordered.HOT_ROWS) -> DataFrame:
+                    hot_rows: int = ordered.HOT_ROWS, root: str | None = None) -> DataFrame:
     """Lockout rows from a stream, with the open streak of each user carried between batches.
 
     Every micro-batch uses the sliced computation above, so a busy user does not end up in
     one task. Streaks and lockouts are written per batch id: a repeated batch replaces its
-    own output, which keeps the result exact after a failure.
+    own output, which keeps the result exact after a failure. Pass the same ``root`` again
+    to resume after the driver was lost.
     """
     spark = stream.sparkSession
-    root = new_location(spark, label)
+    root = root or new_location(spark, label)
     streaks = StructType([stream.schema[user], StructField("streak", LongType())])
 
     def handle(batch: DataFrame, number: int) -> None:

@@ -99,6 +99,19 @@ def test_lockouts_carry_over_batches(spark, feed, files):
     assert {r.event_id for r in streamed.collect()} == want
 
 
+def test_lockouts_resume_from_their_folder(spark):
+    """Streaks survive between two runs over one folder, as after a lost driver."""
+    bad, good = F.col("kind") == "bad", F.col("kind") == "good"
+    source, root = new_location(spark, "resume"), new_location(spark, "resume-state")
+    rows = [(i, T0 + timedelta(seconds=i), "u", "bad", 0.0) for i in range(4)]
+    schema = "event_id bigint, ts timestamp_ntz, user_id string, kind string, value double"
+    for part in (rows[:2], rows[2:]):
+        tables.append(spark.createDataFrame(part, schema), source)
+        arriving = ingest.read_stream(spark, source, spark.createDataFrame([], schema).schema)
+        found = state.lockouts_stream(arriving, "user_id", ["ts", "event_id"], ordered.minute_of("ts"), bad, good, "r", root=root)
+    assert [r.event_id for r in found.collect()] == [2]
+
+
 def test_alert_stream_equals_batch(spark, feed):
     policy = dict(seconds=60, duration=120, auto_close=300, period=600)
     minutes = aggregates.align(feed[0], ["user_id"], "ts", F.col("value"), 60, "max").withColumnRenamed("window_start", "w")
