@@ -39,7 +39,8 @@ def uuid_from(value: Column) -> Column:
 
 
 def base64_text(value: Column) -> Column:
-    return F.base64(F.encode(value, "UTF-8"))
+    """Base64 on one line; Spark may break long output into lines of 76 characters."""
+    return F.translate(F.base64(F.encode(value, "UTF-8")), "\r\n", "")
 
 
 def json_value(document: Column, dotted: str) -> Column:

@@ -27,9 +27,10 @@ CLASSES_SQL = """list_filter([CASE WHEN contains(lower(text), 'mg') OR contains(
 
 
 def unescape_sql(value: str) -> str:
-    pairs = [("&quot;", '"'), ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&")]
+    # HTML reads these four names with or without the closing semicolon.
+    pairs = [("&quot;?", '"'), ("&middot;?", "·"), ("&copy;?", "©"), ("&amp;?", "&")]
     for name, mark in pairs:
-        value = f"replace({value}, '{name}', '{mark}')"
+        value = f"regexp_replace({value}, '{name}', '{mark}', 'g')"
     return value
 
 

@@ -164,19 +164,19 @@ def a18(spark, sf):
 # --- aligned series --------------------------------------------------------------------------
 
 
-@query("a19_reducers", f"""SELECT window_start, event_type, round(avg(v), 6) AS mean, max(v) AS max, round(sum(v), 6) AS sum, count(*) AS count
+@query("a19_reducers", f"""SELECT window_start, event_type, round(avg(v), 8) AS mean, max(v) AS max, round(sum(v), 6) AS sum, count(*) AS count
 FROM (SELECT {HOUR} AS window_start, event_type, user_id, max(value) AS v FROM events GROUP BY 1, 2, 3) GROUP BY 1, 2""")
 def a19(spark, sf):
     series = ag.align(Tables(spark, sf).events, ["event_type", "user_id"], "ts", F.col("value"), 3600, "max")
     rows = ag.reduce_series(series, ["event_type"], ["mean", "max", "sum", "count"])
-    return stamped(rows.withColumn("mean", F.round("mean", 6)).withColumn("sum", F.round("sum", 6)))
+    return stamped(rows.withColumn("mean", F.round("mean", 8)).withColumn("sum", F.round("sum", 6)))
 
 
-@query("a20_aligners", f"""SELECT {HOUR} AS window_start, event_type, round(avg(value), 6) AS mean, max(value) AS max, round(sum(value), 6) AS sum, round(sum(value) / 3600, 6) AS rate
+@query("a20_aligners", f"""SELECT {HOUR} AS window_start, event_type, round(avg(value), 8) AS mean, max(value) AS max, round(sum(value), 6) AS sum, round(sum(value) / 3600, 6) AS rate
 FROM events GROUP BY 1, 2""")
 def a20(spark, sf):
     rows = ag.align(Tables(spark, sf).events, ["event_type"], "ts", F.col("value"), 3600, ["mean", "max", "sum", "rate"])
-    return stamped(rows.withColumns({c: F.round(c, 6) for c in ("mean", "sum", "rate")}))
+    return stamped(rows.withColumns({c: F.round(c, 8 if c == "mean" else 6) for c in ("mean", "sum", "rate")}))
 
 
 @query("a20_percentile_aligner", f"SELECT {HOUR} AS window_start, event_type, round(quantile_cont(value, 0.95), 6) AS value FROM events GROUP BY 1, 2")

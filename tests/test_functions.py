@@ -153,6 +153,10 @@ def test_maps_and_coercion(value):
     assert value(lambda v: shapes.json_value(v, "a.b"), v='{"a":{"b":3}}') == "3"
 
 
+def test_long_base64_stays_on_one_line(value):
+    assert value(shapes.base64_text, t="a" * 90) == "YWFh" * 30
+
+
 def test_dates(value):
     at = datetime(2024, 2, 28, 5, 6, 7)
     assert value(lambda t: times.date_path(t.cast("timestamp_ntz")), t=at) == "2024/02/28"
