@@ -163,11 +163,11 @@ def t01(spark, sf):
     return stamped(rows.withColumn("value", F.round("value", 6)))
 
 
-@query("t02_thresholds", windowed_sql(3600, "event_type, round(avg(value), 6) AS value", "HAVING avg(value) > 25"))
+@query("t02_thresholds", windowed_sql(3600, "event_type, round(avg(value), 8) AS value", "HAVING avg(value) > 25"))
 def t02(spark, sf):
     means = windows.aligned(event_stream(spark, sf), ["event_type"], "ts", F.col("value"), 3600, "mean")
     rows = ingest.drain(means.where(alerts.breaches(F.col("value"), "GT", 25.0)), "t02")
-    return stamped(rows.withColumn("value", F.round("value", 6)))
+    return stamped(rows.withColumn("value", F.round("value", 8)))
 
 
 POLICY = dict(seconds=3600, duration=7200, auto_close=7200, period=21600)
