@@ -12,9 +12,10 @@ sys.path.insert(0, str(ROOT / "tools"))
 
 import __spark_entry__ as contract  # noqa: E402
 import compare  # noqa: E402
+from gleanworks.plans import catalog  # noqa: E402
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES, ORACLES = contract.queries(), contract.oracle_sql()
+QUERIES, ORACLES = catalog.QUERIES, catalog.ORACLES
 WITHOUT_SQL = {"x02_sanitise"}
 
 pytestmark = pytest.mark.skipif(not Path(FOLDER).exists(), reason="needs the given tables")
@@ -41,6 +42,7 @@ def test_same_as_sql(outcomes, name):
 def test_every_query_but_the_listed_has_sql():
     assert set(QUERIES) - set(ORACLES) == WITHOUT_SQL
     assert set(ORACLES) <= set(QUERIES)
+    assert set(QUERIES) <= set(contract.queries()) and set(ORACLES) <= set(contract.oracle_sql())
 
 
 def test_flagship(spark):
