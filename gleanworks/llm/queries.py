@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleanworks.llm import exact
+from gleanworks.llm import exact, mixing, simhash, vectors
 from gleanworks.plans.registry import Query
 
 QUERIES: dict[str, Query] = {}
@@ -25,6 +25,21 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+@_query("op7_simhash_dedup")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, folder, "documents"))
+
+
+@_query("op8_vector_dedup")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return vectors.near_vectors(_table(spark, folder, "embeddings"))
+
+
+@_query("op9_source_mix")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(_table(spark, folder, "documents"))
+
+
 @_query("op10_exact_dedup", exact.SQL)
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return exact.exact_duplicates(_table(spark, folder, "documents"))
