@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gleanworks.llm import exact, mixing, simhash, vectors
+from gleanworks.llm import exact, mixing, packing, simhash, token_files, vectors
 from gleanworks.plans.registry import Query
 
 QUERIES: dict[str, Query] = {}
@@ -25,6 +26,16 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+@_query("op2_token_files")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return token_files.token_file_index(_table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@_query("op5_pack_sequences")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(_table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 @_query("op7_simhash_dedup")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, folder, "documents"))
