@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gleanworks.llm import exact, mixing, packing, simhash, token_files, vectors
+from gleanworks.llm import exact, language_id, lattice_lm, mixing, packing, quality, simhash, token_files, vectors
 from gleanworks.plans.registry import Query
 
 QUERIES: dict[str, Query] = {}
@@ -26,11 +27,32 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+@_query("op1_language_id")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    return language_id.held_out_languages(_table(spark, folder, "documents"))
+
+
 @_query("op2_token_files")
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.token_file_index(_table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@_query("op3_lattice_scores")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    docs, held_out = _table(spark, folder, "documents"), language_id.fold(2, 7)
+    learn = F.col("doc_id").isNotNull() & ~held_out
+    return lattice_lm.score_texts(docs, learn, public_tokenizers.path("piece_bpe_32k.model")).select(
+        "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@_query("op4_quality")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    held_out = language_id.fold(0, 5)
+    learn = F.col("doc_id").isNotNull() & ~held_out
+    scored = quality.score_quality(_table(spark, folder, "documents"), _table(spark, folder, "labels"), learn)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 @_query("op5_pack_sequences")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(_table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
