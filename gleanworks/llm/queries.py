@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanworks.llm import exact, language_id, lattice_lm, mixing, packing, quality, simhash, token_files, vectors
+from gleanworks.llm import exact, language_id, lattice_lm, mixing, packing, quality, repeats, simhash, token_files, vectors
 from gleanworks.plans.registry import Query
 
 QUERIES: dict[str, Query] = {}
@@ -58,6 +58,11 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(_table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+@_query("op6_remove_repeats")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.remove_repeats(_table(spark, folder, "documents"))
+
+
 @_query("op7_simhash_dedup")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, folder, "documents"))
