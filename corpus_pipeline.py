@@ -2,24 +2,60 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gleanworks.llm import exact
+from gleanworks.llm import exact, language_id, mixing, packing, simhash
 from gleanworks.llm.common import stored
 
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: A document whose language is less likely than this is rejected, as is one without letters; with few languages even
+#: a text in two of them is far above.
+LEAST_SCORE = 0.3
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language the network can tell stay; it learns from all their labels."""
+    told = language_id.identify(docs.select(COLUMNS), F.col("doc_id").isNotNull())
+    return told.where((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select(COLUMNS)
+
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first row of each text stays."""
-    return docs.join(exact.exact_duplicates(docs).where("kept").select("doc_id"), "doc_id", "left_semi")
+    """The row with the smallest id of each text stays."""
+    kept = exact.exact_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id"))
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").select(COLUMNS)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The row with the smallest id of each group of near copies stays."""
+    kept = simhash.near_duplicates(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("kept_id"))
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").select(COLUMNS)
 
 
-STAGES = [("exact dedup", exact_dedup)]
-#: The language and mixing stages rest on models that SQL cannot express; tests compare with brute force.
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it: not at all, once or twice."""
+    copies = mixing.mix(docs).where("copies > 0").select(F.col("doc_id").alias("taken_id"), "copies")
+    return (docs.join(copies, F.col("doc_id").eqNullSafe(F.col("taken_id")))
+            .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(COLUMNS))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all rows in token sequences; a row that the mix takes twice is packed twice."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [("language", language), ("exact dedup", exact_dedup), ("near dedup", near_dedup), ("source mix", source_mix), ("packing", packed)]
+#: The network's, the fingerprints' and the tokenizer's results cannot be said in SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each stage's rows are written and read again."""
+    """All stages over ``documents``; each stage's rows are written and read again.
+
+    Ids are unique in ``documents``; where they are not, rows of one id stay or go together after the stage that
+    compares them. Empty tables pass through.
+    """
     docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
     for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
