@@ -48,8 +48,8 @@ def remove_dot_segments(url: Column) -> Column:
     return F.when(path(url).rlike(r"/\.{1,2}(/|$)"), clean).otherwise(url)
 
 
-def resolve(href: Column, base: Column) -> Column:
-    """``href`` as an absolute URL, read against ``base``."""
+def joined(href: Column, base: Column) -> Column:
+    """``href`` read against ``base``, dot segments not yet folded."""
     base_root = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)", 1)
     base_page = F.regexp_extract(base, r"^([^?#]*)", 1)
     base_query = F.regexp_extract(base, r"^([^#]*)", 1)
@@ -65,8 +65,23 @@ def resolve(href: Column, base: Column) -> Column:
         .when(href == "", base_query)
         .otherwise(F.concat(base_folder, href))
     )
-    rooted = F.regexp_replace(absolute, r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]+)([?#]|$)", "$1/$2")
-    return remove_dot_segments(rooted)
+    return F.regexp_replace(absolute, r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]+)([?#]|$)", "$1/$2")
+
+
+def resolve(href: Column, base: Column) -> Column:
+    """``href`` as an absolute URL, read against ``base``."""
+    return remove_dot_segments(joined(href, base))
+
+
+def normal(url: Column) -> Column:
+    """Scheme and host in lower case, without the scheme's own port."""
+    kind = scheme(url)
+    place = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)", 1)
+    user = F.regexp_extract(place, r"^(.*@)", 1)
+    where = F.lower(F.substring(place, F.length(user) + 1, F.length(place)))
+    own = F.when(kind == "http", F.regexp_replace(where, ":(80)?$", "")).when(kind == "https", F.regexp_replace(where, ":(443)?$", "")).otherwise(where)
+    tail = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*(?s)(.*)$", 1)
+    return F.when(place == "", url).otherwise(F.concat(kind, F.lit("://"), user, own, tail))
 
 
 def is_http(url: Column) -> Column:

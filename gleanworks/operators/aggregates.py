@@ -11,24 +11,24 @@ from gleanworks.operators import percentiles
 from gleanworks.operators.joins import rule_table
 
 
-def page_rollup(pages: DataFrame, document: str, page: str, text: str, confidence: str,
-                pages_per_part: int = 10_000) -> DataFrame:
-    """Join page texts in order and average their confidence.
+def ordered_pages(pages: DataFrame, document: str, page: str, text: str) -> DataFrame:
+    """Page texts as rows, ordered by document and page: the form for documents of any length."""
+    return pages.select(document, page, text).sort(document, page)
 
-    A document of at most ``pages_per_part`` pages is one row (part 0). A longer one
-    continues in further parts, so no task ever gathers an unbounded document.
+
+def page_rollup(pages: DataFrame, document: str, page: str, text: str, confidence: str, join_text: bool = False) -> DataFrame:
+    """One row per document: pages, distinct page numbers, characters, mean and extreme confidence; aggregates combine.
+
+    ``join_text`` adds the page texts in order as one string; only for documents that fit in a task's memory.
     """
-    part = F.floor(F.col(page) / pages_per_part).cast("bigint")
-    ordered = F.array_sort(F.collect_list(F.struct(F.col(page).alias("at"), F.col(text).alias("text"))))
-    return (
-        pages.groupBy(document, part.alias("part"))
-        .agg(ordered.alias("_pages"), F.avg(confidence).alias("confidence"), F.count("*").alias("pages"))
-        .select(
-            document, "part",
-            F.trim(F.array_join(F.transform("_pages", lambda p: p["text"]), " ")).alias("text"),
-            "confidence", "pages",
-        )
-    )
+    columns = [
+        F.count("*").alias("pages"), F.countDistinct(page).alias("page_numbers"), F.sum(F.length(text)).alias("characters"),
+        F.avg(confidence).alias("confidence"), F.min(confidence).alias("least_confidence"), F.max(confidence).alias("most_confidence"),
+    ]
+    if join_text:
+        ordered = F.array_sort(F.collect_list(F.struct(F.col(page).alias("at"), F.col(text).alias("text"))))
+        columns.append(F.trim(F.array_join(F.transform(ordered, lambda p: p["text"]), " ")).alias("text"))
+    return pages.groupBy(document).agg(*columns)
 
 
 def status_counts(df: DataFrame, status: str) -> DataFrame:

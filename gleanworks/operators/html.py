@@ -135,10 +135,11 @@ class _Selection(_Walker):
 
 
 def extract_selectors(pages: DataFrame, key: str, html: str, selectors: dict[str, dict | str],
-                      max_html: int = fixed.MAX_HTML_SIZE, max_text: int = fixed.MAX_TEXT_LENGTH) -> DataFrame:
-    """One row per page and selector: joined trimmed text, match count, required-but-missing flag.
+                      max_html: int | None = None, max_text: int | None = None) -> DataFrame:
+    """One row per page and selector: joined trimmed text, match count, error, and the size of the page.
 
-    A page above the size limit gets an error instead of text and never reaches Python.
+    Without limits, pages and texts of any size are taken whole. A page above ``max_html`` gets the error TOO_LARGE
+    instead of text and never reaches Python; a text above ``max_text`` is cut and marked CUT.
     """
     options = {n: s if isinstance(s, dict) else {"selector": s} for n, s in selectors.items()}
     compiled = {name: compile_selector(option["selector"]) for name, option in options.items()}
@@ -147,22 +148,24 @@ def extract_selectors(pages: DataFrame, key: str, html: str, selectors: dict[str
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for ident, source, too_large in zip(batch[key], batch[html], batch["_large"]):
+            for ident, source, too_large, size in zip(batch[key], batch[html], batch["_large"], batch["size"]):
                 finder = _Selection(compiled)
                 if source:
                     finder.read(source)
                 for name, option in options.items():
                     hits = ["".join(pieces) for pieces in finder.found[name]]
-                    content = "".join(hits).strip(SPACE)[:max_text]
+                    content = "".join(hits).strip(SPACE)
+                    cut = max_text is not None and len(content) > max_text
                     missing = bool(option.get("required")) and not hits
-                    error = "TOO_LARGE" if too_large else "REQUIRED_MISSING" if missing else None
-                    rows.append((ident, name, content, len(hits), error))
-            yield pd.DataFrame(rows, columns=[key, "name", "content", "matches", "error"])
+                    error = "TOO_LARGE" if too_large else "REQUIRED_MISSING" if missing else "CUT" if cut else None
+                    rows.append((ident, name, content[:max_text] if cut else content, len(hits), error, size))
+            yield pd.DataFrame(rows, columns=[key, "name", "content", "matches", "error", "size"])
 
-    large = F.coalesce(F.length(html) > max_html, F.lit(False))
-    sent = pages.select(key, F.when(~large, F.col(html)).alias(html), large.alias("_large"))
+    large = F.coalesce(F.length(html) > max_html, F.lit(False)) if max_html is not None else F.lit(False)
+    size = F.coalesce(F.length(html), F.lit(0)).cast("bigint")
+    sent = pages.select(key, F.when(~large, F.col(html)).alias(html), large.alias("_large"), size.alias("size"))
     return sent.mapInPandas(
-        run, f"{key} {kind}, name string, content string, matches int, error string"
+        run, f"{key} {kind}, name string, content string, matches int, error string, size bigint"
     )
 
 
@@ -252,7 +255,7 @@ class _Tables(_Walker):
         self.live = [entry for entry in self.live if entry[1] < depth]
 
 
-def table_rows(html: str, max_rows: int = fixed.MAX_TABLE_ROWS) -> list[tuple[int, int, dict]]:
+def table_rows(html: str) -> list[tuple[int, int, dict]]:
     """(table, row, header to cell) of every table that has headers; tables and rows from 0."""
     walker = _Tables()
     walker.read(html)
@@ -263,14 +266,14 @@ def table_rows(html: str, max_rows: int = fixed.MAX_TABLE_ROWS) -> list[tuple[in
         for row in table["rows"]:
             cells = ["".join(c["pieces"]).strip(SPACE) for c in row["cells"]]
             mapped = {h: c for h, c in zip(headers, cells) if h}
-            if mapped and kept < max_rows:
+            if mapped:
                 found.append((number, kept, mapped))
                 kept += 1
     return found
 
 
-def extract_tables(pages: DataFrame, key: str, html: str, max_rows: int = fixed.MAX_TABLE_ROWS) -> DataFrame:
-    """Table rows of each page as header-to-cell maps. Pages without a table never reach Python."""
+def extract_tables(pages: DataFrame, key: str, html: str) -> DataFrame:
+    """All table rows of each page as header-to-cell maps. Pages without a table never reach Python."""
     kind = pages.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -278,7 +281,7 @@ def extract_tables(pages: DataFrame, key: str, html: str, max_rows: int = fixed.
             rows = [
                 (ident, table, row, cells)
                 for ident, source in zip(batch[key], batch[html]) if source
-                for table, row, cells in table_rows(source, max_rows)
+                for table, row, cells in table_rows(source)
             ]
             yield pd.DataFrame(rows, columns=[key, "table_no", "row_no", "cells"])
 
@@ -286,26 +289,65 @@ def extract_tables(pages: DataFrame, key: str, html: str, max_rows: int = fixed.
     return with_table.mapInPandas(run, f"{key} {kind}, table_no int, row_no int, cells map<string,string>")
 
 
-ANCHOR_HREF = r"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)"""
+# An opening anchor tag, quotes respected; and its first href, other attributes passed over as wholes.
+ANCHOR = r"""(?i)<a(?=[\s/])(?:[^>"']|"[^"]*"|'[^']*')*+>"""
+ANCHOR_HREF = (r"""(?is)^<a(?:[\s/]++(?!href[\s=/>])[^\s"'>/=]++(?:\s*+=\s*+(?:"[^"]*"|'[^']*'|[^\s"'>]++))?+)*+"""
+               r"""[\s/]++href\s*+=\s*+("[^"]*"|'[^']*'|[^\s"'>]++)""")
+# Elements whose content is not markup.
+HIDDEN = r"(?is)<(script|style|textarea|title|xmp|noscript)\b.*?</\1\s*>"
+NAMED = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&nbsp;": "\u00a0", "&amp;": "&"}  # the ampersand last
 
 
-HIDDEN = r"(?is)<(script|style)\b.*?</\1\s*>"
+def _character(number: Column) -> Column:
+    return F.decode(F.unhex(F.lpad(F.hex(number.cast("bigint")), 8, "0")), "UTF-32")
 
 
-def links(html: Column, base: Column, max_links: int = fixed.MAX_LINKS) -> Column:
-    """Distinct absolute http(s) links in first-seen order."""
-    visible = F.regexp_replace(tx.strip_comments(html), HIDDEN, "")
-    raw = F.regexp_extract_all(visible, F.lit(ANCHOR_HREF), 1)
-    bare = F.transform(raw, lambda h: F.trim(F.regexp_replace(h, r"""^["']|["']$""", "")))
-    bare = F.transform(bare, lambda h: F.replace(h, F.lit("&amp;"), F.lit("&")))
-    short = F.filter(bare, lambda h: (h != "") & (F.length(h) <= fixed.MAX_URL_LENGTH))
-    absolute = F.transform(short, lambda h: urls.resolve(h, base))
-    return F.slice(F.array_distinct(F.filter(absolute, urls.is_http)), 1, max_links)
+def _numbered(pattern: str, base: int):
+    """Replaces character references by number of one notation."""
+    def decode(value: Column) -> Column:
+        found = F.array_distinct(F.regexp_extract_all(value, F.lit(pattern), 0))
+        return F.aggregate(found, value, lambda done, ref: F.replace(
+            done, ref, _character(F.conv(F.regexp_extract(ref, pattern, 1), base, 10))))
+
+    return decode
+
+
+def _named(value: Column) -> Column:
+    for name, mark in NAMED.items():
+        value = F.replace(value, F.lit(name), F.lit(mark))
+    return value
 
 
-def extract_links(pages: DataFrame, key: str, html: str, base: str) -> DataFrame:
-    """One row per page and distinct link, numbered in first-seen order from 0."""
-    return pages.select(key, F.posexplode(links(F.col(html), F.col(base))).alias("position", "link"))
+def _encoded(url: Column) -> Column:
+    """Percent-encode what a path or query may not hold as it is."""
+    root = F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)", 1)
+    tail = F.substring(url, F.length(root) + 1, F.length(url))
+    found = F.array_distinct(F.regexp_extract_all(tail, F.lit(r"""[^\x21\x23-\x3B\x3D\x3F-\x5F\x61-\x7E]"""), 0))
+    mark = lambda c: F.regexp_replace(F.hex(F.encode(c, "UTF-8")), "(..)", "%$1")
+    return F.concat(root, F.aggregate(found, tail, lambda done, c: F.replace(done, c, mark(c))))
+
+
+def links(html: Column, base: Column) -> Column:
+    """All distinct absolute http(s) links in first-seen order, addresses in normal form, as a browser resolves them."""
+    visible = F.regexp_replace(tx.strip_comments(html), HIDDEN, "")
+    found = F.regexp_extract_all(visible, F.lit(ANCHOR), 0)
+    steps = [  # one transform each, so that a step's input is computed once
+        lambda tag: F.regexp_extract(tag, ANCHOR_HREF, 1), lambda h: F.regexp_replace(h, r"""^["']|["']$""", ""),
+        _numbered(r"&#([0-9]{1,6});", 10), _numbered(r"&#[xX]([0-9a-fA-F]{1,5});", 16), _named,
+        lambda h: F.regexp_replace(F.regexp_replace(h, r"^[\x00-\x20]+|[\x00-\x20]+$", ""), r"[\t\n\r]", ""),
+    ]
+    for step in steps:
+        found = F.transform(found, step)
+    found = F.filter(found, lambda h: h != "")
+    for step in (lambda h: urls.joined(h, base), urls.remove_dot_segments, urls.normal, _encoded):
+        found = F.transform(found, step)
+    return F.array_distinct(F.filter(found, urls.is_http))
+
+
+def extract_links(pages: DataFrame, key: str, html: str, base: str, max_url: int = fixed.MAX_URL_LENGTH) -> DataFrame:
+    """One row per page and distinct link, numbered in first-seen order from 0; ``too_long`` marks those above ``max_url``."""
+    rows = pages.select(key, F.posexplode(links(F.col(html), F.col(base))).alias("position", "link"))
+    return rows.withColumn("too_long", F.length("link") > max_url)
 
 
 def content_metadata(content: Column) -> Column:

@@ -13,12 +13,11 @@ RULE_ROWS_LIMIT = 10_000
 
 
 def rule_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    """A small configuration table, marked for broadcast after its size is checked."""
-    if len(rows) > RULE_ROWS_LIMIT:
-        raise ValueError(f"a rule table holds at most {RULE_ROWS_LIMIT} rows")
+    """A configuration table, marked for broadcast while it is small; a larger one is joined as the planner sees fit."""
     names = StructType.fromDDL(schema).names
     columns = {name: [row[i] for row in rows] for i, name in enumerate(names)}
-    return F.broadcast(spark.createDataFrame(pa.table(columns), StructType.fromDDL(schema)))
+    table = spark.createDataFrame(pa.table(columns), StructType.fromDDL(schema))
+    return F.broadcast(table) if len(rows) <= RULE_ROWS_LIMIT else table
 
 
 def salted_join(facts: DataFrame, lookup: DataFrame, keys: list[str], spread: Column,

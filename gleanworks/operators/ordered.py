@@ -1,16 +1,9 @@
 """Order-dependent results per key that stay parallel when one key is hot.
 
-A plain ``Window.partitionBy(key)`` puts every row of a key in one task. Here hot keys
-are found first (a count per key), and only they are cut: ``slice_by`` splits their
-ordering column into ranges, rows are windowed per (key, slice), and one summary row per
-slice carries the state across slices. Other keys stay one window each, so they pay
-nothing but the count.
-
-A key is hot above ``hot_rows`` rows, or above one ``HOT_KEYS``-th of all rows if that is
-more. So there are never more than ``HOT_KEYS`` hot keys, which bounds what is broadcast.
-``slice_by`` must not decrease along ``order``; it may be a struct, for orderings whose
-leading column has many equal values. The input is read several times: write it to a
-table first if it is itself the result of costly work.
+A plain ``Window.partitionBy(key)`` puts every row of a key in one task. Here rows are dealt out once by ranges of
+(key, order) and written, with the number of their range. Rows are then windowed per (key, range), and one summary row
+per key and range carries the state from range to range. The ranges have about equal sizes whatever the keys, so a hot
+key, a null key and a burst of equal times all spread; there is one path for all of them.
 """
 
 from __future__ import annotations
@@ -18,121 +11,95 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleanworks.functions.times import epoch_seconds
+from gleanworks.session import new_location
 
-HOT_ROWS = 1_000_000
-HOT_KEYS = 1_000_000
-_SLICE, _CARRY, _INNER = "_slice", "_carry", "_inner"
+_KEY, _RANGE, _CARRY, _INNER = "_key", "_range", "_carry", "_inner"
 
 
-def minute_of(ts: str) -> Column:
-    """Slices of one minute: the hot third of a month of events falls into 43,200 tasks."""
-    return F.floor(epoch_seconds(F.col(ts)) / 60)
+def _ranged(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The rows with their key as one value (never null itself) and the number of their range, from a written table."""
+    spark = df.sparkSession
+    placed = df.withColumn(_KEY, F.struct(*keys)).repartitionByRange(*keys, *order).withColumn(_RANGE, F.spark_partition_id())
+    location = new_location(spark, "ordered")
+    placed.write.parquet(location)
+    return spark.read.schema(placed.schema).parquet(location)
 
 
-def _across(keys: list[str], descending: bool):
-    at = F.col(_SLICE).desc() if descending else F.col(_SLICE).asc()
-    return Window.partitionBy(*keys).orderBy(at)
+def _across(descending: bool):
+    return Window.partitionBy(_KEY).orderBy(F.col(_RANGE).desc() if descending else F.col(_RANGE).asc())
 
 
-def _sliced(df: DataFrame, keys: list[str], slice_by: Column, hot_rows: int) -> DataFrame:
-    """Add the slice of every row of a hot key; null marks rows of other keys."""
-    counts = df.groupBy(*keys).agg(F.count("*").alias("_n"))
-    total = df.agg(F.count("*")).scalar()
-    hot = counts.where(F.col("_n") > F.greatest(F.lit(hot_rows), total / HOT_KEYS)).select(*keys, F.lit(True).alias("_hot"))
-    return df.join(F.broadcast(hot), keys, "left").withColumn(_SLICE, F.when(F.col("_hot"), slice_by)).drop("_hot")
+def _combine(df, keys, order, inner, summary, carried, result, name) -> DataFrame:
+    rows = _ranged(df, keys, order)
+    ends = rows.groupBy(_KEY, _RANGE).agg(summary.alias(_CARRY)).select(_KEY, _RANGE, carried.alias(_CARRY))
+    return rows.withColumn(_INNER, inner).join(ends, [_KEY, _RANGE]).withColumn(name, result).select(*df.columns, name)
 
 
-def _combine(df, keys, slice_by, hot_rows, inner, summary, carried, result, name) -> DataFrame:
-    sliced = _sliced(df, keys, slice_by, hot_rows)
-    ends = (
-        sliced.where(F.col(_SLICE).isNotNull()).groupBy(*keys, _SLICE).agg(summary.alias(_CARRY))
-        .select(*keys, _SLICE, carried.alias(_CARRY))
-    )
-    rows = sliced.withColumn(_INNER, inner)
-    return (
-        rows.join(ends, [*keys, _SLICE], "left")
-        .withColumn(name, result)
-        .select(*df.columns, name)
-    )
-
-
-def with_previous(df: DataFrame, keys: list[str], order: list[str], slice_by: Column,
-                  value: Column, name: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+def with_previous(df: DataFrame, keys: list[str], order: list[str], value: Column, name: str) -> DataFrame:
     """Add the previous row's ``value`` within each key; null on the first row."""
-    inside = Window.partitionBy(*keys, _SLICE).orderBy(*order)
     box = F.struct(value.alias("v"))
     return _combine(
-        df, keys, slice_by, hot_rows,
-        inner=F.lag(box).over(inside),
+        df, keys, order,
+        inner=F.lag(box).over(Window.partitionBy(_KEY, _RANGE).orderBy(*order)),
         summary=F.max_by(box, F.struct(*order)),
-        carried=F.lag(_CARRY).over(_across(keys, False)),
+        carried=F.lag(_CARRY).over(_across(False)),
         result=F.coalesce(F.col(_INNER), F.col(_CARRY)).getField("v"),
         name=name,
     )
 
 
-def with_running_total(df: DataFrame, keys: list[str], order: list[str], slice_by: Column,
-                       amount: Column, name: str, descending: bool = False,
-                       hot_rows: int = HOT_ROWS) -> DataFrame:
+def with_running_total(df: DataFrame, keys: list[str], order: list[str], amount: Column, name: str,
+                       descending: bool = False) -> DataFrame:
     """Add the sum of ``amount`` from the first row of the key up to and including this one."""
     by = [F.col(c).desc() if descending else F.col(c).asc() for c in order]
-    inside = Window.partitionBy(*keys, _SLICE).orderBy(*by).rowsBetween(Window.unboundedPreceding, 0)
-    earlier = _across(keys, descending).rowsBetween(Window.unboundedPreceding, -1)
     return _combine(
-        df, keys, slice_by, hot_rows,
-        inner=F.sum(amount).over(inside),
+        df, keys, order,
+        inner=F.sum(amount).over(Window.partitionBy(_KEY, _RANGE).orderBy(*by).rowsBetween(Window.unboundedPreceding, 0)),
         summary=F.sum(amount),
-        carried=F.sum(_CARRY).over(earlier),
-        result=F.col(_INNER) + F.coalesce(F.col(_CARRY), F.lit(0)),
+        carried=F.sum(_CARRY).over(_across(descending).rowsBetween(Window.unboundedPreceding, -1)),
+        result=F.coalesce(F.col(_INNER) + F.col(_CARRY), F.col(_INNER), F.col(_CARRY)),
         name=name,
     )
 
 
-def with_running_max(df: DataFrame, keys: list[str], order: list[str], slice_by: Column,
-                     value: Column, name: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+def with_running_max(df: DataFrame, keys: list[str], order: list[str], value: Column, name: str) -> DataFrame:
     """Add the largest ``value`` from the first row of the key up to and including this one."""
-    inside = Window.partitionBy(*keys, _SLICE).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    earlier = _across(keys, False).rowsBetween(Window.unboundedPreceding, -1)
     return _combine(
-        df, keys, slice_by, hot_rows,
-        inner=F.max(value).over(inside),
+        df, keys, order,
+        inner=F.max(value).over(Window.partitionBy(_KEY, _RANGE).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)),
         summary=F.max(value),
-        carried=F.max(_CARRY).over(earlier),
+        carried=F.max(_CARRY).over(_across(False).rowsBetween(Window.unboundedPreceding, -1)),
         result=F.greatest(F.col(_INNER), F.col(_CARRY)),  # null-tolerant: takes the one that is set
         name=name,
     )
 
 
-def with_streak(df: DataFrame, keys: list[str], order: list[str], slice_by: Column, hit: Column,
-                reset: Column, name: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+def with_streak(df: DataFrame, keys: list[str], order: list[str], hit: Column, reset: Column, name: str) -> DataFrame:
     """Add the number of hits since the last reset row of the key, this row included.
 
     ``<name>_closed`` tells whether the key has had a reset up to this row.
     """
-    sliced = _sliced(df, keys, slice_by, hot_rows)
-    inside = Window.partitionBy(*keys, _SLICE).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = sliced.withColumn("_hits", F.sum(hit.cast("bigint")).over(inside)).withColumn(
+    inside = Window.partitionBy(_KEY, _RANGE).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = _ranged(df, keys, order).withColumn("_hits", F.sum(hit.cast("bigint")).over(inside)).withColumn(
         "_at_reset", F.max(F.when(reset, F.col("_hits"))).over(inside)
     )
-    earlier = _across(keys, False).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = _across(False).rowsBetween(Window.unboundedPreceding, -1)
     carried = (
-        rows.where(F.col(_SLICE).isNotNull()).groupBy(*keys, _SLICE).agg(F.sum(hit.cast("bigint")).alias("_sum"), F.max("_at_reset").alias("_last"))
+        rows.groupBy(_KEY, _RANGE).agg(F.sum(hit.cast("bigint")).alias("_sum"), F.max("_at_reset").alias("_last"))
         .withColumn("_before", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)))
         .withColumn("_base", F.max(F.col("_before") + F.col("_last")).over(earlier))
-        .select(*keys, _SLICE, "_before", "_base")
+        .select(_KEY, _RANGE, "_before", "_base")
     )
-    joined = rows.join(carried, [*keys, _SLICE], "left")
-    open_streak = F.col("_hits") + F.coalesce(F.col("_before"), F.lit(0)) - F.coalesce(F.col("_base"), F.lit(0))
+    joined = rows.join(carried, [_KEY, _RANGE])
+    open_streak = F.col("_hits") + F.col("_before") - F.coalesce(F.col("_base"), F.lit(0))
     streak = F.when(F.col("_at_reset").isNotNull(), F.col("_hits") - F.col("_at_reset")).otherwise(open_streak)
     closed = F.col("_at_reset").isNotNull() | F.col("_base").isNotNull()
     return joined.withColumn(name, streak).withColumn(f"{name}_closed", closed).select(*df.columns, name, f"{name}_closed")
 
 
-def with_position(df: DataFrame, keys: list[str], order: list[str], slice_by: Column,
-                  name: str, descending: bool = False, hot_rows: int = HOT_ROWS) -> DataFrame:
+def with_position(df: DataFrame, keys: list[str], order: list[str], name: str, descending: bool = False) -> DataFrame:
     """Add the 1-based position of each row within its key."""
-    return with_running_total(df, keys, order, slice_by, F.lit(1).cast("bigint"), name, descending, hot_rows)
+    return with_running_total(df, keys, order, F.lit(1).cast("bigint"), name, descending)
 
 
 def latest_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

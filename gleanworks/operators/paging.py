@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanworks import fixed
@@ -71,28 +71,49 @@ def run(df: DataFrame, query: DataQuery, key: str, allowed: list[str] | None = N
     return with_envelope(predicates.without_metadata(rows, query.include_metadata), chosen, query.page, query.page_size)
 
 
-def after_cursor(df: DataFrame, sort: str, key: str, cursor: tuple | None, size: int) -> DataFrame:
-    """Keyset page: the next ``size`` rows after the (sort, key) cursor.
+def after_cursor(df: DataFrame, sort: str, key: str, cursor: tuple | None, size: int, order: str = "asc") -> DataFrame:
+    """Keyset page: the next ``size`` rows after the (sort, key) cursor, in either direction.
 
-    One extra row is read, from which ``next_cursor`` knows whether a further page exists.
+    Nulls of the sort column come last in both directions. One extra row is read; ``has_next`` tells on each row
+    whether a further page exists, and ``next_sort``, ``next_key`` are the cursor to go on with (of the page's last row).
     """
+    if order not in ("asc", "desc"):
+        raise ValueError("order must be asc or desc")
+    down = order == "desc"
     chosen = df
     if cursor is not None:
-        value, identity = (F.lit(part) for part in cursor)
-        chosen = df.where((F.col(sort) > value) | ((F.col(sort) == value) & (F.col(key) > identity)))
-    return chosen.orderBy(F.col(sort).asc(), F.col(key).asc()).limit(size + 1)
-
-
-def next_cursor(rows: list, sort: str, key: str, size: int) -> tuple | None:
-    """Cursor of the page after the fetched ``size + 1`` rows, or None on the last page."""
-    return (rows[size - 1][sort], rows[size - 1][key]) if len(rows) > size else None
-
-
-def export_rows(df: DataFrame, created: str, key: str, cap: int = fixed.EXPORT_CAP) -> DataFrame:
-    """The newest ``cap`` rows, the size limit of one export."""
-    return df.orderBy(F.col(created).desc(), F.col(key).asc()).limit(cap)
-
-
-def within_limits(text: Column, maximum: int = fixed.MAX_TEXT_LENGTH) -> Column:
-    """Text at its documented storage limit."""
-    return F.when(F.length(text) > maximum, F.substring(text, 1, maximum)).otherwise(text)
+        value, identity = cursor
+        if value is None:
+            chosen = df.where(F.col(sort).isNull() & (F.col(key) > F.lit(identity)))
+        else:
+            at = F.lit(value)
+            further = F.col(sort) < at if down else F.col(sort) > at
+            reach = F.col(sort) <= at if down else F.col(sort) >= at  # a plain conjunct, by which the scan can skip
+            chosen = df.where((reach | F.col(sort).isNull()) & (further | F.col(sort).isNull() | (F.col(key) > F.lit(identity))))
+    keys = [F.col(sort).desc_nulls_last() if down else F.col(sort).asc_nulls_last(), F.col(key).asc()]
+    rows = chosen.orderBy(*keys).limit(size + 1)
+    place = F.row_number().over(Window.orderBy(*keys))  # at most size + 1 rows
+    whole = Window.partitionBy()
+    numbered = rows.withColumn("_place", place)
+    last = F.struct(F.col(sort).alias("s"), F.col(key).alias("k"))
+    ended = numbered.withColumn("has_next", F.count("*").over(whole) > size).withColumn(
+        "_last", F.max(F.when(F.col("_place") == size, last)).over(whole))
+    return ended.where(F.col("_place") <= size).orderBy("_place").select(
+        *df.columns, "has_next", F.when(F.col("has_next"), F.col("_last.s")).alias("next_sort"), F.when(F.col("has_next"), F.col("_last.k")).alias("next_key"))
+
+
+def next_cursor(rows: list) -> tuple | None:
+    """Cursor of the page after the fetched rows, or None on the last page."""
+    return (rows[-1]["next_sort"], rows[-1]["next_key"]) if rows and rows[-1]["has_next"] else None
+
+
+def export_rows(df: DataFrame, created: str, key: str, cap: int) -> DataFrame:
+    """The newest ``cap`` rows, with the number of rows there are in all, so that a cut is seen."""
+    total = df.agg(F.count("*")).scalar()
+    return df.orderBy(F.col(created).desc(), F.col(key).asc()).limit(cap).withColumn("total", total)
+
+
+def within_limit(text: Column, maximum: int) -> Column:
+    """Text cut at a limit that the caller asks for, and whether it was cut."""
+    over = F.coalesce(F.length(text) > maximum, F.lit(False))
+    return F.struct(F.when(over, F.substring(text, 1, maximum)).otherwise(text).alias("text"), over.alias("cut"))

@@ -1,8 +1,8 @@
 """Exact percentiles of groups of any size.
 
-The built-in ``percentile`` keeps every distinct value of a group in one buffer.
-Here values are counted first, the counts are summed per coarse value band, and only
-the bands that hold a wanted rank are sorted.
+The built-in ``percentile`` keeps every distinct value of a group in one buffer. Here values are counted, the counts are
+dealt out by ranges of (group, value), and only the ranges that hold a wanted rank are looked into. Ranges are of about
+equal size, however narrow the values of a group lie.
 """
 
 from __future__ import annotations
@@ -10,12 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BANDS_PER_UNIT = 256
-
-
-def _band(value: Column) -> Column:
-    return F.floor(F.signum(value) * F.log1p(F.abs(value)) * BANDS_PER_UNIT).cast("bigint")
-
+from gleanworks.operators.ordered import _KEY, _RANGE, _ranged
 
 def _ranks(n: Column, fraction: float, method: str) -> tuple[Column, Column, Column]:
     """Lower rank, upper rank and interpolation weight (ranks start at 1)."""
@@ -36,19 +31,16 @@ def percentiles(df: DataFrame, group: list[str], value: Column, fractions: dict[
     """One row per group with a column per named fraction.
 
     ``continuous`` interpolates, ``nearest`` takes rank ``ceil(p*n)``, ``floor`` takes
-    rank ``floor(p*n)+1``. Null values are left out.
+    rank ``floor(p*n)+1``. Null values are left out and NaN ranks last. A null in the group columns is a
+    group of its own; a group without values has null percentiles.
     """
-    counts = (
-        df.select(*group, value.cast("double").alias("_v")).where(F.col("_v").isNotNull())
-        .groupBy(*group, "_v").agg(F.count("*").alias("_c"))
-        .withColumn("_band", _band(F.col("_v")))
-    )
-    per_group = Window.partitionBy(*group)
-    before = per_group.orderBy("_band").rowsBetween(Window.unboundedPreceding, -1)
-    bands = (
-        counts.groupBy(*group, "_band").agg(F.sum("_c").alias("_in_band"))
-        .withColumn("_before", F.coalesce(F.sum("_in_band").over(before), F.lit(0)))
-        .withColumn("_n", F.sum("_in_band").over(per_group))
+    counts = df.select(*group, value.cast("double").alias("_v")).groupBy(*group, "_v").agg(F.count("_v").alias("_c"))
+    rows = _ranged(counts, group, ["_v"])
+    before = Window.partitionBy(_KEY).orderBy(_RANGE).rowsBetween(Window.unboundedPreceding, -1)
+    ranges = (
+        rows.groupBy(_KEY, _RANGE).agg(F.sum("_c").alias("_inside"))
+        .withColumn("_before", F.coalesce(F.sum("_inside").over(before), F.lit(0)))
+        .withColumn("_n", F.sum("_inside").over(Window.partitionBy(_KEY)))
     )
     wanted = []
     for name, fraction in fractions.items():
@@ -56,23 +48,16 @@ def percentiles(df: DataFrame, group: list[str], value: Column, fractions: dict[
         wanted.append(F.struct(F.lit(name).alias("p"), low.alias("rank"), (1 - weight).alias("w")))
         wanted.append(F.struct(F.lit(name).alias("p"), high.alias("rank"), weight.alias("w")))
     here = F.filter(F.array(*wanted), lambda t: (t["w"] > 0) & (t["rank"] > F.col("_before"))
-                    & (t["rank"] <= F.col("_before") + F.col("_in_band")))
-    needed = bands.withColumn("_wanted", here).where(F.size("_wanted") > 0).drop("_in_band", "_n")
-    inside = Window.partitionBy(*group, "_band").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+                    & (t["rank"] <= F.col("_before") + F.col("_inside")))
+    needed = ranges.withColumn("_wanted", here).where(F.size("_wanted") > 0).drop("_inside", "_n")
+    inside = Window.partitionBy(_KEY, _RANGE).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     ranked = (
-        counts.join(needed, [*group, "_band"])
+        rows.where("_c > 0").join(needed, [_KEY, _RANGE])
         .withColumn("_to", F.col("_before") + F.sum("_c").over(inside))
         .withColumn("_hits", F.filter("_wanted", lambda t: (t["rank"] > F.col("_to") - F.col("_c")) & (t["rank"] <= F.col("_to"))))
     )
-    picked = ranked.select(*group, "_v", F.explode("_hits").alias("_t"))
+    picked = ranked.select(_KEY, "_v", F.explode("_hits").alias("_t"))
     columns = [
         F.sum(F.when(F.col("_t.p") == name, F.col("_v") * F.col("_t.w"))).alias(name) for name in fractions
     ]
-    return picked.groupBy(*group).agg(*columns)
-
-
-def approximate_percentiles(df: DataFrame, group: list[str], value: Column,
-                            fractions: dict[str, float], accuracy: int = 10000) -> DataFrame:
-    """Mergeable-sketch percentiles for dashboards that do not need exact ranks."""
-    columns = [F.percentile_approx(value, p, accuracy).alias(name) for name, p in fractions.items()]
-    return df.groupBy(*group).agg(*columns)
+    return ranges.select(_KEY).distinct().join(picked.groupBy(_KEY).agg(*columns), _KEY, "left").select(f"{_KEY}.*", *fractions)

@@ -240,15 +240,32 @@ def processing_result(now: Column) -> Rules:
     """Rules on a recognised document (columns as in ``OCR_RESULT``)."""
     pages = F.col("pageResults")
     return {
-        "id_uuid": shapes.is_uuid(F.col("documentId")),
+        **_document_rules(now),
         "text": filled(F.col("text")),
-        "confidence": F.col("confidence").between(fixed.MIN_PAGE_CONFIDENCE, 1.0),
         "has_pages": F.size(pages) >= 1,
         "page_confidence": F.forall(pages, lambda p: p["confidence"].between(0.0, 1.0)),
+        "unique_pages": F.size(F.array_distinct(F.transform(pages, lambda p: p["pageNumber"]))) == F.size(pages),
+    }
+
+
+def processing_summary(now: Column) -> Rules:
+    """The same rules on a document whose pages are rolled up (columns as ``page_rollup`` gives them), however many."""
+    return {
+        **_document_rules(now),
+        "text": F.col("characters") > 0,
+        "has_pages": F.col("pages") >= 1,
+        "page_confidence": (F.col("least_confidence") >= 0.0) & (F.col("most_confidence") <= 1.0),
+        "unique_pages": F.col("page_numbers") == F.col("pages"),
+    }
+
+
+def _document_rules(now: Column) -> Rules:
+    return {
+        "id_uuid": shapes.is_uuid(F.col("documentId")),
+        "confidence": F.col("confidence").between(fixed.MIN_PAGE_CONFIDENCE, 1.0),
         "not_future": F.col("processedAt") <= now,
         "cpu": F.col("metrics").isNull() | (F.col("metrics.cpuUtilization") <= fixed.MAX_CPU_PERCENT),
         "retries": F.col("metrics").isNull() | (F.col("metrics.retryCount") <= fixed.MAX_ATTEMPTS),
-        "unique_pages": F.size(F.array_distinct(F.transform(pages, lambda p: p["pageNumber"]))) == F.size(pages),
     }
 
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 
-import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -37,11 +36,11 @@ def unescape_sql(value: str) -> str:
 # --- pages -----------------------------------------------------------------------------------
 
 
-@query("x01_selectors", f"""SELECT page_id, 'heading' AS name, trim({unescape_sql("regexp_extract(html, '(?s)<article><h1>(.*?)</h1>', 1)")}) AS content, 1 AS matches, NULL AS error FROM pages
-UNION ALL SELECT page_id, 'title', trim({unescape_sql("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")}), 1, NULL FROM pages
-UNION ALL SELECT page_id, 'menu', trim({unescape_sql("list_aggregate(regexp_extract_all(html, '<a href=[^>]*>([^<]*)</a>', 1), 'string_agg', '')")}), len(regexp_extract_all(html, '<a href=[^>]*>([^<]*)</a>', 1))::INTEGER, NULL FROM pages
-UNION ALL SELECT page_id, 'advert', trim({unescape_sql("regexp_extract(html, '(?s)<div class=.ad.>(.*?)</div>', 1)")}), 1, NULL FROM pages
-UNION ALL SELECT page_id, 'price', '', 0, 'REQUIRED_MISSING' FROM pages""")
+@query("x01_selectors", f"""SELECT page_id, 'heading' AS name, trim({unescape_sql("regexp_extract(html, '(?s)<article><h1>(.*?)</h1>', 1)")}) AS content, 1 AS matches, NULL AS error, length(html) AS size FROM pages
+UNION ALL SELECT page_id, 'title', trim({unescape_sql("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")}), 1, NULL, length(html) FROM pages
+UNION ALL SELECT page_id, 'menu', trim({unescape_sql("list_aggregate(regexp_extract_all(html, '<a href=[^>]*>([^<]*)</a>', 1), 'string_agg', '')")}), len(regexp_extract_all(html, '<a href=[^>]*>([^<]*)</a>', 1))::INTEGER, NULL, length(html) FROM pages
+UNION ALL SELECT page_id, 'advert', trim({unescape_sql("regexp_extract(html, '(?s)<div class=.ad.>(.*?)</div>', 1)")}), 1, NULL, length(html) FROM pages
+UNION ALL SELECT page_id, 'price', '', 0, 'REQUIRED_MISSING', length(html) FROM pages""")
 def x01(spark, sf):
     return html.extract_selectors(Tables(spark, sf).pages, "page_id", "html", {
         "heading": {"selector": "article h1", "required": True}, "title": "title", "menu": "nav ul a", "advert": "div.ad",
@@ -73,7 +72,7 @@ def x03(spark, sf):
 
 
 LINKS_SQL = """SELECT page_id, link, row_number() OVER (PARTITION BY page_id ORDER BY first) - 1 AS position FROM (
-  SELECT page_id, link, min(i) AS first FROM (SELECT page_id, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || h AS link, i FROM (
+  SELECT page_id, link, min(i) AS first FROM (SELECT page_id, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || array_to_string(list_transform(string_split(h, ''), lambda c: CASE WHEN strlen(c) > 1 THEN url_encode(c) ELSE c END), '') AS link, i FROM (
     SELECT page_id, url, unnest(hrefs) AS h, unnest(range(len(hrefs))) AS i FROM (SELECT page_id, url, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS hrefs FROM pages))) GROUP BY 1, 2)"""
 
 
@@ -300,25 +299,21 @@ def e02(spark, sf):
     return html.extract_selectors(Tables(spark, sf).pages, "page_id", "html", config).select("page_id", "content")
 
 
-def read_plain(content: bytes) -> tuple[str, float, int]:
-    """A stand-in extractor: bytes are UTF-8 text, one page per 2000 bytes."""
-    return content.decode(), min(1.0, len(content) / 1000), len(content) // 2000 + 1
-
-
 @query("e03_text_extractor", """SELECT doc_id, md5(text) AS digest, round(least(1.0, octet_length(encode(text)) / 1000.0), 6) AS confidence, octet_length(encode(text)) // 2000 + 1 AS pages FROM documents""")
 def e03(spark, sf):
-    read = extensions.text_extractor(read_plain)
-    rows = Tables(spark, sf).documents.select("doc_id", read(F.encode("text", "UTF-8")).alias("r"))
-    return rows.select("doc_id", F.md5("r.text").alias("digest"), F.round("r.confidence", 6).alias("confidence"), F.col("r.pages").cast("bigint").alias("pages"))
+    extractors = extensions.TextExtractors()
+    size = F.octet_length(F.col("content"))
+    extractors.register("text/plain", F.decode("content", "UTF-8"), F.least(F.lit(1.0), size / 1000), (F.floor(size / 2000) + 1).cast("bigint"))
+    files_ = Tables(spark, sf).documents.select("doc_id", F.encode("text", "UTF-8").alias("content"), F.lit("text/plain").alias("mime"))
+    rows = extractors.run(files_, "mime").where("extracted.supported")
+    return rows.select("doc_id", F.md5("extracted.text").alias("digest"), F.round("extracted.confidence", 6).alias("confidence"), "extracted.pages")
 
 
-@query("e04_text_step", "SELECT doc_id, length(text) - length(replace(text, 'e', '')) AS letters FROM documents")
+@query("e04_text_step", "SELECT doc_id, length(text) - length(replace(text, 'e', '')) AS letters, n_chars FROM documents")
 def e04(spark, sf):
-    def count_letters(texts: pd.Series) -> pd.Series:
-        return texts.str.count("e")
-
-    step = extensions.text_step(count_letters, "bigint")
-    return Tables(spark, sf).documents.select("doc_id", step("text").alias("letters"))
+    steps = extensions.TextSteps()
+    steps.add("letters", lambda text: (F.length(text) - F.length(F.replace(text, F.lit("e"), F.lit("")))).cast("bigint"))
+    return steps.run(Tables(spark, sf).documents, "text").select("doc_id", "letters", "n_chars")
 
 
 @query("e05_custom_metrics", "SELECT doc_id, round(n_chars / 1000.0, 6) AS kilo, (lang = 'en')::INT::DOUBLE AS english FROM documents")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from gleanworks import fixed
 from gleanworks.functions import privacy, shapes, text as tx, times
 from gleanworks.operators import joins, ordered, paging, predicates, validation
 from gleanworks.plans import flows
@@ -266,22 +267,32 @@ def l03(spark, sf):
     return paging.run(listing(Tables(spark, sf)), asked, "o_orderkey").select("o_orderkey", "total", "page", "page_size", "has_next")
 
 
-@query("l04_keyset", """SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 250000.0 OR (o_totalprice = 250000.0 AND o_orderkey > 10)
-ORDER BY o_totalprice, o_orderkey LIMIT 51""")
+@query("l04_keyset", """SELECT o_orderkey, o_totalprice, n > 50 AS has_next, CASE WHEN n > 50 THEN max(o_totalprice) OVER () END AS next_sort FROM (
+  SELECT *, count(*) OVER () AS n, row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS place FROM orders WHERE o_totalprice > 250000.0 OR (o_totalprice = 250000.0 AND o_orderkey > 10))
+WHERE place <= 50""")
 def l04(spark, sf):
-    return paging.after_cursor(Tables(spark, sf).orders, "o_totalprice", "o_orderkey", (250000.0, 10), 50).select("o_orderkey", "o_totalprice")
+    page = paging.after_cursor(Tables(spark, sf).orders, "o_totalprice", "o_orderkey", (250000.0, 10), 50)
+    return page.select("o_orderkey", "o_totalprice", "has_next", "next_sort")
 
 
-@query("l05_export_cap", "SELECT o_orderkey, o_orderstatus FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 1000")
+@query("l04_keyset_down", """SELECT o_orderkey, v, n > 40 AS has_next FROM (SELECT *, count(*) OVER () AS n, row_number() OVER (ORDER BY v DESC NULLS LAST, o_orderkey) AS place FROM (
+  SELECT o_orderkey, CASE WHEN o_orderkey % 3 <> 0 THEN o_totalprice END AS v FROM orders) WHERE v IS NULL OR v < 100000.0 OR (v = 100000.0 AND o_orderkey > 10)) WHERE place <= 40""")
+def l04_down(spark, sf):
+    rows = Tables(spark, sf).orders.select("o_orderkey", F.when(F.col("o_orderkey") % 3 != 0, F.col("o_totalprice")).alias("v"))
+    return paging.after_cursor(rows, "v", "o_orderkey", (100000.0, 10), 40, "desc").select("o_orderkey", "v", "has_next")
+
+
+@query("l05_export_cap", "SELECT o_orderkey, o_orderstatus, (SELECT count(*) FROM orders) AS total FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 1000")
 def l05(spark, sf):
-    return paging.export_rows(Tables(spark, sf).orders, "o_orderdate", "o_orderkey").select("o_orderkey", "o_orderstatus")
+    return paging.export_rows(Tables(spark, sf).orders, "o_orderdate", "o_orderkey", fixed.EXPORT_CAP).select("o_orderkey", "o_orderstatus", "total")
 
 
-@query("l06_content_limits", """SELECT doc_id, length(text) > 1000000 AS over_text, length(text) > 10485760 AS over_html, md5(substr(text, 1, 1000000)) AS kept FROM documents""")
+@query("l06_content_limits", """SELECT doc_id, length(text) > 1000000 AS over_text, length(text) > 10485760 AS over_html, md5(substr(text, 1, 5000)) AS kept, length(text) > 5000 AS cut FROM documents""")
 def l06(spark, sf):
+    limited = paging.within_limit(F.col("text"), 5000)
     return Tables(spark, sf).documents.select(
-        "doc_id", (F.length("text") > 1000000).alias("over_text"), (F.length("text") > 10 * 1024 * 1024).alias("over_html"),
-        F.md5(paging.within_limits(F.col("text"))).alias("kept"))
+        "doc_id", (F.length("text") > fixed.MAX_TEXT_LENGTH).alias("over_text"), (F.length("text") > fixed.MAX_HTML_SIZE).alias("over_html"),
+        F.md5(limited["text"]).alias("kept"), limited["cut"].alias("cut"))
 
 
 @query("a09_page_totals", "SELECT count(*) AS total, ceil(count(*) / 20.0)::BIGINT AS pages FROM orders WHERE o_orderstatus = 'P'")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gleanworks.functions import scores, shapes, times, urls
-from gleanworks.operators import joins, ordered, validation as v
+from gleanworks.operators import aggregates as ag, joins, ordered, validation as v
 from gleanworks.plans import standins as st
 from gleanworks.plans.registry import Tables, query
 
@@ -177,15 +177,11 @@ OCR_SOURCE = f"""SELECT conv_id, {st.uuid_sql('conv_id::VARCHAR')} AS id, string
 
 
 def recognised(t: Tables):
-    """Conversations as recognised documents; every two turns share a page number."""
-    confidence = F.least(F.length("text") / F.lit(1000.0), F.lit(1.0))
-    page = F.struct(F.floor(F.col("turn") / 2).cast("int").alias("pageNumber"), "text", confidence.alias("confidence"))
-    part = F.floor(F.col("turn") / 10_000)
-    pages = t.conversations.groupBy("conv_id", part.alias("part")).agg(
-        F.array_sort(F.collect_list(F.struct("turn", page.alias("page")))).alias("p"), F.avg(confidence).alias("confidence"))
-    return pages.select(
-        shapes.uuid_from(F.col("conv_id").cast("string")).alias("documentId"), F.transform("p", lambda x: x["page"]).alias("pageResults"),
-        F.array_join(F.transform("p", lambda x: x["page"]["text"]), " ").alias("text"), "confidence",
+    """Conversations as recognised documents, rolled up; every two turns share a page number."""
+    pages = t.conversations.select(
+        "conv_id", F.floor(F.col("turn") / 2).alias("page"), "text", F.least(F.length("text") / F.lit(1000.0), F.lit(1.0)).alias("confidence"))
+    return ag.page_rollup(pages, "conv_id", "page", "text", "confidence").select(
+        "*", shapes.uuid_from(F.col("conv_id").cast("string")).alias("documentId"),
         F.timestamp_add("HOUR", F.col("conv_id"), st.naive("2024-01-28 00:00:00")).alias("processedAt"),
         F.struct((F.col("conv_id") % 100).alias("cpuUtilization"), (F.col("conv_id") % 5).alias("retryCount")).alias("metrics"))
 
@@ -195,7 +191,7 @@ def recognised(t: Tables):
     "not_future": f"TIMESTAMP '2024-01-28 00:00:00' + to_hours(conv_id) <= TIMESTAMP '{st.NOW}'", "cpu": "conv_id % 100 <= 95",
     "retries": "conv_id % 5 <= 3", "unique_pages": "numbers = pages"}))
 def v13(spark, sf):
-    return report(recognised(Tables(spark, sf)), v.processing_result(st.now()))
+    return report(recognised(Tables(spark, sf)), v.processing_summary(st.now()))
 
 
 @query("v14_during_processing", """SELECT user_id, e <= 0.001 AS error_rate_ok, t <= 300000 AS time_ok FROM (
@@ -291,7 +287,7 @@ PREVIOUS_SQL = f"SELECT *, lag(status) OVER (PARTITION BY job_id ORDER BY ts, ev
 def status_changes(t: Tables):
     # A low floor, so that the cut of hot keys is also at work on small tables.
     return ordered.with_previous(
-        st.history(t), ["job_id"], ["ts", "event_id"], ordered.minute_of("ts"), F.col("status"), "previous", hot_rows=70)
+        st.history(t), ["job_id"], ["ts", "event_id"], F.col("status"), "previous")
 
 
 @query("v21_transitions", f"SELECT event_id, previous, status FROM ({PREVIOUS_SQL}) WHERE previous IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {PAIRS} WHERE a = previous AND b = status)")

@@ -222,8 +222,7 @@ FROM (SELECT o_orderkey, date_diff('day', o_orderdate, TIMESTAMP '2001-08-01') A
         row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) - 1 AS newer_versions FROM orders)""")
 def s20(spark, sf):
     acted = tables.lifecycle_actions(
-        Tables(spark, sf).orders, ["o_custkey"], ["o_orderdate", "o_orderkey"],
-        F.struct("o_orderdate", F.floor(F.col("o_orderkey") / 1_000_000).alias("block")), st.naive("2001-08-01 00:00:00"))
+        Tables(spark, sf).orders, ["o_custkey"], ["o_orderdate", "o_orderkey"], st.naive("2001-08-01 00:00:00"))
     return acted.select("o_orderkey", "newer_versions", "action")
 
 
@@ -315,6 +314,23 @@ def s29(spark, sf):
         rejected.select("job_id", "status", F.lit("rejected").alias("outcome"), F.lit(1).alias("version")))
 
 
+@query("s29_updates_in_order", """WITH RECURSIVE u AS (SELECT o_custkey AS job_id, o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'RUNNING' WHEN 1 THEN 'COMPLETED' WHEN 2 THEN 'FAILED' ELSE 'RETRYING' END AS status,
+  row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders),
+f AS (SELECT job_id, o_orderkey, status, n, status IN ('RUNNING', 'FAILED') AS accepted, CASE WHEN status IN ('RUNNING', 'FAILED') THEN status ELSE 'PENDING' END AS now,
+    CASE WHEN status IN ('RUNNING', 'FAILED') THEN 2 ELSE 1 END AS version FROM u WHERE n = 1
+  UNION ALL SELECT job_id, o_orderkey, status, n, a, CASE WHEN a THEN status ELSE now END, CASE WHEN a THEN version + 1 ELSE version END FROM (
+    SELECT u.job_id, u.o_orderkey, u.status, u.n, f.now, f.version, (f.now || '-' || u.status) IN ('PENDING-RUNNING', 'PENDING-FAILED', 'RUNNING-COMPLETED', 'RUNNING-FAILED', 'RUNNING-RETRYING',
+      'RETRYING-RUNNING', 'RETRYING-FAILED', 'FAILED-RETRYING') AS a FROM f JOIN u ON u.job_id = f.job_id AND u.n = f.n + 1))
+SELECT job_id, o_orderkey, status, version FROM f WHERE accepted""")
+def s29_in_order(spark, sf):
+    t = Tables(spark, sf)
+    log = tables.new_jobs(t.customer.select(F.col("c_custkey").alias("job_id")), st.now())
+    moves = {0: "RUNNING", 1: "COMPLETED", 2: "FAILED", 3: "RETRYING"}
+    updates = t.orders.select(F.col("o_custkey").alias("job_id"), st.one_of(F.pmod("o_orderkey", F.lit(4)), moves, None).alias("status"), "o_orderkey")
+    accepted, _ = tables.status_update(log, updates, "job_id", "o_orderkey")
+    return accepted.select("job_id", "o_orderkey", "status", "version")
+
+
 @query("u02_union_datasets", "SELECT source_type, count(*) AS n, count(url) AS with_url FROM (" + UNIFIED_SQL + ") GROUP BY 1")
 def u02(spark, sf):
     return unified(spark, sf).groupBy("source_type").agg(F.count("*").alias("n"), F.count("url").alias("with_url"))

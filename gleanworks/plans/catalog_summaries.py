@@ -58,11 +58,29 @@ def a05(spark, sf):
     return Tables(spark, sf).part.select("p_partkey", F.round(scores.combined_confidence(entities, categories), 6).alias("confidence"))
 
 
-@query("a06_page_rollup", """SELECT conv_id, 0::BIGINT AS part, trim(string_agg(text, ' ' ORDER BY turn)) AS text, round(avg(least(length(text) / 1000.0::DOUBLE, 1.0)), 6) AS confidence,
-  count(*) AS pages FROM conversations GROUP BY 1""")
+SCORED_PAGES_SQL = "SELECT *, least(length(text) / 1000.0::DOUBLE, 1.0) AS confidence FROM conversations"
+
+
+def scored_pages(t: Tables):
+    return t.conversations.withColumn("confidence", F.least(F.length("text") / F.lit(1000.0), F.lit(1.0)))
+
+
+@query("a06_page_rollup", f"""SELECT conv_id, trim(string_agg(text, ' ' ORDER BY turn)) AS text, round(avg(confidence), 6) AS confidence,
+  count(*) AS pages FROM ({SCORED_PAGES_SQL}) GROUP BY 1""")
 def a06(spark, sf):
-    pages = Tables(spark, sf).conversations.withColumn("confidence", F.least(F.length("text") / F.lit(1000.0), F.lit(1.0)))
-    return ag.page_rollup(pages, "conv_id", "turn", "text", "confidence").withColumn("confidence", F.round("confidence", 6))
+    rows = ag.page_rollup(scored_pages(Tables(spark, sf)), "conv_id", "turn", "text", "confidence", join_text=True)
+    return rows.select("conv_id", "text", F.round("confidence", 6).alias("confidence"), "pages")
+
+
+@query("a06_page_summary", f"""SELECT conv_id, count(*) AS pages, count(DISTINCT turn) AS page_numbers, sum(length(text))::BIGINT AS characters, round(avg(confidence), 6) AS confidence,
+  min(confidence) AS least_confidence, max(confidence) AS most_confidence FROM ({SCORED_PAGES_SQL}) GROUP BY 1""")
+def a06_summary(spark, sf):
+    return ag.page_rollup(scored_pages(Tables(spark, sf)), "conv_id", "turn", "text", "confidence").withColumn("confidence", F.round("confidence", 6))
+
+
+@query("a06_ordered_pages", "SELECT conv_id, turn, text FROM conversations ORDER BY conv_id, turn")
+def a06_pages(spark, sf):
+    return ag.ordered_pages(Tables(spark, sf).conversations, "conv_id", "turn", "text")
 
 
 # --- counts and summaries ------------------------------------------------------------------

@@ -17,15 +17,6 @@ from gleanworks.streaming import ingest, state, windows
 BY_TIME = ["ts", "event_id"]
 
 
-def minute():
-    return ordered.minute_of("ts")
-
-
-def order_slice():
-    """Dates repeat in orders, so the slice also follows the key that breaks ties."""
-    return F.struct("o_orderdate", F.floor(F.col("o_orderkey") / 1_000_000).alias("block"))
-
-
 # --- histories ------------------------------------------------------------------------------
 
 
@@ -37,9 +28,9 @@ def w01(spark, sf):
 @query("w02_version_steps", f"""SELECT event_id, version, version - lag(version) OVER (PARTITION BY job_id ORDER BY ts, event_id) = 1 AS by_one FROM (
   SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY ts, event_id) AS version FROM ({st.HISTORY_SQL})) WHERE value >= 5""")
 def w02(spark, sf):
-    versions = ordered.with_position(st.history(Tables(spark, sf)), ["job_id"], BY_TIME, minute(), "version").where("value >= 5")
+    versions = ordered.with_position(st.history(Tables(spark, sf)), ["job_id"], BY_TIME, "version").where("value >= 5")
     stored = tables.publish(versions.select("job_id", "ts", "event_id", "version"), "w02")
-    steps = ordered.with_previous(stored, ["job_id"], BY_TIME, minute(), F.col("version"), "before")
+    steps = ordered.with_previous(stored, ["job_id"], BY_TIME, F.col("version"), "before")
     return steps.select("event_id", "version", (F.col("version") - F.col("before") == 1).alias("by_one"))
 
 
@@ -51,7 +42,7 @@ def w03(spark, sf):
 @query("w04_newer_versions", "SELECT o_orderkey, count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC ROWS UNBOUNDED PRECEDING) - 1 AS newer FROM orders")
 def w04(spark, sf):
     numbered = ordered.with_position(
-        Tables(spark, sf).orders, ["o_custkey"], ["o_orderdate", "o_orderkey"], order_slice(), "n", descending=True, hot_rows=10)
+        Tables(spark, sf).orders, ["o_custkey"], ["o_orderdate", "o_orderkey"], "n", descending=True)
     return numbered.select("o_orderkey", (F.col("n") - 1).alias("newer"))
 
 
@@ -100,7 +91,7 @@ def w07(spark, sf):
   SELECT *, date_diff('second', date_trunc('second', lag(ts) OVER (PARTITION BY job_id ORDER BY ts, event_id)), date_trunc('second', ts)) AS gap FROM ({st.HISTORY_SQL}) WHERE status = 'RUNNING') GROUP BY 1, 2""")
 def w08(spark, sf):
     runs = st.history(Tables(spark, sf)).where("status = 'RUNNING'")
-    gaps = ordered.with_previous(runs, ["job_id"], BY_TIME, minute(), times.epoch_seconds(F.col("ts")), "before")
+    gaps = ordered.with_previous(runs, ["job_id"], BY_TIME, times.epoch_seconds(F.col("ts")), "before")
     gap = times.epoch_seconds(F.col("ts")) - F.col("before")
     return gaps.groupBy("job_id", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(
         F.count("*").alias("runs"), F.count_if(gap < 3600).alias("too_close"), (F.count("*") > 24).alias("too_many"))
@@ -110,7 +101,7 @@ def w08(spark, sf):
   SELECT event_id, row_number() OVER (PARTITION BY job_id ORDER BY ts, event_id) AS attempt FROM ({st.HISTORY_SQL}) WHERE status = 'FAILED')""")
 def w09(spark, sf):
     failures = st.history(Tables(spark, sf)).where("status = 'FAILED'")
-    numbered = ordered.with_position(failures, ["job_id"], BY_TIME, minute(), "attempt", hot_rows=15)
+    numbered = ordered.with_position(failures, ["job_id"], BY_TIME, "attempt")
     return numbered.select("event_id", "attempt", times.backoff_ms(F.col("attempt"), 1000, 2, 30000).alias("delay_ms"))
 
 
@@ -282,13 +273,13 @@ def succeeded():
 
 @query("t12_lockout", LOCKOUT_SQL)
 def t12(spark, sf):
-    locked = state.lockouts_stream(event_stream(spark, sf), "user_id", BY_TIME, minute(), failed(), succeeded(), "t12", hot_rows=25)
+    locked = state.lockouts_stream(event_stream(spark, sf), "user_id", BY_TIME, failed(), succeeded(), "t12")
     return locked.select("event_id", "user_id")
 
 
 @query("t12_lockout_batch", LOCKOUT_SQL)
 def t12_batch(spark, sf):
-    rows = state.lockouts(Tables(spark, sf).events, "user_id", BY_TIME, minute(), failed(), succeeded(), hot_rows=25)
+    rows = state.lockouts(Tables(spark, sf).events, "user_id", BY_TIME, failed(), succeeded())
     return rows.select("event_id", "user_id")
 
 

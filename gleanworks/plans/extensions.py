@@ -5,12 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Stage = Callable[[DataFrame], DataFrame]
-TEXT_RESULT = "struct<text:string,confidence:double,pages:int>"
 
 
 @dataclass
@@ -31,19 +29,41 @@ class Collectors:
         return process(extract(pages))
 
 
-def text_extractor(read: Callable[[bytes], tuple[str, float, int]]):
-    """A vectorised column function from file content to (text, confidence, pages)."""
-    @F.pandas_udf(TEXT_RESULT)
-    def extract(content: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([read(c) if c is not None else (None, None, None) for c in content],
-                            columns=["text", "confidence", "pages"])
+@dataclass
+class TextExtractors:
+    """Extractors by MIME type: column expressions that read text, confidence and pages from a file's columns."""
+
+    _known: dict[str, Column] = field(default_factory=dict)
+
+    def register(self, mime: str, text: Column, confidence: Column, pages: Column) -> None:
+        if mime in self._known:
+            raise ValueError(f"an extractor for {mime} is already registered")
+        self._known[mime] = F.struct(
+            text.alias("text"), confidence.cast("double").alias("confidence"), pages.cast("bigint").alias("pages"), F.lit(True).alias("supported"))
+
+    def run(self, files: DataFrame, mime: str) -> DataFrame:
+        """Every file with ``extracted``; a file of an unknown type has ``supported`` false and no text."""
+        none = F.struct(F.lit(None).cast("string").alias("text"), F.lit(None).cast("double").alias("confidence"),
+                        F.lit(None).cast("bigint").alias("pages"), F.lit(False).alias("supported"))
+        chosen = none
+        for name, expression in self._known.items():
+            chosen = F.when(F.col(mime) == name, expression).otherwise(chosen)
+        return files.withColumn("extracted", chosen)
+
+
+@dataclass
+class TextSteps:
+    """A caller's steps over texts, as expressions that Spark plans together with everything else."""
 
-    return extract
+    _steps: dict[str, Callable[[Column], Column]] = field(default_factory=dict)
 
+    def add(self, name: str, step: Callable[[Column], Column]) -> None:
+        if name in self._steps:
+            raise ValueError(f"step {name} is already there")
+        self._steps[name] = step
 
-def text_step(apply: Callable[[pd.Series], pd.Series], returns: str):
-    """A caller's vectorised step over texts."""
-    return F.pandas_udf(apply, returns)
+    def run(self, df: DataFrame, text: str) -> DataFrame:
+        return df.withColumns({name: step(F.col(text)) for name, step in self._steps.items()})
 
 
 def custom_metrics(df: DataFrame, metrics: dict[str, Column]) -> DataFrame:

@@ -6,6 +6,9 @@ DataFrame; ``publish`` writes it to a new location.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import (
@@ -123,9 +126,9 @@ def retention_actions(df: DataFrame, kind: str, ts: str, now: Column,
     return df.join(rules, kind, "left").withColumn("age_days", age).withColumn("action", action)
 
 
-def lifecycle_actions(df: DataFrame, name: list[str], order: list[str], slice_by: Column, now: Column) -> DataFrame:
+def lifecycle_actions(df: DataFrame, name: list[str], order: list[str], now: Column) -> DataFrame:
     """DELETE versions old enough and superseded often enough; COLD storage by age alone."""
-    numbered = ordered.with_position(df, name, order, slice_by, "newest_first", descending=True)
+    numbered = ordered.with_position(df, name, order, "newest_first", descending=True)
     age = times.age_days(F.col(order[0]), now)
     newer = F.col("newest_first") - 1
     expired = (age >= fixed.LIFECYCLE_AGE_DAYS) & (newer >= fixed.LIFECYCLE_NEWER_VERSIONS)
@@ -167,20 +170,38 @@ def new_jobs(configs: DataFrame, at: Column) -> DataFrame:
 
 
 def status_update(log: DataFrame, updates: DataFrame, job: str, at: str, strict: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(accepted log rows, rejected updates) for at most one update per job.
+    """(accepted log rows, rejected updates); the updates of one job are applied in order of time, then status.
 
-    The current row of each job is the latest of the append-only log.
+    The current row of each job is the latest of the append-only log. An accepted update raises the version by one and
+    is what the next one is checked against; a rejected one changes nothing. Updates are dealt by job and read as a
+    sorted stream, so a job with very many of them needs no memory.
     """
     current = ordered.latest_per_key(log, [job], ["version"]).select(
-        job, F.col("status").alias("previous"), F.col("version").alias("_version")
-    )
-    moves = updates.join(current, job, "left")
-    allowed = joins.allowed_transitions(log.sparkSession, strict)
-    accepted = moves.join(allowed, ["previous", "status"], "left_semi").select(
-        job, "status", (F.col("_version") + 1).alias("version"), F.col(at)
+        job, F.col("status").alias("previous"), F.col("version").cast("bigint").alias("version")
     )
-    rejected = moves.join(allowed, ["previous", "status"], "left_anti").select(job, "previous", "status", F.col(at))
-    return accepted, rejected
+    pairs = set(fixed.STRICT_TRANSITIONS + ([] if strict else fixed.SCHEDULING_TRANSITIONS))
+    moves = updates.select(job, "status", at).join(current, job, "left").repartition(job).sortWithinPartitions(job, at, "status")
+    kinds = {f.name: f.dataType.simpleString() for f in moves.schema.fields}
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, now, version = None, None, None
+        for batch in batches:
+            before, accepted, versions = [], [], []
+            for name, status, known, first in zip(batch[job], batch["status"], batch["previous"], batch["version"], strict=True):
+                if name != last:
+                    last, now, version = name, known, first
+                before.append(now)
+                accepted.append((now, status) in pairs)
+                if accepted[-1]:
+                    now, version = status, version + 1
+                versions.append(version)
+            yield batch.assign(previous=before, version=pd.array(versions, dtype="Int64"), accepted=accepted)
+
+    folded = moves.mapInPandas(
+        fold, f"`{job}` {kinds[job]}, status {kinds['status']}, `{at}` {kinds[at]}, previous {kinds['previous']}, version bigint, accepted boolean")
+    version = F.col("version").cast(log.schema["version"].dataType).alias("version")
+    return (folded.where("accepted").select(job, "status", version, F.col(at)),
+            folded.where("not accepted").select(job, "previous", "status", F.col(at)))
 
 
 def route(records: DataFrame, classification: str) -> DataFrame:

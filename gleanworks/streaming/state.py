@@ -90,17 +90,17 @@ def alert_transitions_stream(windows: DataFrame, series: str, breach: Column, **
     )
 
 
-def lockouts(events: DataFrame, user: str, order: list[str], slice_by: Column, failed: Column,
-             succeeded: Column, limit: int = fixed.LOCKOUT_FAILURES, hot_rows: int = ordered.HOT_ROWS) -> DataFrame:
+def lockouts(events: DataFrame, user: str, order: list[str], failed: Column,
+             succeeded: Column, limit: int = fixed.LOCKOUT_FAILURES) -> DataFrame:
     """Rows at which a user reaches ``limit`` failures since the last success."""
     rows = events.where(failed | succeeded)
-    counted = ordered.with_streak(rows, [user], order, slice_by, failed, succeeded, "streak", hot_rows)
+    counted = ordered.with_streak(rows, [user], order, failed, succeeded, "streak")
     return counted.where(failed & (F.col("streak") == limit)).select(*events.columns)
 
 
-def lockouts_stream(stream: DataFrame, user: str, order: list[str], slice_by: Column, failed: Column,
+def lockouts_stream(stream: DataFrame, user: str, order: list[str], failed: Column,
                     succeeded: Column, label: str, limit: int = fixed.LOCKOUT_FAILURES,
-                    hot_rows: int = ordered.HOT_ROWS, root: str | None = None) -> DataFrame:
+                    root: str | None = None) -> DataFrame:
     """Lockout rows from a stream, with the open streak of each user carried between batches.
 
     Every micro-batch uses the sliced computation above, so a busy user does not end up in
@@ -118,7 +118,7 @@ def lockouts_stream(stream: DataFrame, user: str, order: list[str], slice_by: Co
             else spark.createDataFrame([], streaks)
         )
         rows = batch.where(failed | succeeded)
-        here = ordered.with_streak(rows, [user], order, slice_by, failed, succeeded, "here", hot_rows)
+        here = ordered.with_streak(rows, [user], order, failed, succeeded, "here")
         open_streaks = before.select(user, F.col("streak").alias("_carried"))
         carried = F.when(~F.col("here_closed"), F.col("_carried"))
         counted = joins.salted_join(here, open_streaks, [user], F.struct(*order), how="left").withColumn(

@@ -26,7 +26,9 @@ def test_selector_errors(spark):
     large = html.extract_selectors(page(spark, "<p>12345</p>"), "page_id", "html", {"x": "p"}, max_html=5).first()
     assert (large.content, large.error) == ("", "TOO_LARGE")
     capped = html.extract_selectors(page(spark, "<p>12345</p>"), "page_id", "html", {"x": "p"}, max_text=3).first()
-    assert capped.content == "123"
+    assert (capped.content, capped.error) == ("123", "CUT")
+    whole = html.extract_selectors(page(spark, "<p>" + "x" * 1_000_005 + "</p>"), "page_id", "html", {"x": "p"}).first()
+    assert (len(whole.content), whole.error, whole.size) == (1_000_005, None, 1_000_012)
     with pytest.raises(ValueError):
         html.compile_selector("a > b")
 
@@ -58,12 +60,35 @@ def test_links(spark):
         "https://h.org/x", "https://h.org/a/y", "https://k.org/z", "https://h.org/a/b#f", "https://h.org/a/s", "https://h.org/a/u"]
 
 
+@pytest.mark.parametrize("body, found", [
+    ('<a href="a b.html">x</a>', ["https://h.org/a/a%20b.html"]),
+    ('<a title="a>b" href="q.html">x</a>', ["https://h.org/a/q.html"]),
+    ('<a title="x href=bad" href="good">x</a>', ["https://h.org/a/good"]),
+    ('<textarea><a href="hidden"></textarea><a href=shown>', ["https://h.org/a/shown"]),
+    ('<a href="a&#47;b&#x2f;c&amp;d">x</a>', ["https://h.org/a/a/b/c&d"]),
+    ('<a href="HTTP://EX.org:80/x">x</a><a href="http://ex.org/x">y</a><a href="https://EX.org:443">z</a>', ["http://ex.org/x", "https://ex.org/"]),
+    ('<a href="\n /p\n/q \n">x</a>', ["https://h.org/p/q"]),
+    ('<a href="/é?q=ü">x</a>', ["https://h.org/%C3%A9?q=%C3%BC"]),
+    ('<abbr href="no"><a data-href="no">x</a><a\nHREF=\'yes\'>y</a>', ["https://h.org/a/yes"]),
+    ('<a href="">x</a><a href>y</a><a href="javascript:z">z</a>', []),
+])
+def test_links_as_a_browser_resolves_them(spark, body, found):
+    assert [r.link for r in html.extract_links(page(spark, body), "page_id", "html", "url").orderBy("position").collect()] == found
+
+
+def test_no_link_or_row_is_dropped(spark):
+    body = "".join(f'<a href="/{k}">' for k in range(5005)) + f'<a href="/{"x" * 3000}">'
+    rows = html.extract_links(page(spark, body), "page_id", "html", "url").collect()
+    assert len(rows) == 5006 and [r.too_long for r in rows] == [False] * 5005 + [True]
+    table = "<table><tr><th>N</th></tr>" + "".join(f"<tr><td>{k}</td></tr>" for k in range(10_005)) + "</table>"
+    assert html.extract_tables(page(spark, table), "page_id", "html").count() == 10_005
+
+
 def test_tables(spark):
     body = ("<table><tr><th>D</th><th>Dose</th></tr><tr><td>A</td><td>5</td></tr><tr><td>B</td><td>10</td></tr></table>"
             "<table><tr><td>no header</td></tr></table>")
     rows = html.extract_tables(page(spark, body), "page_id", "html").orderBy("row_no").collect()
     assert [r.cells for r in rows] == [{"D": "A", "Dose": "5"}, {"D": "B", "Dose": "10"}]
-    assert html.extract_tables(page(spark, body), "page_id", "html", max_rows=1).count() == 1
 
 
 def text(spark, *texts):

@@ -10,7 +10,17 @@ from pyspark.sql import functions as F
 from gleanworks.operators import ordered, percentiles
 
 ROWS = 600
-CUTS = pytest.mark.parametrize("hot_rows", [50, 3, 10**9], ids=["hot key cut", "most keys cut", "no key cut"])
+
+
+@pytest.fixture(autouse=True, params=[1, 8], ids=["one range", "eight ranges"])
+def ranges(spark, request):
+    """How many ranges rows are dealt to: adaptive execution would join small ones into one."""
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", request.param)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
 
 
 @pytest.fixture(scope="module")
@@ -27,14 +37,9 @@ def by_key(rows):
     return {k: sorted(g, key=lambda r: (r[1], r[2])) for k, g in groups.items()}
 
 
-def slices():
-    return F.floor(F.col("t") / 250)
-
-
-@CUTS
-def test_previous(skewed, hot_rows):
+def test_previous(skewed):
     rows, df = skewed
-    got = {r.i: r.before for r in ordered.with_previous(df, ["k"], ["t", "i"], slices(), F.col("v"), "before", hot_rows).collect()}
+    got = {r.i: r.before for r in ordered.with_previous(df, ["k"], ["t", "i"], F.col("v"), "before").collect()}
     want = {}
     for group in by_key(rows).values():
         for before, row in zip([None] + group[:-1], group):
@@ -44,16 +49,15 @@ def test_previous(skewed, hot_rows):
 
 def test_previous_keeps_null_values(spark):
     df = spark.createDataFrame([("a", 1, 1, None), ("a", 300, 2, 5)], "k string, t bigint, i bigint, v bigint")
-    rows = ordered.with_previous(df, ["k"], ["t", "i"], slices(), F.col("v"), "before", 0).orderBy("t").collect()
+    rows = ordered.with_previous(df, ["k"], ["t", "i"], F.col("v"), "before").orderBy("t").collect()
     assert [r.before for r in rows] == [None, None]
 
 
-@CUTS
 @pytest.mark.parametrize("descending", [False, True])
-def test_position_and_total(skewed, descending, hot_rows):
+def test_position_and_total(skewed, descending):
     rows, df = skewed
-    total = ordered.with_running_total(df, ["k"], ["t", "i"], slices(), F.col("v"), "total", descending, hot_rows)
-    placed = ordered.with_position(total, ["k"], ["t", "i"], slices(), "n", descending, hot_rows)
+    total = ordered.with_running_total(df, ["k"], ["t", "i"], F.col("v"), "total", descending)
+    placed = ordered.with_position(total, ["k"], ["t", "i"], "n", descending)
     got = {r.i: (r.total, r.n) for r in placed.collect()}
     want = {}
     for group in by_key(rows).values():
@@ -63,10 +67,9 @@ def test_position_and_total(skewed, descending, hot_rows):
     assert got == want
 
 
-@CUTS
-def test_running_max(skewed, hot_rows):
+def test_running_max(skewed):
     rows, df = skewed
-    got = {r.i: r.top for r in ordered.with_running_max(df, ["k"], ["t", "i"], slices(), F.when(F.col("v") > 0, F.col("v")), "top", hot_rows).collect()}
+    got = {r.i: r.top for r in ordered.with_running_max(df, ["k"], ["t", "i"], F.when(F.col("v") > 0, F.col("v")), "top").collect()}
     want = {}
     for group in by_key(rows).values():
         for n, row in enumerate(group, 1):
@@ -74,11 +77,10 @@ def test_running_max(skewed, hot_rows):
     assert got == want
 
 
-@CUTS
-def test_streak(skewed, hot_rows):
+def test_streak(skewed):
     rows, df = skewed
     hit, reset = F.col("v") > 0, F.col("v") < -6
-    got = {r.i: (r.n, r.n_closed) for r in ordered.with_streak(df, ["k"], ["t", "i"], slices(), hit, reset, "n", hot_rows).collect()}
+    got = {r.i: (r.n, r.n_closed) for r in ordered.with_streak(df, ["k"], ["t", "i"], hit, reset, "n").collect()}
     want = {}
     for group in by_key(rows).values():
         n, closed = 0, False
@@ -89,12 +91,20 @@ def test_streak(skewed, hot_rows):
     assert got == want
 
 
-@CUTS
-def test_struct_slices(skewed, hot_rows):
-    rows, df = skewed
-    by = F.struct("t", F.floor(F.col("i") / 100).alias("block"))
-    got = {r.i: r.n for r in ordered.with_position(df, ["k"], ["t", "i"], by, "n", True, hot_rows).collect()}
-    assert got == {row[2]: n for g in by_key(rows).values() for n, row in enumerate(g[::-1], 1)}
+def test_hot_null_key_and_burst(spark):
+    """A third of the rows have no key, and another third share one key and one time: both spread over ranges."""
+    rows = [(None if i % 3 == 0 else "burst" if i % 3 == 1 else f"k{i}", 7 if i % 3 == 1 else i % 50, i) for i in range(ROWS)]
+    df = spark.createDataFrame(rows, "k string, t bigint, i bigint")
+    got = {r.i: (r.n, r.before) for r in ordered.with_previous(
+        ordered.with_position(df, ["k"], ["t", "i"], "n"), ["k"], ["t", "i"], F.col("i"), "before").collect()}
+    want = {}
+    for group in by_key([(str(k), t, i) for k, t, i in rows]).values():
+        for n, row in enumerate(group, 1):
+            want[row[2]] = (n, group[n - 2][2] if n > 1 else None)
+    assert got == want
+    if spark.conf.get("spark.sql.shuffle.partitions") == "8":
+        spread = ordered._ranged(df, ["k"], ["t", "i"]).groupBy("_range").count().collect()
+        assert max(r["count"] for r in spread) < ROWS / 4
 
 
 def test_latest(skewed):
@@ -125,7 +135,16 @@ def test_percentiles(spark, method, numpy_method):
     for g, v in rows:
         groups[g].append(v)
     groups["one"] = [4.0]
-    assert got.keys() == groups.keys()
+    assert got.keys() == groups.keys() | {"empty"} and got.pop("empty") == [None] * 5
     for g, values in groups.items():
         want = [np.quantile(values, p, method=numpy_method) for p in points.values()]
         assert got[g] == pytest.approx(want)
+
+
+def test_percentiles_of_nan_null_groups_and_narrow_ranges(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("a", nan), (None, 3.0), (None, 5.0), ("none", None)], "g string, v double")
+    got = {r.g: (r.p50, r.p100) for r in percentiles.percentiles(df, ["g"], F.col("v"), {"p50": 0.5, "p100": 1.0}).collect()}
+    assert got["a"][0] == 2.0 and got["a"][1] != got["a"][1] and got[None] == (4.0, 5.0) and got["none"] == (None, None)
+    narrow = spark.range(5000).select(F.lit("x").alias("g"), (F.lit(1.7e9) + F.col("id") / 1000).alias("v"))
+    assert percentiles.percentiles(narrow, ["g"], F.col("v"), {"p50": 0.5}).first().p50 == pytest.approx(1.7e9 + 2.4995)

@@ -84,8 +84,8 @@ def test_rate_limits_equal_batch(spark, feed):
 def test_lockouts_carry_over_batches(spark, feed, files):
     bad, good = F.col("kind") == "bad", (F.col("kind") == "good") & (F.col("value") > 8)
     order = ["ts", "event_id"]
-    streamed = state.lockouts_stream(stream(spark, feed, files), "user_id", order, ordered.minute_of("ts"), bad, good, "l", limit=6, hot_rows=10)
-    batch = state.lockouts(feed[0], "user_id", order, ordered.minute_of("ts"), bad, good, limit=6, hot_rows=50)
+    streamed = state.lockouts_stream(stream(spark, feed, files), "user_id", order, bad, good, "l", limit=6)
+    batch = state.lockouts(feed[0], "user_id", order, bad, good, limit=6)
     streak, want = {}, set()
     for r in sorted(feed[0].collect(), key=lambda r: (r.ts, r.event_id)):
         if r.kind == "good" and r.value > 8:
@@ -108,7 +108,7 @@ def test_lockouts_resume_from_their_folder(spark):
     for part in (rows[:2], rows[2:]):
         tables.append(spark.createDataFrame(part, schema), source)
         arriving = ingest.read_stream(spark, source, spark.createDataFrame([], schema).schema)
-        found = state.lockouts_stream(arriving, "user_id", ["ts", "event_id"], ordered.minute_of("ts"), bad, good, "r", root=root)
+        found = state.lockouts_stream(arriving, "user_id", ["ts", "event_id"], bad, good, "r", root=root)
     assert [r.event_id for r in found.collect()] == [2]
 
 
@@ -148,8 +148,9 @@ def test_hours_without_rows_count_as_zero(spark):
     assert [(r.n, r.below_floor) for r in rows] == [(1, False), (0, True), (0, True), (1, False)]
 
 
-def test_rollup_parts(spark):
+def test_rollup(spark):
     pages = spark.createDataFrame([(1, i, t, c) for i, (t, c) in enumerate([("x", 90.0), ("y", 80.0)])], "d int, p int, t string, c double")
-    row = aggregates.page_rollup(pages, "d", "p", "t", "c").first()
-    assert (row.text, row.confidence, row.part) == ("x y", 85.0, 0)
-    assert [r.text for r in aggregates.page_rollup(pages, "d", "p", "t", "c", 1).orderBy("part").collect()] == ["x", "y"]
+    row = aggregates.page_rollup(pages, "d", "p", "t", "c", join_text=True).first()
+    assert (row.text, row.confidence, row.pages, row.page_numbers, row.characters, row.least_confidence) == ("x y", 85.0, 2, 2, 2, 80.0)
+    long = spark.range(10_004).select(F.lit(7).alias("d"), F.col("id").alias("p"), F.lit("t").alias("t"), F.lit(0.9).alias("c"))
+    assert [(r.d, r.pages) for r in aggregates.page_rollup(long, "d", "p", "t", "c").collect()] == [(7, 10_004)]

@@ -41,7 +41,7 @@ def test_retention(spark, age, action):
 
 def test_lifecycle_by_newer_versions(spark):
     df = spark.createDataFrame([("a", datetime(2024, 2, 22), i) for i in range(5)], "name string, ts timestamp_ntz, i int")
-    acted = tables.lifecycle_actions(df, ["name"], ["ts", "i"], F.to_date("ts"), now())
+    acted = tables.lifecycle_actions(df, ["name"], ["ts", "i"], now())
     assert {r.i: (r.newer_versions, r.action) for r in acted.collect()} == {
         4: (0, "KEEP"), 3: (1, "KEEP"), 2: (2, "KEEP"), 1: (3, "DELETE"), 0: (4, "DELETE")}
 
@@ -63,6 +63,14 @@ def test_status_update(spark):
     assert {r.job for r in rejected.collect()} == {"b", "c"}
 
 
+def test_status_updates_of_one_job_apply_in_order(spark):
+    log = spark.createDataFrame([("a", "PENDING", 1, 0)], "job string, status string, version int, at int")
+    updates = spark.createDataFrame([("a", s, k) for k, s in enumerate(["RUNNING", "RUNNING", "FAILED", "COMPLETED", "RETRYING"])], "job string, status string, at int")
+    accepted, rejected = tables.status_update(log, updates, "job", "at")
+    assert sorted((r.at, r.status, r.version) for r in accepted.collect()) == [(0, "RUNNING", 2), (2, "FAILED", 3), (4, "RETRYING", 4)]
+    assert sorted((r.at, r.previous) for r in rejected.collect()) == [(1, "RUNNING"), (3, "FAILED")]
+
+
 @pytest.mark.parametrize("pairs, strict, bad", [
     ([("PENDING", "RUNNING"), ("RUNNING", "COMPLETED")], True, 0), ([("COMPLETED", "RUNNING")], True, 1), ([("FAILED", "RETRYING")], True, 0),
     ([("RUNNING", "CANCELLED")], True, 1), ([("RUNNING", "CANCELLED")], False, 0), ([(None, "PENDING")], True, 0),
@@ -89,9 +97,12 @@ def test_children_equal_a_left_join(spark):
     assert [r.k for r in joins.orphans(parents, children, "k").collect()] == [2]
 
 
-def test_rule_tables_are_bounded(spark):
-    with pytest.raises(ValueError):
-        joins.rule_table(spark, [("x",)] * 10_001, "a string")
+def test_only_small_rule_tables_are_marked_for_broadcast(spark, capsys):
+    for rows, hint in ((10, True), (10_001, False)):
+        table = joins.rule_table(spark, [(str(k),) for k in range(rows)], "a string")
+        assert table.count() == rows
+        table.explain(True)
+        assert ("ResolvedHint" in capsys.readouterr().out) == hint
 
 
 def test_queries_are_checked():
@@ -114,13 +125,26 @@ def test_query_and_keyset_pages(spark):
     seen, cursor = [], None
     while True:
         rows = paging.after_cursor(df, "status", "id", cursor, 10).collect()
-        seen += [r.id for r in rows[:10]]
-        cursor = paging.next_cursor(rows, "status", "id", 10)
+        seen += [r.id for r in rows]
+        cursor = paging.next_cursor(rows)
         if cursor is None:
             break
     assert seen == [r.id for r in df.orderBy("status", "id").collect()]
 
 
+@pytest.mark.parametrize("order", ["asc", "desc"])
+def test_keyset_walks_over_nulls(spark, order):
+    df = spark.createDataFrame([(1, None), (2, 5), (3, None), (4, 1), (5, 5), (6, None)], "id int, v int")
+    seen, cursor = [], None
+    while True:
+        rows = paging.after_cursor(df, "v", "id", cursor, 2, order).collect()
+        seen += [r.id for r in rows]
+        cursor = paging.next_cursor(rows)
+        if cursor is None:
+            break
+    assert seen == ([4, 2, 5] if order == "asc" else [2, 5, 4]) + [1, 3, 6]
+
+
 def test_clearance(spark):
     df = spark.createDataFrame([("PUBLIC", "RESTRICTED"), ("RESTRICTED", "INTERNAL"), ("OTHER", "RESTRICTED")], "r string, c string")
     assert [x.ok for x in df.select(predicates.cleared_for(F.col("r"), F.col("c")).alias("ok")).collect()] == [True, False, False]
@@ -215,3 +239,17 @@ def test_shared_folder_setting_wins():
     assert new_location(Session(**{"spark.checkpoint.dir": "hdfs:///shared"}), "x").startswith("hdfs:///shared/x-")
     with pytest.raises(ValueError):
         new_location(Session(), "x")
+
+
+def test_keys_are_not_in_plans(spark, capsys):
+    keys = {1: bytes(range(32)), 2: bytes(range(32, 64))}
+    df = spark.createDataFrame([(1, "secret")], "id int, v string")
+    sealed = protection.encrypt(df, "v", keys, 1, F.col("id"))
+    turned = protection.rotate(sealed, "v", keys, 2, F.col("id"))
+    opened = turned.select(protection.decrypted("v", keys, F.col("id")).alias("v"))
+    assert opened.first().v == "secret"
+    for frame in (sealed, turned, opened):
+        frame.explain(True)
+        frame.explain("codegen")
+    shown = capsys.readouterr().out.lower().replace(" ", "").replace(",", "")
+    assert all(k.hex()[:16] not in shown and "".join(map(str, k))[:20] not in shown for k in keys.values())
