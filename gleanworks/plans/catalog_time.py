@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gleanworks import schemas
+from gleanworks import fixed, schemas
 from gleanworks.functions import times
 from gleanworks.operators import aggregates as ag, alerts, ordered
 from gleanworks.plans import standins as st
@@ -125,6 +125,42 @@ def w10_users(spark, sf):
     return share.select("user_id", "second", F.round("share", 6).alias("share"), (F.col("share") * 100 >= 50).alias("tripped"))
 
 
+# Metric points from events: an hour becomes a minute, so that windows of all policies hold points.
+METRICS = {"click": ("processing_time", 8.0), "view": ("memory_usage", 2.0), "purchase": ("throughput", 60.0), "error": ("scraping_errors", 0.001),
+           "signup": ("response_time", 15.0)}
+POINTS_SQL = " UNION ALL ".join(
+    f"SELECT '{metric}' AS metric, epoch(date_trunc('second', ts))::BIGINT // 60 AS second, value * {factor}::DOUBLE AS value FROM events WHERE event_type = '{kind}'"
+    for kind, (metric, factor) in METRICS.items())
+POLICIES_SQL = "(VALUES " + ", ".join(
+    f"('{name}', {w}, '{aligner}', '{comparison}', {threshold}::DOUBLE, {duration})"
+    for name, (w, aligner, comparison, threshold, duration, *_) in fixed.ALERT_POLICIES.items()) + ") p(policy, seconds, aligner, comparison, threshold, duration)"
+ALIGNED_SQL = f"""SELECT *, CASE comparison WHEN 'LT' THEN value < threshold ELSE value > threshold END AS breach FROM (
+  SELECT policy, second - second % seconds AS window_second, CASE aligner WHEN 'mean' THEN avg(value) WHEN 'max' THEN max(value) WHEN 'rate' THEN sum(value) / seconds
+    ELSE quantile_cont(value, 0.95) END AS value, seconds, comparison, threshold, duration FROM ({POINTS_SQL}) JOIN {POLICIES_SQL} ON policy = metric
+  GROUP BY policy, second - second % seconds, aligner, seconds, comparison, threshold, duration)"""
+
+
+def policy_aligned(t: Tables):
+    kind, second = F.col("event_type"), F.floor(times.epoch_seconds(F.col("ts")) / 60)
+    factor = st.one_of(kind, {k: f for k, (_, f) in METRICS.items()}, 0.0)
+    points = t.events.select(
+        st.one_of(kind, {k: m for k, (m, _) in METRICS.items()}, "").alias("metric"), F.lit("all").alias("series"), second.alias("second"),
+        (F.col("value") * factor).alias("value"))
+    return alerts.policy_windows(points, alerts.policy_table(t.spark))
+
+
+@query("t02_policy_breaches", f"SELECT policy, window_second, round(value, 6) AS value FROM ({ALIGNED_SQL}) WHERE breach")
+def t02_policies(spark, sf):
+    return policy_aligned(Tables(spark, sf)).where("breach").select("policy", "window_second", F.round("value", 6).alias("value"))
+
+
+@query("w05_policy_alerts", f"""SELECT policy, window_second FROM (SELECT *, row_number() OVER (PARTITION BY policy, run ORDER BY window_second) AS place FROM (
+  SELECT *, window_second // seconds - row_number() OVER (PARTITION BY policy ORDER BY window_second) AS run FROM ({ALIGNED_SQL}) WHERE breach))
+WHERE place = greatest(ceil(duration / seconds::DOUBLE), 1)""")
+def w05_policies(spark, sf):
+    return alerts.policy_fired(policy_aligned(Tables(spark, sf))).select("policy", "window_second")
+
+
 # --- streams ----------------------------------------------------------------------------------
 # Append mode emits a window once the watermark (ten minutes behind the newest row) passes its end.
 

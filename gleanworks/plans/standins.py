@@ -194,3 +194,16 @@ def classified(t: Tables) -> DataFrame:
 
 
 CLASSIFIED_SQL = f"SELECT *, {level_sql('c_custkey')} AS classification FROM customer"
+
+
+# Documents with a note, so that every kind of mention and every outcome of the analysis occurs; every seventh is unreadable.
+MENTIONS = {
+    0: " Aspirin tablets forte 1500 mg twice daily.", 1: " Enrolled in clinical trial NCT01234567.", 2: " It interacts with warfarin sodium.",
+    4: " Severe headache with nausea after 20 mg.", 5: " Write to someone.long@example.com about the study.",
+}
+MENTIONED_SQL = f"""SELECT doc_id, CASE WHEN doc_id % 7 = 3 THEN '' ELSE text || {one_of_sql('(doc_id % 7)', MENTIONS, '')} END AS text FROM documents"""
+
+
+def mentioned(documents):
+    number = F.pmod("doc_id", F.lit(7))
+    return documents.select("doc_id", F.when(number == 3, "").otherwise(F.concat("text", one_of(number, MENTIONS, ""))).alias("text"))

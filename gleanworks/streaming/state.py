@@ -77,6 +77,21 @@ def alert_transitions(windows: DataFrame, series: str, breach: Column, **policy)
     )
 
 
+def policy_transitions(windows: DataFrame, until: int | None = None) -> DataFrame:
+    """OPEN, CLOSE and NOTIFY events per policy and series, each by its own policy (rows of ``alerts.policy_windows``).
+
+    With ``until`` (seconds), a series that fell silent is closed once its auto-close time is over by then.
+    """
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        policy = {name: int(frame[name].iloc[0]) for name in ("seconds", "duration", "auto_close", "period")}
+        now, events = _walk(FRESH, frame.rename(columns={"window_second": "at"}), **policy)
+        if until is not None and now[3] and until - now[2] >= policy["auto_close"]:
+            events.append((now[2] + policy["auto_close"], "CLOSE"))
+        return pd.DataFrame([(*key, at, event) for at, event in events], columns=["policy", "series", "at", "event"])
+
+    return windows.groupBy("policy", "series").applyInPandas(run, "policy string, series string, at bigint, event string")
+
+
 def alert_transitions_stream(windows: DataFrame, series: str, breach: Column, **policy) -> DataFrame:
     """The same events from a stream of aligned windows; state survives restarts."""
     def run(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:

@@ -16,7 +16,7 @@ from gleanworks.plans import catalog  # noqa: E402
 
 FOLDER = "/root/testdata/sf0.001"
 QUERIES, ORACLES = catalog.QUERIES, catalog.ORACLES
-WITHOUT_SQL = {"x02_sanitise"}
+WITHOUT_SQL = set()
 
 pytestmark = pytest.mark.skipif(not Path(FOLDER).exists(), reason="needs the given tables")
 
@@ -57,3 +57,10 @@ def test_flagship(spark):
 def test_inventory_is_covered(group, last, gaps):
     present = {int(m.group(1)) for m in (re.match(rf"{group}(\d\d)_", name) for name in QUERIES) if m}
     assert present == set(range(1, last + 1)) - gaps
+
+
+def test_every_outcome_and_kind_of_mention_occurs(spark):
+    outcomes = {(r.status, r.reason) for r in QUERIES["x10_nlp_gate"](spark, FOLDER).select("status", "reason").distinct().collect()}
+    assert outcomes == {("COMPLETED", None), ("FAILED", "LOW_CONFIDENCE"), ("FAILED", "UNREADABLE")}
+    kinds = {r.type for r in QUERIES["x06_entities"](spark, FOLDER).select("type").distinct().collect()}
+    assert kinds >= {"DRUG", "CONDITION", "DOSAGE", "CLINICAL_TRIAL", "INTERACTION", "EMAIL"}

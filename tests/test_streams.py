@@ -154,3 +154,13 @@ def test_rollup(spark):
     assert (row.text, row.confidence, row.pages, row.page_numbers, row.characters, row.least_confidence) == ("x y", 85.0, 2, 2, 2, 80.0)
     long = spark.range(10_004).select(F.lit(7).alias("d"), F.col("id").alias("p"), F.lit("t").alias("t"), F.lit(0.9).alias("c"))
     assert [(r.d, r.pages) for r in aggregates.page_rollup(long, "d", "p", "t", "c").collect()] == [(7, 10_004)]
+
+
+def test_policies_open_notify_and_close(spark):
+    table = {"hot": (60, "mean", "GT", 10.0, 120, 180, 300), "slow": (60, "p95", "LT", 1.0, 60, 120, None)}
+    points = [("hot", "a", s, 20.0) for s in (0, 60, 120, 500)] + [("hot", "b", s, 1.0) for s in (0, 60)] + [("slow", "a", 0, 0.5), ("slow", "a", 10, 0.6), ("other", "a", 0, 9.0)]
+    windows = alerts.policy_windows(spark.createDataFrame(points, "metric string, series string, second bigint, value double"), alerts.policy_table(spark, table))
+    assert {(r.policy, r.series, r.window_second) for r in alerts.policy_fired(windows).collect()} == {("hot", "a", 60), ("slow", "a", 0)}
+    events = sorted(tuple(r) for r in state.policy_transitions(windows, until=1000).collect())
+    assert events == sorted([("hot", "a", 60, "OPEN"), ("hot", "a", 60, "NOTIFY"), ("hot", "a", 300, "CLOSE"),
+                             ("slow", "a", 0, "OPEN"), ("slow", "a", 0, "NOTIFY"), ("slow", "a", 120, "CLOSE")])
