@@ -107,6 +107,7 @@ RECORD_ID = r"^[a-zA-Z0-9_-]+$"
 FILE_NAME = r"^[\w\-. ]+$"
 HTTP_URL = r"(?i)^https?://[^\s/$.?#].[^\s]*$"
 CRON = r"^(\*|[0-9,\-*/]+)\s+(\*|[0-9,\-*/]+)\s+(\*|[0-9,\-*/]+)\s+(\*|[0-9,\-*/]+)\s+(\*|[0-9,\-*/]+)$"
+TIMEZONE = r"^[A-Za-z_/]+/[A-Za-z_]+$"
 BLOCKED_HOST = r"^localhost$|^127\.|^192\.168\.|^10\.|^172\.(1[6-9]|2[0-9]|3[0-1])\."
 SEARCH_TEXT = r"^[a-zA-Z0-9_. -]+$"
 PII_DETECT = {
@@ -122,6 +123,7 @@ PII_MASK = {
 }
 
 # --- fixed values: names ------------------------------------------------------------
+AUTHENTICATION_TYPES = ["NONE", "BASIC", "TOKEN", "OAUTH"]
 SENSITIVE_FIELDS = ["password", "token", "apikey", "secret"]
 SENSITIVE_HEADERS = ["authorization", "cookie", "x-api-key"]
 AUDITED_METHODS = ["POST", "PUT", "DELETE", "PATCH"]

@@ -172,6 +172,10 @@ def job() -> Rules:
     }
 
 
+def _if_given(value: Column, rule) -> Column:
+    return value.isNull() | (value == "") | rule(value)
+
+
 def config(max_requests: int = 10) -> Rules:
     """Rules on a table of job configurations (columns as in ``SCRAPING_CONFIG``)."""
     selectors = F.map_values(F.col("source.selectors"))
@@ -185,6 +189,9 @@ def config(max_requests: int = 10) -> Rules:
         "selector_lengths": F.forall(selectors, lambda s: F.length(s["selector"]) <= 1000),
         "required_selectors": F.forall(selectors, lambda s: ~s["required"] | (F.length(s["selector"]) > 0)),
         "cron_present": ~F.col("schedule.enabled") | filled(F.col("schedule.cronExpression")),
+        "cron_format": _if_given(F.col("schedule.cronExpression"), lambda c: c.rlike(fixed.CRON)),
+        "timezone": _if_given(F.col("schedule.timezone"), lambda c: c.rlike(fixed.TIMEZONE)),
+        "authentication_type": _if_given(F.col("source.authentication.type"), lambda c: c.isin(*fixed.AUTHENTICATION_TYPES)),
         "retry_attempts": F.col("options.retryAttempts").between(0, 10),
         "timeout": F.col("options.timeout").between(1000, 300000),
         "rate_requests": rate["requests"].between(1, max_requests),

@@ -123,8 +123,10 @@ def configs(t: Tables):
         F.struct(
             st.one_of(F.col("c_mktsegment"), TYPES, "WEBSITE").alias("type"),
             st.one_of(F.pmod("c_custkey", F.lit(5)), HOSTS, None).alias("url"),
-            F.create_map(F.lit("title"), selector).alias("selectors")).alias("source"),
-        F.struct((n % 3 > 0).alias("enabled"), F.when(n > 4, "0 0 * * *").alias("cronExpression")).alias("schedule"),
+            F.create_map(F.lit("title"), selector).alias("selectors"),
+            F.struct(F.when(n % 6 == 0, "DIGEST").otherwise("BASIC").alias("type")).alias("authentication")).alias("source"),
+        F.struct((n % 3 > 0).alias("enabled"), F.when(n > 4, F.when(n % 11 == 1, "every day").otherwise("0 0 * * *")).alias("cronExpression"),
+                 F.when(n % 4 == 0, "UTC").otherwise("Europe/Paris").alias("timezone")).alias("schedule"),
         F.struct((n - 2).alias("retryAttempts"), (n * 20000).alias("timeout"),
                  F.struct((n / 2).cast("bigint").alias("requests"), (n * 3000).alias("period")).alias("rateLimit")).alias("options"))
 
@@ -133,6 +135,7 @@ def configs(t: Tables):
     "job_uuid": "true", "source_type": "type IN ('WEBSITE', 'API', 'DOCUMENT')", "url_length": "length(url) <= 2048",
     "url_allowed": "c_custkey % 5 IN (0, 4)", "selector_types": "c_nationkey % 7 <> 0", "selector_lengths": "true",
     "required_selectors": "NOT (c_nationkey % 2 = 0 AND c_nationkey % 5 = 0)", "cron_present": "c_nationkey % 3 = 0 OR c_nationkey > 4",
+    "cron_format": "NOT (c_nationkey > 4 AND c_nationkey % 11 = 1)", "timezone": "c_nationkey % 4 <> 0", "authentication_type": "c_nationkey % 6 <> 0",
     "retry_attempts": "c_nationkey - 2 BETWEEN 0 AND 10", "timeout": "c_nationkey * 20000 BETWEEN 1000 AND 300000",
     "rate_requests": "c_nationkey // 2 BETWEEN 1 AND 10", "rate_period": "c_nationkey * 3000 BETWEEN 1000 AND 60000"}))
 def v08(spark, sf):

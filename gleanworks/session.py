@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -14,8 +16,10 @@ _DEFAULTS = {
     "spark.sql.parquet.compression.codec": "snappy",
     "spark.sql.parquet.filterPushdown": "true",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 _local_roots: dict[str, str] = {}
+_shipped: set[str] = set()
 
 
 def build_session(app: str = "gleanworks", master: str | None = None, **conf: str) -> SparkSession:
@@ -25,7 +29,22 @@ def build_session(app: str = "gleanworks", master: str | None = None, **conf: st
         builder = builder.master(master)
     for key, value in {**_DEFAULTS, **conf}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    _ship(spark)
+    return spark
+
+
+def _ship(spark: SparkSession) -> None:
+    """Give the package to Python workers, wherever the session was started from; once per application."""
+    application = spark.sparkContext.applicationId
+    if application not in _shipped:
+        package = Path(__file__).resolve().parent
+        archive = Path(tempfile.mkdtemp(prefix="gleanworks-package-")) / f"{package.name}.zip"
+        with zipfile.ZipFile(archive, "w") as out:
+            for file in sorted(package.rglob("*.py")):
+                out.write(file, file.relative_to(package.parent))
+        spark.sparkContext.addPyFile(str(archive))
+        _shipped.add(application)
 
 
 def shared_root(spark: SparkSession) -> str:

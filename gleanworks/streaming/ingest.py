@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
@@ -12,14 +9,17 @@ from gleanworks import fixed
 from gleanworks.session import new_location
 
 
-def read_stream(spark: SparkSession, location: str, schema: StructType, files_per_trigger: int | None = None) -> DataFrame:
+#: Files of one micro-batch, unless the caller says otherwise.
+FILES_PER_TRIGGER = 1000
+
+
+def read_stream(spark: SparkSession, location: str, schema: StructType, files_per_trigger: int = FILES_PER_TRIGGER) -> DataFrame:
     """Parquet files of a table, present and future, as a stream under a declared schema.
 
-    ``location`` is a folder of part files; a glob also allows a single file.
+    ``location`` is a folder of part files; a glob also allows a single file. A backlog is read in batches of at most
+    ``files_per_trigger`` files, so state and memory do not grow with it.
     """
-    reader = spark.readStream.schema(schema)
-    if files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
     return reader.parquet(location)
 
 
@@ -51,14 +51,5 @@ def drain_to(stream: DataFrame, label: str) -> str:
 
 
 def without_repeats(stream: DataFrame, keys: list[str], ts: str, delay: str = fixed.WATERMARK) -> DataFrame:
-    """Drop repeated keys that arrive within the watermark delay of the first.
-
-    Copies are thinned inside each Arrow batch before the shuffle, so a key with very
-    many copies reaches its state partition as a few rows per input batch.
-    """
-    def thin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield batch.drop_duplicates(keys)
-
-    thinned = stream.mapInPandas(thin, stream.schema)
-    return thinned.withWatermark(ts, delay).dropDuplicatesWithinWatermark(keys)
+    """Drop repeated keys that arrive within the watermark delay of the first; state is dropped once the watermark passes it."""
+    return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark(keys)
