@@ -23,7 +23,7 @@ LENGTH = 400
 #: Bytes of an anchor.
 ANCHOR = 40
 #: Bytes of contexts that are sorted together; a single larger shard is sorted on its own.
-SORT_BYTES = 1 << 20
+SORT_BYTES = 1 << 19
 _MULTIPLY = 0x9E3779B97F4A7C15
 
 
@@ -102,20 +102,36 @@ def suffix_ranks(symbols: np.ndarray, wanted: int, covered: int = 1) -> np.ndarr
     rank = np.zeros(n + 3, np.int64)
     rank[sampled] = name + 1
     # merge: suffixes at places 0 meet those at 1 by (symbol, rank of the rest), and those at 2 by two symbols and the rest
-    pairs = _named(np.concatenate((s[zero], s[two])), np.concatenate((s[zero + 1], s[two + 1])))
-    width = int(rank.max()).bit_length()
-    short = (s[:n] << width) | rank[1:n + 1]
-    short_zero, short_one = short[zero], short[one]
-    long_zero, long_two = (pairs[:len(zero)] << width) | rank[zero + 2], (pairs[len(zero):] << width) | rank[two + 2]
-    by_short, by_long = np.sort(short_zero), np.sort(long_zero)
+    short = _packed(s[:n], rank[1:n + 1])
+    if 2 * int(s.max()).bit_length() + int(rank.max()).bit_length() <= 62:
+        long_zero, long_two = (_packed(_packed(s[at], s[at + 1], s), rank[at + 2], rank) for at in (zero, two))
+    else:
+        pairs = _named(np.concatenate((s[zero], s[two])), np.concatenate((s[zero + 1], s[two + 1])))
+        long_zero, long_two = _packed(pairs[:len(zero)], rank[zero + 2], rank), _packed(pairs[len(zero):], rank[two + 2], rank)
+    zeros_before_zero, ones_before_zero, zeros_before_one = _smaller(short[zero], short[one])
+    _, twos_before_zero, zeros_before_two = _smaller(long_zero, long_two)
+    held = np.bincount(name) if len(name) else name
+    sampled_before = (np.cumsum(held) - held)[name]
     out = np.zeros(n, np.int64)
-    in_order = np.sort(rank[sampled])
-    out[zero] = np.searchsorted(by_short, short_zero) + np.searchsorted(np.sort(short_one), short_zero) + np.searchsorted(np.sort(long_two), long_zero)
-    out[one] = np.searchsorted(in_order, rank[one]) + np.searchsorted(by_short, short_one)
-    out[two] = np.searchsorted(in_order, rank[two]) + np.searchsorted(by_long, long_two)
+    out[zero] = zeros_before_zero + ones_before_zero + twos_before_zero
+    out[one] = sampled_before[:len(one)] + zeros_before_one
+    out[two] = sampled_before[len(one):] + zeros_before_two
     return out
 
 
+def _packed(high: np.ndarray, low: np.ndarray, of: np.ndarray | None = None) -> np.ndarray:
+    """Pairs of numbers as one number each; ``of`` holds all values that ``low`` may have."""
+    return (high << int((low if of is None else of).max(initial=0)).bit_length()) | low
+
+
+def _smaller(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """How many of ``a`` are smaller than each of ``a``, of ``b`` than each of ``a``, and of ``a`` than each of ``b``."""
+    kinds, place = np.unique(np.concatenate((a, b)), return_inverse=True)
+    of_a, of_b = (np.bincount(x, minlength=len(kinds)) for x in (place[:len(a)], place[len(a):]))
+    before_a, before_b = np.cumsum(of_a) - of_a, np.cumsum(of_b) - of_b
+    return before_a[place[:len(a)]], before_b[place[:len(a)]], before_a[place[len(a):]]
+
+
 def repeated_starts(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
     """Which of the strings of ``length`` bytes at ``starts`` equal another of them."""
     found = np.zeros(len(starts), bool)
@@ -156,7 +172,9 @@ def sort_shards(batches: Iterator[pa.RecordBatch], length: int, sort_bytes: int)
         lone[:-1] &= shard[:-1] != shard[1:]
         several = np.array([n > 1 for *_, n in rows])
         flags = np.repeat(several, own)
-        todo = np.flatnonzero(~lone)  # contexts with another one in their shard
+        heads = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1])))
+        settled = np.repeat(np.minimum.reduceat(several, heads), np.diff(np.append(heads, len(shard))))
+        todo = np.flatnonzero(~lone & ~settled)  # contexts with another one in their shard, unless each occurs twice anyway
         if len(todo):
             part = data[ragged(begin[todo], sizes[todo])]
             at = ragged(np.cumsum(sizes[todo]) - sizes[todo], own[todo])
@@ -198,7 +216,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
 
     marks = stored(rows.select(*key, "text").where(F.col("size") >= length).mapInArrow(
         find, "row long, size int, shard long, place int, first int, last int"), "anchors")
-    often = marks.groupBy("shard").agg(F.count("*").alias("n")).where("n > 1").select("shard")
+    # a table of its own, so that both sides of the join are shuffled and a shard with very many anchors can be split
+    often = stored(marks.groupBy("shard").agg(F.count("*").alias("n")).where("n > 1").select("shard"), "anchors-often")
     wanted = marks.join(often, "shard").groupBy(*key).agg(F.collect_set(F.struct("shard", "place", "first", "last")).alias("marks"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,19 +246,26 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
         F.collect_set(F.struct("begin", "first", "last")).alias("found")), "repeat-spans")
 
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for text, found_ in zip(batch.column("text").to_pylist(), batch.column("found").to_pylist(), strict=True):
-                raw = text.encode()
-                edge = np.zeros(len(raw) + 1, np.int32)
-                for f in found_:
-                    np.add.at(edge, np.array(f["first"]) + f["begin"], 1)
-                    np.add.at(edge, np.array(f["last"]) + f["begin"] + length - 1, -1)
-                gone = np.cumsum(edge[:-1]) > 0
-                out.append((int(gone.sum()), len(_runs(gone)[0]), hashlib.sha256(np.frombuffer(raw, np.uint8)[~gone].tobytes()).hexdigest()))
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in key), *(pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.string())))],
-                [*key, "n_removed", "n_spans", "kept"])
+        for part in slices(batches):
+            data, offsets = byte_view(part.column("text"))
+            found_ = part.column("found")
+            inner = found_.flatten()
+            row = np.repeat(np.arange(len(part)), np.diff(found_.offsets.to_numpy()))
+            first, last = inner.field("first"), inner.field("last")
+            begin = np.repeat(offsets[row] + row + inner.field("begin").to_numpy(), np.diff(first.offsets.to_numpy()))
+            edge = np.zeros(len(data) + len(part), np.int32)  # one more place after each text, where its last run may end
+            np.add.at(edge, begin + first.flatten().to_numpy(), 1)
+            np.add.at(edge, begin + last.flatten().to_numpy() + length - 1, -1)
+            gone = np.cumsum(edge) > 0
+            starts = gone.copy()
+            starts[1:] &= ~gone[:-1]
+            heads = offsets[:-1] + np.arange(len(part))
+            gone_by, starts_by = np.add.reduceat(gone, heads, dtype=np.int64), np.add.reduceat(starts, heads, dtype=np.int64)
+            kept = data[~gone[ragged(heads, np.diff(offsets))]].tobytes()
+            ends = np.cumsum(np.diff(offsets) - gone_by)
+            shas = [hashlib.sha256(kept[a:b]).hexdigest() for a, b in zip((ends - np.diff(offsets) + gone_by).tolist(), ends.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in key), pa.array(gone_by), pa.array(starts_by), pa.array(shas)],
+                                             [*key, "n_removed", "n_spans", "kept"])
 
     changed = rows.join(spans, key).select(*key, "text", "found").mapInArrow(
         drop, "row long, size int, n_removed long, n_spans long, kept string").dropDuplicates(key)
