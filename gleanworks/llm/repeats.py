@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanworks.llm.common import byte_view, ragged, slices, stored
+from gleanworks.llm.common import byte_view, discard, ragged, slices, stored
 
 LENGTH = 400
 #: Bytes of an anchor.
@@ -237,7 +237,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
                      pa.array(keys[k:k + 8192], pa.binary()), pa.array(contexts[k:k + 8192], pa.binary())],
                     [*key, "shard", "begin", "context_key", "context"])
 
-    placed = stored(rows.join(wanted, key).select(*key, "text", "marks").mapInArrow(
+    marked = stored(rows.join(wanted, key).select(*key, "text", "marks"), "marked-texts")  # the only texts needed from here on
+    discard(marks, often)
+    placed = stored(marked.mapInArrow(
         cut, "row long, size int, shard long, begin int, context_key binary, context binary"), "contexts")
     counted = placed.groupBy("context_key").agg(F.first("shard").alias("shard"), F.first("context").alias("context"), F.count("*").alias("n"))
     found = counted.repartition("shard").sortWithinPartitions("shard").mapInArrow(
@@ -245,6 +247,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     spans = stored(placed.select(*key, "begin", "context_key").join(found, "context_key").groupBy(*key).agg(
         F.collect_set(F.struct("begin", "first", "last")).alias("found")), "repeat-spans")
 
+    discard(placed)
+
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             data, offsets = byte_view(part.column("text"))
@@ -267,7 +271,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in key), pa.array(gone_by), pa.array(starts_by), pa.array(shas)],
                                              [*key, "n_removed", "n_spans", "kept"])
 
-    changed = rows.join(spans, key).select(*key, "text", "found").mapInArrow(
+    changed = marked.select(*key, "text").join(spans, key).select(*key, "text", "found").mapInArrow(
         drop, "row long, size int, n_removed long, n_spans long, kept string").dropDuplicates(key)
     facts = rows.select("doc_id", *key, F.sha2("text", 256).alias("whole"))
     zero = F.lit(0).cast("long")
