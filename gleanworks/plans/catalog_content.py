@@ -305,12 +305,12 @@ def x20(spark, sf):
 # --- extension points ----------------------------------------------------------------------------
 
 
-@query("e01_collectors", "SELECT page_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title FROM pages WHERE url LIKE 'https:%'")
+@query("e01_collectors", "SELECT page_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title, url LIKE 'https:%' AS allowed FROM pages")
 def e01(spark, sf):
     collectors = extensions.Collectors()
     collectors.register(
         "WEBSITE", lambda pages: pages.select("page_id", "url", F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1).alias("title")),
-        lambda rows: rows.where(urls.is_allowed(F.col("url"), https_only=True)).drop("url"))
+        lambda rows: rows.withColumn("allowed", urls.is_allowed(F.col("url"), https_only=True)).drop("url"))
     return collectors.run("WEBSITE", Tables(spark, sf).pages)
 
 
@@ -403,9 +403,9 @@ def f09(spark, sf):
     return Tables(spark, sf).documents.select("doc_id", *[F.col("text").rlike(p).alias(n) for n, p in fixed.PII_DETECT.items()])
 
 
-@query("f10_mask_value", f"SELECT doc_id, left({MASKED_SQL}, 40) AS shown FROM documents")
+@query("f10_mask_value", f"SELECT doc_id, md5({MASKED_SQL}) AS shown FROM documents")
 def f10(spark, sf):
-    return Tables(spark, sf).documents.select("doc_id", F.left(privacy.mask_value(F.col("text")), F.lit(40)).alias("shown"))
+    return Tables(spark, sf).documents.select("doc_id", F.md5(privacy.mask_value(F.col("text"))).alias("shown"))
 
 
 @query("f11_redact_fields", """SELECT c_custkey, '{"name":"' || c_name || '","token":"[REDACTED]","nested":{"apiKey":"[REDACTED]","segment":"' || c_mktsegment || '"}}' AS body FROM customer""")

@@ -23,11 +23,11 @@ def s01(spark, sf):
                          F.date_format("ingest_date", "yyyy-MM-dd").alias("ingest_day"))
 
 
-@query("s02_land_processed", """SELECT doc_id::VARCHAR AS id, lang, n_chars, '1.0.0' AS schema_version FROM documents""")
+@query("s02_land_processed", """SELECT doc_id::VARCHAR AS id, lang, n_chars, md5(text) AS digest, '1.0.0' AS schema_version FROM documents""")
 def s02(spark, sf):
-    landed = files.land_processed(Tables(spark, sf).documents.select("doc_id", "lang", "n_chars"), "s02", "doc_id")
-    row = F.from_json("payload", "lang string, n_chars bigint")
-    return landed.select("id", row["lang"].alias("lang"), row["n_chars"].alias("n_chars"), "schema_version")
+    landed = files.land_processed(Tables(spark, sf).documents.select("doc_id", "lang", "n_chars", "text"), "s02", "doc_id")
+    row = F.from_json("payload", "lang string, n_chars bigint, text string")
+    return landed.select("id", row["lang"].alias("lang"), row["n_chars"].alias("n_chars"), F.md5(row["text"]).alias("digest"), "schema_version")
 
 
 @query("s03_append", """SELECT o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1""")
@@ -122,10 +122,10 @@ def s12(spark, sf):
         {"priority": "1-URGENT", "floor": 300000.0}, s12_orders=Tables(spark, sf).orders)
 
 
-@query("s13_export_json", """SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderstatus = 'F'""")
+@query("s13_export_json", """SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders""")
 def s13(spark, sf):
     location = new_location(spark, "s13")
-    files.export_json(Tables(spark, sf).orders.where("o_orderstatus = 'F'"), location)
+    files.export_json(Tables(spark, sf).orders, location)
     return spark.read.schema("o_orderkey bigint, o_orderstatus string, o_totalprice double").json(location)
 
 
@@ -279,10 +279,10 @@ def unified(spark, sf):
 query("s25_unify", UNIFIED_SQL)(unified)
 
 
-@query("s26_parquet_tables", """SELECT doc_id, source, lang, length(text) AS chars FROM documents WHERE lang IN ('de', 'fr')""")
+@query("s26_parquet_tables", """SELECT doc_id, source, lang, length(text) AS chars, md5(text) AS digest FROM documents""")
 def s26(spark, sf):
     stored = tables.publish(Tables(spark, sf).documents, "s26")
-    return stored.where(F.col("lang").isin("de", "fr")).select("doc_id", "source", "lang", F.length("text").cast("bigint").alias("chars"))
+    return stored.select("doc_id", "source", "lang", F.length("text").cast("bigint").alias("chars"), F.md5("text").alias("digest"))
 
 
 @query("s27_route", f"""SELECT classification, CASE WHEN secure THEN 'secure/' ELSE 'standard/' END || lower(classification) AS location, secure AS encrypt, count(*) AS n
