@@ -21,14 +21,14 @@ from sentencepiece import SentencePieceProcessor
 
 from gleanworks.llm.common import LOWER, byte_view, discard, ragged, slices, stored, word_pieces, word_spans
 
-#: Words with the most tokens whose facts are broadcast (about 8 MB); all others meet theirs in a shuffled join.
+#: At most so many words, those with the most tokens, have their facts broadcast (about 8 MB); all others meet theirs in a join.
 COMMON_WORDS = 1 << 17
 #: Passes of re-estimation over all training words.
 PASSES = 2
 #: Added to each piece's expected count.
 SMOOTH = 0.05
-#: Distinct words that a task's lattice looks at together, and bytes of a word beyond which it is looked at alone.
-LATTICE_BYTES = 1 << 19
+#: Bytes of distinct words that a lattice looks at together; a longer word is looked at alone.
+LATTICE_BYTES = 1 << 18
 _START = 0x20  # the byte that stands for a word's start; it occurs in no word
 _NEVER = -1e30
 
@@ -175,7 +175,7 @@ def _words(part: pa.RecordBatch) -> tuple[pa.DictionaryArray | None, np.ndarray]
 def count_words(docs: DataFrame) -> DataFrame:
     """word, c (its tokens in rows to learn from) and n (its tokens in all rows), over all whole texts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, limit=24 << 20):
+        for part in slices(batches):
             coded, before = _words(part)
             if coded is None:
                 continue
@@ -224,6 +224,22 @@ def whole_word_share(rated: DataFrame, tokens: int, turns: int = 5) -> float:
     return share
 
 
+def _bucket() -> Column:
+    return F.floor(F.log2("n") * 8)
+
+
+def common_bucket(words: DataFrame, most: int) -> int:
+    """The lowest bucket of token counts (eight to a doubling) from which on there are at most ``most`` words."""
+    held = sorted(((r["b"], r["k"]) for r in words.groupBy(_bucket().alias("b")).agg(F.count("*").alias("k")).collect()), reverse=True)
+    total, bucket = 0, held[0][0] + 1 if held else 0
+    for b, k in held:  # a few hundred buckets at most
+        total += k
+        if total > most:
+            break
+        bucket = b
+    return int(bucket)
+
+
 def score_texts(docs: DataFrame, learn: Column, path: str, passes: int = PASSES, common_words: int = COMMON_WORDS) -> DataFrame:
     """doc_id with n_tokens, n_known, train_tokens, base_score and score (log10 probabilities) of every whole text.
 
@@ -257,7 +273,7 @@ def score_texts(docs: DataFrame, learn: Column, path: str, passes: int = PASSES,
     total = F.when(F.col("c") == 0, spelled).otherwise(F.log(F.col("c") * F.lit(share / max(1, in_words)) + F.exp(spelled))) + float(np.log(1 - end))
     facts = rated.select("word", "n", F.log10((F.col("c") + 1) / F.lit(floor)).alias("b"), (total / float(np.log(10))).alias("l"),
                          (F.col("c") > 0).cast("double").alias("k"))
-    common = facts.orderBy(F.desc("n"), "word").limit(common_words).toArrow()
+    common = facts.where(_bucket() >= common_bucket(rated, common_words)).toArrow()
     known = spark.sparkContext.broadcast((common.column("word").combine_chunks().cast(pa.large_binary()),
                                           *(common.column(c).to_numpy() for c in ("b", "l", "k"))))
 
