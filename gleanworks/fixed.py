@@ -123,9 +123,7 @@ PII_MASK = {
 }
 
 # --- fixed values: names ------------------------------------------------------------
-AUTHENTICATION_TYPES = ["NONE", "BASIC", "TOKEN", "OAUTH"]
 SENSITIVE_FIELDS = ["password", "token", "apikey", "secret"]
-SENSITIVE_HEADERS = ["authorization", "cookie", "x-api-key"]
 AUDITED_METHODS = ["POST", "PUT", "DELETE", "PATCH"]
 AUDITED_PATHS = ["/api/v1/data", "/auth"]
 REQUIRED_RESULT_FIELDS = ["id", "jobId", "sourceType", "sourceUrl", "timestamp"]

@@ -46,9 +46,6 @@ def mask_keys(entries: Column, keys: list[str], marker: str) -> Column:
     )
 
 
-def mask_headers(headers: Column) -> Column:
-    return mask_keys(headers, fixed.SENSITIVE_HEADERS, "[REDACTED]")
-
 
 def sanitise_label_keys(labels: Column) -> Column:
     return F.transform_keys(labels, lambda key, _: F.regexp_replace(key, "[^a-zA-Z0-9_]", "_"))

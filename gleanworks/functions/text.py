@@ -35,9 +35,6 @@ def lines(text: Column) -> Column:
     return F.array_remove(F.split(text, "\n"), "")
 
 
-def word_count(text: Column) -> Column:
-    return F.size(words(text))
-
 
 def item_count(text: Column) -> Column:
     """Pieces between white-space runs, counting empty ones at either end."""

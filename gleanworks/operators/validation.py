@@ -191,7 +191,7 @@ def config(max_requests: int = 10) -> Rules:
         "cron_present": ~F.col("schedule.enabled") | filled(F.col("schedule.cronExpression")),
         "cron_format": _if_given(F.col("schedule.cronExpression"), lambda c: c.rlike(fixed.CRON)),
         "timezone": _if_given(F.col("schedule.timezone"), lambda c: c.rlike(fixed.TIMEZONE)),
-        "authentication_type": _if_given(F.col("source.authentication.type"), lambda c: c.isin(*fixed.AUTHENTICATION_TYPES)),
+        "authentication_type": _if_given(F.col("source.authentication.type"), lambda c: c.isin(*fixed.AUTH_TYPES)),
         "retry_attempts": F.col("options.retryAttempts").between(0, 10),
         "timeout": F.col("options.timeout").between(1000, 300000),
         "rate_requests": rate["requests"].between(1, max_requests),
@@ -392,7 +392,3 @@ def custom(checks: dict[str, Column]) -> Rules:
         if not isinstance(rule, Column):
             raise TypeError(f"rule {name} is not a column")
     return dict(checks)
-
-
-def no_pii(*columns: Column) -> Rules:
-    return {f"no_pii_{i}": ~privacy.has_pii(column) for i, column in enumerate(columns)}

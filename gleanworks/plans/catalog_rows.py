@@ -11,6 +11,7 @@ from gleanworks.operators import joins, ordered, paging, predicates, validation
 from gleanworks.plans import flows
 from gleanworks.plans import standins as st
 from gleanworks.plans.registry import Tables, query
+from gleanworks.sources import tables
 
 STAMPED = "strftime({0}, '%Y-%m-%d %H:%M:%S')"
 
@@ -79,6 +80,12 @@ def p08(spark, sf):
     return predicates.metric_points(points, "click", "2024-01-05 00:00:00", "2024-01-25 00:00:00", {"k": "5"}).select("event_id", "value")
 
 
+@query("p08_day_table", "SELECT event_id, value FROM events WHERE ts BETWEEN TIMESTAMP '2024-01-05 06:00:00' AND TIMESTAMP '2024-01-06 18:00:00'")
+def p08_days(spark, sf):
+    by_day = tables.publish(Tables(spark, sf).events.withColumn("day", F.to_date("ts")), "p08", ["day"])
+    return by_day.where(predicates.within_days(F.col("ts"), F.col("day"), "2024-01-05 06:00:00", "2024-01-06 18:00:00")).select("event_id", "value")
+
+
 @query("p09_tags", "SELECT p_partkey, p_name FROM part WHERE list_has_any(string_split(p_name, ' '), ['red', 'bolt'])")
 def p09(spark, sf):
     return Tables(spark, sf).part.where(predicates.any_tag(F.split("p_name", " "), ["red", "bolt"])).select("p_partkey", "p_name")

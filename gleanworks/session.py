@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -56,7 +58,9 @@ def shared_root(spark: SparkSession) -> str:
     if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
     if context.applicationId not in _local_roots:
-        _local_roots[context.applicationId] = tempfile.mkdtemp(prefix="gleanworks-")
+        root = tempfile.mkdtemp(prefix="gleanworks-")
+        atexit.register(shutil.rmtree, root, ignore_errors=True)  # made here, so removed here
+        _local_roots[context.applicationId] = root
     return _local_roots[context.applicationId]
 
 

@@ -213,10 +213,6 @@ def route(records: DataFrame, classification: str) -> DataFrame:
     return records.withColumn("location", area).withColumn("encrypt", secured)
 
 
-def metric_log(points: DataFrame, ts: str) -> DataFrame:
-    """Metric points with the day column their log is partitioned by."""
-    return points.withColumn("day", F.to_date(ts))
-
 
 def with_identity(df: DataFrame, content: str) -> DataFrame:
     """Ingested documents: checksum and an identifier derived from it."""
