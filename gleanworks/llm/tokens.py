@@ -9,8 +9,9 @@ from tokenizers import Tokenizer
 
 from gleanworks.llm.common import LOWER, WHITE, pieces, ragged
 
-#: Pieces kept per worker; the store is emptied when it is fuller than this.
-KEPT_PIECES = 400_000
+#: Pieces of a generation. When the store is fuller than this, a new one begins, which takes over from the one before
+#: what is met again; so a worker keeps at most two generations.
+KEPT_PIECES = 250_000
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
 _MARK = np.zeros(256, bool)
@@ -43,10 +44,12 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.folds = self.tokenizer.normalizer is not None and self.tokenizer.normalizer.normalize_str("A") == "a"
-        self._empty()
-
-    def _empty(self) -> None:
         self.known: dict[bytes, int] = {}
+        self._next_generation()
+
+    def _next_generation(self) -> None:
+        self.before = (self.known, self.ids, self.starts, self.lengths) if self.known else None
+        self.known = {}
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
         self.starts, self.lengths = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
@@ -61,7 +64,13 @@ class Encoder:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def _learn(self, piece: bytes) -> int:
-        found, at = self._piece_ids(piece), len(self.known)
+        at = len(self.known)
+        if self.before and piece in self.before[0]:
+            _, ids, starts, lengths = self.before
+            old = self.before[0][piece]
+            found = ids[starts[old]:starts[old] + lengths[old]]
+        else:
+            found = self._piece_ids(piece)
         while self.used + len(found) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         if at == len(self.starts):
@@ -77,7 +86,7 @@ class Encoder:
         if len(data) == 0:
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
         if len(self.known) > KEPT_PIECES:
-            self._empty()
+            self._next_generation()
         if self.folds:
             data = LOWER[data]
         white, letter = WHITE[data], _LETTER[data]

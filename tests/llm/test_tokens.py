@@ -38,6 +38,14 @@ def test_same_ids_as_whole_texts(pair, texts):
     same(pair, texts)
 
 
+def test_same_ids_over_generations(spark, folder, pair, monkeypatch):
+    monkeypatch.setattr(tokens, "KEPT_PIECES", 50)
+    texts = [r.text for r in spark.read.parquet(f"{folder}/documents.parquet").limit(60).collect()]
+    for k in range(0, 60, 6):
+        same(pair, texts[k:k + 6])
+    same(pair, texts)
+
+
 def test_same_ids_on_given_documents(spark, folder, pair):
     same(pair, [r.text for r in spark.read.parquet(f"{folder}/documents.parquet").collect()] + [None, ""])
 
