@@ -3,42 +3,66 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from gleanworks import fixed
 from gleanworks.session import new_location
 
 
-#: Files of one micro-batch, unless the caller says otherwise.
-FILES_PER_TRIGGER = 1000
-
-
-def read_stream(spark: SparkSession, location: str, schema: StructType, files_per_trigger: int = FILES_PER_TRIGGER) -> DataFrame:
+def read_stream(spark: SparkSession, location: str, schema: StructType, files_per_trigger: int | None = None) -> DataFrame:
     """Parquet files of a table, present and future, as a stream under a declared schema.
 
-    ``location`` is a folder of part files; a glob also allows a single file. A backlog is read in batches of at most
-    ``files_per_trigger`` files, so state and memory do not grow with it.
+    ``location`` is a folder of part files; a glob also allows a single file. All files that are there form one
+    micro-batch, so that no row of a backlog is late, in whatever order its files lie. With ``files_per_trigger`` a batch
+    holds at most so many files, oldest first: what depends on event time then needs files in time order (``in_time_order``).
     """
-    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
+    reader = spark.readStream.schema(schema)
+    if files_per_trigger is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     return reader.parquet(location)
 
 
-def load_available(stream: DataFrame, target: str, checkpoint: str) -> None:
+def in_time_order(rows: DataFrame, ts: str, files: int, label: str = "in-time-order") -> str:
+    """A backlog written again as at most ``files`` files, each later in time and written later than the one before.
+
+    Returns the new table's location. A stream reads it in small batches without a late row, as equal times share a file.
+    """
+    spark = rows.sparkSession
+    ranged, target = new_location(spark, f"{label}-ranges"), new_location(spark, label)
+    dealt = rows.repartitionByRange(files, ts).withColumn("_range", F.spark_partition_id())
+    dealt.write.partitionBy("_range").parquet(ranged)
+    held = spark.read.schema(dealt.schema).parquet(ranged)
+    spark.createDataFrame([], rows.schema).coalesce(1).write.parquet(target)
+    for (number,) in sorted(held.select("_range").distinct().collect()):  # one write each, so that ages follow times
+        held.where(F.col("_range") == number).select(*rows.columns).coalesce(1).write.mode("append").parquet(target)
+    return target
+
+
+def load_available(stream: DataFrame, target: str, checkpoint: str) -> int:
     """Append everything that has arrived since the last run to ``target``, exactly once.
 
     The checkpoint holds the progress: a rerun after a lost driver or executor resumes
-    where the last committed batch ended.
+    where the last committed batch ended. Returns how many rows stateful operators dropped
+    because they lay behind the watermark, counted as the operators see them (aggregates combine before).
     """
-    query = (
-        stream.writeStream.format("parquet").outputMode("append")
-        .option("path", target).option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).start()
-    )
+    conf, kept = stream.sparkSession.conf, "spark.sql.streaming.numRecentProgressUpdates"
+    before = conf.get(kept)
+    conf.set(kept, 1 << 30)  # the progress of all batches, not of the last hundred
+    try:
+        query = (
+            stream.writeStream.format("parquet").outputMode("append")
+            .option("path", target).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start()
+        )
+    finally:
+        conf.set(kept, before)
     query.awaitTermination()
+    return sum(operator.numRowsDroppedByWatermark for batch in query.recentProgress for operator in batch.stateOperators)
 
 
 def drain(stream: DataFrame, label: str) -> DataFrame:
-    """Run a stream over all available input into a fresh table and return that table."""
+    """Run a stream over all available input into a fresh table and return that table; late rows are an error."""
     return stream.sparkSession.read.schema(stream.schema).parquet(drain_to(stream, label))
 
 
@@ -46,7 +70,9 @@ def drain_to(stream: DataFrame, label: str) -> str:
     """As ``drain``, returning the table's location, which a further stream can read."""
     spark = stream.sparkSession
     target, checkpoint = new_location(spark, f"{label}-table"), new_location(spark, f"{label}-progress")
-    load_available(stream, target, checkpoint)
+    late = load_available(stream, target, checkpoint)
+    if late:
+        raise ValueError(f"{label}: {late} rows lay behind the watermark; read all files in one batch or in_time_order")
     return target
 
 

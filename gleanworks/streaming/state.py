@@ -121,7 +121,8 @@ def lockouts_stream(stream: DataFrame, user: str, order: list[str], failed: Colu
     Every micro-batch uses the sliced computation above, so a busy user does not end up in
     one task. Streaks and lockouts are written per batch id: a repeated batch replaces its
     own output, which keeps the result exact after a failure. Pass the same ``root`` again
-    to resume after the driver was lost.
+    to resume after the driver was lost. Later batches must be later in time: read a backlog
+    in one batch, or from ``ingest.in_time_order``.
     """
     spark = stream.sparkSession
     root = root or new_location(spark, label)

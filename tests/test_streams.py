@@ -164,3 +164,38 @@ def test_policies_open_notify_and_close(spark):
     events = sorted(tuple(r) for r in state.policy_transitions(windows, until=1000).collect())
     assert events == sorted([("hot", "a", 60, "OPEN"), ("hot", "a", 60, "NOTIFY"), ("hot", "a", 300, "CLOSE"),
                              ("slow", "a", 0, "OPEN"), ("slow", "a", 0, "NOTIFY"), ("slow", "a", 120, "CLOSE")])
+
+
+def by_windows(df, seconds=300):
+    closed = df.agg(F.max("ts")).first()[0] - timedelta(minutes=10)
+    rows = aggregates.align(df, ["user_id"], "ts", F.col("value"), seconds, "sum").collect()
+    return {(r.window_start, r.user_id, r.value) for r in rows if r.window_start + timedelta(seconds=seconds) <= closed}
+
+
+def by_stream(stream):
+    rows = ingest.drain(windows.aligned(stream, ["user_id"], "ts", F.col("value"), 300, "sum"), "w").collect()
+    return {(r.window_start, r.user_id, r.value) for r in rows}
+
+
+def test_more_files_than_a_thousand_in_any_order(spark):
+    df, location = events(spark, 1040), new_location(spark, "many")
+    df.repartition(1040, "event_id").write.option("maxRecordsPerFile", 1).parquet(location)
+    assert by_stream(ingest.read_stream(spark, location, df.schema)) == by_windows(df)
+
+
+def test_shuffled_files_in_small_batches(spark):
+    df, location = events(spark), new_location(spark, "shuffled")
+    for part in (2, 0, 3, 1):
+        tables.append(df.where(F.col("event_id") % 4 == part).coalesce(1), location)
+    backlog = spark.read.parquet(location)
+    ordered_files = ingest.in_time_order(backlog, "ts", 6)
+    small = ingest.read_stream(spark, ordered_files, df.schema, 1)
+    assert by_stream(small) == by_windows(df)
+    stamped = small.withColumn("ts", F.col("ts").cast("timestamp"))
+    assert ingest.drain(ingest.without_repeats(stamped, ["event_id"], "ts"), "d").count() == df.count()
+    bad, good, order = F.col("kind") == "bad", (F.col("kind") == "good") & (F.col("value") > 8), ["ts", "event_id"]
+    want = {r.event_id for r in state.lockouts(df, "user_id", order, bad, good, limit=6).collect()}
+    assert want and {r.event_id for r in state.lockouts_stream(small, "user_id", order, bad, good, "l", limit=6).collect()} == want
+    with pytest.raises(ValueError, match="behind the watermark"):
+        by_stream(ingest.read_stream(spark, location, df.schema, 1))
+    assert by_stream(ingest.read_stream(spark, ingest.in_time_order(df.where("false"), "ts", 3), df.schema, 1)) == set()
