@@ -5,6 +5,10 @@ equals. Equal strings have equal anchors at the same place, so strings need only
 and only around anchors that occur at least twice. A shard's suffixes are sorted by the difference cover {1, 2} modulo 3:
 triples at sampled positions are sorted and named, the names are sorted by recursion (until they tell all apart or cover
 ``length`` bytes), the remaining suffixes are merged in, and adjacent suffixes are compared over ``length`` bytes.
+
+A shard with very many distinct contexts is split first. Equal strings lie equally far before their anchor; the strings
+of a range of such distances share a core, so they are dealt out by range and core, in ranges half as wide each time
+until every shard is small. A range of one distance has the whole string as its core.
 """
 
 from __future__ import annotations
@@ -24,6 +28,8 @@ LENGTH = 400
 ANCHOR = 40
 #: Bytes of contexts that are sorted together; a single larger shard is sorted on its own.
 SORT_BYTES = 1 << 19
+#: Distinct contexts of a shard that are sorted in one task; shards with more are split.
+SHARD_CONTEXTS = 1024
 _MULTIPLY = 0x9E3779B97F4A7C15
 
 
@@ -196,7 +202,74 @@ def sort_shards(batches: Iterator[pa.RecordBatch], length: int, sort_bytes: int)
         yield from flush(waiting)
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, sort_bytes: int = SORT_BYTES) -> DataFrame:
+def _context_key(context: bytes, ahead: int) -> bytes:
+    """The same for equal contexts whose anchor begins ``ahead`` bytes after them."""
+    return hashlib.blake2b(context, digest_size=12, salt=int(ahead).to_bytes(8, "little")).digest()
+
+
+def split_contexts(batches: Iterator[pa.RecordBatch], length: int, width: int) -> Iterator[pa.RecordBatch]:
+    """The parts of each context that hold its strings of a range of ``width`` distances to the anchor, sharded by range and core."""
+    names = ["root", "shift", "ahead", "shard", "context_key", "context", "n"]
+
+    def batch(rows: list) -> pa.RecordBatch:
+        types = [pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+
+    for part in batches:
+        rows = []
+        for root, shift, ahead, shard, context, n in zip(*(part.column(c).to_pylist() for c in ("root", "shift", "ahead", "shard", "context", "n")), strict=True):
+            nearest = ahead - (len(context) - length)  # the last string's distance; the first one's is ``ahead``
+            for k in range(nearest // width, ahead // width + 1):
+                near, far = max(nearest, k * width), min(ahead, k * width + width - 1)
+                core = context[ahead - k * width:ahead - k * width - width + 1 + length]  # in all strings of the whole range
+                piece = context[ahead - far:ahead - near + length]
+                name = hashlib.blake2b(core, digest_size=8, salt=k.to_bytes(8, "little"), person=shard.to_bytes(8, "little", signed=True)).digest()
+                rows.append((root, shift + ahead - far, far, int.from_bytes(name, "little", signed=True), _context_key(piece, far), piece, n))
+                if len(rows) == 2048:
+                    yield batch(rows)
+                    rows = []
+        if rows:
+            yield batch(rows)
+
+
+def repeated_runs(placed: DataFrame, large: DataFrame, length: int, anchor: int, sort_bytes: int, shard_contexts: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Runs of repeated strings by context_key (several rows for a context that was split), and the tables they are read from.
+
+    ``large`` has the shards that may hold more than ``shard_contexts`` distinct contexts. Those that do are split.
+    """
+    parts = placed.select(F.col("context_key").alias("root"), F.lit(0).alias("shift"), "ahead", "shard", "context_key", "context", F.lit(1).cast("long").alias("n"))
+    found, tables, width, suspects = None, [large], length - anchor + 1, large
+    while True:
+        seen = parts.select("shard", "context_key")
+        seen = seen.join(suspects, "shard", "left_semi") if suspects is not None else seen
+        full = None
+        if width > 1 and (suspects is None or not suspects.isEmpty()):
+            full = stored(seen.distinct().groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > shard_contexts).select("shard"), "full-shards")
+            tables.append(full)
+            full = None if full.isEmpty() else full
+        small = parts if full is None else parts.join(full, "shard", "left_anti")
+        counted = small.groupBy("context_key").agg(F.first("shard").alias("shard"), F.first("context").alias("context"), F.sum("n").alias("n"))
+        runs = counted.repartition("shard").sortWithinPartitions("shard").mapInArrow(
+            lambda batches: sort_shards(batches, length, sort_bytes), "context_key binary, first array<int>, last array<int>")
+        if found is None:
+            found = runs
+        else:
+            moved = small.select("context_key", "root", "shift").join(runs, "context_key")
+            found = found.union(moved.select("root", *(F.transform(c, lambda x: x + F.col("shift")) for c in ("first", "last"))))
+        if full is None:
+            return found, tables
+        width = -(-width // 2)
+        split = parts.join(full, "shard", "left_semi").groupBy("root", "shift").agg(
+            *(F.first(c).alias(c) for c in ("ahead", "shard", "context")), F.sum("n").alias("n"))
+        parts = stored(split.mapInArrow(
+            lambda batches, width=width: split_contexts(batches, length, width),
+            "root binary, shift int, ahead int, shard long, context_key binary, context binary, n long"), "context-parts")
+        tables.append(parts)
+        suspects = None
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, sort_bytes: int = SORT_BYTES,
+                   shard_contexts: int = SHARD_CONTEXTS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every whole text, without all bytes of repeated strings.
 
     Input: ``doc_id`` and ``text``; other columns are ignored. A byte goes if any string of ``length`` bytes that covers
@@ -217,8 +290,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     marks = stored(rows.select(*key, "text").where(F.col("size") >= length).mapInArrow(
         find, "row long, size int, shard long, place int, first int, last int"), "anchors")
     # a table of its own, so that both sides of the join are shuffled and a shard with very many anchors can be split
-    often = stored(marks.groupBy("shard").agg(F.count("*").alias("n")).where("n > 1").select("shard"), "anchors-often")
-    wanted = marks.join(often, "shard").groupBy(*key).agg(F.collect_set(F.struct("shard", "place", "first", "last")).alias("marks"))
+    often = stored(marks.groupBy("shard").agg(F.count("*").alias("n")).where("n > 1"), "anchors-often")
+    large = stored(often.where(F.col("n") > shard_contexts).select("shard"), "large-shards")
+    wanted = marks.join(often.select("shard"), "shard").groupBy(*key).agg(F.collect_set(F.struct("shard", "place", "first", "last")).alias("marks"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
@@ -230,24 +304,23 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
             begin = offsets[owner] + first
             raw = data.tobytes()
             contexts = [raw[a:b] for a, b in zip(begin.tolist(), (offsets[owner] + last + length).tolist(), strict=True)]
-            keys = [hashlib.blake2b(c, digest_size=12, salt=int(p).to_bytes(8, "little")).digest() for c, p in zip(contexts, place - first, strict=True)]
+            ahead = place - first
+            keys = [_context_key(c, a) for c, a in zip(contexts, ahead.tolist(), strict=True)]
             for k in range(0, len(contexts), 8192):
                 yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c).take(pa.array(owner[k:k + 8192])) for c in key), pa.array(shard[k:k + 8192]), pa.array(first[k:k + 8192]),
+                    [*(part.column(c).take(pa.array(owner[k:k + 8192])) for c in key), pa.array(shard[k:k + 8192]), pa.array(first[k:k + 8192]), pa.array(ahead[k:k + 8192]),
                      pa.array(keys[k:k + 8192], pa.binary()), pa.array(contexts[k:k + 8192], pa.binary())],
-                    [*key, "shard", "begin", "context_key", "context"])
+                    [*key, "shard", "begin", "ahead", "context_key", "context"])
 
     marked = stored(rows.join(wanted, key).select(*key, "text", "marks"), "marked-texts")  # the only texts needed from here on
     discard(marks, often)
     placed = stored(marked.mapInArrow(
-        cut, "row long, size int, shard long, begin int, context_key binary, context binary"), "contexts")
-    counted = placed.groupBy("context_key").agg(F.first("shard").alias("shard"), F.first("context").alias("context"), F.count("*").alias("n"))
-    found = counted.repartition("shard").sortWithinPartitions("shard").mapInArrow(
-        lambda batches: sort_shards(batches, length, sort_bytes), "context_key binary, first array<int>, last array<int>")
+        cut, "row long, size int, shard long, begin int, ahead int, context_key binary, context binary"), "contexts")
+    found, tables = repeated_runs(placed, large, length, anchor, sort_bytes, shard_contexts)
     spans = stored(placed.select(*key, "begin", "context_key").join(found, "context_key").groupBy(*key).agg(
         F.collect_set(F.struct("begin", "first", "last")).alias("found")), "repeat-spans")
 
-    discard(placed)
+    discard(placed, *tables)
 
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):

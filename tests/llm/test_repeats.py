@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -78,3 +79,39 @@ def test_shared_passages_with_different_edges(make_docs):
         a, b = rng.randrange(0, 40), rng.randrange(50, 90)
         texts.append((k, "".join(rng.choice("xyz ") for _ in range(rng.randrange(30))) + passage[a:b] + rng.choice(["", passage[b:b + 3], "é"])))
     check(make_docs(*texts), length=24, anchor=6)
+
+
+@pytest.mark.parametrize("most", [1, 4])
+def test_crowded_shards_are_split(make_docs, most):
+    """A line with other surroundings in every text."""
+    rng = random.Random(2)
+    line = "a line that stands in every text "
+    texts = [(k, "".join(rng.choice("xyz ") for _ in range(20 + k % 3)) + line[k % 2:] + "".join(rng.choice("xyz ") for _ in range(20))) for k in range(30)]
+    texts += [(100 + k, texts[k][1][5:-5]) for k in range(5)]
+    check(make_docs(*texts), length=24, anchor=6, shard_contexts=most)
+
+
+def test_split_contexts_keep_equal_strings_together():
+    rng = random.Random(3)
+    contexts = ["".join(rng.choice("xy") for _ in range(12)) + "-middle-" + "".join(rng.choice("xy") for _ in range(12)) for _ in range(40)]
+    parts = pa.RecordBatch.from_pydict({
+        "root": [str(k).encode() for k in range(40)], "shift": [0] * 40, "ahead": [12] * 40, "shard": [7] * 40,
+        "context": [c.encode() for c in contexts], "n": [1] * 40})
+    width = 13
+    while True:
+        width = -(-width // 2)
+        parts = pa.concat_batches(list(repeats.split_contexts(iter([parts]), 20, width)))
+        homes, strings = {}, set()
+        for r in parts.to_pylist():
+            for k in range(len(r["context"]) - 19):
+                string = r["context"][k:k + 20]
+                assert contexts[int(r["root"])].encode()[r["shift"] + k:][:20] == string
+                assert homes.setdefault((r["ahead"] - k, string), r["shard"]) == r["shard"]
+                strings.add((r["root"], r["shift"] + k))
+        assert len(strings) == 40 * 13 == sum(len(r["context"]) - 19 for r in parts.to_pylist())
+        if width == 1:
+            break
+    held = {}
+    for r in parts.to_pylist():
+        held.setdefault(r["shard"], set()).add(r["context_key"])
+    assert max(map(len, held.values())) == 1
