@@ -1,4 +1,4 @@
-"""Training-data pipeline over ``documents``: language, exact copies, near copies, source mix, packed sequences."""
+"""Training-data pipeline over ``documents``: language, exact copies, near copies, similar texts, source mix, packed sequences."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanworks.llm import exact, language_id, mixing, packing, simhash
+from gleanworks.llm import exact, language_id, mixing, packing, similar, simhash
 from gleanworks.llm.common import stored
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -33,6 +33,14 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").select(COLUMNS)
 
 
+def similar_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts whose five-word shingles have a Jaccard similarity of 0.8 or more, the one with the smallest id stays.
+
+    Four differing bits of the stage before are nearly equality; most pairs at this similarity differ in more.
+    """
+    return similar.without_similar(docs).select(COLUMNS)
+
+
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: not at all, once or twice."""
     copies = mixing.mix(docs).where("copies > 0").select(F.col("doc_id").alias("taken_id"), "copies")
@@ -45,7 +53,8 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-STAGES = [("language", language), ("exact dedup", exact_dedup), ("near dedup", near_dedup), ("source mix", source_mix), ("packing", packed)]
+STAGES = [("language", language), ("exact dedup", exact_dedup), ("near dedup", near_dedup), ("similar texts", similar_texts),
+          ("source mix", source_mix), ("packing", packed)]
 #: The network's, the fingerprints' and the tokenizer's results cannot be said in SQL; tests compare with brute force.
 ORACLE_SQL = None
 

@@ -33,8 +33,8 @@ BLOCK = 1 << 20
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
 
-def fingerprints_of(data: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE) -> np.ndarray:
-    """One unsigned 64-bit fingerprint per text of a byte view."""
+def shingle_hashes(data: np.ndarray, offsets: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all word shingles of a byte view's texts, the text of each, and how many each text has."""
     begins, ends, before = word_spans(data, offsets)
     lengths = ends - begins
     packed = np.full(int(lengths.sum()) + len(lengths), 0x20, np.uint8)  # words with one space after each
@@ -49,10 +49,16 @@ def fingerprints_of(data: np.ndarray, offsets: np.ndarray, shingle: int = SHINGL
     text, digest = packed.tobytes(), xxhash.xxh64_intdigest
     hashes = np.fromiter((digest(text[a:b], SEED) for a, b in zip(begins_at[first].tolist(), (ends_at[last] - 1).tolist(), strict=True)),
                          np.uint64, len(first))
-    result = np.zeros(len(words), np.uint64)
+    return hashes, rows, counts
+
+
+def fingerprints_of(data: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE) -> np.ndarray:
+    """One unsigned 64-bit fingerprint per text of a byte view."""
+    hashes, rows, counts = shingle_hashes(data, offsets, shingle)
+    result = np.zeros(len(counts), np.uint64)
     octets = hashes.view(np.uint8).reshape(-1, 8) if len(hashes) else np.zeros((0, 8), np.uint8)
     for k in range(8):
-        seen = np.bincount(rows * 256 + octets[:, k], minlength=len(words) * 256).reshape(len(words), 256) @ _BITS
+        seen = np.bincount(rows * 256 + octets[:, k], minlength=len(counts) * 256).reshape(len(counts), 256) @ _BITS
         over = seen * 2 > counts[:, None]
         result |= (over.astype(np.uint64) << np.arange(8, dtype=np.uint64)).sum(axis=1, dtype=np.uint64) << np.uint64(8 * k)
     return result

@@ -1,3 +1,4 @@
+import random
 import sys
 from collections import Counter
 from pathlib import Path
@@ -63,3 +64,22 @@ def test_every_stage_beside_brute_force(spark, folder):
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_planted_similar_texts_go(spark, make_docs):
+    rng = random.Random(4)
+    rows, sets = [], []
+    for k in range(40):
+        words = [f"w{rng.randrange(5000)}" for _ in range(200)]
+        rows.append((k, " ".join(words)))
+        for at in rng.sample(range(200), 1 + k % 7):  # changed words: similarities of about 0.7 to 0.95
+            words[at] = f"new{rng.randrange(5000)}"
+        rows.append((100 + k, " ".join(words)))
+    for _, text in rows:
+        words = text.split()
+        sets.append({tuple(words[i:i + 5]) for i in range(len(words) - 4)})
+    like = [len(sets[i] & sets[i + 1]) / len(sets[i] | sets[i + 1]) for i in range(0, 80, 2)]
+    want = {r[0] for r in rows[::2]} | {rows[2 * k + 1][0] for k in range(40) if like[k] < 0.8}
+    assert 40 < len(want) < 60
+    left = dict(corpus_pipeline.STAGES)["similar texts"](spark, make_docs(*rows), "")
+    assert sorted(r.doc_id for r in left.collect()) == sorted(want)
