@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanworks.llm import exact, language_id, lattice_lm, mixing, packing, quality, repeats, simhash, token_files, vectors
+from gleanworks.llm import exact, language_id, lattice_lm, mixing, packing, quality, repeats, simhash, token_files, vectors, windows
 from gleanworks.plans.registry import Query
 
 QUERIES: dict[str, Query] = {}
@@ -81,3 +81,9 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 @_query("op10_exact_dedup", exact.SQL)
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return exact.exact_duplicates(_table(spark, folder, "documents"))
+
+
+@_query("op11_shared_windows", windows.SQL)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return windows.without_shared_windows(_table(spark, folder, "documents")).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"), "kept_text")
