@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanworks.llm import exact, language_id, lattice_lm, mixing, packing, quality, repeats, simhash, token_files, vectors, windows
+from gleanworks.llm import exact, language_id, lattice_lm, mixing, packing, periods, quality, repeats, simhash, token_files, vectors, windows
 from gleanworks.plans.registry import Query
 
 QUERIES: dict[str, Query] = {}
@@ -87,3 +87,8 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
 def op11(spark: SparkSession, folder: str) -> DataFrame:
     return windows.without_shared_windows(_table(spark, folder, "documents")).select(
         "doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"), "kept_text")
+
+
+@_query("op12_periodic_runs")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return periods.digests(periods.periodic_runs(periods.planted_periods(_table(spark, folder, "documents"))))
