@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanworks.llm import exact, language_id, lattice_lm, mixing, packing, periods, quality, repeats, simhash, token_files, vectors, windows
+from gleanworks.llm import exact, language_id, lattice_lm, manifest, mixing, packing, periods, quality, repeats, simhash, token_files, vectors, windows
 from gleanworks.plans.registry import Query
 
 QUERIES: dict[str, Query] = {}
@@ -92,3 +92,8 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
 @_query("op12_periodic_runs")
 def op12(spark: SparkSession, folder: str) -> DataFrame:
     return periods.digests(periods.periodic_runs(periods.planted_periods(_table(spark, folder, "documents"))))
+
+
+@_query("op13_merkle_manifest", manifest.SQL)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return manifest.manifest(_table(spark, folder, "documents"), shown=manifest.tampered_leaf())
