@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import re
 
 import numpy as np
 from tokenizers import Tokenizer
@@ -36,13 +37,15 @@ class Encoder:
     """Ids of a byte view of texts, equal to the tokenizer's own on each whole text.
 
     Both kinds of vocabulary split a text before white space that follows a visible character, between a letter and a
-    mark, and after a single line feed before a letter, whatever stands around; so those pieces are encoded apart. A
+    mark, and after a single line feed before a letter, whatever stands around; so those pieces are encoded apart. Added
+    tokens (``<|endoftext|>``) are found in the raw text first, as the tokenizer does, and are pieces of their own. A
     piece that is one word (after at most one space) goes to the model at once, all others through the whole tokenizer.
     """
 
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        marks = sorted((t.content for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
+        self.marks = re.compile("|".join(map(re.escape, marks)).encode()) if marks else None
         self.folds = self.tokenizer.normalizer is not None and self.tokenizer.normalizer.normalize_str("A") == "a"
         self.known: dict[bytes, int] = {}
         self._next_generation()
@@ -87,6 +90,9 @@ class Encoder:
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
         if len(self.known) > KEPT_PIECES:
             self._next_generation()
+        spans = np.array([m.span() for m in self.marks.finditer(data.data)], np.int64).reshape(-1, 2) if self.marks else np.zeros((0, 2), np.int64)
+        if len(spans):  # a match over the end of a text is none
+            spans = spans[np.searchsorted(offsets, spans[:, 0], "right") == np.searchsorted(offsets, spans[:, 1] - 1, "right")]
         if self.folds:
             data = LOWER[data]
         white, letter = WHITE[data], _LETTER[data]
@@ -97,7 +103,9 @@ class Encoder:
         cut[1:-1] = (white[1:] & safe[:-1]) | (_MARK[data[1:]] & letter[:-1])
         feed = (data == 0x0A) & cut[:-1]
         cut[1:-1] |= feed[:-1] & letter[1:]
-        cut[offsets] = True
+        for begin, end in spans.tolist():
+            cut[begin:end + 1] = False
+        cut[offsets] = cut[spans.ravel()] = True
         bounds = np.flatnonzero(cut)
         coded = pieces(data, bounds).dictionary_encode()
         known, learn = self.known, self._learn

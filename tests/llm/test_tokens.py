@@ -20,9 +20,7 @@ PIECES = [" ", "  ", "\n", "\n\n", "\t", "\r\n", "a", "The", "Straße", "été",
 @pytest.fixture(scope="module", params=FILES)
 def pair(request):
     path = public_tokenizers.path(request.param)
-    plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
-    return tokens.Encoder(path), plain
+    return tokens.Encoder(path), Tokenizer.from_file(path)
 
 
 def same(pair, texts):
@@ -38,6 +36,17 @@ def test_same_ids_as_whole_texts(pair, texts):
     same(pair, texts)
 
 
+def test_added_tokens_in_a_text(pair):
+    """Each added token of the vocabulary has its own id, as the library gives it, wherever it stands and however often."""
+    own, plain = pair
+    for mark, number in ((t.content, i) for i, t in plain.get_added_tokens_decoder().items()):
+        texts = [f"a {mark} b", mark, mark * 3, f"end{mark}", f"{mark}Start", f" {mark} ", mark[:-1], mark.upper(), f"x{mark[:-2]}{mark}>", f"é{mark}\n{mark}é", mark[:5], mark[5:]]
+        same(pair, texts)
+        ids, starts = own.encode(*byte_view(pa.array(texts)))
+        assert (ids[:starts[1]] == number).sum() == 1 and ids[starts[2]:starts[3]].tolist() == [number] * 3
+    assert plain.encode("a <|endoftext|> b", add_special_tokens=False).ids in ([64, 220, 50256, 275], [320, 49407, 321])
+
+
 def test_same_ids_over_generations(spark, folder, pair, monkeypatch):
     monkeypatch.setattr(tokens, "KEPT_PIECES", 50)
     texts = [r.text for r in spark.read.parquet(f"{folder}/documents.parquet").limit(60).collect()]
