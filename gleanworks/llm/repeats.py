@@ -6,9 +6,11 @@ and only around anchors that occur at least twice. A shard's suffixes are sorted
 triples at sampled positions are sorted and named, the names are sorted by recursion (until they tell all apart or cover
 ``length`` bytes), the remaining suffixes are merged in, and adjacent suffixes are compared over ``length`` bytes.
 
-A shard with very many distinct contexts is split first. Equal strings lie equally far before their anchor; the strings
-of a range of such distances share a core, so they are dealt out by range and core, in ranges half as wide each time
-until every shard is small. A range of one distance has the whole string as its core.
+A shard with very many distinct contexts is trimmed first: its strings are counted by hash, and a context keeps only
+those whose hash occurs again. A line in many surroundings leaves nothing, a passage leaves itself, once. Shards that are
+still large are split. Equal strings lie equally far before their anchor; the strings of a range of such distances share
+a core, so they are dealt out by range and core, in ranges half as wide each time until every shard is small. A range of
+one distance has the whole string as its core.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleanworks.llm.common import byte_view, discard, ragged, slices, stored
+from gleanworks.llm.windows import bitmap, in_bitmap
 
 LENGTH = 400
 #: Bytes of an anchor.
@@ -30,6 +33,9 @@ ANCHOR = 40
 SORT_BYTES = 1 << 19
 #: Distinct contexts of a shard that are sorted in one task; shards with more are split.
 SHARD_CONTEXTS = 1024
+#: log2 of the bits of the map that holds the hashes met again: 16 MB whatever the input. A bit that a single string
+#: shares keeps that string for the sort; it loses none.
+FILTER_BITS = 27
 _MULTIPLY = 0x9E3779B97F4A7C15
 
 
@@ -207,14 +213,56 @@ def _context_key(context: bytes, ahead: int) -> bytes:
     return hashlib.blake2b(context, digest_size=12, salt=int(ahead).to_bytes(8, "little")).digest()
 
 
-def split_contexts(batches: Iterator[pa.RecordBatch], length: int, width: int) -> Iterator[pa.RecordBatch]:
-    """The parts of each context that hold its strings of a range of ``width`` distances to the anchor, sharded by range and core."""
-    names = ["root", "shift", "ahead", "shard", "context_key", "context", "n"]
+_PARTS = "root binary, shift int, ahead int, shard long, context_key binary, context binary, n long"
+
+
+def _part_batch(rows: list) -> pa.RecordBatch:
+    types = [pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)],
+                                      ["root", "shift", "ahead", "shard", "context_key", "context", "n"])
+
+
+def _string_hashes(contexts: pa.Array, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of each string of each context, the context of each, and its number there."""
+    data, offsets = byte_view(contexts.view(pa.string()))
+    hashes, counts = group_hashes(data, length), np.diff(offsets) - length + 1
+    return hashes[ragged(offsets[:-1], counts)], np.repeat(np.arange(len(counts)), counts), ragged(np.zeros(len(counts), np.int64), counts)
+
 
-    def batch(rows: list) -> pa.RecordBatch:
-        types = [pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+def trim_contexts(full: DataFrame, length: int, filter_bits: int) -> DataFrame:
+    """The contexts cut down to the strings whose hash is met again among all of them, each stretch a context of its own."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices([batch], "context", 1 << 18):
+                hashes, of, _ = _string_hashes(part.column("context"), length)
+                yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), part.column("n").take(pa.array(of))], ["key", "n"])
 
+    again = stored(full.select("context", "n").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1"), "strings-again")
+    seen = bitmap(again, filter_bits)
+    discard(again)
+
+    def trim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices([batch], "context", 1 << 18):
+                hashes, of, at = _string_hashes(part.column("context"), length)
+                met = np.flatnonzero(in_bitmap(seen.value, hashes))
+                if not len(met):
+                    continue
+                new = np.concatenate(([True], (np.diff(met) > 1) | (of[met][1:] != of[met][:-1])))
+                heads, tails = met[new], met[np.append(new[1:], True)]
+                columns = [part.column(c).to_pylist() for c in ("root", "shift", "ahead", "shard", "context", "n")]
+                rows = []
+                for k, first, last in zip(of[heads].tolist(), at[heads].tolist(), at[tails].tolist(), strict=True):
+                    root, shift, ahead, shard, context, n = (c[k] for c in columns)
+                    piece = context[first:last + length]
+                    rows.append((root, shift + first, ahead - first, shard, _context_key(piece, ahead - first), piece, n))
+                yield _part_batch(rows)
+
+    return full.mapInArrow(trim, _PARTS)
+
+
+def split_contexts(batches: Iterator[pa.RecordBatch], length: int, width: int) -> Iterator[pa.RecordBatch]:
+    """The parts of each context that hold its strings of a range of ``width`` distances to the anchor, sharded by range and core."""
     for part in batches:
         rows = []
         for root, shift, ahead, shard, context, n in zip(*(part.column(c).to_pylist() for c in ("root", "shift", "ahead", "shard", "context", "n")), strict=True):
@@ -226,19 +274,20 @@ def split_contexts(batches: Iterator[pa.RecordBatch], length: int, width: int) -
                 name = hashlib.blake2b(core, digest_size=8, salt=k.to_bytes(8, "little"), person=shard.to_bytes(8, "little", signed=True)).digest()
                 rows.append((root, shift + ahead - far, far, int.from_bytes(name, "little", signed=True), _context_key(piece, far), piece, n))
                 if len(rows) == 2048:
-                    yield batch(rows)
+                    yield _part_batch(rows)
                     rows = []
         if rows:
-            yield batch(rows)
+            yield _part_batch(rows)
 
 
-def repeated_runs(placed: DataFrame, large: DataFrame, length: int, anchor: int, sort_bytes: int, shard_contexts: int) -> tuple[DataFrame, list[DataFrame]]:
+def repeated_runs(placed: DataFrame, large: DataFrame, length: int, anchor: int, sort_bytes: int, shard_contexts: int, filter_bits: int) -> tuple[DataFrame, list[DataFrame]]:
     """Runs of repeated strings by context_key (several rows for a context that was split), and the tables they are read from.
 
-    ``large`` has the shards that may hold more than ``shard_contexts`` distinct contexts. Those that do are split.
+    ``large`` has the shards that may hold more than ``shard_contexts`` distinct contexts. Those that do are trimmed, and
+    split if they still do.
     """
     parts = placed.select(F.col("context_key").alias("root"), F.lit(0).alias("shift"), "ahead", "shard", "context_key", "context", F.lit(1).cast("long").alias("n"))
-    found, tables, width, suspects = None, [large], length - anchor + 1, large
+    found, tables, width, suspects, trimmed = None, [large], length - anchor + 1, large, False
     while True:
         seen = parts.select("shard", "context_key")
         seen = seen.join(suspects, "shard", "left_semi") if suspects is not None else seen
@@ -258,19 +307,22 @@ def repeated_runs(placed: DataFrame, large: DataFrame, length: int, anchor: int,
             found = found.union(moved.select("root", *(F.transform(c, lambda x: x + F.col("shift")) for c in ("first", "last"))))
         if full is None:
             return found, tables
-        width = -(-width // 2)
-        split = parts.join(full, "shard", "left_semi").groupBy("root", "shift").agg(
+        distinct = parts.join(full, "shard", "left_semi").groupBy("root", "shift").agg(
             *(F.first(c).alias(c) for c in ("ahead", "shard", "context")), F.sum("n").alias("n"))
-        parts = stored(split.mapInArrow(
-            lambda batches, width=width: split_contexts(batches, length, width),
-            "root binary, shift int, ahead int, shard long, context_key binary, context binary, n long"), "context-parts")
+        if not trimmed:
+            distinct = stored(distinct, "full-contexts")  # read twice
+            tables.append(distinct)
+            parts, trimmed = stored(trim_contexts(distinct, length, filter_bits), "context-parts"), True
+        else:
+            width = -(-width // 2)
+            parts = stored(distinct.mapInArrow(lambda batches, width=width: split_contexts(batches, length, width), _PARTS), "context-parts")
         tables.append(parts)
         suspects = None
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, sort_bytes: int = SORT_BYTES,
-                   shard_contexts: int = SHARD_CONTEXTS) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every whole text, without all bytes of repeated strings.
+                   shard_contexts: int = SHARD_CONTEXTS, filter_bits: int = FILTER_BITS) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_kept (bytes left) of every whole text, without all bytes of repeated strings.
 
     Input: ``doc_id`` and ``text``; other columns are ignored. A byte goes if any string of ``length`` bytes that covers
     it also starts elsewhere, in the same text or another; strings never cross texts. Null counts as empty; texts shorter
@@ -316,7 +368,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     discard(marks, often)
     placed = stored(marked.mapInArrow(
         cut, "row long, size int, shard long, begin int, ahead int, context_key binary, context binary"), "contexts")
-    found, tables = repeated_runs(placed, large, length, anchor, sort_bytes, shard_contexts)
+    found, tables = repeated_runs(placed, large, length, anchor, sort_bytes, shard_contexts, filter_bits)
     spans = stored(placed.select(*key, "begin", "context_key").join(found, "context_key").groupBy(*key).agg(
         F.collect_set(F.struct("begin", "first", "last")).alias("found")), "repeat-spans")
 
@@ -350,4 +402,5 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     zero = F.lit(0).cast("long")
     return facts.join(changed, key, "left").select(
         "doc_id", F.col("size").cast("long").alias("n_bytes"), F.coalesce("n_removed", zero).alias("n_removed"),
-        F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept", "whole").alias("kept_sha256"))
+        F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept", "whole").alias("kept_sha256"),
+        (F.col("size") - F.coalesce("n_removed", zero)).alias("n_kept"))

@@ -56,7 +56,9 @@ def test_anchors_own_every_string_once():
 
 def check(docs, length=400, **other):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
-    assert sorted(map(tuple, repeats.remove_repeats(docs, length, **other).collect()), key=str) == brute(rows, length)
+    got = repeats.remove_repeats(docs, length, **other).collect()
+    assert sorted((tuple(r)[:5] for r in got), key=str) == brute(rows, length)
+    assert all(r.n_kept == r.n_bytes - r.n_removed for r in got)
 
 
 @pytest.mark.parametrize("sort_bytes", [1, 1 << 20])
@@ -81,14 +83,48 @@ def test_shared_passages_with_different_edges(make_docs):
     check(make_docs(*texts), length=24, anchor=6)
 
 
+def test_planted_passages_go_and_clean_texts_stay(make_docs):
+    """Passages of 400 bytes or more go from every text; shorter ones, of more than 50 words too, stay by definition."""
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    long, short = " ".join(word(8) for _ in range(55)), " ".join(word(5) for _ in range(60))
+    assert len(long) >= 400 > len(short)
+    clean = [(k, " ".join(word(6) for _ in range(120))) for k in range(30)]
+    own = lambda: " ".join(word(7) for _ in range(40))
+    held = [(100 + k, f"{own()}. {long}, {own()}") for k in range(25)] + [(200 + k, f"{own()}. {short}, {own()}") for k in range(25)]
+    for how in ({}, {"shard_contexts": 3}):
+        got = {r.doc_id: r for r in repeats.remove_repeats(make_docs(*clean, *held), **how).collect()}
+        assert all(got[i].n_removed == 0 and got[i].n_kept == len(t) for i, t in clean + held[25:])
+        assert all(len(long) <= got[i].n_removed <= len(long) + 16 and got[i].n_spans == 1 for i, _ in held[:25])
+
+
+@pytest.mark.parametrize("filter_bits", [6, 27])
+def test_large_shards_are_trimmed(spark, make_docs, filter_bits):
+    """Contexts around one line: what occurs once is cut off, whatever the map's bits share; equal strings all stay."""
+    rng = random.Random(6)
+    line = "the line of all texts"
+    texts = ["".join(rng.choice("xyz ") for _ in range(20)) + line + "".join(rng.choice("xyz ") for _ in range(20)) for _ in range(80)]
+    texts += [texts[k][10:-10] for k in range(0, 40, 4)]
+    rows = [(str(k).encode(), 0, 20, 7, str(k).encode(), t.encode(), 1) for k, t in enumerate(texts)]
+    trimmed = repeats.trim_contexts(spark.createDataFrame(rows, repeats._PARTS), 24, filter_bits).collect()
+    strings = [t[k:k + 24] for t in texts for k in range(len(t) - 23)]
+    again = {(k, x) for k, t in enumerate(texts) for x in range(len(t) - 23) if strings.count(t[x:x + 24]) > 1}
+    left = set()
+    for r in trimmed:
+        assert texts[int(r.root)].encode()[r.shift:].startswith(bytes(r.context)) and r.ahead == 20 - r["shift"]
+        left |= {(int(r.root), r["shift"] + x) for x in range(len(r.context) - 23)}
+    assert again <= left and (filter_bits == 6 or left == again) and again
+
+
+@pytest.mark.parametrize("how", [{}, {"filter_bits": 6}])
 @pytest.mark.parametrize("most", [1, 4])
-def test_crowded_shards_are_split(make_docs, most):
+def test_crowded_shards_are_split(make_docs, most, how):
     """A line with other surroundings in every text."""
     rng = random.Random(2)
     line = "a line that stands in every text "
     texts = [(k, "".join(rng.choice("xyz ") for _ in range(20 + k % 3)) + line[k % 2:] + "".join(rng.choice("xyz ") for _ in range(20))) for k in range(30)]
     texts += [(100 + k, texts[k][1][5:-5]) for k in range(5)]
-    check(make_docs(*texts), length=24, anchor=6, shard_contexts=most)
+    check(make_docs(*texts), length=24, anchor=6, shard_contexts=most, **how)
 
 
 def test_split_contexts_keep_equal_strings_together():
