@@ -13,6 +13,7 @@ by document and period and stitched.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleanworks.llm.common import WHITE_RUN, byte_view, discard, ragged, slices, stored, word_pieces, word_spans
+from gleanworks.llm.common import byte_view, ragged, slices, stored, word_pieces, word_spans
 
 #: Words between the first and the last boundary of a tile of the small octaves; a document with fewer is one tile.
 TILE_WORDS = 8192
@@ -250,16 +251,20 @@ def periodic_runs(docs: DataFrame, tile_words: int = TILE_WORDS) -> DataFrame:
 
 def planted_periods(docs: DataFrame) -> DataFrame:
     """``doc_id`` and ``text``; of each tenth document (by h, the crc32 of its id) the words from a on repeat with period p."""
-    h = F.crc32(F.col("doc_id").cast("string"))
-    g = F.floor(h / 10).cast("long")
-    words = F.filter(F.split("text", WHITE_RUN), lambda w: w != "")
-    n = F.size("words")
-    a = F.col("g") % n
-    p = 1 + F.floor((n - F.col("a")) / (3 + F.col("g") % 8)).cast("int")
-    chosen = docs.select("doc_id", "text", (h % 10 == 0).alias("chosen"), g.alias("g")).withColumn("words", F.when(F.col("chosen"), words))
-    placed = chosen.withColumn("a", F.when(n > 0, a).cast("int")).withColumn("p", p)
-    again = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get("words", F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p"))))
-    return placed.select("doc_id", F.when(F.col("chosen") & (n > 0), F.array_join(again, " ")).otherwise(F.col("text")).alias("text"))
+    def plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, limit=4 << 20):
+            texts = part.column("text").to_pylist()
+            for k, h in enumerate(part.column("h").to_pylist()):
+                words = re.findall(r"[^\x20\x09-\x0D]+", texts[k] or "") if h is not None and h % 10 == 0 else []
+                if words:
+                    n, g = len(words), h // 10
+                    a = g % n
+                    period = words[a:a + 1 + (n - a) // (3 + g % 8)]
+                    texts[k] = " ".join(words[:a] + (period * (-(-(n - a) // len(period))))[:n - a])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(texts, pa.large_string())], ["doc_id", "text"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.crc32(F.col("doc_id").cast("string")).alias("h")).mapInArrow(
+        plant, "doc_id long, text string")
 
 
 def digests(found: DataFrame) -> DataFrame:
