@@ -106,10 +106,16 @@ def policy_windows(points: DataFrame, policies: DataFrame) -> DataFrame:
     sums = chosen.where("aligner <> 'p95'").groupBy(*keys).agg(F.avg("value").alias("mean"), F.max("value").alias("max"), F.sum("value").alias("sum"))
     high = percentiles.percentiles(chosen.where("aligner = 'p95'"), keys, F.col("value"), {"p95": 0.95})
     both = sums.unionByName(high, allowMissingColumns=True).join(policies, "policy")
+    return judged(both)
+
+
+def judged(aligned: DataFrame) -> DataFrame:
+    """Policy windows with the value that their policy's aligner asks for, and whether it breaches the threshold."""
     value = F.when(F.col("aligner") == "mean", F.col("mean")).when(F.col("aligner") == "max", F.col("max")).when(
         F.col("aligner") == "rate", F.col("sum") / F.col("seconds")).otherwise(F.col("p95"))
     breach = F.when(F.col("comparison") == "LT", F.col("value") < F.col("threshold")).otherwise(F.col("value") > F.col("threshold"))
-    return both.withColumn("value", value).select(*keys, "value", F.coalesce(breach, F.lit(False)).alias("breach"), *POLICY[1:])
+    return aligned.withColumn("value", value).select(
+        "policy", "series", "window_second", "value", F.coalesce(breach, F.lit(False)).alias("breach"), *POLICY[1:])
 
 
 def policy_fired(windows: DataFrame) -> DataFrame:

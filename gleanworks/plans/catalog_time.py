@@ -162,75 +162,115 @@ def w05_policies(spark, sf):
 
 
 # --- streams ----------------------------------------------------------------------------------
-# Append mode emits a window once the watermark (ten minutes behind the newest row) passes its end.
-
-CLOSED = "(SELECT max(ts) - INTERVAL 10 MINUTE FROM events)"
+# Append mode emits a window once the watermark (ten minutes behind the newest row) passes its end; at the end of the
+# input a closing step emits those that are still open.
 
 
 def event_stream(spark, sf):
     return ingest.read_stream(spark, Tables(spark, sf).stream_path("events"), schemas.EVENTS)
 
 
-def bucket(seconds: int) -> str:
-    return f"time_bucket(INTERVAL {seconds} SECOND, ts)"
+def whole(spark, sf, make, label: str, seconds: int):
+    """Every window of the stream of events."""
+    return ingest.drain_whole(spark, Tables(spark, sf).stream_path("events"), schemas.EVENTS, make, label, seconds)
 
 
-def closed(seconds: int) -> str:
-    return f"{bucket(seconds)} + INTERVAL {seconds} SECOND <= {CLOSED}"
+def bucket(seconds: int) -> str:
+    return f"time_bucket(INTERVAL {seconds} SECOND, ts)"
 
 
 def windowed_sql(seconds: int, select: str, having: str = "") -> str:
-    return (f"SELECT {st.stamp_sql(bucket(seconds))} AS window_start, {select} FROM events WHERE {closed(seconds)} "
-            f"GROUP BY {bucket(seconds)}, event_type {having}")
+    return f"SELECT {st.stamp_sql(bucket(seconds))} AS window_start, {select} FROM events GROUP BY {bucket(seconds)}, event_type {having}"
 
 
 @query("t01_tumbling", windowed_sql(300, "event_type, round(avg(value), 6) AS value"))
 def t01(spark, sf):
-    rows = ingest.drain(windows.aligned(event_stream(spark, sf), ["event_type"], "ts", F.col("value"), 300, "mean"), "t01")
+    rows = whole(spark, sf, lambda s: windows.aligned(s, ["event_type"], "ts", F.col("value"), 300, "mean"), "t01", 300)
     return stamped(rows.withColumn("value", F.round("value", 6)))
 
 
 @query("t02_thresholds", windowed_sql(3600, "event_type, round(avg(value), 8) AS value", "HAVING avg(value) > 25"))
 def t02(spark, sf):
-    means = windows.aligned(event_stream(spark, sf), ["event_type"], "ts", F.col("value"), 3600, "mean")
-    rows = ingest.drain(means.where(alerts.breaches(F.col("value"), "GT", 25.0)), "t02")
+    def high(stream):
+        means = windows.aligned(stream, ["event_type"], "ts", F.col("value"), 3600, "mean")
+        return means.where(alerts.breaches(F.col("value"), "GT", 25.0))
+
+    rows = whole(spark, sf, high, "t02", 3600)
     return stamped(rows.withColumn("value", F.round("value", 8)))
 
 
-POLICY = dict(seconds=3600, duration=7200, auto_close=7200, period=21600)
+# The life cycle of alerts, by the policy of each metric; a quarter of the users makes a series.
+SERIES_POINTS_SQL = " UNION ALL ".join(
+    f"SELECT '{metric}' AS metric, 's' || user_id % 4 AS series, epoch(date_trunc('second', ts))::BIGINT AS second, value * {factor}::DOUBLE AS value FROM events WHERE event_type = '{kind}'"
+    for kind, (metric, factor) in METRICS.items())
+CYCLES_SQL = "(VALUES " + ", ".join(
+    f"('{name}', {w}, '{aligner}', '{comparison}', {threshold}::DOUBLE, {duration}, {close}, {period or 0})"
+    for name, (w, aligner, comparison, threshold, duration, close, period) in fixed.ALERT_POLICIES.items()) + ") p(policy, seconds, aligner, comparison, threshold, duration, auto_close, period)"
+SERIES_SQL = f"""SELECT *, CASE comparison WHEN 'LT' THEN value < threshold ELSE value > threshold END AS breach FROM (
+  SELECT policy, series, second - second % seconds AS w, CASE aligner WHEN 'mean' THEN avg(value) WHEN 'max' THEN max(value) WHEN 'rate' THEN sum(value) / seconds
+    ELSE quantile_cont(value, 0.95) END AS value, seconds, aligner, comparison, threshold, duration, auto_close, period FROM ({SERIES_POINTS_SQL}) JOIN {CYCLES_SQL} ON policy = metric
+  GROUP BY policy, series, second - second % seconds, aligner, seconds, comparison, threshold, duration, auto_close, period)"""
+# Runs of consecutive breaching windows, incidents (breaches less than the auto-close time apart), and notifications: the
+# first window of a run that has lasted long enough, unless the last notification is less than a period ago.
+LIFE_SQL = f"""WITH RECURSIVE h AS ({SERIES_SQL}),
+r AS (SELECT *, row_number() OVER (PARTITION BY policy, series, run ORDER BY w) AS pos, greatest(ceil(duration / seconds::DOUBLE), 1) AS needed FROM (
+  SELECT *, w // seconds - row_number() OVER (PARTITION BY policy, series ORDER BY w) AS run FROM h WHERE breach)),
+i AS (SELECT *, sum(o) OVER (PARTITION BY policy, series ORDER BY w) AS incident FROM (
+  SELECT *, CASE WHEN w - lag(w) OVER (PARTITION BY policy, series ORDER BY w) < auto_close THEN 0 ELSE 1 END AS o FROM r)),
+s AS (SELECT policy, series, incident, min(CASE WHEN pos >= needed THEN w END) AS opened, max(w) AS last, max(auto_close) AS auto_close FROM i GROUP BY 1, 2, 3),
+f AS (SELECT policy, series, w, period FROM r WHERE pos = needed),
+n AS (SELECT policy, series, min(w) AS w, max(period) AS period FROM f GROUP BY 1, 2
+  UNION ALL SELECT policy, series, (SELECT min(f.w) FROM f WHERE f.policy = n.policy AND f.series = n.series AND f.w > n.w AND f.w >= n.w + n.period), period FROM n WHERE n.w IS NOT NULL),
+e AS (SELECT policy, series, opened AS "at", 'OPEN' AS event FROM s WHERE opened IS NOT NULL
+  UNION ALL SELECT policy, series, last + auto_close, 'CLOSE' FROM s WHERE opened IS NOT NULL AND (last + auto_close <= (SELECT max(w) - 600 FROM h)
+    OR EXISTS (SELECT 1 FROM h WHERE h.policy = s.policy AND h.series = s.series AND h.w >= s.last + s.auto_close))
+  UNION ALL SELECT policy, series, w, 'NOTIFY' FROM n WHERE w IS NOT NULL)
+SELECT policy, series, e."at"::BIGINT AS "at", event FROM e"""
+
+
+def series_points(events):
+    kind = F.col("event_type")
+    factor = st.one_of(kind, {k: f for k, (_, f) in METRICS.items()}, 0.0)
+    return events.select(
+        st.one_of(kind, {k: m for k, (m, _) in METRICS.items()}, None).cast("string").alias("metric"), F.concat(F.lit("s"), F.col("user_id") % 4).alias("series"),
+        "ts", (F.col("value") * factor).alias("value"))
 
 
-@query("t03_alert_state", f"""WITH RECURSIVE h AS (SELECT event_type, w, v > 40 AS b FROM ({HOURLY_SQL}) WHERE w + INTERVAL 1 HOUR <= {CLOSED}),
-r AS (SELECT *, row_number() OVER (PARTITION BY event_type, run ORDER BY w) AS pos FROM (
-  SELECT event_type, w, epoch(w)::BIGINT // 3600 - row_number() OVER (PARTITION BY event_type ORDER BY w) AS run FROM h WHERE b)),
-f AS (SELECT event_type, w FROM r WHERE pos = 2),
-i AS (SELECT *, sum(o) OVER (PARTITION BY event_type ORDER BY w) AS incident FROM (
-  SELECT *, CASE WHEN epoch(w) - lag(epoch(w)) OVER (PARTITION BY event_type ORDER BY w) < 7200 THEN 0 ELSE 1 END AS o FROM r)),
-s AS (SELECT event_type, incident, min(CASE WHEN pos = 2 THEN w END) AS opened, max(w) AS last FROM i GROUP BY 1, 2),
-n AS (SELECT event_type, min(w) AS w FROM f GROUP BY 1
-  UNION ALL SELECT n.event_type, (SELECT min(f.w) FROM f WHERE f.event_type = n.event_type AND f.w >= n.w + INTERVAL 6 HOUR) FROM n WHERE n.w IS NOT NULL)
-SELECT event_type AS series, epoch(opened)::BIGINT AS at, 'OPEN' AS event FROM s WHERE opened IS NOT NULL
-UNION ALL SELECT s.event_type, epoch(last)::BIGINT + 7200, 'CLOSE' FROM s WHERE opened IS NOT NULL AND EXISTS (SELECT 1 FROM h WHERE h.event_type = s.event_type AND h.w >= s.last + INTERVAL 2 HOUR)
-UNION ALL SELECT event_type, epoch(w)::BIGINT, 'NOTIFY' FROM n WHERE w IS NOT NULL""")
+def policy_stream(spark, sf, label: str) -> str:
+    """All policy windows of the stream of events, written as a table that a further stream reads."""
+    policies = alerts.policy_table(spark)
+    delay = f"{600 + windows.policy_reach(policies)} seconds"
+    return ingest.drain_whole_to(spark, Tables(spark, sf).stream_path("events"), schemas.EVENTS,
+                                 lambda s: windows.policy_windows(series_points(s), policies), label, 1, delay=delay)
+
+
+def life_cycle(spark, sf, label: str):
+    table = policy_stream(spark, sf, f"{label}-windows")
+    stream = ingest.read_stream(spark, table, spark.read.parquet(table).schema)
+    return ingest.drain(state.policy_transitions_stream(stream), label)
+
+
+@query("t03_alert_state", LIFE_SQL)
 def t03(spark, sf):
-    hours = windows.aligned(event_stream(spark, sf), ["event_type"], "ts", F.col("value"), 3600, "max")
-    table = ingest.drain_to(hours, "t03-hours")
-    second = ingest.read_stream(spark, table, hours.schema)
-    return ingest.drain(state.alert_transitions_stream(second, "event_type", above(), **POLICY), "t03")
+    return life_cycle(spark, sf, "t03")
 
 
-@query("t04_notifications", f"""WITH RECURSIVE f AS ({FIRED_SQL}), n AS (
-  SELECT event_type, min(w) AS w FROM f GROUP BY 1
-  UNION ALL SELECT n.event_type, (SELECT min(f.w) FROM f WHERE f.event_type = n.event_type AND f.w >= n.w + INTERVAL 6 HOUR) FROM n WHERE n.w IS NOT NULL)
-SELECT event_type AS series, epoch(w)::BIGINT AS at FROM n WHERE w IS NOT NULL""")
+@query("t03_alert_state_batch", LIFE_SQL)
+def t03_batch(spark, sf):
+    points = series_points(Tables(spark, sf).events).withColumn("second", times.epoch_seconds(F.col("ts"))).where("metric is not null")
+    aligned = tables.publish(alerts.policy_windows(points, alerts.policy_table(spark)), "t03-windows")
+    until = aligned.agg(F.max("window_second") - 600).first()[0]
+    return state.policy_transitions(aligned, until)
+
+
+@query("t04_notifications", f"SELECT policy, series, \"at\" FROM ({LIFE_SQL}) WHERE event = 'NOTIFY'")
 def t04(spark, sf):
-    events = state.alert_transitions(hourly(Tables(spark, sf)), "event_type", above(), **POLICY)
-    return events.where("event = 'NOTIFY'").select("series", "at")
+    return life_cycle(spark, sf, "t04").where("event = 'NOTIFY'").select("policy", "series", "at")
 
 
 @query("t05_rate_limit", windowed_sql(900, "event_type, count(*) AS n", "HAVING count(*) > 2"))
 def t05(spark, sf):
-    return stamped(ingest.drain(windows.over_limit(event_stream(spark, sf), ["event_type"], "ts", 900, 2), "t05"))
+    return stamped(whole(spark, sf, lambda s: windows.over_limit(s, ["event_type"], "ts", 900, 2), "t05", 900))
 
 
 RULE = {"click": "query", "view": "query", "purchase": "write", "signup": "write", "error": "delete"}
@@ -246,12 +286,12 @@ def t05_rules(spark, sf):
     return ag.requests_over_rules(typed, "rule", [], "ts", RULES)
 
 
-@query("t06_sliding_errors", f"""SELECT strftime(w, '%Y-%m-%d') AS day, count(*) AS windows, count(*) FILTER (e * 100.0 / n >= 50) AS tripped FROM (
+@query("t06_sliding_errors", """SELECT strftime(w, '%Y-%m-%d') AS day, count(*) AS windows, count(*) FILTER (e * 100.0 / n >= 50) AS tripped FROM (
   SELECT w, count(*) AS n, count(*) FILTER (event_type = 'error') AS e FROM (
     SELECT event_type, time_bucket(INTERVAL 1 SECOND, ts) - to_seconds(k) AS w FROM events, (SELECT unnest(range(10)) AS k)) GROUP BY 1)
-WHERE w + INTERVAL 10 SECOND <= {CLOSED} GROUP BY 1""")
+GROUP BY 1""")
 def t06(spark, sf):
-    shares = ingest.drain(windows.error_share(event_stream(spark, sf), "ts", F.col("event_type") == "error"), "t06")
+    shares = whole(spark, sf, lambda s: windows.error_share(s, "ts", F.col("event_type") == "error"), "t06", 10)
     return shares.groupBy(F.date_format("window_start", "yyyy-MM-dd").alias("day")).agg(
         F.count("*").alias("windows"), F.count_if("tripped").alias("tripped"))
 
@@ -281,17 +321,20 @@ ERROR_TYPES = {"click": "NETWORK", "view": "RATE_LIMIT", "error": "SYSTEM", "sig
 
 
 @query("t10_error_alerts", f"""SELECT window_start, error_type, n, threshold FROM (
-  SELECT {st.stamp_sql(bucket(60))} AS window_start, {st.one_of_sql('event_type', ERROR_TYPES, None)} AS error_type, count(*) AS n FROM events WHERE {closed(60)} GROUP BY 1, 2)
+  SELECT {st.stamp_sql(bucket(60))} AS window_start, {st.one_of_sql('event_type', ERROR_TYPES, None)} AS error_type, count(*) AS n FROM events GROUP BY 1, 2)
 JOIN (VALUES ('NETWORK', 5), ('RATE_LIMIT', 10), ('AUTHENTICATION', 3), ('VALIDATION', 5), ('SYSTEM', 1)) p(k, threshold) ON k = error_type WHERE n >= threshold""")
 def t10(spark, sf):
-    typed = event_stream(spark, sf).withColumn("error_type", st.one_of(F.col("event_type"), ERROR_TYPES, None))
-    return stamped(ingest.drain(windows.alerts_per_minute(typed, "ts", "error_type"), "t10").select("window_start", "error_type", "n", "threshold"))
+    def per_minute(stream):
+        typed = stream.withColumn("error_type", st.one_of(F.col("event_type"), ERROR_TYPES, None))
+        return windows.alerts_per_minute(typed, "ts", "error_type").select("window_start", "error_type", "n", "threshold")
+
+    return stamped(whole(spark, sf, per_minute, "t10", 60))
 
 
-@query("t11_gauge_max", windowed_sql(60, "event_type, max(value) AS value", "HAVING max(value) > 80"))
+@query("t11_gauge_max", f"SELECT policy, series, w AS window_second, round(value, 6) AS value, threshold FROM ({SERIES_SQL}) WHERE aligner = 'max' AND breach")
 def t11(spark, sf):
-    peaks = windows.aligned(event_stream(spark, sf), ["event_type"], "ts", F.col("value"), 60, "max")
-    return stamped(ingest.drain(peaks.where(alerts.breaches(F.col("value"), "GT", 80.0)), "t11"))
+    table = policy_stream(spark, sf, "t11")
+    return spark.read.parquet(table).where("aligner = 'max' and breach").select("policy", "series", "window_second", F.round("value", 6).alias("value"), "threshold")
 
 
 LOCKOUT_SQL = """SELECT event_id, user_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, g, event_type = 'error' ORDER BY ts, event_id) AS streak FROM (
@@ -319,9 +362,30 @@ def t12_batch(spark, sf):
     return rows.select("event_id", "user_id")
 
 
-@query("t09_late_rows", """SELECT event_type, count(*) AS late FROM events WHERE value * 10000 > 900000 GROUP BY 1""")
+# Events arrive week by week, each tenth two weeks after its own.
+ARRIVAL_SQL = "SELECT *, date_diff('day', DATE '1970-01-01', ts::DATE) // 7 + CASE WHEN event_id % 10 = 0 THEN 2 ELSE 0 END AS arrival FROM events"
+LATE_SQL = f"""WITH a AS ({ARRIVAL_SQL}), d AS (SELECT arrival, max(max(ts)) OVER (ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM a GROUP BY arrival),
+l AS (SELECT a.*, coalesce(ts < before - INTERVAL 15 MINUTE, false) AS late FROM a JOIN d USING (arrival))"""
+
+
+def by_arrival(spark, sf):
+    """On-time and late rows of the events, streamed week by week as they arrived."""
+    events = Tables(spark, sf).events
+    arrival = F.floor(F.unix_date(F.to_date("ts")) / 7) + F.when(F.col("event_id") % 10 == 0, 2).otherwise(0)
+    arrived = ingest.in_arrival_order(events, arrival)
+    return ingest.split_late(ingest.read_stream(spark, arrived, schemas.EVENTS, 1), "ts", "t09", "15 minutes")
+
+
+@query("t09_late_rows", f"{LATE_SQL} SELECT event_id, event_type, late FROM l")
 def t09_late(spark, sf):
-    seconds = F.round(F.col("value") * 10000).cast("bigint")
-    rows = Tables(spark, sf).events.withColumn("processed", F.timestamp_add("MILLISECOND", seconds, F.col("ts")))
-    late = ag.timeliness(rows, F.col("ts"), F.col("processed")).where("not on_time")
-    return tables.publish(late, "t09-late").groupBy("event_type").agg(F.count("*").alias("late"))
+    on_time, late = by_arrival(spark, sf)
+    return on_time.withColumn("late", F.lit(False)).union(late.withColumn("late", F.lit(True))).select("event_id", "event_type", "late")
+
+
+@query("t09_on_time_windows", f"""{LATE_SQL}, w AS (SELECT event_type, epoch(time_bucket(INTERVAL 1 HOUR, ts))::BIGINT AS hour, count(*) FILTER (NOT late) AS n, count(*) FILTER (late) AS late FROM l GROUP BY 1, 2)
+SELECT event_type, hour, n, late FROM w""")
+def t09_windows(spark, sf):
+    on_time, late = by_arrival(spark, sf)
+    return (on_time.withColumn("_late", F.lit(0)).union(late.withColumn("_late", F.lit(1)))
+            .groupBy("event_type", (F.floor(times.epoch_seconds(F.col("ts")) / 3600) * 3600).alias("hour"))
+            .agg(F.count_if(F.col("_late") == 0).alias("n"), F.count_if(F.col("_late") == 1).alias("late")))

@@ -59,24 +59,6 @@ def _walk(state: tuple, frame: pd.DataFrame, **policy) -> tuple[tuple, list[tupl
     return state, events
 
 
-def _alert_rows(windows: DataFrame, series: str, breach: Column) -> DataFrame:
-    return windows.select(
-        F.col(series).cast("string").alias("series"), epoch_seconds(F.col("window_start")).alias("at"),
-        F.coalesce(breach, F.lit(False)).alias("breach"),
-    )
-
-
-def alert_transitions(windows: DataFrame, series: str, breach: Column, **policy) -> DataFrame:
-    """OPEN, CLOSE and NOTIFY events of every series, from a batch of aligned windows."""
-    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        _, events = _walk(FRESH, frame, **policy)
-        return pd.DataFrame([(key[0], at, event) for at, event in events], columns=["series", "at", "event"])
-
-    return _alert_rows(windows, series, breach).groupBy("series").applyInPandas(
-        run, "series string, at bigint, event string"
-    )
-
-
 def policy_transitions(windows: DataFrame, until: int | None = None) -> DataFrame:
     """OPEN, CLOSE and NOTIFY events per policy and series, each by its own policy (rows of ``alerts.policy_windows``).
 
@@ -92,17 +74,32 @@ def policy_transitions(windows: DataFrame, until: int | None = None) -> DataFram
     return windows.groupBy("policy", "series").applyInPandas(run, "policy string, series string, at bigint, event string")
 
 
-def alert_transitions_stream(windows: DataFrame, series: str, breach: Column, **policy) -> DataFrame:
-    """The same events from a stream of aligned windows; state survives restarts."""
-    def run(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now = state.get if state.exists else FRESH
-        now, events = _walk(now, pd.concat(frames), **policy)
-        state.update(now)
-        yield pd.DataFrame([(key[0], at, event) for at, event in events], columns=["series", "at", "event"])
+def policy_transitions_stream(windows: DataFrame, delay: str = fixed.WATERMARK) -> DataFrame:
+    """The same events from a stream of policy windows; state survives restarts.
 
-    return _alert_rows(windows, series, breach).groupBy("series").applyInPandasWithState(
-        run, "series string, at bigint, event string", ALERT_STATE, "append", GroupStateTimeout.NoTimeout
-    )
+    An open alert has an event-time timer at the end of its auto-close time: a series that falls silent is closed once
+    the watermark (``delay`` behind the newest window's start) gets there, without another row of it. So the events equal
+    those of ``policy_transitions`` with ``until`` at the last watermark.
+    """
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now, auto_close, events = (state.get[:5], state.get[5], []) if state.exists else (FRESH, 0, [])
+        if not state.hasTimedOut:
+            frame = pd.concat(frames).rename(columns={"window_second": "at"})
+            policy = {name: int(frame[name].iloc[0]) for name in ("seconds", "duration", "auto_close", "period")}
+            auto_close = policy["auto_close"]
+            now, events = _walk(now, frame, **policy)
+        closes = now[2] + auto_close
+        if now[3] and state.getCurrentWatermarkMs() >= closes * 1000:
+            events.append((closes, "CLOSE"))
+            now = (*now[:3], 0, now[4])
+        state.update((*now, auto_close))
+        if now[3]:
+            state.setTimeoutTimestamp(max(closes * 1000 - 1, state.getCurrentWatermarkMs() + 1))  # fires once the watermark is past it
+        yield pd.DataFrame([(*key, at, event) for at, event in events], columns=["policy", "series", "at", "event"])
+
+    rows = windows.withColumn("_at", F.timestamp_seconds("window_second")).withWatermark("_at", delay)
+    return rows.groupBy("policy", "series").applyInPandasWithState(
+        run, "policy string, series string, at bigint, event string", f"{ALERT_STATE}, auto_close bigint", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def lockouts(events: DataFrame, user: str, order: list[str], failed: Column,

@@ -1,3 +1,4 @@
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -38,12 +39,86 @@ def test_incidents(spark):
     assert [((r.opened_at - T0).seconds, (r.closes_at - T0).seconds, r.windows) for r in got] == [(0, 540, 3), (600, 900, 1)]
 
 
+BASE = 3_600_000
+
+
+def by_policy(spark, flags, name="p", key="s", seconds=60, duration=120, auto_close=180, period=600):
+    rows = [(name, key, BASE + seconds * i, 1.0, bool(f), seconds, "max", "GT", 0.0, duration, auto_close, period) for i, f in enumerate(flags) if f is not None]
+    return spark.createDataFrame(rows, "policy string, series string, window_second bigint, value double, breach boolean, seconds bigint, aligner string, "
+                                       "comparison string, threshold double, duration bigint, auto_close bigint, period bigint")
+
+
 def test_alert_life_cycle(spark):
-    flags = [1, 1, 1, 0, 0, 0, 0, 1, 1, 1]
-    events = state.alert_transitions(series(spark, flags), "series", F.col("bad"), seconds=60, duration=120, auto_close=180, period=600)
-    base = int((T0 - datetime(1970, 1, 1)).total_seconds())
-    got = sorted((r.at - base, r.event) for r in events.collect())
-    assert got == [(60, "NOTIFY"), (60, "OPEN"), (300, "CLOSE"), (480, "OPEN")]
+    got = state.policy_transitions(by_policy(spark, [1, 1, 1, 0, 0, 0, 0, 1, 1, 1])).collect()
+    assert sorted((r.at - BASE, r.event) for r in got) == [(60, "NOTIFY"), (60, "OPEN"), (300, "CLOSE"), (480, "OPEN")]
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_alert_stream_equals_batch(spark, parts):
+    """Open, quiet, silent and short-lived series of two policies, in one batch and in several; timers close the silent ones."""
+    rng = random.Random(parts)
+    rows = by_policy(spark, [0, 0, 1, 1, 1])
+    for k in range(6):
+        flags = [rng.choice([0, 1, 1, 1, None]) for _ in range(90 - 10 * k)]
+        rows = rows.union(by_policy(spark, flags, key=f"k{k}")).union(by_policy(spark, flags, name="q", key=f"k{k}", duration=300, auto_close=60, period=0))
+    rows = rows.union(by_policy(spark, [1] * 4 + [None] * 200 + [0], key="far"))
+    location = ingest.in_arrival_order(rows, F.floor((F.col("window_second") - BASE) * parts / (205 * 60)))
+    found = ingest.drain(state.policy_transitions_stream(ingest.read_stream(spark, location, rows.schema, 1), "3 minutes"), "a")
+    want = sorted(tuple(r) for r in state.policy_transitions(rows, until=BASE + 204 * 60 - 180).collect())
+    assert sorted(tuple(r) for r in found.collect()) == want
+    assert ("p", "s", BASE + 240 + 180, "CLOSE") in want and ("p", "far", BASE + 180 + 180, "CLOSE") in want
+
+
+def test_policy_stream_windows_equal_batch(spark):
+    """Windows of several lengths and aligners from one stream, the open ones too; points of no policy and of none at all go."""
+    table = {"mean60": (60, "mean", "GT", 5.0, 60, 60, None), "max300": (300, "max", "GT", 9.0, 60, 60, None), "rate3600": (3600, "rate", "LT", 1.0, 60, 60, None),
+             "p95": (60, "p95", "GT", 5.0, 60, 60, None)}
+    policies = alerts.policy_table(spark, table)
+    rng = random.Random(2)
+    rows = [(rng.choice([*table, "other", None]), f"s{rng.randrange(3)}", T0 + timedelta(seconds=11 * i), float(i % 13) if i % 9 else None) for i in range(1500)]
+    points = spark.createDataFrame(rows, "metric string, series string, ts timestamp_ntz, value double")
+    location = ingest.in_time_order(points, "ts", 5)
+    found = ingest.drain_whole(spark, location, points.schema, lambda s: windows.policy_windows(s, policies), "p", 1, delay=f"{600 + 3600} seconds", files_per_trigger=1)
+    batch = alerts.policy_windows(points.select("metric", "series", F.unix_seconds(F.col("ts").cast("timestamp")).alias("second"), "value"), policies)
+    flat = lambda df: sorted((r.policy, r.series, r.window_second, None if r.value is None else round(r.value, 9), r.breach, r.seconds) for r in df.collect())
+    assert flat(found) == flat(batch) and len(flat(found)) > 300
+
+
+def test_windows_open_at_the_end_are_emitted(spark, feed):
+    rows = ingest.drain_whole(spark, feed[1], feed[0].schema, lambda s: windows.aligned(s, ["user_id"], "ts", F.col("value"), 300, "sum"), "w", 300, files_per_trigger=1)
+    batch = aggregates.align(feed[0], ["user_id"], "ts", F.col("value"), 300, "sum")
+    assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, batch.collect()))
+    late = feed[0].where("event_id >= 390").withColumn("ts", F.col("ts") - F.expr("INTERVAL 5 HOURS"))
+    newest = feed[0].where("event_id = 399")
+    location = ingest.in_arrival_order(feed[0].withColumn("n", F.lit(0)).union(newest.withColumn("n", F.lit(1))).union(late.withColumn("n", F.lit(2))), "n")
+    with pytest.raises(ValueError, match="behind the watermark"):
+        ingest.drain_whole(spark, location, feed[0].schema, lambda s: windows.aligned(s, ["user_id"], "ts", F.col("value"), 300, "sum"), "w", 300, files_per_trigger=1)
+    empty = ingest.in_time_order(feed[0].where("false"), "ts", 2)
+    assert ingest.drain_whole(spark, empty, feed[0].schema, lambda s: windows.aligned(s, ["user_id"], "ts", F.col("value"), 300, "sum"), "w", 300).count() == 0
+
+
+def test_late_rows_are_split_off(spark):
+    """Rows arrive in five batches, some hours after their time; lateness is that of the watermark, none is lost, restarts go on."""
+    rng = random.Random(4)
+    rows = [(i, T0 + timedelta(seconds=20 * i), i // 200 + (rng.randrange(3) if i % 10 == 0 else 0)) for i in range(1000)] + [(5000, None, 1)]
+    df = spark.createDataFrame(rows, "event_id bigint, ts timestamp_ntz, arrival int")
+    location, root = ingest.in_arrival_order(df, "arrival"), new_location(spark, "late-root")
+    read = lambda: ingest.read_stream(spark, location, df.schema, 1)
+    on_time, late = ingest.split_late(read(), "ts", "late", root=root)
+    newest, want = {}, set()
+    for _, ts, arrival in rows:
+        newest[arrival] = max(newest.get(arrival, T0), ts or T0)
+    for i, ts, arrival in rows:
+        before = [newest[a] for a in newest if a < arrival]
+        if ts and before and ts < max(before) - timedelta(minutes=10):
+            want.add(i)
+    assert len(want) > 20 and {r.event_id for r in late.collect()} == want
+    assert sorted(r.event_id for r in on_time.union(late).collect()) == sorted(r[0] for r in rows)
+    tables.append(spark.createDataFrame([(7000, T0, 9), (7001, T0 + timedelta(days=1), 9)], df.schema), location)
+    on_time, late = ingest.split_late(read(), "ts", "late", root=root)
+    assert {r.event_id for r in late.collect()} == want | {7000} and on_time.where("event_id = 7001").count() == 1
+    empty = ingest.in_time_order(df.where("false"), "ts", 2)
+    assert [t.count() for t in ingest.split_late(ingest.read_stream(spark, empty, df.schema), "ts", "none")] == [0, 0]
 
 
 def events(spark, count=400):
@@ -112,20 +187,6 @@ def test_lockouts_resume_from_their_folder(spark):
     assert [r.event_id for r in found.collect()] == [2]
 
 
-def test_alert_stream_equals_batch(spark, feed):
-    policy = dict(seconds=60, duration=120, auto_close=300, period=600)
-    minutes = aggregates.align(feed[0], ["user_id"], "ts", F.col("value"), 60, "max").withColumnRenamed("window_start", "w")
-    location = new_location(spark, "minutes")
-    ready = minutes.withColumnRenamed("w", "window_start")
-    middle = T0 + timedelta(hours=2)
-    for rule in (F.col("window_start") < middle, F.col("window_start") >= middle):
-        tables.append(ready.where(rule).coalesce(1), location)
-    streamed = state.alert_transitions_stream(ingest.read_stream(spark, location, ready.schema, 1), "user_id", F.col("value") > 4, **policy)
-    batch = state.alert_transitions(ready, "user_id", F.col("value") > 4, **policy)
-    want = {tuple(r) for r in batch.collect()}
-    assert want and {tuple(r) for r in ingest.drain(streamed, "a").collect()} == want
-
-
 def test_repeats_are_dropped(spark, feed):
     rows = stream(spark, feed, 4).withColumn("ts", F.col("ts").cast("timestamp"))
     once = ingest.drain(ingest.without_repeats(rows.unionByName(rows), ["event_id"], "ts"), "d")
