@@ -1,8 +1,8 @@
 """Merkle manifest of a table, with a proof per row, from ranks in bitmaps instead of a sort.
 
-Within a tree (one per language) leaves follow their id. Ids are gathered in bitmap containers of 32,768, kept as their
+Within a tree (one per language) leaves follow their id. Ids are gathered in bitmap containers of 4,096, kept as their
 words of 64 bits that are not empty, with a popcount directory: how many leaves stand before each word. What stands
-before a container is added up over a radix tree of 32,768 children a node, so no step holds a whole tree. A leaf's
+before a container is added up over a radix tree of 4,096 children a node, so no step holds a whole tree. A leaf's
 place is then the directory's entry plus the bits set below its own.
 
 Places deal leaves into slot arrays of ``arity ** levels`` neighbours. Each array is filled by place and reduced by
@@ -27,10 +27,10 @@ ARITY = 2
 #: Levels that one slot array reduces: 2**10 slots.
 LEVELS = 10
 #: log2 of the ids of a container, and of the children of a node above the containers.
-RADIX = 15
+RADIX = 12
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 #: The container of rows without an id, below that of every number.
-_NO_ID = -(1 << 48) - 1
+_NO_ID = -(1 << (63 - RADIX)) - 1
 
 
 def leaf_hash(*fields: Column) -> Column:
