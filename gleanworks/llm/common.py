@@ -10,6 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleanworks.operators import ordered
 from gleanworks.session import new_location
 
 WHITE_BYTES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
@@ -44,6 +45,22 @@ def folder(spark: SparkSession, label: str) -> str:
     return new_location(spark, f"llm-{label}")
 
 
+def keyed(docs: DataFrame, key: str = "row") -> DataFrame:
+    """The rows with a number of their own: the ``doc_id``, or for rows that share one or have none, a number after all ids.
+
+    Only the rows that need a number are ranked, so a table with unique ids costs one count of its ids. Each step that
+    goes back from an operator's answers to rows does so by this number.
+    """
+    several = stored(docs.groupBy("doc_id").agg(F.count("*").alias("_n")).where("doc_id is null or _n > 1").select(F.col("doc_id").alias("_id")), "shared-ids")
+    if several.isEmpty():
+        return docs.withColumn(key, F.col("doc_id").cast("long"))
+    last = docs.agg(F.coalesce(F.max("doc_id"), F.lit(0))).first()[0]
+    met = F.col("doc_id").eqNullSafe(F.col("_id"))
+    alone = docs.join(several, met, "left_anti").withColumn(key, F.col("doc_id").cast("long"))
+    others = ordered.with_position(docs.join(several, met, "left_semi").withColumn("_all", F.lit(0)), ["_all"], docs.columns, key)
+    return stored(alone.unionByName(others.drop("_all").withColumn(key, F.col(key) + F.lit(max(last, 0)))), "keyed")
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches cut so that a slice holds about ``limit`` bytes of the text column, or one row."""
     for batch in batches:

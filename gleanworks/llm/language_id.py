@@ -160,15 +160,33 @@ def training_sample(docs: DataFrame, learn: Column) -> tuple[np.ndarray, np.ndar
     return windows, np.array([languages.index(lang) for lang, _ in rows], np.int64), languages
 
 
-def identify(docs: DataFrame, learn: Column, epochs: int = EPOCHS) -> DataFrame:
+def with_doubt(windows: np.ndarray, labels: np.ndarray, languages: list[str], seed: int = 3) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """The sample with one class more, ``und``: as many windows as an average language has, of the same bytes in random
+    order, and half of them of random letters. A softmax over languages alone has to name one for any letters.
+    """
+    rng = np.random.default_rng(seed)
+    chosen = windows[rng.permutation(len(windows))[:max(1, len(windows) // max(1, len(languages)))]]
+    filled = chosen != 0
+    shuffled = np.where(filled, np.take_along_axis(chosen, np.argsort(np.where(filled, rng.random(chosen.shape), 2.0), axis=1), axis=1), 0)
+    letters = rng.integers(97, 123, chosen.shape).astype(np.uint8)
+    spaces = np.isin(chosen, (0, 32))
+    odd = np.arange(len(chosen)) % 2 == 1
+    noise = np.where(odd[:, None], np.where(spaces, chosen, letters), shuffled).astype(np.uint8)
+    return np.concatenate((windows, noise)), np.concatenate((labels, np.full(len(noise), len(languages), np.int64))), [*languages, UNDETERMINED]
+
+
+def identify(docs: DataFrame, learn: Column, epochs: int = EPOCHS, doubt: bool = False) -> DataFrame:
     """All rows and columns of ``docs`` with lang_pred and score, from the text alone.
 
     ``learn`` says which rows may be learned from (their ``text`` and ``lang``). lang_pred is a learned language; it is
     ``und`` with score 0 where the text is null, empty or has no letter, or where there is nothing to learn from. score
-    is the mean probability of lang_pred over the windows of the whole text, weighted by their bytes. Columns named like
+    is the mean probability of lang_pred over the windows of the whole text, weighted by their bytes. With ``doubt`` the
+    network also learns a class of disordered letters, and a text that looks most like those is ``und``. Columns named like
     the results are replaced. Repeated rows each get a row; an empty table gives none.
     """
     sample = training_sample(docs, learn)
+    if doubt and sample[2]:
+        sample = with_doubt(*sample)
     net = train(*sample, epochs=epochs) if sample[2] else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
