@@ -97,6 +97,27 @@ def with_streak(df: DataFrame, keys: list[str], order: list[str], hit: Column, r
     return joined.withColumn(name, streak).withColumn(f"{name}_closed", closed).select(*df.columns, name, f"{name}_closed")
 
 
+def streak_slices(df: DataFrame, keys: list[str], order: list[str], hit: Column, reset: Column, limit: int, ts: str,
+                  forget: int | None = None) -> DataFrame:
+    """Rows that are a hit or a reset, with their slice and what that slice alone knows of the streak.
+
+    Slices are the ranges of a key's rows, so a hot key has many. Adds ``slice``, ``streak`` (hits since the slice's last
+    reset, or since its begin) and ``closed`` (the slice has had a reset up to this row). With ``forget`` (seconds) a row
+    so long after the one before it starts a new streak.
+    """
+    inside = Window.partitionBy(_KEY, _RANGE).orderBy(*order)
+    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
+    rows = _ranged(df.where(hit | reset), keys, order)
+    rows = rows.withColumn("_hits", F.sum(hit.cast("bigint")).over(upto))
+    starts = F.when(reset, F.col("_hits"))
+    if forget is not None:
+        at = F.unix_micros(F.col(ts).cast("timestamp"))
+        starts = starts.when(at - F.lag(at).over(inside) >= forget * 1_000_000, F.col("_hits") - 1)
+    rows = rows.withColumn("_start", starts).withColumn("_base", F.max("_start").over(upto))
+    return rows.select(*df.columns, F.col(_RANGE).alias("slice"), (F.col("_hits") - F.coalesce("_base", F.lit(0))).alias("streak"),
+                       F.col("_base").isNotNull().alias("closed"))
+
+
 def with_position(df: DataFrame, keys: list[str], order: list[str], name: str, descending: bool = False) -> DataFrame:
     """Add the 1-based position of each row within its key."""
     return with_running_total(df, keys, order, F.lit(1).cast("bigint"), name, descending)

@@ -356,6 +356,25 @@ def t12(spark, sf):
     return locked.select("event_id", "user_id")
 
 
+# With a streak forgotten after a day without a sign-in.
+FORGET_SQL = """SELECT event_id, user_id FROM (SELECT *, sum(hit) OVER (PARTITION BY user_id, g ORDER BY ts, event_id) AS streak FROM (
+  SELECT *, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS hit, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS g FROM (
+    SELECT *, CASE WHEN event_type = 'purchase' OR ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) >= INTERVAL 1 DAY THEN 1 ELSE 0 END AS fresh FROM events WHERE event_type IN ('error', 'purchase'))))
+WHERE hit = 1 AND streak = 2"""
+
+
+@query("t12_lockout_forgotten", FORGET_SQL)
+def t12_forgotten(spark, sf):
+    locked = state.lockouts_stream(event_stream(spark, sf), "user_id", BY_TIME, failed(), succeeded(), "t12", limit=2, forget=86_400)
+    return locked.select("event_id", "user_id")
+
+
+@query("t12_lockout_forgotten_batch", FORGET_SQL)
+def t12_forgotten_batch(spark, sf):
+    rows = state.lockouts(Tables(spark, sf).events, "user_id", BY_TIME, failed(), succeeded(), limit=2, forget=86_400)
+    return rows.select("event_id", "user_id")
+
+
 @query("t12_lockout_batch", LOCKOUT_SQL)
 def t12_batch(spark, sf):
     rows = state.lockouts(Tables(spark, sf).events, "user_id", BY_TIME, failed(), succeeded())

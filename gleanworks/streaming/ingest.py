@@ -81,11 +81,12 @@ def drain_to(stream: DataFrame, label: str) -> str:
     """As ``drain``, returning the table's location, which a further stream can read."""
     spark = stream.sparkSession
     target, checkpoint = new_location(spark, f"{label}-table"), new_location(spark, f"{label}-progress")
-    _refuse_late(load_available(stream, target, checkpoint), label)
+    refuse_late(load_available(stream, target, checkpoint), label)
     return target
 
 
-def _refuse_late(late: int, label: str) -> None:
+def refuse_late(late: int, label: str) -> None:
+    """Fail if rows were dropped behind the watermark."""
     if late:
         raise ValueError(f"{label}: {late} rows lay behind the watermark; read all files in one batch, in_time_order, or split_late first")
 
@@ -123,7 +124,7 @@ def drain_whole_to(spark: SparkSession, location: str, schema: StructType, make:
         if not any(datetime.fromisoformat(batch.eventTime["watermark"]) >= datetime.fromisoformat(max(newest)) for batch in closing if "watermark" in batch.eventTime):
             raise ValueError(f"{label}: the closing row did not reach the watermark")
         progress = [*progress, *closing]
-    _refuse_late(_late(progress), label)
+    refuse_late(_late(progress), label)
     return target
 
 

@@ -12,13 +12,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import LongType, StructField, StructType
 
 from gleanworks import fixed
-from gleanworks.functions.times import epoch_seconds
-from gleanworks.operators import joins, ordered
+from gleanworks.operators import ordered
 from gleanworks.operators.alerts import next_notification
 from gleanworks.session import new_location
+from gleanworks.streaming import ingest
 
 NEVER = -1
 # run length, last window, last breach, open flag, last notification (seconds; -1 is never)
@@ -102,51 +101,95 @@ def policy_transitions_stream(windows: DataFrame, delay: str = fixed.WATERMARK)
         run, "policy string, series string, at bigint, event string", f"{ALERT_STATE}, auto_close bigint", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def lockouts(events: DataFrame, user: str, order: list[str], failed: Column,
-             succeeded: Column, limit: int = fixed.LOCKOUT_FAILURES) -> DataFrame:
-    """Rows at which a user reaches ``limit`` failures since the last success."""
-    rows = events.where(failed | succeeded)
-    counted = ordered.with_streak(rows, [user], order, failed, succeeded, "streak")
-    return counted.where(failed & (F.col("streak") == limit)).select(*events.columns)
+def lockouts(events: DataFrame, user: str, order: list[str], failed: Column, succeeded: Column,
+             limit: int = fixed.LOCKOUT_FAILURES, forget: int | None = None) -> DataFrame:
+    """Rows at which a user reaches ``limit`` failures since the last success, or since ``forget`` seconds without a row."""
+    if forget is None:
+        counted = ordered.with_streak(events.where(failed | succeeded), [user], order, failed, succeeded, "streak")
+        return counted.where(failed & (F.col("streak") == limit)).select(*events.columns)
+    rows = ordered.with_previous(events.where(failed | succeeded), [user], order, F.col(order[0]), "_last_row")
+    gap = F.unix_micros(F.col(order[0]).cast("timestamp")) - F.unix_micros(F.col("_last_row").cast("timestamp"))
+    # a streak that is forgotten is a reset of its own, just before the row that comes so late
+    marked = rows.withColumn("_turn", F.explode(F.when(gap >= forget * 1_000_000, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))))
+    counted = ordered.with_streak(marked.drop("_last_row"), [user], [*order, "_turn"], failed & (F.col("_turn") == 1), succeeded | (F.col("_turn") == 0), "streak")
+    return counted.where(failed & (F.col("_turn") == 1) & (F.col("streak") == limit)).select(*events.columns)
 
 
-def lockouts_stream(stream: DataFrame, user: str, order: list[str], failed: Column,
-                    succeeded: Column, label: str, limit: int = fixed.LOCKOUT_FAILURES,
-                    root: str | None = None) -> DataFrame:
-    """Lockout rows from a stream, with the open streak of each user carried between batches.
+def merged_streak(streak: int, last: int, part: dict, limit: int, forget: int | None) -> tuple[int, int, int | None]:
+    """A user's open streak after one more slice: the streak, the time of its last row, and which of the slice's first
+    failures reaches the limit with what was open before (counted from 1), if any.
 
-    Every micro-batch uses the sliced computation above, so a busy user does not end up in
-    one task. Streaks and lockouts are written per batch id: a repeated batch replaces its
-    own output, which keeps the result exact after a failure. Pass the same ``root`` again
-    to resume after the driver was lost. Later batches must be later in time: read a backlog
-    in one batch, or from ``ingest.in_time_order``.
+    A slice is summed up by its first and last time (microseconds), its failures before its first reset (``first_hits``),
+    whether it has a reset, and its failures since the last one (``open_hits``); sums of neighbouring slices merge the
+    same way, so their number and cuts do not matter.
+    """
+    if last != NEVER and forget is not None and part["begins"] - last >= forget * 1_000_000:
+        streak = 0
+    reached = limit - streak if streak < limit <= streak + part["first_hits"] else None
+    return part["open_hits"] if part["has_reset"] else streak + part["open_hits"], part["ends"], reached
+
+
+def lockouts_stream(stream: DataFrame, user: str, order: list[str], failed: Column, succeeded: Column, label: str,
+                    limit: int = fixed.LOCKOUT_FAILURES, root: str | None = None, forget: int | None = None) -> DataFrame:
+    """Lockout rows from a stream; the open streak of each user is keyed state.
+
+    Every micro-batch is cut into slices of users' rows, so a busy user does not end up in one task. What happens within
+    a slice is written at once; each slice leaves a summary of a few numbers and its first failures. A second stream
+    reads the summaries and merges them into the state of their user: one row per user in RocksDB, changed only where the
+    user has rows, and dropped when the streak ends or, by an event-time timer, when it is forgotten. All output is
+    written per batch id, so a repeated batch replaces its own. Pass the same ``root`` again to resume after the driver
+    was lost. Later batches must be later in time: read a backlog in one batch, or from ``ingest.in_time_order``.
     """
     spark = stream.sparkSession
     root = root or new_location(spark, label)
-    streaks = StructType([stream.schema[user], StructField("streak", LongType())])
+    ts = order[0]
 
     def handle(batch: DataFrame, number: int) -> None:
-        before = (
-            spark.read.schema(streaks).parquet(f"{root}/streaks/{number - 1}") if number
-            else spark.createDataFrame([], streaks)
-        )
-        rows = batch.where(failed | succeeded)
-        here = ordered.with_streak(rows, [user], order, failed, succeeded, "here")
-        open_streaks = before.select(user, F.col("streak").alias("_carried"))
-        carried = F.when(~F.col("here_closed"), F.col("_carried"))
-        counted = joins.salted_join(here, open_streaks, [user], F.struct(*order), how="left").withColumn(
-            "streak", F.col("here") + F.coalesce(carried, F.lit(0))
-        ).persist()
-        counted.where(failed & (F.col("streak") == limit)).select(*batch.columns).write.mode("overwrite").parquet(
-            f"{root}/lockouts/batch={number}"
-        )
-        ends = counted.groupBy(user).agg(F.max_by("streak", F.struct(*order)).cast("bigint").alias("streak"))
-        idle = before.join(ends, user, "left_anti")
-        ends.unionByName(idle).where("streak > 0").write.mode("overwrite").parquet(f"{root}/streaks/{number}")
-        counted.unpersist()
+        rows = ordered.streak_slices(batch, [user], order, failed, succeeded, limit, ts, forget)
+        place = f"{root}/slices/batch={number}"
+        rows.where(failed & F.col("closed") & (F.col("streak") == limit)).select(*stream.columns).write.mode("overwrite").parquet(f"{root}/within/batch={number}")
+        rows.where(failed & ~F.col("closed") & (F.col("streak") <= limit)).write.mode("overwrite").parquet(f"{root}/first/batch={number}")
+        at = F.unix_micros(F.col(ts).cast("timestamp"))
+        rows.groupBy(user, "slice").agg(
+            F.lit(number).cast("bigint").alias("number"), F.min(at).alias("begins"), F.max(at).alias("ends"), F.max("closed").alias("has_reset"),
+            F.count_if(failed & ~F.col("closed")).alias("first_hits"), F.max_by("streak", F.struct(*order)).alias("open_hits")).write.mode("overwrite").parquet(place)
 
     (
         stream.writeStream.foreachBatch(handle).option("checkpointLocation", f"{root}/progress")
         .trigger(availableNow=True).start().awaitTermination()
     )
-    return spark.read.schema(stream.schema).parquet(f"{root}/lockouts").select(*stream.columns)
+
+    def merge(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        streak, last = state.get if state.exists else (0, NEVER)
+        found = []
+        if not state.hasTimedOut:
+            parts = pd.concat(frames).sort_values(["number", "slice"])
+            for part in parts.to_dict("records"):
+                streak, last, reached = merged_streak(streak, last, part, limit, forget)
+                if reached is not None:
+                    found.append((key[0], part["number"], part["slice"], reached))
+        if not streak or state.hasTimedOut:
+            if state.exists:
+                state.remove()
+        else:
+            state.update((int(streak), int(last)))
+            if forget is not None:
+                state.setTimeoutTimestamp(max(last // 1000 + forget * 1000, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(found, columns=[user, "number", "slice", "reached"])
+
+    kind = stream.schema[user].dataType.simpleString()
+    slices = f"`{user}` {kind}, slice int, number bigint, begins bigint, ends bigint, has_reset boolean, first_hits bigint, open_hits bigint"
+    spark.createDataFrame([], slices).coalesce(1).write.mode("ignore").parquet(f"{root}/slices/batch=-1")
+    summaries = spark.readStream.schema(spark.createDataFrame([], slices).schema).parquet(f"{root}/slices/batch=*")
+    reached = summaries.withColumn("_at", F.timestamp_micros("ends")).withWatermark("_at", fixed.WATERMARK).groupBy(user).applyInPandasWithState(
+        merge, f"`{user}` {kind}, number bigint, slice int, reached bigint", "streak bigint, last bigint", "append", GroupStateTimeout.EventTimeTimeout)
+    ingest.refuse_late(ingest.load_available(reached, f"{root}/reached", f"{root}/reached-progress"), label)
+    hits = spark.read.schema(reached.schema).parquet(f"{root}/reached").select(F.col(user).alias("_user"), "number", F.col("slice").alias("_slice"), "reached")
+    empty = spark.createDataFrame([], stream.schema)
+    for part in ("within", "first"):
+        extra = empty if part == "within" else empty.withColumn("slice", F.lit(0)).withColumn("streak", F.lit(0).cast("bigint")).withColumn("closed", F.lit(False))
+        extra.coalesce(1).write.mode("ignore").parquet(f"{root}/{part}/batch=-1")
+    first = spark.read.option("basePath", f"{root}/first").parquet(f"{root}/first/batch=*")
+    across = first.join(hits, F.col(user).eqNullSafe(F.col("_user")) & (F.col("batch") == F.col("number")) & (F.col("slice") == F.col("_slice")) & (F.col("streak") == F.col("reached")))
+    within = spark.read.schema(stream.schema).option("basePath", f"{root}/within").parquet(f"{root}/within/batch=*")
+    return within.select(*stream.columns).union(across.select(*stream.columns))

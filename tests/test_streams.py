@@ -174,6 +174,60 @@ def test_lockouts_carry_over_batches(spark, feed, files):
     assert {r.event_id for r in streamed.collect()} == want
 
 
+def streaks(rows, limit, forget=None):
+    """Event ids of lockouts, one row after the other."""
+    open_, last, found = {}, {}, set()
+    for r in sorted(rows, key=lambda r: (r[1], r[0])):
+        if r[3] not in ("bad", "good"):
+            continue
+        if forget and r[2] in last and (r[1] - last[r[2]]).total_seconds() >= forget:
+            open_[r[2]] = 0
+        last[r[2]] = r[1]
+        open_[r[2]] = 0 if r[3] == "good" else open_.get(r[2], 0) + 1
+        if r[3] == "bad" and open_[r[2]] == limit:
+            found.add(r[0])
+    return found
+
+
+@pytest.mark.parametrize("files, forget", [(1, None), (5, None), (5, 600), (1, 600)])
+def test_hot_user_and_forgotten_streaks(spark, files, forget):
+    """A third of the rows is one user's, one user has no name; streaks run over slices and batches, some are forgotten."""
+    rng = random.Random(files)
+    rows, at = [], T0
+    for i in range(1500):
+        at += timedelta(seconds=rng.choice([5, 20, 400]))
+        rows.append((i, at, rng.choice(["hot", "a", "b", None]) if i % 3 else "hot", rng.choice(["bad", "bad", "bad", "good", "other"]) if i % 7 else "bad", 0.0))
+    df = spark.createDataFrame(rows, "event_id bigint, ts timestamp_ntz, user_id string, kind string, value double")
+    bad, good, order = F.col("kind") == "bad", F.col("kind") == "good", ["ts", "event_id"]
+    location = ingest.in_time_order(df, "ts", files)
+    got = state.lockouts_stream(ingest.read_stream(spark, location, df.schema, 1), "user_id", order, bad, good, "hot", limit=4, forget=forget)
+    want = streaks(rows, 4, forget)
+    assert len(want) > 30 and sorted(r.event_id for r in got.collect()) == sorted(want)
+    assert sorted(r.event_id for r in state.lockouts(df, "user_id", order, bad, good, limit=4, forget=forget).collect()) == sorted(want)
+
+
+def test_slices_merge_as_one(spark):
+    """Summaries of any cuts of a history give the same streaks and the same lockouts."""
+    rng = random.Random(3)
+    for _ in range(300):
+        kinds, limit = [rng.choice("bbbg") for _ in range(14)], rng.randrange(1, 5)
+        whole = streaks([(i, T0 + timedelta(seconds=i), "u", "bad" if k == "b" else "good") for i, k in enumerate(kinds)], limit)
+        cuts, streak, last, found = sorted({0, 14, *rng.sample(range(14), 4)}), 0, state.NEVER, set()
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            part = kinds[a:b]
+            first = part.index("g") if "g" in part else len(part)
+            open_hits = len(part) - 1 - max((i for i, k in enumerate(part) if k == "g"), default=-1)
+            streak, last, reached = state.merged_streak(streak, last, {"begins": a, "ends": b, "first_hits": first, "has_reset": "g" in part, "open_hits": open_hits}, limit, None)
+            if reached is not None:
+                found.add(a + reached - 1)
+            run = 0
+            for i, k in enumerate(part):
+                run = 0 if k == "g" else run + 1
+                if i > first and k == "b" and run == limit:
+                    found.add(a + i)
+        assert found == whole
+
+
 def test_lockouts_resume_from_their_folder(spark):
     """Streaks survive between two runs over one folder, as after a lost driver."""
     bad, good = F.col("kind") == "bad", F.col("kind") == "good"
