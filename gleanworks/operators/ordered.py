@@ -25,6 +25,11 @@ def _ranged(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return spark.read.schema(placed.schema).parquet(location)
 
 
+def sliced(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The rows, written once, with the number of their ``slice``: a range of a key's rows that lies before the next one's."""
+    return _ranged(df, keys, order).select(*df.columns, F.col(_RANGE).alias("slice"))
+
+
 def _across(descending: bool):
     return Window.partitionBy(_KEY).orderBy(F.col(_RANGE).desc() if descending else F.col(_RANGE).asc())
 

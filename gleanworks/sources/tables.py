@@ -6,9 +6,6 @@ DataFrame; ``publish`` writes it to a new location.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import (
@@ -17,7 +14,7 @@ from pyspark.sql.types import (
 
 from gleanworks import fixed
 from gleanworks.functions import shapes, times, urls
-from gleanworks.operators import joins, ordered
+from gleanworks.operators import joins, ordered, transitions
 from gleanworks.session import new_location
 
 # Warehouse type names and the matching Spark types.
@@ -173,32 +170,12 @@ def status_update(log: DataFrame, updates: DataFrame, job: str, at: str, strict:
     """(accepted log rows, rejected updates); the updates of one job are applied in order of time, then status.
 
     The current row of each job is the latest of the append-only log. An accepted update raises the version by one and
-    is what the next one is checked against; a rejected one changes nothing. Updates are dealt by job and read as a
-    sorted stream, so a job with very many of them needs no memory.
+    is what the next one is checked against; a rejected one changes nothing. Updates of one job spread over tasks, however
+    many they are (``transitions.fold``).
     """
-    current = ordered.latest_per_key(log, [job], ["version"]).select(
-        job, F.col("status").alias("previous"), F.col("version").cast("bigint").alias("version")
-    )
-    pairs = set(fixed.STRICT_TRANSITIONS + ([] if strict else fixed.SCHEDULING_TRANSITIONS))
-    moves = updates.select(job, "status", at).join(current, job, "left").repartition(job).sortWithinPartitions(job, at, "status")
-    kinds = {f.name: f.dataType.simpleString() for f in moves.schema.fields}
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, now, version = None, None, None
-        for batch in batches:
-            before, accepted, versions = [], [], []
-            for name, status, known, first in zip(batch[job], batch["status"], batch["previous"], batch["version"], strict=True):
-                if name != last:
-                    last, now, version = name, known, first
-                before.append(now)
-                accepted.append((now, status) in pairs)
-                if accepted[-1]:
-                    now, version = status, version + 1
-                versions.append(version)
-            yield batch.assign(previous=before, version=pd.array(versions, dtype="Int64"), accepted=accepted)
-
-    folded = moves.mapInPandas(
-        fold, f"`{job}` {kinds[job]}, status {kinds['status']}, `{at}` {kinds[at]}, previous {kinds['previous']}, version bigint, accepted boolean")
+    current = ordered.latest_per_key(log, [job], ["version"]).select(job, F.col("status").alias("previous"), "version")
+    pairs = fixed.STRICT_TRANSITIONS + ([] if strict else fixed.SCHEDULING_TRANSITIONS)
+    folded = transitions.fold(updates.select(job, "status", at), job, [at, "status"], "status", current, pairs)
     version = F.col("version").cast(log.schema["version"].dataType).alias("version")
     return (folded.where("accepted").select(job, "status", version, F.col(at)),
             folded.where("not accepted").select(job, "previous", "status", F.col(at)))
