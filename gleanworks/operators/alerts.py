@@ -6,15 +6,16 @@ series below are bounded by the number of windows, not by the number of points.
 
 from __future__ import annotations
 
-import pandas as pd
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from gleanworks import fixed
 from gleanworks.functions.times import epoch_seconds
-from gleanworks.operators import percentiles
+from gleanworks.operators import ordered, percentiles
 from gleanworks.operators.joins import rule_table
+from gleanworks.sources import tables
 
 
 def breaches(value: Column, comparison: str, threshold: float) -> Column:
@@ -66,23 +67,38 @@ def next_notification(last: int | None, at: int, period: int) -> bool:
 
 
 def notifications(alerts: DataFrame, series: list[str], period: int) -> DataFrame:
-    """Alerts that notify when at most one notification per period is sent.
+    """Alerts that notify when at most one notification per ``period`` seconds is sent.
 
-    Each decision depends on the previous notification, so a series is walked in
-    order. ``alerts`` holds fired alerts (``window_start``), one row per window at most.
+    Each decision depends on the one before, but not on how it came about: whichever alert notifies, the next to do so is
+    the first at least a period later. So each alert points to that one (a running maximum over the series, cut into
+    ranges), and pointers are doubled: after k rounds the chain from the first alert is known for 2**k steps. No series is
+    walked, and a round joins alerts with pointers by (series, time), which no hot series makes uneven. ``alerts`` holds
+    fired alerts (``window_start``); equal times count once, rows without a time never notify, null series are series.
     """
-    schema = StructType([alerts.schema[name] for name in [*series, "window_start"]])
-
-    def walk(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("window_start")
-        last, keep = None, []
-        for at in (frame["window_start"].astype("datetime64[s]").astype("int64")):
-            send = next_notification(last, at, period)
-            keep.append(send)
-            last = at if send else last
-        return frame[keep]
-
-    return alerts.select(*series, "window_start").groupBy(*series).applyInPandas(walk, schema)
+    times = alerts.select(*series, "window_start").where("window_start is not null").distinct()
+    if period <= 0:
+        return times
+    times = tables.publish(times.withColumn("_at", epoch_seconds(F.col("window_start"))), "alert-times")
+    spots = times.select(*series, (-F.col("_at")).alias("_back"), F.lit(0).alias("_asks")).union(
+        times.select(*series, (-F.col("_at") - period).alias("_back"), F.lit(1)))
+    seen = ordered.with_running_max(spots, series, ["_back", "_asks"], F.when(F.col("_asks") == 0, F.col("_back")), "_near")
+    pointers = tables.publish(seen.where("_asks = 1 and _near is not null").select(*series, (-F.col("_back") - period).alias("_at"), (-F.col("_near")).alias("_next")), "alert-pointers")
+
+    def follow(rows: DataFrame, at: str, steps: DataFrame) -> DataFrame:
+        """``rows`` with the ``_to`` that ``steps`` lead to from their time ``at``."""
+        to = steps.select(*(F.col(c).alias(f"_s{k}") for k, c in enumerate(series)), F.col("_at").alias("_from"), F.col("_next").alias("_to"))
+        return rows.join(to, reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_s{k}")) for k, c in enumerate(series)], F.col(at) == F.col("_from")))
+
+    chosen = tables.publish(times.groupBy(*series).agg(F.min("_at").alias("_at")), "alert-chosen")
+    size = chosen.count()
+    while size:
+        grown = tables.publish(chosen.union(follow(chosen, "_at", pointers).select(*series, F.col("_to").alias("_at"))).distinct(), "alert-chosen")
+        chosen, before, size = grown, size, grown.count()
+        if size == before:
+            break
+        pointers = tables.publish(follow(pointers, "_next", pointers).select(*series, "_at", F.col("_to").alias("_next")), "alert-pointers")
+    kept = chosen.select(*series, "_at", F.col("_at").alias("_next"))
+    return follow(times, "_at", kept).select(*series, "window_start")
 
 
 POLICY = ["policy", "seconds", "aligner", "comparison", "threshold", "duration", "auto_close", "period"]

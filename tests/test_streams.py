@@ -33,6 +33,23 @@ def test_suppression(spark):
     assert sorted((r.series, (r.window_start - T0).seconds) for r in sent) == [(n, s) for n in "ab" for s in (0, 400, 700)]
 
 
+def test_suppression_equals_the_walk(spark):
+    """Chains of any length in hot, short, null and single series; equal times count once."""
+    rng = random.Random(12)
+    rows = [("hot", T0 + timedelta(seconds=rng.randrange(200_000))) for _ in range(4000)] + [(None, T0 + timedelta(seconds=60 * k)) for k in range(300)]
+    rows += [(f"s{k}", T0 + timedelta(seconds=rng.randrange(5000))) for k in range(40) for _ in range(k % 6)] + [("s1", None)]
+    df = spark.createDataFrame(rows + rows[:50], "series string, window_start timestamp_ntz")
+    for period in (0, 1, 700, 10**6):
+        want, last = set(), {}
+        for name, at in sorted(set(rows), key=lambda r: (r[1] or T0, str(r[0]))):
+            if at is not None and (name not in last or (at - last[name]).total_seconds() >= period):
+                want.add((name, at))
+                last[name] = at
+        got = [tuple(r) for r in alerts.notifications(df, ["series"], period).collect()]
+        assert len(got) == len(want) and set(got) == want
+    assert alerts.notifications(df.where("false"), ["series"], 60).count() == 0
+
+
 def test_incidents(spark):
     df = series(spark, [1, 1, 0, 0, 1, 0, 0, 0, 0, 0, 1]).where("bad")
     got = alerts.incidents(df, ["series"], 300).orderBy("opened_at").collect()
