@@ -12,7 +12,7 @@ from gleanworks.operators import paging
 from gleanworks.plans import standins as st
 from gleanworks.plans.registry import Tables, query
 from gleanworks.session import new_location
-from gleanworks.sources import files, tables
+from gleanworks.sources import files, keyed, tables
 from gleanworks.streaming import ingest
 
 @query("s01_land_raw", """SELECT event_id::VARCHAR AS id, event_type, value, strftime(ts, '%Y-%m-%d') AS ingest_day FROM events""")
@@ -139,15 +139,17 @@ def s14(spark, sf):
     return stored.select("page_id", "address_url", F.coalesce("address_note", F.lit("")).alias("address_note"))
 
 
-@query("s15_upsert", """WITH c AS (
+UPSERT_SQL = """WITH c AS (
   SELECT o_orderkey, 'U' AS o_orderstatus, o_totalprice + 1 AS p, o_orderdate + INTERVAL 1 DAY AS d FROM orders WHERE o_orderstatus = 'P'
   UNION ALL SELECT o_orderkey, 'S', o_totalprice - 1, o_orderdate - INTERVAL 1 DAY FROM orders WHERE o_orderstatus = 'F'
   UNION ALL SELECT o_orderkey + 1000000000, 'N', o_totalprice, o_orderdate FROM orders WHERE o_totalprice > 400000
   UNION ALL SELECT o_orderkey + 1000000000, 'M', o_totalprice, o_orderdate + INTERVAL 1 HOUR FROM orders WHERE o_totalprice > 450000)
 SELECT o_orderkey, o_orderstatus, round(p, 2) AS price FROM (
   SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY d DESC) AS rn FROM (
-    SELECT o_orderkey, o_orderstatus, o_totalprice AS p, o_orderdate AS d FROM orders UNION ALL SELECT * FROM c)) WHERE rn = 1""")
-def s15(spark, sf):
+    SELECT o_orderkey, o_orderstatus, o_totalprice AS p, o_orderdate AS d FROM orders UNION ALL SELECT * FROM c)) WHERE rn = 1"""
+
+
+def order_changes(spark, sf):
     base = Tables(spark, sf).orders.select(
         "o_orderkey", "o_orderstatus", F.col("o_totalprice").alias("price"), F.col("o_orderdate").alias("updated_at"))
     at, key = F.col("updated_at"), F.col("o_orderkey")
@@ -162,10 +164,23 @@ def s15(spark, sf):
         version(base.where("price > 400000"), "N", price, at, far),
         version(base.where("price > 450000"), "M", price, F.timestamp_add("HOUR", F.lit(1), at), far),
     ])
+    return base, changes
+
+
+@query("s15_upsert", UPSERT_SQL)
+def s15(spark, sf):
+    base, changes = order_changes(spark, sf)
     return tables.upsert(base, changes, "o_orderkey", ["updated_at"]).select(
         "o_orderkey", "o_orderstatus", F.round("price", 2).alias("price"))
 
 
+@query("s15_upsert_indexed", UPSERT_SQL)
+def s15_indexed(spark, sf):
+    base, changes = order_changes(spark, sf)
+    table = keyed.upsert(keyed.create(base, "o_orderkey", "s15", 4096), changes, ["updated_at"], "s15")
+    return table.rows().select("o_orderkey", "o_orderstatus", F.round("price", 2).alias("price"))
+
+
 @query("s16_delete_cascade", """WITH gone AS (SELECT c_custkey FROM customer WHERE c_acctbal < 0),
 o AS (SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM gone))
 SELECT 'customer' AS table_name, count(*) AS n FROM customer WHERE c_custkey NOT IN (SELECT c_custkey FROM gone)
@@ -184,6 +199,25 @@ def s16(spark, sf):
     return reduce(lambda a, b: a.unionByName(b), counts)
 
 
+@query("s16_delete_indexed", "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < -900)")
+def s16_indexed(spark, sf):
+    t = Tables(spark, sf)
+    gone = t.customer.where("c_acctbal < -900").select(F.col("c_custkey").alias("o_custkey"))
+    return keyed.delete(keyed.create(t.orders.select("o_orderkey", "o_custkey"), "o_custkey", "s16", 4096), gone, "s16").rows()
+
+
+FLAGGED_SQL = f"""SELECT o_orderkey, o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity >= 50) AS archived,
+  CASE WHEN o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity >= 50) THEN '{st.NOW}' END AS archived_at FROM orders"""
+
+
+@query("s17_flag_indexed", FLAGGED_SQL)
+def s17_indexed(spark, sf):
+    t = Tables(spark, sf)
+    keys = t.lineitem.where("l_quantity >= 50").select(F.col("l_orderkey").alias("o_orderkey"))
+    base = t.orders.select("o_orderkey", F.lit(False).alias("archived"), F.lit(None).cast("timestamp_ntz").alias("archived_at"))
+    return keyed.flag(keyed.create(base, "o_orderkey", "s17", 4096), keys, st.now(), "s17").rows().withColumn("archived_at", times.stamp(F.col("archived_at")))
+
+
 @query("s17_flag_archived", f"""SELECT o_orderkey, o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity >= 50) AS archived,
   CASE WHEN o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity >= 50) THEN '{st.NOW}' END AS archived_at FROM orders""")
 def s17(spark, sf):
