@@ -280,24 +280,26 @@ def split_contexts(batches: Iterator[pa.RecordBatch], length: int, width: int) -
             yield _part_batch(rows)
 
 
-def repeated_runs(placed: DataFrame, large: DataFrame, length: int, anchor: int, sort_bytes: int, shard_contexts: int, filter_bits: int) -> tuple[DataFrame, list[DataFrame]]:
-    """Runs of repeated strings by context_key (several rows for a context that was split), and the tables they are read from.
+def repeated_runs(placed: DataFrame, length: int, sort_bytes: int, shard_contexts: int, filter_bits: int, anchor: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Runs of repeated strings by context_key (several rows for a context that was cut), and the tables they are read from.
 
-    ``large`` has the shards that may hold more than ``shard_contexts`` distinct contexts. Those that do are trimmed, and
-    split if they still do.
+    Contexts marked ``large`` lie in shards that may hold more than ``shard_contexts`` distinct ones. Equal contexts are
+    counted before anything else; shards that do are trimmed, and split if they still do.
     """
-    parts = placed.select(F.col("context_key").alias("root"), F.lit(0).alias("shift"), "ahead", "shard", "context_key", "context", F.lit(1).cast("long").alias("n"))
-    found, tables, width, suspects, trimmed = None, [large], length - anchor + 1, large, False
+    plain = placed.where("not large").groupBy("context_key").agg(F.first("shard").alias("shard"), F.first("context").alias("context"), F.count("*").alias("n"))
+    combined = placed.where("large").groupBy("context_key").agg(*(F.first(c).alias(c) for c in ("ahead", "shard", "context")), F.count("*").alias("n"))
+    parts = stored(combined.select(F.col("context_key").alias("root"), F.lit(0).alias("shift"), "ahead", "shard", "context_key", "context", "n"), "large-contexts")
+    found, tables, width, trimmed = None, [parts], length - anchor + 1, False
     while True:
-        seen = parts.select("shard", "context_key")
-        seen = seen.join(suspects, "shard", "left_semi") if suspects is not None else seen
         full = None
-        if width > 1 and (suspects is None or not suspects.isEmpty()):
-            full = stored(seen.distinct().groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > shard_contexts).select("shard"), "full-shards")
+        if width > 1:
+            held = parts.select("shard", "context_key").distinct().groupBy("shard").agg(F.count("*").alias("n"))
+            full = stored(held.where(F.col("n") > shard_contexts).select("shard"), "full-shards")
             tables.append(full)
             full = None if full.isEmpty() else full
         small = parts if full is None else parts.join(full, "shard", "left_anti")
         counted = small.groupBy("context_key").agg(F.first("shard").alias("shard"), F.first("context").alias("context"), F.sum("n").alias("n"))
+        counted = counted.unionByName(plain) if found is None else counted
         runs = counted.repartition("shard").sortWithinPartitions("shard").mapInArrow(
             lambda batches: sort_shards(batches, length, sort_bytes), "context_key binary, first array<int>, last array<int>")
         if found is None:
@@ -307,17 +309,14 @@ def repeated_runs(placed: DataFrame, large: DataFrame, length: int, anchor: int,
             found = found.union(moved.select("root", *(F.transform(c, lambda x: x + F.col("shift")) for c in ("first", "last"))))
         if full is None:
             return found, tables
-        distinct = parts.join(full, "shard", "left_semi").groupBy("root", "shift").agg(
-            *(F.first(c).alias(c) for c in ("ahead", "shard", "context")), F.sum("n").alias("n"))
+        distinct = parts.join(full, "shard", "left_semi")
         if not trimmed:
-            distinct = stored(distinct, "full-contexts")  # read twice
-            tables.append(distinct)
             parts, trimmed = stored(trim_contexts(distinct, length, filter_bits), "context-parts"), True
         else:
             width = -(-width // 2)
+            distinct = distinct.groupBy("root", "shift").agg(*(F.first(c).alias(c) for c in ("ahead", "shard", "context")), F.sum("n").alias("n"))
             parts = stored(distinct.mapInArrow(lambda batches, width=width: split_contexts(batches, length, width), _PARTS), "context-parts")
         tables.append(parts)
-        suspects = None
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, sort_bytes: int = SORT_BYTES,
@@ -343,8 +342,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
         find, "row long, size int, shard long, place int, first int, last int"), "anchors")
     # a table of its own, so that both sides of the join are shuffled and a shard with very many anchors can be split
     often = stored(marks.groupBy("shard").agg(F.count("*").alias("n")).where("n > 1"), "anchors-often")
-    large = stored(often.where(F.col("n") > shard_contexts).select("shard"), "large-shards")
-    wanted = marks.join(often.select("shard"), "shard").groupBy(*key).agg(F.collect_set(F.struct("shard", "place", "first", "last")).alias("marks"))
+    wanted = marks.join(often.select("shard", (F.col("n") > shard_contexts).alias("large")), "shard").groupBy(*key).agg(
+        F.collect_set(F.struct("shard", "place", "first", "last", "large")).alias("marks"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
@@ -360,15 +359,15 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
             keys = [_context_key(c, a) for c, a in zip(contexts, ahead.tolist(), strict=True)]
             for k in range(0, len(contexts), 8192):
                 yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c).take(pa.array(owner[k:k + 8192])) for c in key), pa.array(shard[k:k + 8192]), pa.array(first[k:k + 8192]), pa.array(ahead[k:k + 8192]),
+                    [*(part.column(c).take(pa.array(owner[k:k + 8192])) for c in key), pa.array(shard[k:k + 8192]), inner.field("large").slice(k, 8192), pa.array(first[k:k + 8192]), pa.array(ahead[k:k + 8192]),
                      pa.array(keys[k:k + 8192], pa.binary()), pa.array(contexts[k:k + 8192], pa.binary())],
-                    [*key, "shard", "begin", "ahead", "context_key", "context"])
+                    [*key, "shard", "large", "begin", "ahead", "context_key", "context"])
 
     marked = stored(rows.join(wanted, key).select(*key, "text", "marks"), "marked-texts")  # the only texts needed from here on
     discard(marks, often)
     placed = stored(marked.mapInArrow(
-        cut, "row long, size int, shard long, begin int, ahead int, context_key binary, context binary"), "contexts")
-    found, tables = repeated_runs(placed, large, length, anchor, sort_bytes, shard_contexts, filter_bits)
+        cut, "row long, size int, shard long, large boolean, begin int, ahead int, context_key binary, context binary"), "contexts")
+    found, tables = repeated_runs(placed, length, sort_bytes, shard_contexts, filter_bits, anchor)
     spans = stored(placed.select(*key, "begin", "context_key").join(found, "context_key").groupBy(*key).agg(
         F.collect_set(F.struct("begin", "first", "last")).alias("found")), "repeat-spans")
 
