@@ -3,7 +3,7 @@
 A text's probability is the sum over all ways to write its words with the pieces of an existing vocabulary, each piece
 weighted by a unigram score. The sum runs by forward recursion in log space over the bytes of each distinct word. The
 scores start from the order of the vocabulary and are re-estimated from the expected piece counts (forward-backward) of
-all distinct training words. A training word is one more edge of its lattice, from its start to its end, with its share
+all training tokens, each distinct word once with its number of tokens. A training word is one more edge of its lattice, from its start to its end, with its share
 of the tokens; the share of that edge is what predicts each training token best from all the others.
 """
 
@@ -190,7 +190,7 @@ def count_words(docs: DataFrame) -> DataFrame:
 
 
 def estimate(words: DataFrame, path: str, passes: int = PASSES) -> np.ndarray:
-    """Log scores of the pieces, after passes of expected counts over all distinct training words.
+    """Log scores of the pieces, after passes of expected counts over all training tokens (each distinct word times its tokens).
 
     Each task adds up expected counts in one array of the vocabulary's size; the arrays are summed by piece.
     """
@@ -202,13 +202,14 @@ def estimate(words: DataFrame, path: str, passes: int = PASSES) -> np.ndarray:
         def expect(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             counts, table = np.zeros(size), vocabulary(path)
             for batch in batches:
+                tokens = batch.column("c").to_numpy().astype(float)
                 for mine, matrix in word_groups(batch.column("word").cast(pa.large_binary())):
-                    Lattice(table, matrix).expected(sent.value, np.ones(len(mine)), counts)
+                    Lattice(table, matrix).expected(sent.value, tokens[mine], counts)
             used = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(counts[used])], ["piece", "used"])
 
         counts = np.full(size, SMOOTH)
-        for r in words.where("c > 0").select("word").mapInArrow(expect, "piece int, used double").groupBy("piece").agg(F.sum("used").alias("used")).collect():
+        for r in words.where("c > 0").select("word", "c").mapInArrow(expect, "piece int, used double").groupBy("piece").agg(F.sum("used").alias("used")).collect():
             counts[r["piece"]] += r["used"]  # as many rows as the vocabulary has pieces at most
         scores = np.log(counts / counts.sum())
     return scores

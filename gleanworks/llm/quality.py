@@ -1,8 +1,8 @@
 """Quality of whole texts from supervised subword embeddings.
 
-Words and their character n-grams are hashed to learned vectors, and a word that repeats the one before it has one more
-(the word pairs worth knowing here); a document is the mean of the vectors of all these, and a softmax layer reads the mean. Vectors and layer are trained in numpy by stochastic gradient descent on
-a bounded sample of labelled documents.
+Words, their character n-grams and pairs of neighbouring words are hashed to learned vectors; a document is the mean of
+the vectors of all these, and a softmax layer reads the mean. Vectors and layer are trained in numpy by stochastic
+gradient descent on a bounded sample of labelled documents.
 """
 
 from __future__ import annotations
@@ -24,8 +24,8 @@ NGRAMS = (2, 3, 4)
 TRAIN_DOCS = 3000
 EPOCHS = 4
 RATE = 4.0
-#: The bucket of a repeated word.
-REPEAT = BUCKETS
+#: Buckets of pairs of neighbouring words, after those of words and n-grams.
+PAIRS = 1 << 18
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -60,12 +60,24 @@ def word_features(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(found)[order], np.searchsorted(owner[order], np.arange(len(words) + 1))
 
 
-def repeats(codes: np.ndarray, before: np.ndarray) -> np.ndarray:
-    """Whether each word equals the one before it in its text; ``before`` counts the words before each text."""
-    same = np.zeros(len(codes), bool)
-    same[1:] = codes[1:] == codes[:-1]
-    same[before[:-1][before[:-1] < len(codes)]] = False
-    return same
+def word_codes(words: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each word."""
+    offsets = np.frombuffer(words.buffers()[1], np.int64)[words.offset:words.offset + len(words) + 1]
+    data = np.frombuffer(words.buffers()[2], np.uint8)[offsets[0]:offsets[-1]] if len(words) else np.zeros(0, np.uint8)
+    place = ragged(np.zeros(len(words), np.int64), np.diff(offsets)).astype(np.uint64)
+    with np.errstate(over="ignore"):
+        return np.add.reduceat((data.astype(np.uint64) + np.uint64(1)) * ((place * np.uint64(2) + np.uint64(1)) * _MIX ^ (place << np.uint64(31))), offsets[:-1] - offsets[0]) if len(words) else np.zeros(0, np.uint64)
+
+
+def pair_features(codes: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bucket of each word with the one before it in its text, and which words have one before them."""
+    inner = np.ones(len(codes), bool)
+    inner[before[:-1][before[:-1] < len(codes)]] = False
+    second = np.flatnonzero(inner)
+    with np.errstate(over="ignore"):
+        x = codes[second - 1] * _MIX + codes[second]
+        x = (x ^ (x >> np.uint64(31))) * _MIX
+        return BUCKETS + ((x ^ (x >> np.uint64(29))) % np.uint64(PAIRS)).astype(np.int64), second
 
 
 @dataclass
@@ -84,9 +96,11 @@ class Model:
             buckets, starts = word_features(coded.dictionary)
             sums = np.add.reduceat(self.pull[buckets], starts[:-1])
             codes = coded.indices.to_numpy()
-            again = repeats(codes, before)
-            running = np.concatenate(([0.0], np.cumsum(sums[codes] + self.pull[REPEAT] * again)))
-            number = np.concatenate(([0], np.cumsum(np.diff(starts)[codes] + again)))
+            pulls, numbers = sums[codes], np.diff(starts)[codes]
+            pairs, second = pair_features(word_codes(coded.dictionary)[codes], before)
+            pulls[second] += self.pull[pairs]
+            numbers[second] += 1
+            running, number = (np.concatenate(([0], np.cumsum(x))) for x in (pulls, numbers))
             total, count = np.diff(running[before]), np.diff(number[before])
         return 1 / (1 + np.exp(-np.clip(total / np.maximum(count, 1) + self.shift, -40, 40)))
 
@@ -94,9 +108,9 @@ class Model:
 def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 1) -> Model:
     """Bucket vectors and a two-way softmax layer, by stochastic gradient descent, one document at a time."""
     if len(texts) == 0:
-        return Model(np.zeros(BUCKETS + 1), 0.0)
+        return Model(np.zeros(BUCKETS + PAIRS), 0.0)
     rng = np.random.default_rng(seed)
-    vectors = rng.uniform(-1 / DIMENSION, 1 / DIMENSION, (BUCKETS + 1, DIMENSION)).astype(np.float32)
+    vectors = rng.uniform(-1 / DIMENSION, 1 / DIMENSION, (BUCKETS + PAIRS, DIMENSION)).astype(np.float32)
     layer = rng.normal(0, 0.5, (DIMENSION, 2)).astype(np.float32)
     share = (labels.sum() + 1) / (len(labels) + 2)
     shift = np.log([1 - share, share]).astype(np.float32)
@@ -107,8 +121,7 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int
         found = np.zeros(0, np.int64)
         if len(begins):
             words = word_pieces(data, begins, ends)
-            again = repeats(words.dictionary_encode().indices.to_numpy(), before)
-            found = np.concatenate([word_features(words)[0], np.full(int(again.sum()), REPEAT)])
+            found = np.concatenate([word_features(words)[0], pair_features(word_codes(words), before)[0]])
         buckets, n = np.unique(found, return_counts=True)
         bags.append((buckets.astype(np.int32), (n / max(1, n.sum())).astype(np.float32)))
     steps, turn = epochs * len(bags), 0
