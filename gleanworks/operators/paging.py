@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gleanworks import fixed
 from gleanworks.operators import predicates
+from gleanworks.session import new_location
 
 
 @dataclass(frozen=True)
@@ -45,6 +46,46 @@ def page_of(df: DataFrame, keys: list[Column], page: int = 1, size: int = fixed.
     return df.orderBy(*keys).offset((page - 1) * size).limit(size)
 
 
+@dataclass(frozen=True)
+class Directory:
+    """A table in page order: ``rows`` by numbered range, and for each ``_range`` its ``start`` and number of rows ``n``."""
+
+    rows: DataFrame
+    ranges: DataFrame
+    keys: list[Column]
+
+
+def directory(df: DataFrame, keys: list[Column], label: str = "pages", rows_per_range: int = 100_000) -> Directory:
+    """The rows sorted once into ranges of the page order, with a count of what stands before each range.
+
+    Every later page opens only the ranges it lies in, so the thousandth page costs what the first one does.
+    """
+    spark, place = df.sparkSession, new_location(df.sparkSession, label)
+    count = max(1, -(-df.count() // rows_per_range))
+    dealt = df.repartitionByRange(count, *keys).withColumn("_range", F.spark_partition_id())
+    dealt.sortWithinPartitions(*keys).write.partitionBy("_range").parquet(place)
+    rows = spark.read.schema(dealt.schema).parquet(place)
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    counted = rows.groupBy("_range").agg(F.count("*").alias("n")).withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    ranges = new_location(spark, f"{label}-ranges")
+    counted.write.parquet(ranges)
+    return Directory(rows, spark.read.schema(counted.schema).parquet(ranges), keys)
+
+
+def ranges_of_page(pages: Directory, page: int, size: int) -> list:
+    """The ranges that a page lies in, as rows of ``_range``, ``n`` and ``start``."""
+    first = (page - 1) * size
+    return sorted(pages.ranges.where((F.col("start") < first + size) & (F.col("start") + F.col("n") > first)).collect(), key=lambda r: r["start"])
+
+
+def page_from(pages: Directory, page: int, size: int = fixed.DEFAULT_PAGE_SIZE) -> DataFrame:
+    """The rows of a page, as ``page_of`` gives them; only the page's own ranges are opened."""
+    inside = ranges_of_page(pages, page, size)
+    skip = (page - 1) * size - inside[0]["start"] if inside else 0
+    opened = pages.rows.where(F.col("_range").isin([r["_range"] for r in inside])).drop("_range")
+    return opened.orderBy(*pages.keys).offset(skip).limit(size)
+
+
 def page_totals(df: DataFrame, size: int) -> DataFrame:
     """Full row count and the number of pages it makes."""
     return df.agg(F.count("*").alias("total")).select(

@@ -11,7 +11,7 @@ from gleanworks.operators import joins, ordered, paging, predicates, validation
 from gleanworks.plans import flows
 from gleanworks.plans import standins as st
 from gleanworks.plans.registry import Tables, query
-from gleanworks.sources import tables
+from gleanworks.sources import tables, text_index
 
 STAMPED = "strftime({0}, '%Y-%m-%d %H:%M:%S')"
 
@@ -96,6 +96,12 @@ def p10(spark, sf):
     return Tables(spark, sf).part.where(predicates.text_search(F.col("p_name"), "Ring")).select("p_partkey", "p_name")
 
 
+@query("p10_search_indexed", "SELECT doc_id, source FROM documents WHERE contains(lower(text), 'license')")
+def p10_indexed(spark, sf):
+    table = text_index.create(Tables(spark, sf).documents.select("doc_id", "source", "text"), "text", "p10", 1000, ["doc_id"])
+    return text_index.search(table, "License").select("doc_id", "source")
+
+
 @query("p11_status", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P'")
 def p11(spark, sf):
     return Tables(spark, sf).orders.where(predicates.equals_all({"o_orderstatus": "P"})).select("o_orderkey")
@@ -267,6 +273,13 @@ def l02(spark, sf):
         "o_orderkey", F.col("fileSize").alias("o_totalprice"))
 
 
+@query("l02_deep_page", f"{PAGED} LIMIT 20 OFFSET 2400")
+def l02_deep(spark, sf):
+    rows = listing(Tables(spark, sf)).where("status = 'F'")
+    pages = paging.directory(rows, paging.sort_keys("fileSize", "desc", "o_orderkey"), "l02", 1000)
+    return paging.page_from(pages, 121, 20).select("o_orderkey", F.col("fileSize").alias("o_totalprice"))
+
+
 @query("l03_envelope", f"""SELECT o_orderkey, (SELECT count(*) FROM orders WHERE o_orderstatus = 'F') AS total, 2 AS page, 25 AS page_size,
   50 < (SELECT count(*) FROM orders WHERE o_orderstatus = 'F') AS has_next FROM ({PAGED} LIMIT 25 OFFSET 25)""")
 def l03(spark, sf):
