@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from html import escape
 from html.parser import HTMLParser
 
@@ -77,38 +79,77 @@ class _Walker(HTMLParser):
         self._close_to(0)
 
 
-def compile_selector(selector: str) -> list[tuple[str, str, frozenset]]:
-    """``tag``, ``#id``, ``.class``, their combinations, and descendants by blanks."""
-    steps = []
-    for piece in selector.split():
-        if not re.fullmatch(r"(\*|[A-Za-z][\w-]*)?([.#][\w-]+)*", piece):
+_ATTRIBUTE = re.compile(r"""\[\s*([A-Za-z_][\w-]*)\s*(?:([~^$*|]?=)\s*("[^"]*"|'[^']*'|[\w-]+)\s*)?\]""")
+_STEP = re.compile(r"""\s*(>?)\s*((?:\*|[A-Za-z][\w-]*)?(?:[.#][\w-]+|\[(?:"[^"]*"|'[^']*'|[^\]"'])*\])*)""")
+_ATTRIBUTE_TESTS = {
+    "": lambda held, value: True, "=": lambda held, value: held == value, "~=": lambda held, value: value in held.split(),
+    "^=": lambda held, value: value != "" and held.startswith(value), "$=": lambda held, value: value != "" and held.endswith(value),
+    "*=": lambda held, value: value != "" and value in held, "|=": lambda held, value: held == value or held.startswith(value + "-"),
+}
+
+
+@dataclass(frozen=True)
+class Step:
+    """One compound of a selector; ``child`` asks that the step before fits the parent, not just any ancestor."""
+
+    child: bool
+    tag: str
+    ids: frozenset
+    classes: frozenset
+    attributes: tuple
+
+    def fits(self, element: tuple[str, dict]) -> bool:
+        name, held = element
+        return ((not self.tag or self.tag == name) and all(held.get("id") == i for i in self.ids)
+                and (not self.classes or self.classes <= set(held.get("class", "").split()))
+                and all(a in held and _ATTRIBUTE_TESTS[how](held[a], value) for a, how, value in self.attributes))
+
+
+@functools.lru_cache(maxsize=4096)
+def compile_selector(selector: str) -> tuple[tuple[Step, ...], ...]:
+    """Alternatives (parted by commas) of steps: ``tag``, ``#id``, ``.class``, ``[attribute]`` with its tests, their
+    combinations, descendants by blanks and children by ``>``."""
+    groups, at, steps = [], 0, []
+    while True:
+        found = _STEP.match(selector, at)
+        child, compound = found.groups()
+        if not compound or (child and not steps):
+            raise ValueError(f"unsupported selector {selector!r}" if selector.strip() else "empty selector")
+        attributes = []
+        for text in re.findall(r"""\[(?:"[^"]*"|'[^']*'|[^\]"'])*\]""", compound):
+            parsed = _ATTRIBUTE.fullmatch(text)
+            if not parsed:
+                raise ValueError(f"unsupported selector {selector!r}")
+            name, how, value = parsed.groups()
+            attributes.append((name.lower(), how or "", (value or "").strip("\"'")))
+        plain = re.sub(r"""\[(?:"[^"]*"|'[^']*'|[^\]"'])*\]""", "", compound)
+        tag = re.match(r"\*|[A-Za-z][\w-]*|", plain).group().lower()
+        steps.append(Step(bool(child), "" if tag == "*" else tag, frozenset(re.findall(r"#([\w-]+)", plain)),
+                          frozenset(re.findall(r"\.([\w-]+)", plain)), tuple(attributes)))
+        at = found.end()
+        rest = selector[at:].lstrip()
+        if not rest or rest[0] == ",":
+            groups.append(tuple(steps))
+            steps = []
+            if not rest:
+                return tuple(groups)
+            at = len(selector) - len(rest) + 1
+        elif at < len(selector) and not selector[at].isspace() and selector[at] != ">":
             raise ValueError(f"unsupported selector {selector!r}")
-        tag = re.match(r"\*|[A-Za-z][\w-]*|", piece).group().lower()
-        ids = re.findall(r"#([\w-]+)", piece)
-        steps.append(("" if tag == "*" else tag, ids[0] if ids else "", frozenset(re.findall(r"\.([\w-]+)", piece))))
-    if not steps:
-        raise ValueError("empty selector")
-    return steps
-
-
-def _fits(step, element) -> bool:
-    (tag, ident, classes), (name, attrs) = step, element
-    return (
-        (not tag or tag == name) and (not ident or attrs.get("id") == ident)
-        and (not classes or classes <= set(attrs.get("class", "").split()))
-    )
 
 
-def _selected(steps, stack) -> bool:
-    if not _fits(steps[-1], stack[-1]):
+def _path_fits(steps: tuple[Step, ...], stack: list, upto: int) -> bool:
+    """Whether the last step fits element ``upto`` of the open elements and the others fit elements above it."""
+    if not steps[-1].fits(stack[upto]):
         return False
-    wanted = len(steps) - 2
-    for element in reversed(stack[:-1]):
-        if wanted < 0:
-            break
-        if _fits(steps[wanted], element):
-            wanted -= 1
-    return wanted < 0
+    if len(steps) == 1:
+        return True
+    above = range(upto - 1, -1, -1)
+    return any(_path_fits(steps[:-1], stack, k) for k in (above[:1] if steps[-1].child else above))
+
+
+def _selected(groups: tuple, stack: list) -> bool:
+    return any(_path_fits(steps, stack, len(stack) - 1) for steps in groups)
 
 
 class _Selection(_Walker):
@@ -169,6 +210,41 @@ def extract_selectors(pages: DataFrame, key: str, html: str, selectors: dict[str
     )
 
 
+def extract_by_job(pages: DataFrame, key: str, html: str, job: str, selectors: DataFrame) -> DataFrame:
+    """One row per page and selector of the page's job: joined trimmed text, match count and error.
+
+    ``selectors`` has a row per job and name: the job's column, ``name``, ``selector`` and ``required`` (null: no). The few
+    rows of a job are put together and meet each of its pages in one join, and every page is parsed once for all of them.
+    A selector that cannot be read is the error BAD_SELECTOR of its rows, not of the run; pages of jobs without selectors
+    give no rows. Null jobs are a job.
+    """
+    kinds = {c: pages.schema[c].dataType.simpleString() for c in (key, job)}
+    asked = F.struct(F.col("name").cast("string").alias("name"), F.col("selector").cast("string").alias("selector"), F.coalesce("required", F.lit(False)).alias("required"))
+    chosen = selectors.groupBy(F.col(job).alias("_job")).agg(F.sort_array(F.collect_set(asked)).alias("_asked"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for ident, owner, source, options in zip(batch[key], batch[job], batch[html], batch["_asked"], strict=True):
+                compiled, bad = {}, set()
+                for number, option in enumerate(options):
+                    try:
+                        compiled[number] = compile_selector(option["selector"] or "")
+                    except ValueError:
+                        bad.add(number)
+                finder = _Selection(compiled)
+                if source:
+                    finder.read(source)
+                for number, option in enumerate(options):
+                    hits = ["".join(pieces) for pieces in finder.found.get(number, [])]
+                    error = "BAD_SELECTOR" if number in bad else "REQUIRED_MISSING" if option["required"] and not hits else None
+                    rows.append((ident, owner, option["name"], "".join(hits).strip(SPACE), len(hits), error))
+            yield pd.DataFrame(rows, columns=[key, job, "name", "content", "matches", "error"])
+
+    met = pages.select(key, job, html).join(chosen, F.col(job).eqNullSafe(F.col("_job"))).drop("_job")
+    return met.mapInPandas(run, f"`{key}` {kinds[key]}, `{job}` {kinds[job]}, name string, content string, matches int, error string")
+
+
 class _Sanitiser(_Walker):
     DROPPED_TEXT = {"script", "style", "textarea", "option", "noscript"}
 

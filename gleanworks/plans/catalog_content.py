@@ -320,6 +320,26 @@ def e02(spark, sf):
     return html.extract_selectors(Tables(spark, sf).pages, "page_id", "html", config).select("page_id", "content")
 
 
+JOB_SELECTORS = [
+    (0, "heading", "article > h1", True), (0, "inner", "article > b", False), (0, "menu", "nav li > a[href^='/']", False),
+    (1, "heading", "title", True), (1, "both", "nav > ul > li:first, h1", False), (1, "advert", "div[class~=ad], #none", False),
+    (2, "price", "span.price[data-unit=eur]", True), (2, "encoding", "meta[charset], title", False),
+]
+
+
+@query("e02_job_selectors", f"""WITH p AS (SELECT page_id, page_id % 4 AS job, html, trim({unescape_sql("regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)")}) AS h1, trim({unescape_sql("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")}) AS title,
+  regexp_extract_all(html, '<a href=./[^>]*>([^<]*)</a>', 1) AS links, trim({unescape_sql("regexp_extract(html, '(?s)<div class=.ad.>(.*?)</div>', 1)")}) AS ad FROM pages)
+SELECT page_id, job, 'heading' AS name, h1 AS content, 1 AS matches, NULL AS error FROM p WHERE job = 0 UNION ALL SELECT page_id, job, 'inner', '', 0, NULL FROM p WHERE job = 0
+UNION ALL SELECT page_id, job, 'menu', trim({unescape_sql("list_aggregate(links, 'string_agg', '')")}), len(links)::INTEGER, NULL FROM p WHERE job = 0
+UNION ALL SELECT page_id, job, 'heading', title, 1, NULL FROM p WHERE job = 1 UNION ALL SELECT page_id, job, 'both', '', 0, 'BAD_SELECTOR' FROM p WHERE job = 1
+UNION ALL SELECT page_id, job, 'advert', ad, 1, NULL FROM p WHERE job = 1 UNION ALL SELECT page_id, job, 'price', '', 0, 'REQUIRED_MISSING' FROM p WHERE job = 2
+UNION ALL SELECT page_id, job, 'encoding', title, 2, NULL FROM p WHERE job = 2""")
+def e02_jobs(spark, sf):
+    pages = Tables(spark, sf).pages.withColumn("job", F.col("page_id") % 4)
+    selectors = spark.createDataFrame(JOB_SELECTORS, "job long, name string, selector string, required boolean")
+    return html.extract_by_job(pages, "page_id", "html", "job", selectors)
+
+
 @query("e03_text_extractor", """SELECT doc_id, md5(text) AS digest, round(least(1.0, octet_length(encode(text)) / 1000.0), 6) AS confidence, octet_length(encode(text)) // 2000 + 1 AS pages FROM documents""")
 def e03(spark, sf):
     extractors = extensions.TextExtractors()

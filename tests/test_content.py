@@ -30,7 +30,7 @@ def test_selector_errors(spark):
     whole = html.extract_selectors(page(spark, "<p>" + "x" * 1_000_005 + "</p>"), "page_id", "html", {"x": "p"}).first()
     assert (len(whole.content), whole.error, whole.size) == (1_000_005, None, 1_000_012)
     with pytest.raises(ValueError):
-        html.compile_selector("a > b")
+        html.compile_selector("a + b")
 
 
 def test_paragraphs_close_each_other(spark):
@@ -128,3 +128,29 @@ def test_key_phrases(spark):
 def test_sentiment(spark):
     got = language.sentiment(text(spark, "good bad good", "plain"), "doc_id", "text", {"good": 1.0, "bad": -1.0}).orderBy("doc_id").collect()
     assert [(round(r.polarity, 6), r.hits) for r in got] == [(0.333333, 3), (0.0, 0)]
+
+
+@pytest.mark.parametrize("selector, content", [
+    ("div > p", "onefive"), ("div p", "onetwofive"), ("section > p", "two"), ("body > p", ""), ("p, h2", "onetwohead4five"), ("a[href]", "linkmail"),
+    ("a[href^='/']", "link"), ('a[href$=".org"]', "mail"), ("a[rel~=next]", "link"), ("p[lang|=en]", "two"), ("[data-x='a]b']", "five"), ("div>p.k", "five"),
+    ("div section > p, h2#t", "twohead4"), ("*[title*=ell]", "head4"), ("p[lang=en]", ""),
+])
+def test_selector_steps(spark, selector, content):
+    body = ("<div><p>one</p><section><p lang='en-GB'>two</p></section></div><h2 id='t' title='hello'>head4</h2><a href='/x' rel='prev next'>link</a>"
+            "<a href='mailto:a@b.org'>mail</a><a>none</a><div><p class='k l' data-x='a]b'>five</p></div>")
+    assert html.extract_selectors(page(spark, body), "page_id", "html", {"x": selector}).first().content == content
+
+
+@pytest.mark.parametrize("selector", ["", " ", ">p", "p >", "p,", ",p", "a:hover", "a[", "a[x=]", "a ~ b", "p..x", "p > > a"])
+def test_selectors_that_cannot_be_read(selector):
+    with pytest.raises(ValueError):
+        html.compile_selector(selector)
+
+
+def test_selectors_by_job(spark):
+    """Each page has its own job's selectors; jobs without any, null jobs and selectors that cannot be read."""
+    pages = spark.createDataFrame([(1, "a", "<h1>A1</h1><p>x</p>"), (2, "b", "<h1>B2</h1><p>y</p>"), (3, "c", "<h1>C</h1>"), (4, None, "<p>n</p>"), (5, "a", None)], "page_id long, job string, html string")
+    rows = [("a", "t", "h1", True), ("a", "t", "h1", True), ("b", "t", "p", None), ("b", "bad", "p::x", False), (None, "z", "h1, p", False), ("d", "t", "h1", True)]
+    got = html.extract_by_job(pages, "page_id", "html", "job", spark.createDataFrame(rows, "job string, name string, selector string, required boolean"))
+    assert sorted((r.page_id, r.name, r.content, r.matches, r.error) for r in got.collect()) == [
+        (1, "t", "A1", 1, None), (2, "bad", "", 0, "BAD_SELECTOR"), (2, "t", "y", 1, None), (4, "z", "n", 1, None), (5, "t", "", 0, "REQUIRED_MISSING")]
