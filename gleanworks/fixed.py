@@ -10,7 +10,6 @@ RECORD_SOURCES = ["SCRAPING", "DOCUMENT", "API"]
 VALIDATION_STATUSES = ["VALID", "INVALID", "PARTIAL"]
 JOB_STATUSES = ["PENDING", "SCHEDULED", "RUNNING", "COMPLETED", "FAILED", "CANCELLED", "RETRYING"]
 CLASSIFICATIONS = ["PUBLIC", "INTERNAL", "CONFIDENTIAL", "RESTRICTED"]  # ascending clearance
-RETENTION_POLICIES = ["standard", "extended", "compliance"]
 SORT_FIELDS = ["createdAt", "updatedAt", "uploadedAt", "fileName", "fileSize", "status"]
 SELECTOR_TYPES = ["css", "xpath"]
 AUTH_TYPES = ["NONE", "BASIC", "TOKEN", "OAUTH"]
@@ -81,9 +80,7 @@ QUALITY_TARGETS = {
 # --- fixed values: content limits --------------------------------------------------
 MAX_HTML_SIZE = 10 * 1024 * 1024
 MAX_TEXT_LENGTH = 1000000
-MAX_TABLE_ROWS = 10000
 MAX_URL_LENGTH = 2048
-MAX_LINKS = 5000
 MAX_FILE_BYTES = 50 * 1024 * 1024
 MAX_FILE_NAME = 255
 CHUNK_SIZE = 1024 * 1024
@@ -131,7 +128,6 @@ LANDING_FLAGS = ["PHI_SCAN_REQUIRED", "REGULATORY_DOCUMENT"]
 RETRYABLE_CODES = ["DEADLINE_EXCEEDED", "INTERNAL", "RESOURCE_EXHAUSTED", "SERVICE_UNAVAILABLE"]
 RETRYABLE_TYPES = ["NETWORK", "TIMEOUT", "PARSING"]
 CRITICAL_TYPES = ["AUTHENTICATION_ERROR", "INTERNAL_ERROR"]
-ERROR_CATEGORIES = ["NETWORK", "TIMEOUT", "VALIDATION", "AUTH", "RATE_LIMIT", "SYSTEM"]
 
 # --- fixed values: MIME types, extensions, signatures --------------------------------
 MIME_EXTENSIONS = {
@@ -246,8 +242,6 @@ ALERT_POLICIES = {
 LATENCY_BUCKETS = [0.1, 0.5, 1.0, 1.5, 2.0, 5.0]
 SIZE_BUCKETS = [512.0, 1024.0, 5120.0, 10240.0, 51200.0, 102400.0]
 BREAKER_ERROR_PERCENT = 50.0
-MAX_RUNS_PER_DAY = 24
-MIN_RUN_GAP_SECONDS = 3600
 LOCKOUT_FAILURES = 3
 MIN_DOCS_PER_HOUR = 100
 WATERMARK = "10 minutes"

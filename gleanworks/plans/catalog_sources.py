@@ -62,13 +62,13 @@ def s05(spark, sf):
         F.count("*").alias("n"), F.round(F.max("value"), 6).alias("top"))
 
 
-@query("s06_list_files", """SELECT DISTINCT source, 'application/json' AS content_type FROM documents""")
+@query("s06_list_files", """SELECT source, 'text/plain' AS content_type, sum(octet_length(encode(coalesce(text, ''))) + 1)::BIGINT AS bytes FROM documents GROUP BY 1""")
 def s06(spark, sf):
     location = new_location(spark, "s06")
-    rows = Tables(spark, sf).documents.select("doc_id", "n_chars", "source").repartitionByRange("source", "doc_id")
-    rows.write.partitionBy("source").json(location)
-    listed = files.list_files(spark, location, "*.json")
-    return listed.select(F.regexp_extract("path", "/source=([^/]+)/", 1).alias("source"), "content_type").distinct()
+    texts = Tables(spark, sf).documents.select("source", F.coalesce("text", F.lit("")).alias("text"))
+    texts.repartition("source").write.partitionBy("source").text(location)
+    listed = files.list_files(spark, location, "*.txt")
+    return listed.groupBy(F.regexp_extract("path", "/source=([^/]+)/", 1).alias("source"), "content_type").agg(F.sum("size").alias("bytes"))
 
 
 @query("s07_read_files", """SELECT quality, count(*) AS lines FROM labels GROUP BY 1""")
