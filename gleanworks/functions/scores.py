@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,6 +40,21 @@ def text_consistency(text: Column) -> Column:
     return F.when(F.coalesce(F.length(text), F.lit(0)) == 0, 0.0).otherwise(moments)
 
 
+def rule_accuracy(rules: dict[str, Column]) -> Column:
+    """Share of the rules that a row keeps; a rule that cannot be decided is not kept. Without rules it is 1."""
+    if not rules:
+        return F.lit(1.0)
+    kept = [F.coalesce(rule, F.lit(False)).cast("int") for rule in rules.values()]
+    return reduce(lambda a, b: a + b, kept) / F.lit(float(len(kept)))
+
+
+def freshness(at: Column, now: Column, minutes: int = fixed.MAX_TIMELINESS_MINUTES) -> Column:
+    """1 for what is no older than ``minutes``, then that limit's share of the age; 0 without a time."""
+    age = F.unix_micros(now.cast("timestamp")) - F.unix_micros(at.cast("timestamp"))
+    limit = F.lit(minutes * 60_000_000.0)
+    return F.coalesce(F.when(age <= limit, 1.0).otherwise(limit / age), F.lit(0.0))
+
+
 def quality_average(*metrics: Column) -> Column:
     """Mean of metrics on the 0-1 scale, as a percentage rounded before any comparison."""
     total = metrics[0]

@@ -92,6 +92,25 @@ def x03(spark, sf):
     return rows.withColumns({c: F.round(c, 6) for c in ("completeness", "consistency")})
 
 
+# Accuracy: the share of three rules kept; freshness: results came minute by minute, the run is two thousand minutes in.
+MEASURED_NOW = "2024-01-02 09:20:00"
+MEASURED_SQL = f"""WITH m AS (SELECT doc_id, {st.COMPLETENESS_SQL} AS completeness, {st.CONSISTENCY_SQL} AS consistency,
+    ((CASE WHEN lang <> 'es' THEN 1 ELSE 0 END) + (CASE WHEN n_chars >= 200 THEN 1 ELSE 0 END) + (CASE WHEN contains(text, '@') THEN 0 ELSE 1 END)) / 3.0::DOUBLE AS accuracy,
+    CASE WHEN 2000 - doc_id <= 15 THEN 1.0::DOUBLE ELSE 15.0::DOUBLE / (2000 - doc_id) END AS freshness FROM documents),
+  a AS (SELECT *, round((completeness + accuracy + consistency + freshness) / 4 * 100, 6) AS average FROM m)
+SELECT doc_id, round(accuracy, 6) AS accuracy, round(freshness, 6) AS freshness, round(average, 4) AS average, {st.STATUS_SQL} AS status,
+  'EXTRACT' AS operation, CASE WHEN {st.STATUS_SQL} = 'INVALID' THEN 'FAILURE' ELSE 'SUCCESS' END AS outcome FROM a"""
+
+
+@query("x03_measured_quality", MEASURED_SQL)
+def x03_measured(spark, sf):
+    rules = {"address": F.col("sourceUrl") != "", "long_enough": F.col("n_chars") >= 200, "no_address_in_text": ~F.contains("text", F.lit("@"))}
+    rows = flows.measured(st.results(Tables(spark, sf)), "text", rules, F.col("timestamp"), st.naive(MEASURED_NOW))
+    last = F.element_at("history", -1)
+    return rows.select("doc_id", F.round("accuracy", 6).alias("accuracy"), F.round("freshness", 6).alias("freshness"), F.round("average", 4).alias("average"), "status",
+                       last["operation"].alias("operation"), last["status"].alias("outcome"))
+
+
 LINKS_SQL = """SELECT page_id, link, row_number() OVER (PARTITION BY page_id ORDER BY first) - 1 AS position FROM (
   SELECT page_id, link, min(i) AS first FROM (SELECT page_id, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || array_to_string(list_transform(string_split(h, ''), lambda c: CASE WHEN strlen(c) > 1 THEN url_encode(c) ELSE c END), '') AS link, i FROM (
     SELECT page_id, url, unnest(hrefs) AS h, unnest(range(len(hrefs))) AS i FROM (SELECT page_id, url, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS hrefs FROM pages))) GROUP BY 1, 2)"""

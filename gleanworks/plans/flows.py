@@ -35,6 +35,16 @@ def scored(results: DataFrame, content: str) -> DataFrame:
     )
 
 
+def measured(results: DataFrame, content: str, rules: dict[str, Column], collected: Column, now: Column) -> DataFrame:
+    """As ``scored``, with accuracy from the rules and freshness from the time of collection instead of their defaults, and
+    the extraction as a step of the history: FAILURE where the status is INVALID."""
+    text, names = F.col(content), ("completeness", "accuracy", "consistency", "freshness")
+    scored_ = results.withColumn("completeness", scores.text_completeness(text)).withColumn("accuracy", scores.rule_accuracy(rules)).withColumn(
+        "consistency", scores.text_consistency(text)).withColumn("freshness", scores.freshness(collected, now))
+    rated = scored_.withColumn("average", scores.quality_average(*map(F.col, names))).withColumn("status", scores.quality_status(F.col("average")))
+    return with_history(rated, "EXTRACT", now, F.col("status") == "INVALID")
+
+
 def canonical(results: DataFrame) -> DataFrame:
     """The warehouse shape of a scored result."""
     return results.select(

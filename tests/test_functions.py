@@ -161,3 +161,12 @@ def test_dates(value):
     at = datetime(2024, 2, 28, 5, 6, 7)
     assert value(lambda t: times.date_path(t.cast("timestamp_ntz")), t=at) == "2024/02/28"
     assert value(lambda t: times.stamp(times.plus_days(t.cast("timestamp_ntz"), F.lit(2))), t=at) == "2024-03-01 05:06:07"
+
+
+def test_measured_quality(value):
+    rules = lambda *flags: {str(k): F.lit(f).cast("boolean") for k, f in enumerate(flags)}
+    assert value(lambda: scores.rule_accuracy(rules(True, False, None, True))) == 0.5
+    assert value(lambda: scores.rule_accuracy({})) == 1.0
+    now = F.lit("2024-01-01 12:00:00").cast("timestamp")
+    for at, want in (("2024-01-01 12:00:00", 1.0), ("2024-01-01 11:45:00", 1.0), ("2024-01-01 11:30:00", 0.5), ("2024-01-01 13:00:00", 1.0), (None, 0.0)):
+        assert value(lambda at=at: scores.freshness(F.lit(at).cast("timestamp"), now)) == want
