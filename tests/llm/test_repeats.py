@@ -98,6 +98,17 @@ def test_planted_passages_go_and_clean_texts_stay(make_docs):
         assert all(len(long) <= got[i].n_removed <= len(long) + 16 and got[i].n_spans == 1 for i, _ in held[:25])
 
 
+def test_kept_text_of_every_row(make_docs):
+    """The text that is left stands in the result, of changed, whole, repeated, empty and null texts alike."""
+    passage = "".join(map(str, range(60)))
+    texts = [(1, f"a {passage} b"), (2, f"{passage}c"), (3, "whole"), (4, None), (4, None), (5, ""), (6, "é" * 30), (7, "ü" * 40 + passage[50:])]
+    got = sorted((r.doc_id, r.kept_text) for r in repeats.remove_repeats(make_docs(*texts), 40, anchor=6).collect())
+    assert got == [(1, "a  b"), (2, "c"), (3, "whole"), (4, ""), (4, ""), (5, ""), (6, ""), (7, "")]
+    split = repeats.remove_repeats(make_docs((1, "ab" * 10 + "é"), (2, "ab" * 10 + "è")), 21, anchor=6).collect()
+    assert [(r.n_kept, r.kept_text) for r in split] == [(1, "\ufffd"), (1, "\ufffd")]
+    assert {r.kept_sha256 for r in split} == {hashlib.sha256(c.encode()[1:]).hexdigest() for c in "éè"}
+
+
 @pytest.mark.parametrize("filter_bits", [6, 27])
 def test_large_shards_are_trimmed(spark, make_docs, filter_bits):
     """Contexts around one line: what occurs once is cut off, whatever the map's bits share; equal strings all stay."""
