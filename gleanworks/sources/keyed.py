@@ -1,8 +1,9 @@
 """Tables whose keyed changes write only those files again that can hold a changed key.
 
 A table is a set of files, each with the least and the greatest key in it and a Bloom filter of its keys. Files of one
-writing (a generation) are ranges of the key and do not overlap. A changed key is looked up in each generation by its
-place among the files' ranges, then in the filter of the file it falls into; only files where both say yes are read,
+writing (a generation) are ranges of the key and overlap at most in a key that ends one and begins the next. A changed key
+is looked up in each generation by its place among the files' ranges, then in the filter of the files it falls into; only
+files where both say yes are read,
 changed and written as a new generation. All others stay as they are, under their names. A filter errs on one side only:
 it may ask for a file that does not hold the key.
 """
@@ -20,6 +21,8 @@ from gleanworks.session import new_location
 from gleanworks.sources import tables
 
 ROWS_PER_FILE = 1_000_000
+#: Rows that one task sorts and writes as files: tasks, and so the blocks between them, do not grow in number with small files.
+ROWS_PER_TASK = 1_000_000
 #: Bits of a file's filter per row it may hold, and bits set per key: about one in fifty absent keys is asked for in vain.
 BITS_PER_ROW, HASHES = 8, 4
 
@@ -53,10 +56,11 @@ def _positions(key: Column, rows_per_file: int) -> Column:
 
 
 def create(df: DataFrame, key: str, label: str = "keyed", rows_per_file: int = ROWS_PER_FILE, generation: int = 0) -> KeyedTable:
-    """The rows written as ranges of ``key`` of about ``rows_per_file`` rows, with their index. A null key is the least."""
+    """The rows written as ranges of ``key`` of at most ``rows_per_file`` rows, with their index. A null key is the least."""
     spark, place = df.sparkSession, new_location(df.sparkSession, label)
-    count = max(1, -(-df.count() // rows_per_file))
-    df.repartitionByRange(count, key).sortWithinPartitions(key).write.parquet(place)
+    n = df.count()
+    count = max(1, -(-n // ROWS_PER_TASK), min(-(-n // rows_per_file), spark.sparkContext.defaultParallelism))
+    df.repartitionByRange(count, key).sortWithinPartitions(key).write.option("maxRecordsPerFile", rows_per_file).parquet(place)
     held = spark.read.schema(df.schema).parquet(place).select(F.col("_metadata.file_path").alias("file"), F.struct(F.col(key).alias("k")).alias("k"))
     files = held.groupBy("file").agg(F.min("k").alias("low"), F.max("k").alias("high"), F.count("*").alias("n"))
     spots = held.select("file", F.explode(_positions(F.col("k.k"), rows_per_file)).alias("p"))
@@ -70,12 +74,13 @@ def touched(table: KeyedTable, keys: DataFrame) -> list[str]:
     generations = [r["generation"] for r in table.files.select("generation").distinct().collect()]
     if not generations:
         return []
-    asked = wanted.select(F.explode(F.array(*map(F.lit, generations))).alias("generation"), "k", F.lit(1).alias("asks"), F.lit(None).cast(
-        table.files.select(F.struct("low", "high", "file").alias("f")).schema["f"].dataType).alias("f"))
-    held = table.files.select("generation", F.col("low").alias("k"), F.lit(0).alias("asks"), F.struct("low", "high", "file").alias("f"))
-    near = ordered.with_running_max(held.unionByName(asked), ["generation"], ["k", "asks"], F.col("f"), "in")
-    inside = near.where((F.col("asks") == 1) & (F.col("k") <= F.col("in.high"))).select("k", "in.file")
-    spots = inside.select("file", "k", F.explode(_positions(F.col("k.k"), table.rows_per_file)).alias("p")).select("file", "k", "p.word", "p.bit").distinct()
+    asked = wanted.select(F.explode(F.array(*map(F.lit, generations))).alias("generation"), "k")
+    held = table.files.select("generation", F.col("low").alias("k"), F.struct("low", "high", "file").alias("f"))
+    begun = asked.join(held, ["generation", "k"]).select("k", "f.file")  # a key with many rows can begin several files
+    both = held.withColumn("asks", F.lit(1)).unionByName(asked.withColumn("asks", F.lit(0)), allowMissingColumns=True)
+    near = ordered.with_running_max(both, ["generation"], ["k", "asks"], F.col("f"), "in")
+    inside = near.where((F.col("asks") == 0) & (F.col("k") <= F.col("in.high"))).select("k", "in.file").unionByName(begun)
+    spots = inside.select("file", "k", F.explode(_positions(F.col("k.k"), table.rows_per_file)).alias("p")).select("file", "k", "p.word", "p.bit")
     seen = spots.join(table.bits, ["file", "word"], "left").groupBy("file", "k").agg(
         F.min(F.coalesce(F.expr("shiftright(bits, bit) & 1"), F.lit(0))).alias("all"))
     return sorted(r["file"] for r in seen.where("all = 1").select("file").distinct().collect())
@@ -85,7 +90,8 @@ def change(table: KeyedTable, keys: DataFrame, edit: Callable[[DataFrame], DataF
     """The table after ``edit`` of the rows of all files that can hold one of the keys; the other files stay."""
     spark, names = table.files.sparkSession, touched(table, keys)
     newest = (table.files.agg(F.max("generation")).first()[0] or 0) + 1
-    new = create(edit(_read(spark, names, table.schema)), table.key, label, table.rows_per_file, newest)
+    edited = tables.publish(edit(_read(spark, names, table.schema)), f"{label}-edited")  # made once; its ranges take several looks
+    new = create(edited, table.key, label, table.rows_per_file, newest)
     gone = spark.createDataFrame([(n,) for n in names], "file string")
     files, bits = (old.join(gone, "file", "left_anti").unionByName(more) for old, more in ((table.files, new.files), (table.bits, new.bits)))
     return KeyedTable(tables.publish(files, f"{label}-files"), tables.publish(bits, f"{label}-bits"), table.key, new.schema, table.rows_per_file)

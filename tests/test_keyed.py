@@ -66,6 +66,22 @@ def test_flags(spark):
     assert len(set(table.names()) & set(twice.names())) >= 7
 
 
+def test_a_key_of_many_rows_spans_files(spark):
+    """Files hold no more rows than asked for, written by few tasks; every file of a key is found and changed."""
+    rows = [(k, str(k), 1) for k in range(0, 300, 2)] + [(100, f"more{n}", 1) for n in range(500)] + [(None, f"none{n}", 1) for n in range(250)]
+    table = keyed.create(spark.createDataFrame(rows, SCHEMA), "id", "m", rows_per_file=100)
+    assert max(r.n for r in table.files.collect()) <= 100 and len(table.names()) >= 9
+    for key in (100, None):
+        names = keyed.touched(table, spark.createDataFrame([(key,)], "id long"))
+        met = F.col("id").eqNullSafe(F.lit(key))
+        assert spark.read.parquet(*names).where(met).count() == table.rows().where(met).count()
+    after = keyed.delete(table, spark.createDataFrame([(100,)], "id long"))
+    assert after.rows().count() == len(rows) - 501 and after.rows().where("id = 100").count() == 0
+    many = keyed.create(spark.range(30000), "id", "t", rows_per_file=100)
+    tasks = {name.split("part-")[1].split("-")[0] for name in many.names()}
+    assert len(many.names()) >= 300 and len(tasks) <= spark.sparkContext.defaultParallelism
+
+
 def test_empty_table(spark):
     table = keyed.create(spark.createDataFrame([], SCHEMA), "id", "e")
     assert content(table) == {}
