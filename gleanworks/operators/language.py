@@ -165,23 +165,27 @@ def terms(text: Column, shortest: int = 4) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(rf"(\p{{L}}{{{shortest},}})"), 1)
 
 
-def key_phrases(df: DataFrame, key: str, text: str, top: int = 5) -> DataFrame:
+#: Terms whose document frequencies are broadcast. Any other term stands in less than one in so many (document, term) pairs.
+BROADCAST_TERMS = 131_072
+
+
+def key_phrases(df: DataFrame, key: str, text: str, top: int = 5, broadcast_terms: int = BROADCAST_TERMS) -> DataFrame:
     """The ``top`` terms of each text by term frequency times inverse document frequency.
 
-    A term that occurs in every third text would overload one join task, so the join
-    with the document frequencies is salted by document. Document frequencies need no
-    (document, term) shuffle: repeats fall away within the row.
+    The terms of a document are brought together once and counted there. A term that occurs in every third text would
+    overload one join task, so the most frequent ``broadcast_terms`` meet their document frequencies by broadcast, where the
+    document is; only others are shuffled, and of these none is frequent. Document frequencies need no (document, term)
+    shuffle: repeats fall away within the row.
     """
-    frequency = (
-        df.select(key, F.explode(terms(F.col(text))).alias("term"))
-        .groupBy(key, "term").agg(F.count("*").alias("tf"))
-    )
+    together = df.select(key, terms(F.col(text)).alias("terms")).repartition(key)
+    frequency = together.select(key, F.explode("terms").alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
     distinct = F.array_distinct(terms(F.col(text)))
     spread = df.select(F.explode(distinct).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     documents = df.agg(F.count("*")).scalar()
-    scored = joins.salted_join(frequency, spread, ["term"], F.col(key), salts=8).withColumn(
-        "score", F.round(F.col("tf") * F.log(documents / F.col("df")), 6)
-    )
+    common = F.broadcast(spread.orderBy(F.col("df").desc(), "term").limit(broadcast_terms))
+    rare = spread.join(common.select("term"), "term", "left_anti")
+    met = frequency.join(common, "term").unionByName(frequency.join(common.select("term"), "term", "left_anti").join(rare, "term"))
+    scored = met.withColumn("score", F.round(F.col("tf") * F.log(documents / F.col("df")), 6))
     best = Window.partitionBy(key).orderBy(F.col("score").desc(), F.col("term").asc())
     return (
         scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)

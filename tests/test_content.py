@@ -1,3 +1,7 @@
+import math
+import re
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -136,6 +140,23 @@ def test_key_phrases(spark):
     assert got == [(0, 1, "alpha"), (0, 2, "beta"), (1, 1, "gamma"), (1, 2, "common"), (2, 1, "delta"), (2, 2, "common")]
 
 
+@pytest.mark.parametrize("most", [1, 3, 1000])
+def test_key_phrases_shuffle_only_rare_terms(spark, most):
+    """Frequent terms meet their document frequencies by broadcast, others by a join, with the same scores."""
+    bodies = [f"common often{'s' * (k % 2)} " + f"rare{'abcdefgh'[k % 8] * 3} " * (k % 3) + f"only{'x' * k}" for k in range(40)] + [None, ""]
+    df = spark.createDataFrame([(k % 30, b) for k, b in enumerate(bodies)], "doc_id long, text string")
+    found = language.key_phrases(df, "doc_id", "text", top=3, broadcast_terms=most)
+    split = [re.findall("[a-z]{4,}", b or "") for b in bodies]
+    held, counts = Counter(t for s in split for t in set(s)), {}
+    for k, s in enumerate(split):
+        counts.setdefault(k % 30, Counter()).update(s)
+    best = {i: sorted(((-round(n * math.log(len(bodies) / held[t]), 6), t) for t, n in c.items()))[:3] for i, c in counts.items()}
+    want = sorted((i, rank, t, -s) for i, b in best.items() for rank, (s, t) in enumerate(b, 1))
+    got = sorted((r.doc_id, r["rank"], r.term, r.score) for r in found.collect())
+    assert [g[:3] for g in got] == [w[:3] for w in want] and [g[3] for g in got] == pytest.approx([w[3] for w in want])
+    assert "_salt" not in found._jdf.queryExecution().toString()
+
+
 def test_sentiment(spark):
     got = language.sentiment(text(spark, "good bad good", "plain"), "doc_id", "text", {"good": 1.0, "bad": -1.0}).orderBy("doc_id").collect()
     assert [(round(r.polarity, 6), r.hits) for r in got] == [(0.333333, 3), (0.0, 0)]
