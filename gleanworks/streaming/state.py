@@ -129,6 +129,30 @@ def merged_streak(streak: int, last: int, part: dict, limit: int, forget: int |
     return part["open_hits"] if part["has_reset"] else streak + part["open_hits"], part["ends"], reached
 
 
+def merged_user(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState, user: str, limit: int, forget: int | None) -> Iterator[pd.DataFrame]:
+    """One user's new slices merged into the state; a frame only if a slice reaches the limit."""
+    held = ("slice", "number", "begins", "ends", "has_reset", "first_hits", "open_hits")
+    if state.hasTimedOut:
+        state.remove()
+        return
+    streak, last = state.get if state.exists else (0, NEVER)
+    # most users have a slice or two in a batch and no lockout: nothing is built for them
+    parts = [dict(zip(held, part, strict=True)) for frame in frames for part in zip(*(frame[c].tolist() for c in held), strict=True)]
+    found = []
+    for part in sorted(parts, key=lambda p: (p["number"], p["slice"])):
+        streak, last, reached = merged_streak(streak, last, part, limit, forget)
+        if reached is not None:
+            found.append((key[0], part["number"], part["slice"], reached))
+    if streak:
+        state.update((int(streak), int(last)))
+        if forget is not None:
+            state.setTimeoutTimestamp(max(last // 1000 + forget * 1000, state.getCurrentWatermarkMs() + 1))
+    elif state.exists:
+        state.remove()
+    if found:
+        yield pd.DataFrame(found, columns=[user, "number", "slice", "reached"])
+
+
 def lockouts_stream(stream: DataFrame, user: str, order: list[str], failed: Column, succeeded: Column, label: str,
                     limit: int = fixed.LOCKOUT_FAILURES, root: str | None = None, forget: int | None = None) -> DataFrame:
     """Lockout rows from a stream; the open streak of each user is keyed state.
@@ -160,22 +184,7 @@ def lockouts_stream(stream: DataFrame, user: str, order: list[str], failed: Colu
     )
 
     def merge(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        streak, last = state.get if state.exists else (0, NEVER)
-        found = []
-        if not state.hasTimedOut:
-            parts = pd.concat(frames).sort_values(["number", "slice"])
-            for part in parts.to_dict("records"):
-                streak, last, reached = merged_streak(streak, last, part, limit, forget)
-                if reached is not None:
-                    found.append((key[0], part["number"], part["slice"], reached))
-        if not streak or state.hasTimedOut:
-            if state.exists:
-                state.remove()
-        else:
-            state.update((int(streak), int(last)))
-            if forget is not None:
-                state.setTimeoutTimestamp(max(last // 1000 + forget * 1000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(found, columns=[user, "number", "slice", "reached"])
+        yield from merged_user(key, frames, state, user, limit, forget)
 
     kind = stream.schema[user].dataType.simpleString()
     slices = f"`{user}` {kind}, slice int, number bigint, begins bigint, ends bigint, has_reset boolean, first_hits bigint, open_hits bigint"

@@ -1,6 +1,7 @@
 import random
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -331,3 +332,33 @@ def test_shuffled_files_in_small_batches(spark):
     with pytest.raises(ValueError, match="behind the watermark"):
         by_stream(ingest.read_stream(spark, location, df.schema, 1))
     assert by_stream(ingest.read_stream(spark, ingest.in_time_order(df.where("false"), "ts", 3), df.schema, 1)) == set()
+
+
+class _State:
+    """The state of one user, as a task sees it."""
+
+    def __init__(self, timed_out=False, **held):
+        self.hasTimedOut, self.exists, self.get, self.timer = timed_out, bool(held), held.get("get"), None
+
+    def update(self, value):
+        self.exists, self.get = True, value
+
+    def remove(self):
+        self.exists, self.get = False, None
+
+    def setTimeoutTimestamp(self, at):
+        self.timer = at
+
+    def getCurrentWatermarkMs(self):
+        return 0
+
+
+def test_users_without_lockout_build_no_frame():
+    """Most users reach no limit, and time out later: neither costs a frame."""
+    columns = ["slice", "number", "begins", "ends", "has_reset", "first_hits", "open_hits"]
+    frames = [pd.DataFrame([(1, 0, 50_000_000, 60_000_000, False, 1, 1)], columns=columns), pd.DataFrame([(0, 0, 1, 2, True, 0, 0)], columns=columns)]
+    fresh, gone, hit = _State(), _State(True, get=(1, 5)), _State(get=(1, 5))
+    assert list(state.merged_user((7,), iter(frames), fresh, "u", 2, 100)) == [] and fresh.get == (1, 60_000_000) and fresh.timer == 160_000
+    assert list(state.merged_user((7,), iter(()), gone, "u", 2, 100)) == [] and not gone.exists
+    (out,) = state.merged_user((7,), iter(frames[:1]), hit, "u", 2, 100)
+    assert out.to_dict("records") == [{"u": 7, "number": 0, "slice": 1, "reached": 1}] and hit.get == (2, 60_000_000)
